@@ -148,6 +148,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             at = to
 
 
+def chunk_bytes(buckets: int) -> int:
+    """Larger chunks where there are many ranges to send to, so that runs stay long: 4 to 16 MB."""
+    return min(16 << 20, max(CHUNK_BYTES, buckets << 16))
+
+
 def pack_rows(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:

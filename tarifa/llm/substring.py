@@ -66,9 +66,9 @@ def repeated_intervals(w: Windows, earlier: np.ndarray, width: int) -> np.ndarra
     return np.cumsum(edge)[: len(w.starts)] > 0
 
 
-def _chunks(batches, id_col: str, text_col: str):
+def _chunks(batches, id_col: str, text_col: str, limit: int):
     place = TaskContext.get().partitionId()
-    for k, batch in enumerate(C.chunks(batches, text_col)):
+    for k, batch in enumerate(C.chunks(batches, text_col, limit)):
         ids = np.asarray(batch.column(id_col).fill_null(-(1 << 63)).cast(pa.int64()))
         yield C.chunk_key(place, k, ids), ids, batch
 
@@ -81,17 +81,19 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """
     spark = df.sparkSession
     buckets = C.shuffle_partitions(spark)
+    limit = C.chunk_bytes(buckets)
     ids = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, doc, batch in _chunks(batches, "i", "t"):
+        for key, doc, batch in _chunks(batches, "i", "t", limit):
             w = Windows(doc, batch.column("t"), width)
             edges = C.bucket_edges(w.distinct, buckets)
             lead_row = w.row[w.lead]
             out = []
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
-                out.append((int(b), key, int(edges[b + 1] - edges[b]), C.squeeze(w.distinct[part]), C.squeeze_small(lead_row[part]), w.ids.astype("<i8").tobytes()))
+                rows, which = np.unique(lead_row[part], return_inverse=True)
+                out.append((int(b), key, int(edges[b + 1] - edges[b]), C.squeeze(w.distinct[part]), C.squeeze_small(which), w.ids[rows].astype("<i8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "n", "hashes", "rows", "ids"])
 
@@ -115,7 +117,7 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     masks = masks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "mask"))).alias("masks"))
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, batch in _chunks(batches, id_col, text_col):
+        for key, _, batch in _chunks(batches, id_col, text_col, limit):
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([C.pack_rows(batch)], pa.binary())], names=["chunk", "body"])
 
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("n_words", "n_removed", "removed", "kept_text")])
