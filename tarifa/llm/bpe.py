@@ -1,0 +1,159 @@
+"""Byte-level BPE with word ends, merged for many words at once in numpy.
+
+Reads vocabulary and merges from a ``tokenizers`` file. Words of plain Latin letters,
+digits and ASCII marks are merged here; any other word, and any tokenizer of another
+layout, goes through the library. Both give the same ids.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+
+import numpy as np
+
+#: No apostrophe (contractions) and no "<" (special tokens): those words go through the library.
+_PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!\"#$%&()*+,\-./:;=>?@\[\]^_`{|}~\\]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_FAR = np.int32(1 << 30)
+
+
+def _byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
+def _kinds() -> np.ndarray:
+    """0 mark, 1 letter, 2 digit, 3 end of word, for code points below 256."""
+    kind = np.zeros(256, np.int8)
+    for c in [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]:
+        kind[c] = 1
+    kind[48:58] = 2
+    kind[10] = 3
+    return kind
+
+
+class WordBpe:
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.usable = (
+            model.get("type") == "BPE"
+            and model.get("end_of_word_suffix") == "</w>"
+            and not model.get("continuing_subword_prefix")
+            and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and _SPLIT in json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
+        )
+        if not self.usable:
+            return
+        vocab, ends = model["vocab"], _byte_symbols()
+        self.inner = np.array([vocab[c] for c in ends], np.int64)
+        self.last = np.array([vocab[c + "</w>"] for c in ends], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        # an open hash table: place of a key by multiplication, next places on collision
+        self.shift, size = np.uint64(64 - 18), 1 << 18
+        self.keys, self.rank, self.made = np.full(size + 64, -1, np.int64), np.full(size + 64, _FAR, np.int32), np.zeros(size + 64, np.int32)
+        left, self.probes = np.arange(len(keys)), 0
+        place = self._place(keys)
+        while len(left):
+            free = self.keys[place] < 0
+            first = np.zeros(len(left), bool)
+            first[np.unique(place, return_index=True)[1]] = True
+            put = free & first
+            self.keys[place[put]], self.rank[place[put]], self.made[place[put]] = keys[left[put]], left[put], made[left[put]]
+            left, place = left[~put], place[~put] + 1
+            self.probes += 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int32)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (far beyond all where it doesn't merge) and its place in the table."""
+        keys = a.astype(np.int64) << 20 | b
+        place = self._place(keys)
+        found = self.keys[place]
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        for _ in range(1, self.probes):
+            if not len(left):
+                break
+            place[left] += 1
+            now = self.keys[place[left]]
+            found[left] = now
+            left = left[(now != keys[left]) & (now >= 0)]
+        return np.where(found == keys, self.rank[place], _FAR), place
+
+    @staticmethod
+    def plain(word: str) -> bool:
+        return _PLAIN.fullmatch(word) is not None
+
+    def encode(self, words: list[str], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the n+1 offsets of plain words, in steps that fit the caches."""
+        parts = [self._encode(words[k : k + step]) for k in range(0, len(words), step)] or [(np.zeros(0, np.uint32), np.zeros(1, np.int64))]
+        sizes = np.concatenate([np.diff(off) for _, off in parts])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        code = np.frombuffer("\n".join([w.lower() for w in words]).encode("latin-1") + b"\n", np.uint8)
+        kind = _KINDS[code]
+        word = np.cumsum(kind == 3) - (kind == 3)
+        new = np.ones(len(code), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        end = np.append(new[1:], True)
+        real = kind != 3
+        piece = (np.cumsum(new) - 1)[real]
+        code, end, word = code[real].astype(np.int64), end[real], word[real]
+        wide = code >= 128
+        size = 1 + wide
+        at = np.cumsum(size) - size
+        symbols = np.empty(int(size.sum()), np.int64)
+        one = ~wide
+        symbols[at[one]] = np.where(end[one], self.last[code[one]], self.inner[code[one]])
+        symbols[at[wide]] = self.inner[0xC0 | code[wide] >> 6]
+        tail = 0x80 | code[wide] & 0x3F
+        symbols[at[wide] + 1] = np.where(end[wide], self.last[tail], self.inner[tail])
+        pieces = np.bincount(piece, size)
+        return self._merge(symbols.astype(np.int32), pieces[pieces > 0].astype(np.int64), np.repeat(word, size), len(words))
+
+    def _merge(self, symbols: np.ndarray, count: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """count: symbols of each piece, in order. Each round merges, in every piece that still
+        has one, the leftmost pair of lowest rank; finished pieces leave the arrays."""
+        place = np.arange(len(symbols), dtype=np.int32)
+        last = np.zeros(len(symbols), bool)
+        last[np.cumsum(count) - 1] = True
+        kept_place, kept = [place[:0]], [symbols[:0]]
+        rank, slot = self._find(symbols, np.append(symbols[1:], 0)) if len(symbols) else (symbols, symbols)
+        rank[last] = _FAR
+        while len(symbols):
+            starts = np.cumsum(count) - count
+            least = np.minimum.reduceat(rank, starts)
+            alive = least < _FAR
+            going = np.repeat(alive, count)
+            hit = np.flatnonzero((rank == np.repeat(least, count)) & going)
+            of = np.searchsorted(starts, hit, side="right")
+            hit = hit[np.diff(of, prepend=-1) > 0]
+            done = ~going
+            kept_place.append(place[done])
+            kept.append(symbols[done])
+            symbols[hit] = self.made[slot[hit]]
+            last[hit] = last[hit + 1]
+            going[hit + 1] = False
+            at = np.cumsum(going, dtype=np.int32)[hit] - 1
+            symbols, place, rank, slot, last = symbols[going], place[going], rank[going], slot[going], last[going]
+            count = count[alive] - 1
+            changed = np.concatenate([at, at[at > 0] - 1])
+            if len(symbols):
+                rank[changed], slot[changed] = self._find(symbols[changed], symbols[np.minimum(changed + 1, len(symbols) - 1)])
+                rank[changed[last[changed]]] = _FAR
+        ids, at = np.concatenate(kept), np.concatenate(kept_place)
+        out = np.zeros(len(word), np.int64)
+        out[at] = ids + 1
+        left = np.flatnonzero(out)
+        return (out[left] - 1).astype(np.uint32), np.concatenate([[0], np.cumsum(np.bincount(word[left], minlength=n))])
+
+
+_KINDS = _kinds()

@@ -17,6 +17,7 @@ tokens spelled out in a text are read as the tokenizer reads them by default.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
+from .bpe import WordBpe
 
 WINDOW = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+ENCODE_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,13 +43,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that later tasks find the words of earlier ones."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Token ids of texts, word by word. The tokenizer drops white space and never joins
     across it, so ids of white-space separated words are computed once and shared."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's
         from tokenizers import Tokenizer
 
+        self.bpe = WordBpe(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -61,17 +74,25 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids, k = e.ids, len(self.place)
-                if k == len(self.size):
-                    self.size, self.first = np.resize(self.size, 2 * k), np.resize(self.first, 2 * k)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.place[word], self.size[k], self.first[k] = k, len(ids), self.used
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        plain = [w for w in fresh if self.bpe.usable and self.bpe.plain(w)]
+        if plain:
+            self._keep(plain, *self.bpe.encode(plain, 16384))
+        if len(plain) < len(fresh):
+            rest = [w for w in fresh if not (self.bpe.usable and self.bpe.plain(w))]
+            for at in range(0, len(rest), 4096):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)]
+                self._keep(rest[at : at + 4096], np.array([x for own in ids for x in own], np.uint32), np.cumsum([0, *map(len, ids)]))
+
+    def _keep(self, words: list[str], ids: np.ndarray, off: np.ndarray) -> None:
+        k = len(self.place)
+        self.place.update(zip(words, range(k, k + len(words))))
+        while len(self.size) < k + len(words):
+            self.size, self.first = np.resize(self.size, 2 * len(self.size)), np.resize(self.first, 2 * len(self.first))
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.size[k : k + len(words)], self.first[k : k + len(words)] = np.diff(off), self.used + off[:-1]
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n+1 offsets of the texts."""
@@ -97,9 +118,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     schema = PIECES + (", ids array<long>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place, n = WordEncoder(path), TaskContext.get().partitionId(), 0
-        for batch in C.chunks(batches, "t"):
-            ids, off = encoder.encode([t or "" for t in batch.column("t").to_pylist()])
+        own_encoder, place, n = encoder(path), TaskContext.get().partitionId(), 0
+        for batch in C.chunks(batches, "t", ENCODE_BYTES):
+            ids, off = own_encoder.encode([t or "" for t in batch.column("t").to_pylist()])
             out = []
             for k, doc in enumerate(batch.column("i").to_pylist()):
                 own = np.append(ids[off[k] : off[k + 1]], np.uint32(end_id)).astype("<u4")
