@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontam, packing, substring
+from . import decontam, langid, packing, substring, toxicity
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(C.table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(C.table(spark, sf_dir, "documents"))
 
@@ -24,7 +32,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_decontamination": op2_decontamination,
+        "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_substring_dedup": op5_substring_dedup,
     }
