@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontam, jaccard, langid, packing, substring, toxicity
+from . import chat, decontam, htmltext, jaccard, langid, media, packing, substring, tokencount, toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,26 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(C.table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(C.table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(C.table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(C.table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.digest(C.table(spark, sf_dir, "pages"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(C.table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -41,7 +57,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_token_counts": op6_token_counts,
+        "op7_media_columns": op7_media_columns,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_html_extraction": op9_html_extraction,
+        "op10_chat_formatting": op10_chat_formatting,
     }
 
 
