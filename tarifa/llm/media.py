@@ -90,25 +90,26 @@ def chunk_ends(data: bytes) -> list[int]:
     return cuts(len(data), (np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0) + 1).tolist())
 
 
-def describe(media: bytes) -> tuple[int, str, int, int, str, str]:
-    """What a stored medium gives when read: payload size, digest, tail crc, stored size, its digest, feature."""
+def describe(media: bytes) -> tuple[bytes, int, int, int, bytes, str]:
+    """What a stored medium gives when read: payload digest and size, tail crc, stored size, its digest, feature."""
     samples = from_media(media)
     x = np.frombuffer(samples, np.uint8)
     loud = int(np.count_nonzero(np.diff((x >= 128).view(np.int8))))
     feature = f"samples={len(x)};min={x.min()};max={x.max()};sum={int(x.sum(dtype=np.int64))};energy={int((x.astype(np.int64) ** 2).sum())};crossings={loud}"
-    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return hashlib.sha256(samples).digest(), len(samples), zlib.crc32(samples[-ALIGN:]), len(media), hashlib.sha256(media).digest(), feature
 
 
-_RESULT = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_RESULT_KINDS = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+#: Digests travel as bytes and become hex at the end.
+_RESULT = "media_id binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+_RESULT_KINDS = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 _RESULT_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
 
-def _rebuilt(media_id: bytes, parts: list[bytes]) -> tuple:
-    data = b"".join(parts)
-    if hashlib.sha256(data).digest() != media_id:
+def _rebuilt(parts: list[bytes], media_id: bytes | None = None) -> tuple:
+    found = describe(to_media(b"".join(parts)))
+    if media_id is not None and found[0] != media_id:
         raise RuntimeError("a rebuilt payload differs from the one stored")
-    return (media_id, *describe(to_media(data)))
+    return found
 
 
 def _batch(rows: list[tuple], kinds, names) -> Iterator[pa.RecordBatch]:
@@ -127,9 +128,9 @@ class Store:
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = TaskContext.get().partitionId()
             for k, batch in enumerate(C.chunks(batches, "t", limit)):
-                yield _container(f"{place}-{k}", batch)
+                yield _container(place << 18 | k, batch)
 
-        schema = f"cont string, blob binary, sizes array<int>, digests binary, media array<struct<id: binary, chunks: array<int>>>, docs array<struct<doc_id: {kind}, n_bytes: bigint, m: int>>"
+        schema = f"cont long, blob binary, sizes array<int>, digests binary, media array<struct<id: binary, chunks: array<int>>>, docs array<struct<doc_id: {kind}, n_bytes: bigint, m: int>>"
         self.name = f"media_{uuid.uuid4().hex}"
         rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(fill, schema)
         rows.write.format("parquet").bucketBy(C.shuffle_partitions(self.spark), "cont").saveAsTable(self.name)
@@ -137,15 +138,17 @@ class Store:
         # each medium's home is the least container that has it
         media = self.table.select("cont", "digests", F.posexplode("media").alias("m", "x"))
         digests = F.transform("x.chunks", lambda c: F.substring("digests", c * DIGEST + 1, F.lit(DIGEST)))
-        media = media.select(F.col("x.id").alias("media_id"), F.struct("cont", "m").alias("home"), digests.alias("digests"))
+        media = media.select(F.col("x.id").alias("media_id"), (F.shiftleft("cont", 20) + F.col("m")).alias("home"), digests.alias("digests"))
         home = media.groupBy("media_id").agg(F.min("home").alias("home"), F.first("digests").alias("digests"))
-        self.home = C.written(home.select("media_id", "home.cont", "home.m", "digests"), "media")
-        refs = self.home.select("media_id", "cont", F.posexplode("digests").alias("pos", "digest"))
+        self.home = C.written(home.select("home", "digests"), "media")
+        cont = F.shiftright("home", 20).alias("cont")
+        refs = self.home.select("home", F.posexplode("digests").alias("pos", "digest"))
         # chunks that several containers hold belong to the least
-        held = refs.groupBy("digest").agg(F.min("cont").alias("at"), F.max("cont").alias("other")).filter("at <> other").select("digest", "at")
-        moved = C.written(refs.join(held, "digest").select("media_id", "pos", "digest", "cont", "at"), "shared-chunks")
-        self.incomplete = moved.filter("cont <> at").select("media_id").distinct()
-        self.refs = C.written(refs.join(self.incomplete, "media_id").join(moved.select("media_id", "pos", "at"), ["media_id", "pos"], "left").select("media_id", "pos", "digest", F.coalesce("at", "cont").alias("cont")), "chunk-lists")
+        held = refs.select("digest", cont).groupBy("digest").agg(F.min("cont").alias("at"), F.max("cont").alias("other")).filter("at <> other").select("digest", "at")
+        moved = C.written(refs.join(held, "digest").filter(cont != F.col("at")).select("home", "pos", "at"), "shared-chunks")
+        self.incomplete = moved.select("home").distinct()
+        lists = self.home.join(self.incomplete, "home").select("home", F.posexplode("digests").alias("pos", "digest"))
+        self.refs = C.written(lists.join(moved, ["home", "pos"], "left").select("home", "pos", "digest", F.coalesce("at", cont).alias("cont")), "chunk-lists")
 
     def chunk_counts(self) -> DataFrame:
         """(listed, distinct): chunks of all distinct media, and of those the ones stored once."""
@@ -166,14 +169,15 @@ class Store:
 
     def read(self) -> DataFrame:
         """Every distinct medium rebuilt from its ordered chunks, verified and described."""
-        local = self.home.join(self.incomplete, "media_id", "left_anti").groupBy("cont").agg(F.collect_set("m").alias("local"))
+        place = F.col("home").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+        local = self.home.select("home").join(self.incomplete, "home", "left_anti").groupBy(F.shiftright("home", 20).alias("cont")).agg(F.collect_set(place).alias("local"))
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
                     chunks = _chunks_of(r["blob"], r["sizes"])
                     media = [r["media"][m] for m in r["local"]]
-                    yield from _batch([_rebuilt(m["id"], [chunks[c] for c in m["chunks"]]) for m in media], _RESULT_KINDS, _RESULT_NAMES)
+                    yield from _batch([_rebuilt([chunks[c] for c in m["chunks"]], m["id"]) for m in media], _RESULT_KINDS, _RESULT_NAMES)
 
         at_home = self.table.join(local, "cont").select("blob", "sizes", "media", "local").mapInArrow(rebuild, _RESULT)
 
@@ -181,9 +185,9 @@ class Store:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     rows = batch.slice(at, 256).to_pylist()
-                    yield from _batch([_rebuilt(r["media_id"], [p["bytes"] for p in r["parts"]]) for r in rows], _RESULT_KINDS, _RESULT_NAMES)
+                    yield from _batch([_rebuilt([p["bytes"] for p in r["parts"]]) for r in rows], _RESULT_KINDS, _RESULT_NAMES)
 
-        parts = self.refs.join(self.exported(), "digest").groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
+        parts = self.refs.join(self.exported(), "digest").groupBy("home").agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
         return at_home.unionByName(parts.mapInArrow(gather, _RESULT))
 
     def documents(self) -> DataFrame:
@@ -191,7 +195,7 @@ class Store:
         return rows.select("d.doc_id", "d.n_bytes", F.element_at("id", F.col("d.m") + 1).alias("media_id"))
 
 
-def _container(key: str, batch: pa.RecordBatch) -> pa.RecordBatch:
+def _container(key: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     raw, off = C.text_bytes(batch.column("t"))
     data = raw.tobytes()
     chunk_of: dict[bytes, int] = {}
@@ -219,7 +223,7 @@ def _container(key: str, batch: pa.RecordBatch) -> pa.RecordBatch:
     doc_kind = pa.struct([("doc_id", batch.column("i").type), ("n_bytes", pa.int64()), ("m", pa.int32())])
     media_kind = pa.struct([("id", pa.binary()), ("chunks", pa.list_(pa.int32()))])
     return pa.RecordBatch.from_arrays(
-        [pa.array([key]), pa.array([blob], pa.binary()), pa.array([[len(b) for b in bodies]], pa.list_(pa.int32())), pa.array([b"".join(chunk_of)], pa.binary()), pa.array([media], pa.list_(media_kind)), pa.array([docs], pa.list_(doc_kind))],
+        [pa.array([key], pa.int64()), pa.array([blob], pa.binary()), pa.array([[len(b) for b in bodies]], pa.list_(pa.int32())), pa.array([b"".join(chunk_of)], pa.binary()), pa.array([media], pa.list_(media_kind)), pa.array([docs], pa.list_(doc_kind))],
         names=["cont", "blob", "sizes", "digests", "media", "docs"],
     )
 
@@ -232,5 +236,8 @@ def _chunks_of(blob: bytes, sizes: list[int]) -> list[bytes]:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     store = Store(docs, id_col, text_col)
-    out = store.documents().join(store.read(), "media_id")
-    return out.select(F.col("doc_id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    # a document whose digest no rebuilt payload has fails the query
+    out = store.documents().join(store.read(), "media_id", "left")
+    size = F.coalesce("payload_bytes", F.raise_error(F.lit("a rebuilt payload differs from the one stored")).cast("long")).alias("payload_bytes")
+    hexed = [F.lower(F.hex(c)).alias(to) for c, to in (("media_id", "payload_sha256"), ("media_sha256", "media_sha256"))]
+    return out.select(F.col("doc_id").alias(id_col), "n_bytes", size, hexed[0], "tail_crc32", "media_bytes", hexed[1], "feature")
