@@ -19,7 +19,7 @@ from .. import schemas as C
 from ..functions import similarity as M
 from ..functions import spec as S
 from ..functions import text as X
-from ..lexicon import DEFAULT, Lexicon
+from .tables import cut
 
 TITLE_FLOOR = 60.0
 
@@ -51,11 +51,10 @@ def platforms_of(rivals: DataFrame) -> DataFrame:
 
 
 def with_platforms(own: DataFrame, rivals: DataFrame) -> DataFrame:
-    """Own products once per platform that has data. The platforms are one row with a list of
-    them, whose length is that of the configuration."""
-    every = platforms_of(rivals).agg(F.sort_array(F.collect_list(F.struct("platform_ord", "platform"))).alias("p"))
-    rows = own.drop("platform", "platform_ord").join(F.broadcast(every))
-    return rows.withColumn("_p", F.explode("p")).select(F.col("uid").alias("self_uid"), "_p.platform", "_p.platform_ord", *[c for c in own.columns if c not in ("platform", "platform_ord")])
+    """Own products once per platform that has data; platforms are as few as configured."""
+    every = F.broadcast(platforms_of(rivals).withColumn("_all", F.lit(1)))
+    rest = [c for c in own.columns if c not in ("platform", "platform_ord", "uid")]
+    return own.select(F.col("uid").alias("self_uid"), *rest, F.lit(1).alias("_all")).join(every, "_all").drop("_all")
 
 
 def match_barcode(pending: DataFrame, rivals: DataFrame) -> DataFrame:
@@ -207,15 +206,17 @@ def run_judge(gray: DataFrame, own: DataFrame, rivals: DataFrame, judge: Callabl
 
 
 def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConfig(), verdicts: DataFrame | None = None) -> DataFrame:
-    """One pair per own product and platform with data, by the first stage that settles it."""
-    pending = with_platforms(own, rivals)
+    """One pair per own product and platform with data, by the first stage that settles it.
+
+    ``own`` and ``rivals`` are read by every stage: give tables, not plans that parse titles."""
+    pending = cut(with_platforms(own, rivals), "pending")
     done: DataFrame | None = None
     for on, rule in ((config.barcode, match_barcode), (config.brand_spec, match_brand_spec)):
         if on:
-            found = rule(pending, rivals)
-            pending = pending.join(found.select("self_uid", "platform"), ["self_uid", "platform"], "left_anti")
+            found = cut(rule(pending, rivals), "matched")
+            pending = cut(pending.join(found.select("self_uid", "platform"), ["self_uid", "platform"], "left_anti"), "pending")
             done = found if done is None else done.unionByName(found)
-    best = recall(pending, rivals, config).filter("rank = 1")
+    best = cut(recall(pending, rivals, config).filter("rank = 1"), "recalled")
     settled, gray = route_best(pending, best, config)
     out = settled.unionByName(judge_gray(gray, verdicts, config))
     return out if done is None else done.unionByName(out)

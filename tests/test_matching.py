@@ -8,6 +8,7 @@ from tarifa.operators import compare as P
 from tarifa.operators import matching as M
 from tarifa.operators import products as R
 from tarifa.operators import report as O
+from tarifa.operators.tables import cut
 
 RAW = "platform string, platform_ord int, ord long, sku_id string, title string, price string, barcode string, brand string, category string"
 
@@ -18,8 +19,7 @@ def make(spark, *rows):
         platform, sku, title = r[:3]
         more = dict(zip(("price", "barcode", "brand", "category"), r[3:]))
         out.append((platform, {"self": 0, "r": 1, "q": 2}[platform], k, sku, title, more.get("price", "10"), more.get("barcode", ""), more.get("brand", ""), more.get("category", "")))
-    df = R.to_products(spark.createDataFrame(out, RAW)).persist()  # as the plans do: matching reads products often
-    df.count()
+    df = cut(R.to_products(spark.createDataFrame(out, RAW)), "products")
     return df.filter("platform = 'self'"), df.filter("platform <> 'self'")
 
 
@@ -160,8 +160,8 @@ def test_comparison_rows(spark, price, title, rivals, config, want):
 
 def test_report(spark, tmp_path):
     own, rivals = make(spark, *GRAY, ("self", "S2", "a 500g", "12", "1"), ("r", "R2", "b 500g", "10", "1"), ("self", "S3", "z", "7"))
-    pairs = M.match_all(own, rivals)
-    rows = P.compare_rows(own, pairs, rivals).cache()
+    pairs = cut(M.match_all(own, rivals), "pairs")
+    rows = cut(P.compare_rows(own, pairs, rivals), "rows")
     k = O.kpi_summary(rows).first()
     assert (k.total, k.matched, k.priced, k.higher, k.lower, k.need_review) == (3, 2, 2, 1, 0, 1) and k.avg_diff_rate == pytest.approx(0.1)
     assert {r.bin: r.n for r in O.diff_histogram(rows).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0}
