@@ -17,7 +17,7 @@ from ..schemas import SELF
 
 PLATFORMS = [("p0", "P0"), ("p1", "P1"), ("p2", "P2"), ("p3", "P3")]
 CONFIG = M.MatchConfig(judge="verdicts")
-_products: dict[tuple[str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +52,22 @@ def rival_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(text("p", F.col("k")).alias("platform"), (F.col("k") + 1).alias("platform_ord"), F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("sku_id"), text(words[1], " ", words[0], "【自营】", amount, "克*", pieces(), "袋").alias("title"), F.concat(F.lit("¥"), (F.floor(F.col("p_retailprice") * (85 + 5 * ((F.col("p_partkey") + 3 * F.col("k")) % 8))) / 100).cast("string")).alias("price"), F.when(F.col("k") == 2, "").otherwise(F.col("p_brand")).alias("brand"), F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.col("p_type")).alias("category"), code.alias("barcode"))
 
 
+def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table made once in a session and read by several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = cut(make(), name)
+    return _tables[key]
+
+
+def forget() -> None:
+    """Lets the next query make its tables again, as a benchmark wants."""
+    _tables.clear()
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of all platforms, kept for the plans of a session: each text is parsed once."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _products:
-        _products[key] = cut(to_products(own_raw(spark, sf_dir).unionByName(rival_raw(spark, sf_dir))), "products")
-    return _products[key]
+    """Products of all platforms: each text is parsed once."""
+    return _kept(spark, sf_dir, "products", lambda: to_products(own_raw(spark, sf_dir).unionByName(rival_raw(spark, sf_dir))))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +84,7 @@ def verdicts(own: DataFrame) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, rivals = sides(spark, sf_dir)
-    return cut(M.match_all(own, rivals, CONFIG, verdicts(own)), "pairs")
+    return _kept(spark, sf_dir, "pairs", lambda: M.match_all(own, rivals, CONFIG, verdicts(own)))
 
 
 def rows(spark: SparkSession, sf_dir: str, benchmark: str = "min") -> DataFrame:

@@ -123,10 +123,10 @@ def compared(mode: str) -> str:
     """Comparison rows for a way to choose the benchmark."""
     pick = {
         "min": "row_number() over (partition by p.self_uid order by r.unit_price, p.platform_ord)",
-        "avg": "row_number() over (partition by p.self_uid order by round(abs(r.unit_price - m.mean_unit), 9), p.platform_ord)",
+        "avg": "row_number() over (partition by p.self_uid order by abs(r.unit_price - m.mean_unit), p.platform_ord)",
     }.get(mode, f"case when p.platform = '{mode}' then 1 end")
     prices = "m.mean_price as benchmark_price, m.mean_unit as benchmark_unit_price" if mode == "avg" else "b.price as benchmark_price, b.unit_price as benchmark_unit_price"
-    return f"""means as (select p.self_uid, avg(r.price) as mean_price, avg(r.unit_price) as mean_unit from pairs p join rivals r on r.uid = p.rival_uid group by p.self_uid),
+    return f"""means as (select p.self_uid, list_reduce(list(r.price order by p.platform_ord), lambda a, x: a + x) / count(*) as mean_price, list_reduce(list(r.unit_price order by p.platform_ord), lambda a, x: a + x) / count(*) as mean_unit from pairs p join rivals r on r.uid = p.rival_uid group by p.self_uid),
 chosen as (select p.self_uid, p.platform, r.price, r.unit_price, {pick} as nth from pairs p join rivals r on r.uid = p.rival_uid join means m on m.self_uid = p.self_uid),
 review as (select self_uid, bool_or(need_review and rival_uid is not null) as some, bool_or(rival_uid is not null) as hit from pairs group by self_uid),
 gaps as (select o.*, coalesce(b.platform, '') as benchmark_platform, {prices}, v.some as some_review, v.hit
@@ -384,12 +384,11 @@ def match_stats(spark, sf_dir):
 
 # ---------------------------------------------------------------- comparison and report
 
-_BENCH = "select uid, benchmark_platform, round(benchmark_price, 4) as benchmark_price, round(benchmark_unit_price, 4) as benchmark_unit_price, round(diff, 4) as diff, round(diff_rate, 6) as diff_rate, action from final"
+_BENCH = "select uid, benchmark_platform, round(benchmark_price, 6) as benchmark_price, round(benchmark_unit_price, 6) as benchmark_unit_price, round(diff, 6) as diff, round(diff_rate, 6) as diff_rate, action from final"
 
 
 def _bench(rows: DataFrame) -> DataFrame:
-    four = lambda c: F.round(c, 4).alias(c)
-    return rows.select("uid", "benchmark_platform", four("benchmark_price"), four("benchmark_unit_price"), four("diff"), six("diff_rate"), "action")
+    return rows.select("uid", "benchmark_platform", six("benchmark_price"), six("benchmark_unit_price"), six("diff"), six("diff_rate"), "action")
 
 
 @query(ROWS + _BENCH)
@@ -443,9 +442,9 @@ def diff_histogram(spark, sf_dir):
     return O.diff_histogram(K.rows(spark, sf_dir)).select("bin", "n")
 
 
-@query(ROWS + "select uid, round(diff_rate, 6) as diff_rate from final where diff_rate is not null order by diff_rate desc, ord limit 20")
+@query(ROWS + "select uid, round(diff_rate, 6) as diff_rate from final where diff_rate is not null order by round(diff_rate, 9) desc, ord limit 20")
 def top_n(spark, sf_dir):
-    return O.top_gaps(K.rows(spark, sf_dir), 20).select("uid", six("diff_rate"))
+    return O.top_gaps(K.rows(spark, sf_dir).withColumn("diff_rate", F.round("diff_rate", 9)), 20).select("uid", six("diff_rate"))
 
 
 @query(ROWS + """select o.ord::varchar as sku, p.platform, case when p.rival_uid is null then '（判定为不匹配）' else 'x' end as rival, p.level from pairs p join own o on o.uid = p.self_uid where p.need_review""")
