@@ -164,9 +164,9 @@ def unpack_rows(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
 
-def chunk_key(partition: int, ordinal: int, ids: np.ndarray) -> str:
+def chunk_key(partition: int, ordinal: int, ids: np.ndarray, text: pa.Array) -> str:
     """Names a chunk by place and by content, so that a second pass over the same rows finds it."""
-    return f"{partition}-{ordinal}-{zlib.crc32(ids.tobytes()):08x}"
+    return f"{partition}-{ordinal}-{zlib.crc32(text_bytes(text)[0], zlib.crc32(ids.tobytes())):08x}"
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -69,7 +69,7 @@ def _chunks(batches, limit: int, width: int):
     place = TaskContext.get().partitionId()
     for k, batch in enumerate(C.chunks(batches, "t", limit)):
         ids = np.asarray(batch.column("i").fill_null(-(1 << 63)))
-        yield C.chunk_key(place, k, ids), batch, *shingle_sets(batch.column("t"), width)
+        yield C.chunk_key(place, k, ids, batch.column("t")), batch, *shingle_sets(batch.column("t"), width)
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def shingles(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()
         for k, batch in enumerate(C.chunks(batches, "t", limit)):
-            key = C.chunk_key(place, k, np.asarray(batch.column("i").fill_null(-(1 << 63))))
+            key = C.chunk_key(place, k, np.asarray(batch.column("i").fill_null(-(1 << 63))), batch.column("t"))
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([C.pack_rows(batch)], pa.binary())], names=["chunk", "body"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

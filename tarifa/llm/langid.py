@@ -65,6 +65,8 @@ class Model:
             for size in range(1, LONGEST + 1):
                 for at in range(len(padded) - size + 1):
                     g = padded[at : at + size]
+                    if g == " ":
+                        continue
                     if g in grams[size]:
                         grams[size][g] = grams[size][g] + n
                     else:
@@ -134,12 +136,14 @@ class Predictor:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs = self.model.langs
         split = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
+        if not langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
         if len(self.place) > CACHE_WORDS:
             self.place = {}
         self._learn(dict.fromkeys(w for s in split for w in s if w not in self.place))
         n = np.array([len(s) for s in split])
         names, score = ["und"] * len(texts), np.zeros(len(texts))
-        if not langs or not n.sum():
+        if not n.sum():
             return names, score
         get = self.place.__getitem__
         where = np.fromiter((get(w) for s in split for w in s), np.int64, int(n.sum()))

@@ -70,7 +70,7 @@ def _chunks(batches, id_col: str, text_col: str, limit: int):
     place = TaskContext.get().partitionId()
     for k, batch in enumerate(C.chunks(batches, text_col, limit)):
         ids = np.asarray(batch.column(id_col).fill_null(-(1 << 63)).cast(pa.int64()))
-        yield C.chunk_key(place, k, ids), ids, batch
+        yield C.chunk_key(place, k, ids, batch.column(text_col)), ids, batch
 
 
 def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -3,10 +3,11 @@
 Confirmed toxic texts are the positives, any training text is unlabelled. A linear model
 over the presence of words and of word beginnings (``STEMS`` bytes) is trained in numpy on the class-prior-corrected risk
 
-    prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]),   l(z) = log(1 + exp(-z)),
+    prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]),   l(z) = sigmoid(-z),
 
-following the reversed gradient of the second part whenever it is negative. The prior is
-the toxic share of labelled training rows unless given.
+following the reversed gradient of the second part whenever it is negative. The bounded
+loss keeps a prior that is too high from turning clean texts positive. The prior is the
+toxic share of labelled training rows unless given.
 
 Fitting takes bounded samples (``POSITIVES``, ``UNLABELLED`` rows, by a hash of the id)
 of rows that aren't held out; words are chosen by how much more or less often positives
@@ -121,10 +122,11 @@ def train(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rate: f
     p, u = (np.concatenate([x, np.ones((len(x), 1), np.float32)], 1) for x in (p, u))
     for t in range(1, steps + 1):
         fa, fb = p @ w, u @ w
-        rest = np.logaddexp(0, fb).mean() - prior * np.logaddexp(0, fa).mean()
-        sa, sb = (1 / (1 + np.exp(-np.clip(f, -60, 60))) for f in (fa, fb))
-        grad_rest = sb @ u / len(u) - prior * (sa @ p) / len(p)
-        grad = prior * ((sa - 1) @ p) / len(p) + grad_rest if rest >= 0 else -gamma * grad_rest
+        sa, sb = (1 / (1 + np.exp(-np.clip(f, -60, 60))) for f in (fa, fb))  # l(-f) is sigmoid(f)
+        rest = sb.mean() - prior * sa.mean()
+        slope_a, slope_b = (sa * (1 - sa)) @ p / len(p), (sb * (1 - sb)) @ u / len(u)
+        grad_rest = slope_b - prior * slope_a
+        grad = grad_rest - prior * slope_a if rest >= 0 else -gamma * grad_rest
         grad = grad + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
