@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,6 +39,7 @@ ALIGN = 64
 RATE = 8000
 LEAST, MOST, MASK = 256, 8192, (1 << 10) - 1
 DIGEST = 16
+LEVEL = 9
 _GEAR = (np.random.PCG64(424242).random_raw(256) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -219,7 +220,7 @@ def _container(key: int, batch: pa.RecordBatch) -> pa.RecordBatch:
                 start = end
             media.append({"id": media_id, "chunks": chunks})
         docs.append({"doc_id": doc, "n_bytes": int(off[k + 1] - off[k]), "m": m})
-    blob = pa.compress(b"".join(bodies), codec="zstd", asbytes=True)
+    blob = pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(bodies), asbytes=True)
     doc_kind = pa.struct([("doc_id", batch.column("i").type), ("n_bytes", pa.int64()), ("m", pa.int32())])
     media_kind = pa.struct([("id", pa.binary()), ("chunks", pa.list_(pa.int32()))])
     return pa.RecordBatch.from_arrays(
