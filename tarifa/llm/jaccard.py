@@ -275,7 +275,8 @@ def classes(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col:
     """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id per row."""
     sets = shingles(docs, width, percent, id_col, text_col)
     some = sets.filter("tokens is not null")
-    named = some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
+    # a table of one row per set: a large group of copies is then split where it's joined to it
+    named = C.written(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "sets")
     member = C.written(some.select("doc_id", "a", "b", "n").join(named, ["a", "b", "n"]).select("doc_id", "rep"), "classes")
     reps = some.join(named.select(F.col("rep").alias("doc_id"), "a", "b", "n"), ["doc_id", "a", "b", "n"]).dropDuplicates(["doc_id", "a", "b", "n"])
     reps = C.written(reps.select(F.col("doc_id").alias("rep"), "n", "pre", "tokens"), "representatives")
