@@ -56,6 +56,17 @@ def _compatibility() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), several
 
 
+def _ranges(chars: str) -> str:
+    """A character class of code point ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def nfkc(c: Column) -> Column:
     """Compatibility normalisation, character by character (marks that follow a letter aren't joined to it)."""
     one, to, several = _compatibility()
@@ -64,8 +75,8 @@ def nfkc(c: Column) -> Column:
     def wide(s: Column) -> Column:
         return F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
-    some = F.when(c.rlike("[" + "".join(several) + "]"), wide(c)).otherwise(c)
-    return F.when(c.rlike("[^\\x00-\\x7f\\u4e00-\\u9fff]"), F.translate(some, one, to)).otherwise(c)
+    some = F.when(c.rlike(_ranges("".join(several))), wide(c)).otherwise(c)
+    return F.when(c.rlike(_ranges(one + "".join(several))), F.translate(some, one, to)).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
