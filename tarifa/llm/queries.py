@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import chat, decontam, htmltext, jaccard, langid, media, packing, substring, tokencount, toxicity
+from . import chat, decontam, htmltext, jaccard, langid, media, oracles, packing, substring, tokencount, toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontamination": oracles.DECONTAMINATION,
+        "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op10_chat_formatting": oracles.CHAT,
+    }
