@@ -15,7 +15,8 @@
    kept for the current path, so that sets with a common beginning share them, and a
    subtree ends where the remaining lengths can't reach the threshold for any member.
    It returns links that join different parts, at most one fewer than its members.
-5. Parts are joined by iterated minimum labels with pointer jumping.
+5. Parts are joined by hooking each root to its least neighbour, with pointer jumping, until
+   no edge is left.
 
 Defined cases: a text of fewer words than n is one n-gram, without words (or null) the
 set is empty and links to nothing; rows that share a doc_id are one document for links;
@@ -250,25 +251,37 @@ def links_between(reps: DataFrame, percent: int = PERCENT, block: int = BLOCK) -
     return C.written(found, "links")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 64) -> DataFrame:
     """(id, component): the smallest id connected to each end of the edges (u, v).
 
-    Every round takes the least label among neighbours, then the label's own label; the
-    labels are written to the shared folder each round.
+    Every round hooks each root to its smallest neighbouring root m, or to that one's own,
+    whichever is less: following m twice never climbs, so the parents go down to the smallest
+    root of the tree, and every root with an edge is in a tree with another one. Trees are
+    flattened by pointer jumping and edges contracted to roots, so that each round leaves at
+    most half of the roots. It ends when no edge is left; ``most`` rounds can't be reached by
+    64-bit ids, and reaching them raises.
     """
     both = C.written(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), "edges")
-    label = C.written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")), "labels")
+    label = both.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
+    live = both.filter("u <> v")
     for _ in range(most):
-        near = both.join(label, both["v"] == label["id"]).groupBy("u").agg(F.min("component").alias("m"))
-        step = label.join(near, label["id"] == near["u"]).select("id", "component", F.least("component", "m").alias("next"))
-        jump = label.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        step = step.join(jump, "next", "left").select("id", F.coalesce("far", "next").alias("new"), "component")
-        done = C.written(step, "labels")
-        changed = done.filter("new <> component").limit(1).count()
-        label = done.select("id", F.col("new").alias("component"))
-        if not changed:
-            break
-    return label
+        if not live.limit(1).count():
+            return label
+        least = C.written(live.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # a neighbour of a root with an edge has an edge itself
+        root = C.written(least.join(least.select(F.col("u").alias("m"), F.col("m").alias("far")), "m").select("u", F.least("m", "far").alias("to")), "roots")
+        for _ in range(most):
+            jumped = root.join(root.select(F.col("u").alias("to"), F.col("to").alias("far")), "to").select("u", F.col("far").alias("to"), (F.col("far") < F.col("to")).alias("moved"))
+            jumped = C.written(jumped, "roots")
+            root = jumped.select("u", "to")
+            if not jumped.filter("moved").limit(1).count():
+                break
+        else:
+            raise RuntimeError(f"trees aren't flat after {most} jumps")
+        label = C.written(label.join(root.withColumnRenamed("u", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+        live = live.join(root, "u").select(F.col("to").alias("u"), "v").distinct()
+        live = C.written(live.join(root.select(F.col("u").alias("v"), "to"), "v").select("u", F.col("to").alias("v")).filter("u <> v").distinct(), "edges")
+    raise RuntimeError(f"components aren't settled after {most} rounds")
 
 
 def classes(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -352,6 +352,17 @@ def test_components(spark):
     assert got[10] == got[40] == got[50] == 3 and got[8] == 7
 
 
+def test_components_of_long_shuffled_paths(spark):
+    r = random.Random(5)
+    ids = r.sample(range(10_000), 800)
+    links = [*zip(ids[:400], ids[1:400]), *((v, u) for u, v in zip(ids[400:], ids[401:])), (20_000, 20_000)]
+    got = {x.id: x.component for x in jaccard.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == dict.fromkeys(ids[:400], min(ids[:400])) | dict.fromkeys(ids[400:], min(ids[400:])) | {20_000: 20_000}
+    assert jaccard.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    with pytest.raises(RuntimeError):
+        jaccard.components(spark.createDataFrame(links, "u long, v long"), most=1)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
