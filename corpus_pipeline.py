@@ -13,12 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from tarifa.llm import common, decontam, jaccard, packing, substring, toxicity
 
 
+#: Near copies share this percentage of their n-grams of so many words; the op8 query has its own contract.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.stage(docs, common.table(spark, sf_dir, "labels"))
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.stage(docs)
+    return jaccard.stage(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -307,9 +307,9 @@ def digest(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """documents with one of each group of linked ones, that of the smallest doc_id."""
-    gone = classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = classes(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

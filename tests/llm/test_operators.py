@@ -363,6 +363,15 @@ def test_components_of_long_shuffled_paths(spark):
         jaccard.components(spark.createDataFrame(links, "u long, v long"), most=1)
 
 
+def test_pipeline_links_copies_with_words_appended(spark):
+    import corpus_pipeline as P
+
+    words = [f"w{k}" for k in range(228)]
+    rows = [(1, " ".join(words[:200])), (2, " ".join(words)), (3, " ".join(words[150:]))]  # 0.875 of five-word n-grams
+    assert {r.doc_id for r in P.keep_one_near_copy(spark, frame(spark, rows), "").collect()} == {1, 3}
+    assert {r.component_id for r in jaccard.digest(frame(spark, rows)).collect()} == {1, 2, 3}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
