@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none")
 _SPACE = re.compile(r"\s+")
 
 # fixed values: elements that begin and end a block, elements never part of the main text, and names of such parts
@@ -45,13 +45,18 @@ PART_NAMES = frozenset("ad ads adv advert adverts advertisement banner banners s
 SAME = 0.8
 
 
-def _is_part(attributes: str) -> bool:
-    for m in _NAMED.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        for name in value.split():
-            if name in PART_NAMES or name in ("contentinfo", "complementary") or set(re.split(r"[-_]+", name)) & PART_NAMES:
-                return True
-    return bool(_HIDDEN.search(attributes))
+def _is_part(attributes: str, article: bool) -> bool:
+    """Whether an element is hidden or named as a part that isn't main text; in an article,
+    where names such as post-header are common, by its whole name only."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NOT_SHOWN.search(value)):
+            return True
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                if name in PART_NAMES or name in ("contentinfo", "complementary") or (not article and set(re.split(r"[-_]+", name)) & PART_NAMES):
+                    return True
+    return False
 
 
 def page_blocks(html: str) -> tuple[list[str], list[bool]]:
@@ -93,10 +98,10 @@ def page_blocks(html: str) -> tuple[list[str], list[bool]]:
             piece.append("\n")
         if name in ("article", "main"):
             article = max(0, article - 1) if closing else article + 1
-            if not closing and _is_part(m[4]):
+            if not closing and _is_part(m[4], True):
                 article -= 1
                 drop.append(name)
-        elif not closing and name not in VOID and not m[4].endswith("/") and ((name in DROPPED and not (name == "header" and article)) or (name not in ("html", "body") and _is_part(m[4]))):
+        elif not closing and name not in VOID and not m[4].endswith("/") and ((name in DROPPED and not (name == "header" and article)) or (name not in ("html", "body") and _is_part(m[4], article > 0))):
             drop.append(name)
     if not drop:
         piece.append(html[at:])

@@ -313,6 +313,16 @@ def test_html(spark):
     assert htmltext.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_only_hidden_elements_and_named_parts_are_dropped():
+    text = lambda attributes, outer="article": " ".join(htmltext.page_blocks(f"<{outer}><div {attributes}>in</div><p>out</p></{outer}>")[0])
+    for kept in ('style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="a hidden valley"', "data-x='display:none'", 'class="post-header"', 'id="related-work"'):
+        assert text(kept) == "in out", kept
+    for gone in ("hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display : none"', "class='ad wide'", "role=navigation", 'style=x hidden'):
+        assert text(gone) == "out", gone
+    assert text('class="post-header"', "section") == "out"
+    assert htmltext.page_blocks('<article class="related-work"><p>a</p></article>') == (["a"], [True])
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(1)
     for _ in range(500):
