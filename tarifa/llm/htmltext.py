@@ -2,15 +2,19 @@
 
 Each page is cut into blocks of text. Markup that is never main text (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out while
-scanning; where a page has an article or main element, that is its main text. Then pages
-are ordered by host and path, each is paired with the neighbour whose path has the
-longest common beginning, their lines are aligned by longest common subsequence, and
-lines shared with the neighbour are deleted: what a site repeats on nearby pages isn't
-the article. Lines inside an article element stay even if shared, and a neighbour that
-holds nearly all lines of a page is a copy of it and takes nothing away.
+scanning. Then pages of equal lines on a host become one, represented by the first in
+order of path; representatives are ordered by host and path, each is paired with the
+neighbour whose path has the longest common beginning, their lines are aligned by longest
+common subsequence, and lines shared with the neighbour are deleted: what a site repeats
+on nearby pages isn't the article. Copies lose what their representative loses.
+
+Markup protects lines from wrong deletion: if half or more of the text inside a page's
+article and main elements is shared, the neighbour has a near copy of the article, and
+the lines inside stay; else the shared ones are the site's and go like others.
 
 Neighbours are found by position in a global sort and an equi-join on the position, so a
-host with a third of all pages is dealt over all tasks.
+host with a third of all pages is dealt over all tasks. Only 64-bit hashes of lines are
+paired; texts travel once, packed in chunks, to the chunks that have lines to delete.
 
 Defined cases: null or empty html gives an empty text; a null or odd URL belongs to the
 host '' with the whole URL as its path; pages of equal URL are ordered by page_id;
@@ -19,6 +23,7 @@ repeated rows and other columns don't matter; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -42,7 +47,7 @@ DROPPED = frozenset("nav header footer aside form menu button select dialog head
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PART_NAMES = frozenset("ad ads adv advert adverts advertisement banner banners sponsor sponsored promo cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget widgets toolbar search".split())
 
-SAME = 0.8
+NEAR_COPY = 0.5
 
 
 def _is_part(attributes: str, article: bool) -> bool:
@@ -139,15 +144,13 @@ def shared_lines(a: list[str], b: list[str]) -> np.ndarray:
     return mark
 
 
-def main_text(lines: list[str], inside: list[bool], near: list[str] | None) -> str:
-    if any(inside):
-        return "\n\n".join(x for x, own in zip(lines, inside) if own)
-    if not lines or not near:
-        return "\n\n".join(lines)
+def site_lines(lines: list[int], inside: list[bool], sizes: list[int], near: list[int]) -> list[int]:
+    """Positions of the lines (given by hashes) of a page that go because a neighbour has them."""
     shared = shared_lines(lines, near)
-    if shared.mean() >= SAME:
-        return "\n\n".join(lines)
-    return "\n\n".join(x for x, gone in zip(lines, shared) if not gone)
+    own, size = np.array(inside, bool), np.array(sizes)
+    if size[own & shared].sum() >= NEAR_COPY * size[own].sum():
+        shared &= ~own
+    return np.flatnonzero(shared).tolist()
 
 
 def common_beginning(a: str, b: str) -> int:
@@ -158,26 +161,36 @@ def common_beginning(a: str, b: str) -> int:
     return n
 
 
+def _line_hashes(lines: list[str]) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in lines]
+
+
 def _cut_pages(pages: DataFrame) -> DataFrame:
-    """Every page's blocks, in a shared table: row_id, page_id, url, host, path, lines, inside."""
+    """Chunks of pages in a shared table: chunk, body (page_id, url and lines of its pages, packed)
+    and keys, by page: row_id, page_id, url, host, path, same (of its lines), lines (hashes), inside, sizes."""
     parts = [F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host"), F.coalesce(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.lit("")).alias("path")]
+    kind = pa.struct([("row_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("same", pa.binary()), ("lines", pa.list_(pa.int64())), ("inside", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32()))])
     id_kind = pages.schema["page_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 36
         for batch in C.chunks(batches, "html", 1 << 20):
             found = [page_blocks(h) for h in batch.column("html").to_pylist()]
-            rows = pa.array(range(at, at + len(found)), pa.int64())
+            hashes = [_line_hashes(f[0]) for f in found]
+            same = [hashlib.blake2b(np.array(h, np.int64).tobytes(), digest_size=16).digest() for h in hashes]
+            values = [range(at, at + len(found)), *(batch.column(c).to_pylist() for c in ("url", "host", "path")), same, hashes, [f[1] for f in found], [[len(x) for x in f[0]] for f in found]]
+            columns = [pa.array(v, k.type) for v, k in zip(values, kind)]
+            keys = pa.StructArray.from_arrays([columns[0], batch.column("page_id"), *columns[1:]], names=["row_id", "page_id", *[k.name for k in kind][1:]])
+            body = pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([f[0] for f in found], pa.list_(pa.string()))], names=["page_id", "url", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([C.pack_rows(body)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), keys)], names=["chunk", "body", "keys"])
             at += len(found)
-            yield pa.RecordBatch.from_arrays([rows, *(batch.column(c) for c in ("page_id", "url", "host", "path")), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.bool_()))], names=["row_id", "page_id", "url", "host", "path", "lines", "inside"])
 
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), *parts)
-    return C.written(rows.mapInArrow(cut, f"row_id long, page_id {id_kind}, url string, host string, path string, lines array<string>, inside array<boolean>"), "pages")
+    return C.written(rows.mapInArrow(cut, f"chunk long, body binary, keys array<struct<row_id: long, page_id: {id_kind}, url: string, host: string, path: string, same: binary, lines: array<long>, inside: array<boolean>, sizes: array<int>>>"), "pages")
 
 
 def nearest(keys: DataFrame) -> DataFrame:
-    """(row_id, near_id) for the rows of ``keys`` (row_id, host, path, page_id, url, asks) that ask:
-    the neighbour on the host, in order of path, whose path has the longest common beginning."""
+    """(row_id, near_id) for the rows of ``keys`` (row_id, host, path, page_id, url): the neighbour on the host, in order of path, whose path has the longest common beginning."""
     spark = keys.sparkSession
     order = ["host", "path", "page_id", "url", "row_id"]
 
@@ -185,18 +198,18 @@ def nearest(keys: DataFrame) -> DataFrame:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "host", "path", "asks")), pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64())], names=["row_id", "host", "path", "asks", "part", "at"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "host", "path")), pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64())], names=["row_id", "host", "path", "part", "at"])
             at += n
 
     by_url = keys.repartitionByRange(C.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    rows = C.written(by_url.mapInArrow(count, "row_id long, host string, path string, asks boolean, part long, at long"), "page-order")
+    rows = C.written(by_url.mapInArrow(count, "row_id long, host string, path string, part long, at long"), "page-order")
     base, total = [], 0
     for part, n in sorted(rows.groupBy("part").count().collect()):  # one row per partition
         base.append((part, total))
         total += n
     rows = rows.join(spark.createDataFrame(base or [(0, 0)], "part long, base long"), "part").withColumn("place", F.col("base") + F.col("at")).drop("part", "at", "base")
     side = lambda step, tag: rows.select((F.col("place") + step).alias("place"), *[F.col(c).alias(c + tag) for c in ("row_id", "host", "path")])
-    both = rows.filter("asks").join(side(1, "_b"), "place", "left").join(side(-1, "_a"), "place", "left")
+    both = rows.join(side(1, "_b"), "place", "left").join(side(-1, "_a"), "place", "left")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,24 +225,35 @@ def nearest(keys: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and the main text of every page. Lines travel only for pages whose markup
-    doesn't tell the main text, and for the neighbours of these."""
+    """page_id, url and the main text of every page."""
     cuts = _cut_pages(pages)
-    asks = (F.size("lines") > 0) & ~F.exists("inside", lambda x: x)
-    # as a table, so that its size is known before lines are joined to it: few asking pages move few lines
-    near = C.written(nearest(cuts.select("row_id", "host", "path", "page_id", "url", asks.alias("asks"))), "nearest")
-    told = F.array_join(F.transform(F.filter(F.arrays_zip("lines", "inside"), lambda x: x["inside"]), lambda x: x["lines"]), "\n\n")
-    direct = cuts.filter(~asks).select("page_id", "url", told.alias("text"))
-    theirs = near.join(cuts.select(F.col("row_id").alias("near_id"), F.col("lines").alias("near")), "near_id").select("row_id", "near")
-    asking = cuts.filter(asks).select("row_id", "page_id", "url", "lines", "inside").join(theirs, "row_id", "left")
+    keys = cuts.select("chunk", F.explode("keys").alias("k")).select("chunk", "k.*").filter(F.size("lines") > 0)
+    first = keys.groupBy("host", "same").agg(F.min(F.struct("path", "page_id", "url", "row_id")).alias("f"))
+    # as tables, so that their sizes are known before they are joined
+    first = C.written(first.select(F.col("f.row_id").alias("row_id"), "host", "f.path", "f.page_id", "f.url", "same"), "representatives")
+    near = C.written(nearest(first), "nearest")
+    theirs = near.join(keys.select(F.col("row_id").alias("near_id"), F.col("lines").alias("near")), "near_id").select("row_id", "near")
+    pairs = keys.select("row_id", "host", "same", "lines", "inside", "sizes").join(theirs, "row_id")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(r["lines"], r["inside"], r["near"]) for r in batch.select(["lines", "inside", "near"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            gone = [site_lines(r["lines"], r["inside"], r["sizes"], r["near"]) for r in batch.select(["lines", "inside", "sizes", "near"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("same"), pa.array(gone, pa.list_(pa.int32()))], names=["host", "same", "gone"])
+
+    gone = C.written(pairs.mapInArrow(differ, "host string, same binary, gone array<int>").filter(F.size("gone") > 0), "site-lines")
+    cut = keys.select("chunk", "row_id", "host", "same").join(gone, ["host", "same"])
+    cut = cut.groupBy("chunk").agg(F.collect_list(F.struct("row_id", "gone")).alias("gone"))  # a chunk has 1 MB of pages or one page
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body, found in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body", "gone"))):
+                own = C.unpack_rows(body).combine_chunks()
+                less = {x["row_id"] - chunk: set(x["gone"]) for x in found or []}
+                texts = ["\n\n".join(x for j, x in enumerate(lines) if j not in less.get(k, ())) for k, lines in enumerate(own["lines"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([own["page_id"].combine_chunks(), own["url"].combine_chunks(), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     id_kind = pages.schema["page_id"].dataType.simpleString()
-    return direct.unionByName(asking.mapInArrow(differ, f"page_id {id_kind}, url string, text string"))
+    return cuts.select("chunk", "body").join(cut, "chunk", "left").mapInArrow(tell, f"page_id {id_kind}, url string, text string")
 
 
 def digest(pages: DataFrame) -> DataFrame:

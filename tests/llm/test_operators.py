@@ -323,6 +323,27 @@ def test_only_hidden_elements_and_named_parts_are_dropped():
     assert htmltext.page_blocks('<article class="related-work"><p>a</p></article>') == (["a"], [True])
 
 
+def html_texts(spark, pages):
+    rows = [(k, f"http://h.example/{path}", page) for k, (path, page) in enumerate(pages)]
+    got = {r.page_id: r.text for r in htmltext.digest(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    return [got[k].split("\n\n") for k in range(len(pages))]
+
+
+def test_site_lines_go_from_articles_and_near_copies_stay(spark):
+    page = lambda k: f"<article><p>Our site moves in May</p><p>own text {k} of this very article</p><p>and more of it {k}</p></article><p>outside {k}</p>"
+    want = lambda k: [f"own text {k} of this very article", f"and more of it {k}", f"outside {k}"]
+    assert html_texts(spark, [(f"a/{k}", page(k)) for k in range(3)]) == [want(k) for k in range(3)]
+    near = lambda k: f"<div>Menu</div><main><p>a long line of the article that is revised</p><p>revision {k}</p></main>"
+    assert html_texts(spark, [(f"a/{k}", near(k)) for k in range(3)]) == [["a long line of the article that is revised", f"revision {k}"] for k in range(3)]
+
+
+def test_short_texts_and_copies_lose_the_menu(spark):
+    menu = "".join(f"<div>Menu {j}</div>" for j in range(10))
+    short = [(f"a/{k}", f"{menu}<p>one {k}</p><p>two {k}</p>") for k in range(2)]
+    copies = [(f"b?q={k}", f"{menu}<p>copied</p>") for k in range(5)]
+    assert html_texts(spark, short + copies) == [["one 0", "two 0"], ["one 1", "two 1"], *[["copied"]] * 5]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(1)
     for _ in range(500):
