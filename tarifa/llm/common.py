@@ -1,29 +1,38 @@
 """Shared pieces: scratch tables, chunked row blobs and vectorised word hashing.
 
-Scratch tables live under ``spark.checkpoint.dir`` (set by the cluster; a local
-folder is set only where the session has none, as in tests), so that every
-executor sees them and a lost executor only costs a re-read.
+Scratch tables live under ``spark.checkpoint.dir``, which the cluster names, so that every
+executor sees them and a lost executor only costs a re-read. Only a session on one machine
+may leave it unset. ``released`` deletes the scratch tables of work whose result is written.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import math
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK_BYTES = 4 << 20
+#: What one range of the hash space, held in memory by one task, receives at most on average.
+RANGE_BYTES = 64 << 20
+
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tarifa-scratch-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -34,13 +43,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the scratch tables made inside; nothing may read them later."""
+    first = len(_made)
+    yield
+    for path in _made[first:]:
+        remove(spark, path)
+    del _made[first:]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ranges(texts: DataFrame, column: str, factor: float) -> int:
+    """Into how many ranges to divide the hash space: at least the session's shuffle partitions,
+    and so many that none receives more than RANGE_BYTES on average, if every byte of text
+    sends ``factor`` bytes."""
+    size = texts.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+    return max(shuffle_partitions(texts.sparkSession), math.ceil(size * factor / RANGE_BYTES))
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with an underscore for each column of the user's that has it already."""
+    own = {x.lower() for x in taken}
+    while name.lower() in own:
+        name += "_"
+    return name
+
+
+def with_row_ids(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table with an id of each row's own, and that column's name. Null and repeated
+    document ids then don't matter, and every pass reads the same rows."""
+    name = free_name("row_id", df.columns)
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
