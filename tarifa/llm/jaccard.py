@@ -9,20 +9,28 @@
    as many of them as that has no link and leaves: what stays are copies and near copies.
 3. Documents of equal sets are one class, represented by the smallest doc_id. Each shared
    prefix n-gram has a centre, the smallest representative that holds it; a linked pair
-   meets in the group of a common centre. Large groups are split into blocks, and each
-   pair of blocks is one task.
+   meets in the group of a common centre. Large groups are split into blocks by count and
+   bytes.
 4. A task walks its sets as a trie in the global order: overlaps with all members are
    kept for the current path, so that sets with a common beginning share them, and a
-   subtree ends where the remaining lengths can't reach the threshold for any member.
-   It returns links that join different parts, at most one fewer than its members.
-5. Parts are joined by hooking each root to its least neighbour, with pointer jumping, until
+   subtree ends where the remaining lengths can't reach the threshold for any member that
+   isn't in its part yet. It returns links that join different parts, at most one fewer
+   than its members.
+5. Every block is compared with itself and with a few leaders of its group. What that leaves
+   outside the largest part of the group is compared with leaders of the other parts, for as
+   long as parts merge, and what is then still apart with all blocks. A group of near copies
+   thus sends each set once and leaders once a block; only sets apart from most meet all.
+6. Parts are joined by hooking each root to its least neighbour, with pointer jumping, until
    no edge is left.
 
 Defined cases: a text of fewer words than n is one n-gram, without words (or null) the
-set is empty and links to nothing; rows that share a doc_id are one document for links;
-an empty table gives an empty result. Frequency classes only order the n-grams: cells of
-``CELL_BITS`` bits may meet by chance, which costs time and never a link. N-grams are
-compared by 58-bit hashes.
+set is empty and links to nothing; texts of any length are taken whole; rows that share a
+doc_id are one document for links in ``classes``; a row without doc_id is a document of its
+own, null where its group has no other id; ``stage`` judges each row by itself, and of a
+group keeps the row of the smallest doc_id (null last), the first of equal ones; other
+columns don't matter and come back from ``stage``; an empty table gives an empty result.
+Frequency classes only order the n-grams: cells of ``CELL_BITS`` bits may meet by chance,
+which costs time and never a link. N-grams are compared by 58-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -40,7 +49,10 @@ from . import common as C
 NGRAM = 3
 PERCENT = 90
 BLOCK = 512
+BLOCK_BYTES = 16 << 20
+LEADERS = 16
 CELL_BITS = 44
+_NO_ID = 1 << 62
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +81,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _chunks(batches, limit: int, width: int):
     place = TaskContext.get().partitionId()
     for k, batch in enumerate(C.chunks(batches, "t", limit)):
-        ids = np.asarray(batch.column("i").fill_null(-(1 << 63)))
+        ids = np.asarray(batch.column("i"))
         yield C.chunk_key(place, k, ids, batch.column("t")), batch, *shingle_sets(batch.column("t"), width)
 
 
@@ -81,10 +93,9 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 def shingles(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n, and for documents that may have a link: set id (a, b), the first ``pre`` of
     ``tokens`` in the global order being its prefix. Written to a shared table."""
-    spark = docs.sparkSession
-    buckets = C.shuffle_partitions(spark)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id() + _NO_ID).alias("i"), F.col(text_col).alias("t"))
+    buckets = C.ranges(rows, "t", 2.0)
     limit = C.chunk_bytes(buckets)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     shift = C.U64(64 - CELL_BITS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +123,13 @@ def shingles(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "n": group["n"], "levels": pa.array(replies, pa.binary())})
 
     sent = rows.mapInArrow(send, "bucket int, chunk string, n long, cells binary, counts binary")
-    levels = sent.groupBy("bucket").applyInArrow(answer, "chunk string, bucket int, n long, levels binary")
+    levels = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "chunk string, bucket int, n long, levels binary")
     levels = levels.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "levels"))).alias("levels"))
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()
         for k, batch in enumerate(C.chunks(batches, "t", limit)):
-            key = C.chunk_key(place, k, np.asarray(batch.column("i").fill_null(-(1 << 63))), batch.column("t"))
+            key = C.chunk_key(place, k, np.asarray(batch.column("i")), batch.column("t"))
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([C.pack_rows(batch)], pa.binary())], names=["chunk", "body"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +171,13 @@ def _ordered(ids: pa.Array, grams: np.ndarray, off: np.ndarray, level: np.ndarra
 # --------------------------------------------------------------- the trie walk
 
 
-def trie_links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (positions) that join different parts of the members. ``sets``: shared tokens in
     global order; ``sizes``: whole set sizes; ``side``: members of side 0 make the trie and are
-    compared with those of side 1, or all with all if they have one side."""
+    compared with those of side 1, or all with all if they have one side; ``label``: parts
+    that are known already."""
     m = len(sets)
     everyone = bool((side == side[0]).all())
-    probes = np.ones(m, bool) if everyone else side == 1
     flat = np.concatenate(sets)
     tokens, rank = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -185,70 +196,120 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, perc
         at = np.arange(int(n.sum())) + np.repeat(base[path] - (np.cumsum(n) - n), n)
         return np.bincount(holders[at], minlength=m)
 
-    part = np.arange(m)
+    part = np.arange(m) if label is None else np.unique(label, return_inverse=True)[1]
     links: list[tuple[int, int]] = []
-    sequence = sorted(np.flatnonzero(probes if everyone else ~probes).tolist(), key=lambda k: paths[k].astype(">u4").tobytes())
-    overlap, depth, here = np.zeros(m, np.int64), 0, paths[sequence[0]][:0]
-    pruned: np.ndarray | None = None
-    for s in sequence:
-        path = paths[s]
-        if pruned is not None and np.array_equal(path[: len(pruned)], pruned):
-            continue
-        pruned = None
-        k = min(depth, len(path))
-        differ = np.flatnonzero(here[:k] != path[:k])
-        k = int(differ[0]) if len(differ) else k
-        if k < depth:
-            overlap -= held(here[k:depth])
-        others = probes & (part != part[s])
+    walkers = np.arange(m) if everyone else np.flatnonzero(side == 0)
+    # in the order of their paths, the sets below a node are a run [lo, hi)
+    order = np.array(sorted(walkers.tolist(), key=lambda k: paths[k].astype(">u4").tobytes()), np.int64)
+    nodes = [(0, len(order), 0, np.zeros(m, np.int64), np.ones(m, bool) if everyone else side == 1)]
+    while nodes:
+        lo, hi, depth, overlap, active = nodes.pop()
+        own = order[lo:hi]
+        if (part[own] == part[own[0]]).all():
+            active = active & (part != part[own[0]])
+        path, least, longest = paths[own[0]], sizes[own].min(), length[own].max()
+        end = common_length(path, paths[own[-1]])
         # first the tokens within which a linked set must show itself, then the rest
-        stop = max(k, min(len(path), int(sizes[s] - needed(sizes[s], percent) + 1)))
-        if stop > k:
-            overlap += held(path[k:stop])
-        here, depth = path, stop
-        best = overlap + np.minimum(length[s] - stop, length - overlap)
-        if not (others & (100 * best >= percent * (sizes[s] + sizes - best))).any():
-            # no set below this node can reach a member of the other side, however long it is
-            if not everyone and not (100 * length[probes].clip(None, overlap[probes] + int(length.max()) - stop) >= percent * sizes[probes]).any():
-                pruned = path[:stop]
+        shown = int((sizes[own] - needed(sizes[own], percent)).max()) + 1
+        for to in (min(end, max(depth, shown)), end):
+            if not active.any():
+                break
+            if to > depth:
+                overlap, depth = overlap + held(path[depth:to]), to
+            # no set below this node can overlap with a member by more than this
+            best = overlap + np.minimum(longest - depth, length - overlap)
+            active = active & (100 * best >= percent * (least + sizes - best))
+        if not active.any():
             continue
-        if stop < len(path):
-            overlap += held(path[stop:])
-            depth = len(path)
-        for o in np.flatnonzero(others & (100 * overlap >= percent * (sizes[s] + sizes - overlap))).tolist():
-            if part[o] != part[s]:
-                links.append((s, o))
-                part[part == part[o]] = part[s]
-        if (part == part[0]).all():
+        k = lo
+        while k < hi and length[order[k]] == depth:
+            s = order[k]
+            for o in np.flatnonzero(active & (part != part[s]) & (100 * overlap >= percent * (sizes[s] + sizes - overlap))).tolist():
+                if part[o] != part[s]:
+                    links.append((int(s), o))
+                    part[part == part[o]] = part[s]
+            k += 1
+        if links and (part == part[0]).all():
             break
+        if k < hi:
+            following = np.array([paths[s][depth] for s in order[k:hi]])
+            cuts = [k, *(k + 1 + np.flatnonzero(np.diff(following))).tolist(), hi]
+            nodes += [(a, b, depth, overlap, active) for a, b in zip(cuts[:-1], cuts[1:])][::-1]
     return links
 
 
+def common_length(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
 def _group_links(group: pa.Table, percent: int) -> pa.Table:
     by = np.argsort(group["rep"].to_numpy(), kind="stable")
-    rep, n, side = (group[c].to_numpy()[by] for c in ("rep", "n", "side"))
+    rep, n, side, label = (group[c].to_numpy()[by] for c in ("rep", "n", "side", "label"))
     blobs = group["tokens"].take(pa.array(by))
-    links = trie_links([np.frombuffer(b.as_py(), "<u8") for b in blobs], n, side, percent) if len(rep) > 1 else []
+    links = trie_links([np.frombuffer(b.as_py(), "<u8") for b in blobs], n, side, percent, label) if len(rep) > 1 else []
     return pa.table({"u": pa.array([int(rep[a]) for a, _ in links], pa.int64()), "v": pa.array([int(rep[b]) for _, b in links], pa.int64())})
 
 
-def links_between(reps: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(u, v): links among class representatives that connect all that are connected."""
-    tokens = reps.select("rep", F.expr(f"transform(sequence(0, least(pre, length(tokens) div 8) - 1), k -> substring(tokens, 8 * k + 1, 8))").alias("t")).select("rep", F.explode("t").alias("t"))
+def _groups(reps: DataFrame) -> DataFrame:
+    """(c, rep, bytes): the representatives that may be linked meet in a group c."""
+    tokens = reps.select("rep", F.length("tokens").cast("long").alias("bytes"), F.expr("transform(sequence(0, least(pre, length(tokens) div 8) - 1), k -> substring(tokens, 8 * k + 1, 8))").alias("t")).select("rep", "bytes", F.explode("t").alias("t"))
     tokens = C.written(tokens, "prefixes")
     centre = tokens.groupBy("t").agg(F.min("rep").alias("c"), F.count("*").alias("k")).filter("k > 1").select("t", "c")
-    member = C.written(tokens.join(centre, "t").select("c", "rep").distinct(), "members")
+    member = C.written(tokens.join(centre, "t").select("c", "rep", "bytes").distinct(), "members")
     # whole groups move to the smallest centre whose group holds their own centre
     better = member.groupBy("rep").agg(F.min("c").alias("f")).select(F.col("rep").alias("c"), "f")
-    member = member.join(better, "c").select(F.col("f").alias("c"), "rep").distinct()
-    member = C.written(member, "groups")
-    blocks = member.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-    task = member.join(blocks, "c").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = task.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep").withColumn("side", F.when(F.col("own") == F.col("i"), 0).otherwise(1))
-    full = task.join(reps.select("rep", "n", "tokens"), "rep").select("c", "i", "j", "side", "rep", "n", "tokens")
-    found = full.groupBy("c", "i", "j").applyInArrow(lambda g: _group_links(g, percent), "u long, v long")
-    return C.written(found, "links")
+    return C.written(member.join(better, "c").select(F.col("f").alias("c"), "rep", "bytes").distinct(), "groups")
+
+
+def links_between(reps: DataFrame, percent: int = PERCENT, block: int = BLOCK, sent: list[int] | None = None) -> DataFrame:
+    """(u, v): links among class representatives that connect all that are connected.
+
+    ``sent`` gets the number of sets that each round sends to tasks."""
+    sets = reps.select("rep", "n", "tokens")
+    member = _groups(reps)
+    blocks = member.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    member = C.written(member.join(blocks, "c").select("c", "rep", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("b")), "blocks")
+
+    def found(task: DataFrame, keys: list[str]) -> DataFrame:
+        """Links within tasks (keys, rep, side, label)."""
+        full = task.join(sets, "rep").select(*keys, "rep", "side", "label", "n", "tokens")
+        if sent is not None:
+            full = C.written(full, "sent")
+            sent.append(full.count())
+        return C.written(full.groupBy(*keys).applyInArrow(lambda g: _group_links(g, percent), "u long, v long"), "links")
+
+    many = member.filter("blocks > 1")
+    leader = many.filter(F.col("b") < LEADERS).groupBy("c", "b").agg(F.first("blocks").alias("blocks"), F.min_by("rep", F.xxhash64("rep", F.lit(1))).alias("rep"))
+    everywhere = lambda df: df.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = member.select("c", "b", "rep").union(everywhere(leader.drop("b")).select("c", "b", "rep")).distinct()
+    links = found(task.withColumns({"side": F.lit(0), "label": F.col("rep")}), ["c", "b"])
+    if many.isEmpty():
+        return links
+    before = None
+    while True:
+        label = components(links).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+        named = C.written(many.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+        part = named.groupBy("c", "label").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("rep"))
+        group = part.groupBy("c").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("most")).filter("parts > 1")
+        group = C.written(group, "open-groups")
+        parts = group.agg(F.sum("parts") - F.count("*")).first()[0]
+        if not parts:
+            return links
+        apart = C.written(named.join(group, "c").filter("label <> most").select("c", "rep", "label", "blocks", "b"), "apart")
+        if before is not None and parts > 0.75 * before:
+            break
+        before = parts
+        nth = F.row_number().over(W.partitionBy("c").orderBy(F.desc("n"), "label"))
+        leader = part.join(group.select("c"), "c").withColumn("nth", nth).filter(F.col("nth") <= LEADERS).select("c", "rep", "label")
+        leader = leader.join(apart.select("c", "b").distinct(), "c").select("c", "b", "rep", "label", F.lit(1).alias("side"))
+        links = links.union(found(apart.select("c", "b", "rep", "label", F.lit(0).alias("side")).union(leader), ["c", "b"]))
+    # leaders join no more parts: what is apart meets every block
+    count = apart.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("rows"))
+    theirs = named.join(count, "c").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select("c", "i", F.col("b").alias("j"), "rep", F.lit(1).alias("side"), "label")
+    mine = everywhere(apart.join(count, "c").withColumn("i", F.pmod(F.xxhash64("rep"), "rows").cast("int"))).select("c", "i", F.col("b").alias("j"), "rep", F.lit(0).alias("side"), "label")
+    return links.union(found(mine.union(theirs), ["c", "i", "j"]))
 
 
 def components(edges: DataFrame, most: int = 64) -> DataFrame:
@@ -284,9 +345,9 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError(f"components aren't settled after {most} rounds")
 
 
-def classes(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id per row."""
-    sets = shingles(docs, width, percent, id_col, text_col)
+def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of an equal set) and component_id (of all reachable by
+    links) of the documents of ``shingles`` that may have a link."""
     some = sets.filter("tokens is not null")
     # a table of one row per set: a large group of copies is then split where it's joined to it
     named = C.written(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "sets")
@@ -298,9 +359,16 @@ def classes(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col:
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.count("*").alias("k")).filter("k > 1").select("doc_id", "u")
     edges = edges.union(member.join(twice, "doc_id").select("u", F.col("rep").alias("v")).filter("u <> v"))
     label = components(edges).select(F.col("id").alias("rep"), "component")
-    found = member.join(label, "rep", "left").groupBy("doc_id").agg(F.min("rep").alias("class_id"), F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(found.filter("class_id <> doc_id or component_id <> doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return member.join(label, "rep", "left").groupBy("doc_id").agg(F.min("rep").alias("class_id"), F.min(F.coalesce("component", "rep")).alias("component_id"))
+
+
+def classes(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id per row."""
+    sets = shingles(docs, width, percent, id_col, text_col)
+    found = linked(sets, percent).filter("class_id <> doc_id or component_id <> doc_id")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
+    own = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
+    return out.select(own("doc_id").alias("doc_id"), "n_shingles", *[F.coalesce(own(c), own("doc_id")).alias(c) for c in ("class_id", "component_id")])
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -309,8 +377,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """documents with one of each group of linked ones, that of the smallest doc_id."""
-    gone = classes(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, row = C.with_row_ids(docs)
+    group = linked(shingles(rows, width, percent, row), percent).select(F.col("doc_id").alias(row), "component_id")
+    group = C.written(group.join(rows.select(row, F.col("doc_id").cast("long").alias("own")), row), "linked")
+    kept = group.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = group.select(row).join(kept, row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = NGRAM, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
