@@ -6,12 +6,15 @@ sends those sorted runs to ranges of the hash space. A range sees all runs of it
 hashes, counts them, and answers each chunk with one bit per hash: whether a smaller
 document holds the window. The chunk then merges repeated windows into maximal
 removal intervals. A hash that a third of all rows share is one entry per chunk, so
-no range grows with the number of copies.
+no range grows with the number of copies. There are as many ranges as keep each within
+``common.RANGE_BYTES``.
 
 Defined cases: null text has no words and stays null; rows that share a doc_id count
-as equal (none is earlier than the other), within one row the earlier start wins; an
-empty table gives an empty result; other columns pass through. Windows are compared
-by 64-bit hashes: two different windows agree with probability 2**-64.
+as equal (none is earlier than the other), within one row the earlier start wins; a null
+doc_id is less than any other; texts of any length are taken whole; an empty table gives an
+empty result. Other columns pass through, and where one has the name of a result
+(n_words, n_removed, removed, kept_text) the result's name gets an underscore. Windows are
+compared by 64-bit hashes: two different windows agree with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -66,6 +69,10 @@ def repeated_intervals(w: Windows, earlier: np.ndarray, width: int) -> np.ndarra
     return np.cumsum(edge)[: len(w.starts)] > 0
 
 
+def result_names(columns: list[str]) -> list[str]:
+    return [C.free_name(n, columns) for n in ("n_words", "n_removed", "removed", "kept_text")]
+
+
 def _chunks(batches, id_col: str, text_col: str, limit: int):
     place = TaskContext.get().partitionId()
     for k, batch in enumerate(C.chunks(batches, text_col, limit)):
@@ -77,12 +84,12 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """Adds n_words, n_removed, removed (word intervals [from, to)) and kept_text to every row.
 
     ``df`` is read twice and must give the same rows in the same order each time, as a
-    scan of files does; a chunk that differs in the second pass raises an error.
+    scan of files does (``stage`` writes its input first); a chunk that differs in the second
+    pass raises an error.
     """
-    spark = df.sparkSession
-    buckets = C.shuffle_partitions(spark)
-    limit = C.chunk_bytes(buckets)
     ids = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    buckets = C.ranges(ids, "t", 2.5)
+    limit = C.chunk_bytes(buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc, batch in _chunks(batches, "i", "t", limit):
@@ -113,16 +120,16 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         masks = [np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum(sizes)[:-1])]
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "n": group["n"], "mask": pa.array(masks, pa.binary())})
 
-    masks = sent.groupBy("bucket").applyInArrow(answer, "chunk string, bucket int, n long, mask binary")
+    masks = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "chunk string, bucket int, n long, mask binary")
     masks = masks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "mask"))).alias("masks"))
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, _, batch in _chunks(batches, id_col, text_col, limit):
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([C.pack_rows(batch)], pa.binary())], names=["chunk", "body"])
 
-    schema = T.StructType([f for f in df.schema.fields if f.name not in ("n_words", "n_removed", "removed", "kept_text")])
-    schema = T.StructType([*schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_text", T.StringType())])
-    kept_names = [f.name for f in schema.fields[:-4]]
+    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.StringType())
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(result_names(df.columns), kinds))])
+    names = schema.names
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,13 +143,13 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 if len(earlier) != len(w.distinct):
                     raise RuntimeError("the input gave other rows in the second pass; write it to a table first")
                 gone = repeated_intervals(w, earlier, width)
-                yield from _results(rows, text, w, gone, kept_names)
+                yield _results(rows, text, w, gone, names)
 
     joined = df.mapInArrow(wrap, "chunk string, body binary").join(masks, "chunk", "left").select("body", "masks")
     return joined.mapInArrow(apply, schema)
 
 
-def _results(rows: pa.Table, text: pa.Array, w: Windows, gone: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _results(rows: pa.Table, text: pa.Array, w: Windows, gone: np.ndarray, names: list[str]) -> pa.RecordBatch:
     n = len(w.ids)
     n_words = np.diff(w.first)
     total = np.concatenate([[0], np.cumsum(gone)])
@@ -166,9 +173,9 @@ def _results(rows: pa.Table, text: pa.Array, w: Windows, gone: np.ndarray, names
             continue
         keep = ~gone[a:b]
         kept[k] = b" ".join([data[s:e] for s, e in zip(w.starts[a:b][keep].tolist(), w.ends[a:b][keep].tolist())]).decode()
-    arrays = [rows[c].combine_chunks() for c in names]
+    arrays = [c.combine_chunks() for c in rows.columns]
     arrays += [pa.array(n_words[place], pa.int64()), pa.array(n_gone[place], pa.int64()), pa.array([spans[p] for p in place], pa.list_(pa.list_(pa.int64()))), pa.array([kept[p] for p in place], pa.string())]
-    yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_removed", "removed", "kept_text"])
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -177,11 +184,16 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 
 def stage(df: DataFrame, width: int = WIDTH) -> DataFrame:
-    """documents with repeated passages cut; a text without any stays as it is."""
-    out = removal(df, width=width)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = F.col("n_removed") > 0
-    return out.select(*[text.alias("text") if c == "text" else F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in df.columns])
+    """documents with repeated passages cut; a text without any stays as it is.
+
+    The columns are those of ``df``; n_chars, where there is one, follows a text that was cut."""
+    out = removal(C.written(df, "documents"), width=width)
+    _, n_removed, _, kept = result_names(df.columns)
+    changed = F.col(n_removed) > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")).alias("text")}
+    if "n_chars" in df.columns:
+        new["n_chars"] = F.when(changed, F.length(kept)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[new.get(c, F.col(f"`{c}`")) for c in df.columns])
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = WIDTH) -> list[tuple[int, int, int, str]]:
