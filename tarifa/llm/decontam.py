@@ -7,13 +7,16 @@ order the terms of every test window; a window's candidates start from the posti
 its rarest term and are intersected, offset-adjusted, with the lists of its other
 terms from rare to frequent.
 
-Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to
-every executor is bounded; each further block is another pass over the documents.
-
-Defined cases: null or empty texts have no words; an item of fewer words than a window
-is one window, an item of none has no window; equal items each count; documents that
-share a doc_id stay separate rows; an empty benchmark leaves every document clean.
-Terms are compared by 64-bit hashes.
+Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to every
+executor is bounded (62 bytes a window, one window a word at most: 31 MB); each further
+block is another pass over the documents. Postings are intersected in steps of at most
+``STEP`` at once, however common the terms of a window are.
+
+Defined cases: null or empty texts have no words; texts of any length are taken whole; an
+item of fewer words than a window is one window, an item of none has no window; equal items
+each count, and one without an id counts for hits, but isn't listed; documents that share a doc_id, or have none, stay separate rows, each judged by
+its own text; an empty benchmark leaves every document clean; an empty table gives an empty
+result; ``stage`` returns the columns it is given. Terms are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+STEP = 1 << 20
 _GAP = 64
+_NO_ID = -(1 << 63)
 INDEX = "row_id long, doc_id long, n_words long, terms array<int>, counts array<int>, positions array<int>"
 
 
@@ -49,7 +54,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int = BLOCK
         if block and size + len(s) > limit:
             yield block
             block, size = [], 0
-        block.append((item, C.word_hashes(raw, s, e)))
+        block.append((_NO_ID if item is None else item, C.word_hashes(raw, s, e)))
         size += len(s)
     yield block
 
@@ -101,10 +106,9 @@ def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text
 def term_counts(index: DataFrame, size: int) -> np.ndarray:
     """Occurrences in the whole corpus of each of ``size`` terms."""
     pair = F.explode(F.arrays_zip("terms", "counts")).alias("x")
-    rows = index.select(pair).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()
+    rows = index.select(pair).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()  # at most BLOCK_WORDS rows
     out = np.zeros(size, np.int64)
-    for term, n in rows:
-        out[term] = n
+    out[rows["terms"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
@@ -119,9 +123,9 @@ class Windows:
             w = np.lib.stride_tricks.sliding_window_view(t, n)
             by = np.argsort(counts[w], axis=1, kind="stable")
             pad = ((0, 0), (0, width - n))
-            terms.append(np.pad(np.take_along_axis(w, by, 1), pad, constant_values=-1))
-            offs.append(np.pad(by, pad))
-            size.append(np.full(len(w), n))
+            terms.append(np.pad(np.take_along_axis(w, by, 1), pad, constant_values=-1).astype(np.int32))
+            offs.append(np.pad(by, pad).astype(np.int8 if width < 128 else np.int64))
+            size.append(np.full(len(w), n, np.int32))
             item.append(np.full(len(w), name, np.int64))
         self.terms, self.offs, self.size, self.item = (np.concatenate(x) for x in (terms, offs, size, item))
         possible = np.all((self.terms < 0) | (counts[self.terms] > 0), axis=1)
@@ -135,17 +139,23 @@ def intersect(w: Windows, term: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
     lists = np.sort(term.astype(np.int64) * span + place)
     anchor = w.terms[:, 0].astype(np.int64)
     lo, hi = np.searchsorted(lists, anchor * span), np.searchsorted(lists, (anchor + 1) * span)
-    n = hi - lo
-    win = np.repeat(np.arange(len(anchor)), n)
-    at = np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    start = lists[at] - anchor[win] * span - w.offs[win, 0]
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    found = [_intersect(w, lists, span, anchor, lo, total, at, min(at + STEP, total[-1])) for at in range(0, int(total[-1]), STEP)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _intersect(w: Windows, lists: np.ndarray, span: int, anchor: np.ndarray, lo: np.ndarray, total: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of ``intersect`` that starts from the postings [first, last) of the rarest terms."""
+    nth = np.arange(first, last)
+    win = np.searchsorted(total, nth, side="right") - 1
+    start = lists[nth - total[win] + lo[win]] - anchor[win] * span - w.offs[win, 0]
     ok = start >= 0
     win, start = win[ok], start[ok]
     for k in range(1, w.terms.shape[1]):
         if not len(win):
             break
-        t = w.terms[win, k]
-        need = t.astype(np.int64) * span + start + w.offs[win, k]
+        t = w.terms[win, k].astype(np.int64)
+        need = t * span + start + w.offs[win, k]
         found = np.searchsorted(lists, need)
         ok = (t < 0) | (lists[np.minimum(found, len(lists) - 1)] == need)
         win, start = win[ok], start[ok]
@@ -164,8 +174,11 @@ def phrase_matches(index: DataFrame, block: list[tuple[int, np.ndarray]], width:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            total = np.cumsum(np.asarray(whole.column("n_words")))
+            at = 0
+            while at < whole.num_rows:  # up to STEP words, or one longer document, at a time
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, side="right")))
+                batch, at = whole.slice(at, to - at), to
                 n = batch.num_rows
                 n_words = np.asarray(batch.column("n_words"))
                 base = np.concatenate([[0], np.cumsum(n_words + _GAP)])
@@ -180,6 +193,7 @@ def phrase_matches(index: DataFrame, block: list[tuple[int, np.ndarray]], width:
                 at_doc = np.searchsorted(base, flips[::2], side="right") - 1
                 bounds = np.stack([flips[::2] - base[at_doc], flips[1::2] - base[at_doc]], 1).ravel()
                 pairs = np.unique(np.stack([np.searchsorted(base, start, side="right") - 1, w.item[win]], 1), axis=0)
+                pairs = pairs[pairs[:, 1] != _NO_ID]
                 rows = np.arange(n + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -212,7 +226,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str
                 for row in batch.select(["doc_id", "terms", "counts", "positions"]).to_pylist():
                     cuts = np.cumsum([0, *row["counts"]])
                     post = {t: np.array(row["positions"][a:b]) for t, a, b in zip(row["terms"], cuts, cuts[1:])}
-                    found = _near(w, post, slop)
+                    found = [(None if k == _NO_ID else k, a, b) for k, a, b in _near(w, post, slop)]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32())))], names=["doc_id", "item_id", "start", "end"])
 
@@ -267,8 +281,9 @@ def digest(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """documents without those that hold a benchmark window."""
-    bad = matches(docs, items).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows, row = C.with_row_ids(docs)
+    bad = matches(rows, items, id_col=row).filter("n_hit > 0").select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
