@@ -10,23 +10,31 @@ loss keeps a prior that is too high from turning clean texts positive. The prior
 toxic share of labelled training rows unless given.
 
 Fitting takes bounded samples (``POSITIVES``, ``UNLABELLED`` rows, by a hash of the id)
-of rows that aren't held out; words are chosen by how much more or less often positives
-have them than unlabelled texts (a z score of ``MIN_Z``, and of ``LEAST_SHARE`` of the
-strongest word's at least, which leaves out words that only groups of copies share). Scoring reads every whole text.
-
-Defined cases: null or empty text scores by the bias alone; without a positive row every
-score is 0; several labels of one document count as their maximum; rows without a label
-are unlabelled; repeated rows score alike.
+of rows that aren't held out. Spark counts in how many sampled texts of each side a word
+stands, and keeps those that positives have more or less often than unlabelled texts (a z
+score of ``MIN_Z``, and of ``LEAST_SHARE`` of the strongest word's at least, which leaves
+out words that only groups of copies share). The driver gets these words and, of each
+sampled text, which of them it has: never texts or their vocabularies. Scoring reads every
+whole text.
+
+Defined cases: null or empty text scores by the bias alone; texts of any length are taken
+whole; without a positive row every score is 0; several labels of one document count as
+their maximum; rows without a label are unlabelled; a null doc_id isn't held out and has no
+label; repeated rows score alike, and sampled texts of equal words count once; an empty
+table gives an empty result. Other columns pass through; where one is named toxic_score or
+rejected, the result's name gets an underscore.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .langid import bounded, held_out
@@ -35,7 +43,6 @@ POSITIVES = 3_000
 UNLABELLED = 9_000
 MIN_Z = 4.5
 LEAST_SHARE = 0.2
-MAX_WORDS = 200
 STEMS = (4, 5, 6)
 
 
@@ -80,40 +87,43 @@ def presence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def _features(rows: DataFrame) -> list[np.ndarray]:
-    """The distinct word hashes of each sampled text; texts of the same words count once."""
+def _features(rows: DataFrame, positive: bool) -> DataFrame:
+    """(positive, same, h): the distinct word hashes of each sampled text; texts of the same words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.chunks(batches, "text"):
             row, h = presence(batch.column("text"))
-            cut = np.searchsorted(row, np.arange(1, batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in np.split(h, cut)], pa.binary())], names=["doc_id", "h"])
+            own = [x.astype("<i8") for x in np.split(h, np.searchsorted(row, np.arange(1, batch.num_rows)))]
+            same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["same", "h"])
 
-    found = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary").orderBy("doc_id").collect()
-    return [np.frombuffer(h, C.U64) for h in dict.fromkeys(r[1] for r in found)]
+    return rows.select("text").mapInArrow(run, "same binary, h array<long>").dropDuplicates(["same"]).select(F.lit(positive).alias("positive"), "same", "h")
 
 
-def choose_words(p: list[np.ndarray], u: list[np.ndarray], min_z: float = MIN_Z, most: int = MAX_WORDS) -> np.ndarray:
+def choose_words(features: DataFrame, n_p: int, n_u: int, min_z: float = MIN_Z) -> np.ndarray:
     """Words whose document frequency differs between positives and unlabelled texts."""
-    words, a = np.unique(np.concatenate(p), return_counts=True)
-    own, n = np.unique(np.concatenate(u), return_counts=True) if u else (words[:0], a[:0])
-    b = np.zeros(len(words))
-    if len(own):
-        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
-        b = np.where(own[at] == words, n[at], 0)
-    both = (a + b) / (len(p) + max(1, len(u)))
-    z = (a / len(p) - b / max(1, len(u))) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / max(1, len(u))) + 1e-12)
-    strong = np.flatnonzero((np.abs(z) >= max(min_z, LEAST_SHARE * np.abs(z).max())) & (a >= 3))
-    return np.sort(words[strong[np.argsort(-np.abs(z[strong]), kind="stable")[:most]]])
-
-
-def _matrix(texts: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(texts), len(words)), np.float32)
-    for k, h in enumerate(texts):
-        if len(words) and len(h):
-            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            out[k, at[words[at] == h]] = 1
-    return out
+    side = F.col("positive")
+    seen = features.select("positive", F.explode("h").alias("word")).groupBy("word").agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
+    a, b, n_u = F.col("a"), F.col("b"), max(1, n_u)
+    both = (a + b) / (n_p + n_u)
+    z = F.abs(a / n_p - b / n_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
+    strong = C.written(seen.filter(a >= 3).select("word", z.alias("z")).filter(F.col("z") >= min_z), "strong-words")
+    most = strong.agg(F.max("z")).first()[0] or 0.0
+    return np.sort(strong.filter(F.col("z") >= LEAST_SHARE * most).select("word").toArrow()["word"].to_numpy().view(C.U64))
+
+
+def _matrices(features: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``words`` each positive and each unlabelled text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.isin(words, np.array(h, np.int64).view(C.U64))).tobytes() for h in batch.column("h").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("same"), pa.array(bits, pa.binary())], names=["positive", "same", "bits"])
+
+    found = features.mapInArrow(run, "positive boolean, same binary, bits binary").toArrow().sort_by("same")
+    bits = np.array([np.frombuffer(x, np.uint8) for x in found["bits"].to_pylist()], np.uint8).reshape(found.num_rows, -1)
+    table, positive = np.unpackbits(bits, axis=1)[:, : len(words)].astype(np.float32), np.array(found["positive"].to_pylist(), bool)
+    return table[positive], table[~positive]
 
 
 def train(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-6, gamma: float = 1.0) -> tuple[np.ndarray, float]:
@@ -139,25 +149,31 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     toxic = bounded(known.filter("toxic = 1"), positives)
     if prior is None:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    p = _features(rows.join(toxic.select("doc_id"), "doc_id", "left_semi"))
-    if not p or prior <= 0:
+    texts = _features(rows.join(toxic.select("doc_id"), "doc_id", "left_semi"), True)
+    texts = C.written(texts.unionByName(_features(bounded(rows, unlabelled, seed=29), False)), "sampled-words")
+    n_p, n_u = (texts.filter(F.col("positive") == side).count() for side in (True, False))
+    if not n_p or prior <= 0:
         return Model(np.zeros(0, C.U64), np.zeros(0), -500.0)
-    u = _features(bounded(rows, unlabelled, seed=29))
-    words = choose_words(p, u)
-    return Model(words, *train(_matrix(p, words), _matrix(u, words), float(prior)))
+    words = choose_words(texts, n_p, n_u)
+    return Model(words, *train(*_matrices(texts, words), float(prior)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds toxic_score and rejected to every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(result_names(docs.columns), (T.DoubleType(), T.BooleanType())))])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.chunks(batches, "text"):
             s = sent.value(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= 0.5)], names=[*batch.schema.names, "toxic_score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= 0.5)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("toxic_score", "rejected")]
-    return docs.drop("toxic_score", "rejected").mapInArrow(run, ", ".join([*fields, "toxic_score double", "rejected boolean"]))
+def result_names(columns: list[str]) -> list[str]:
+    return [C.free_name(n, columns) for n in ("toxic_score", "rejected")]
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,4 +183,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without those judged toxic."""
-    return score(docs, fit(docs, labels)).filter(~F.col("rejected")).select(docs.columns)
+    _, rejected = result_names(docs.columns)
+    return score(docs, fit(docs, labels)).filter(~F.col(rejected)).select(*[f"`{c}`" for c in docs.columns])
