@@ -5,40 +5,51 @@ the longest n at which the model knows any of its n-grams (the word padded by on
 on both sides) and scores the mean over those known. A document's score is the mean over
 its words.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``) and keeps at
-most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams, by count; prediction reads every
-whole text.
+The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``); Spark counts all
+their words and n-grams, and all of them are the model (each n-gram of a word counts as
+often as the word). Prediction reads every whole text.
+
+A word is a run of letters (Unicode L); digits, other number characters and marks end it.
 
 Defined cases: null text and text without a letter give ``und`` with score 0; without
-any labelled row everything is ``und``; a tie goes to the language first in order;
-repeated rows and other columns don't matter.
+any labelled row everything is ``und``; a tie goes to the language first in order; a null
+doc_id isn't held out; texts of any length are taken whole; repeated rows each get a row and
+count again in fitting; other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SAMPLE_ROWS = 12_000
-MAX_WORDS = 150_000
-MAX_GRAMS = 200_000
 LONGEST = 5
 SMOOTHING = 0.5
 CACHE_WORDS = 300_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+def _number_characters() -> str:
+    r"""A class of the characters that \w takes and that are neither letters nor decimal digits."""
+    found = [k for k in range(sys.maxunicode + 1) if (c := chr(k)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    first = [k for at, k in enumerate(found) if not at or found[at - 1] != k - 1]
+    last = [k for at, k in enumerate(found) if at + 1 == len(found) or found[at + 1] != k + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
+_LETTERS = re.compile(rf"[^\W\d_{_number_characters()}]+")
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def bounded(df: DataFrame, rows: int, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
@@ -50,72 +61,77 @@ def bounded(df: DataFrame, rows: int, id_col: str = "doc_id", seed: int = 11) ->
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share)
 
 
+def grams_of(word: str, size: int) -> list[str]:
+    padded = f" {word} "
+    return [padded[at : at + size] for at in range(len(padded) - size + 1)]
+
+
 class Model:
-    """Log relative frequencies by language of words and of n-grams."""
-
-    def __init__(self, counts: dict[tuple[str, str], int], max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS):
-        self.langs = sorted({lang for lang, _ in counts})
-        of = {lang: k for k, lang in enumerate(self.langs)}
-        words: dict[str, np.ndarray] = {}
-        for (lang, word), n in counts.items():
-            words.setdefault(word, np.zeros(len(self.langs)))[of[lang]] += n
-        grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for word, n in words.items():
-            padded = f" {word} "
-            for size in range(1, LONGEST + 1):
-                for at in range(len(padded) - size + 1):
-                    g = padded[at : at + size]
-                    if g == " ":
-                        continue
-                    if g in grams[size]:
-                        grams[size][g] = grams[size][g] + n
-                    else:
-                        grams[size][g] = n
-        # a word seen once says little by itself and goes by its n-grams
-        self.words = self._logs({w: n for w, n in words.items() if n.sum() > 1}, max_words)
-        self.grams = [{}, *(self._logs(g, max_grams // LONGEST) for g in grams[1:])]
+    """Log relative frequencies by language of words and of n-grams: a row of a table for each."""
 
-    def _logs(self, counts: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        keys = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:most]
-        table = np.array([counts[w] for w in keys]) + SMOOTHING
-        table = np.log(table / np.array([counts[w] for w in counts]).sum(0).clip(1))
-        return dict(zip(keys, table))
+    def __init__(self, words: pa.Table, grams: pa.Table):
+        """Tables of lang, key, n."""
+        self.langs = sorted(set(words["lang"].to_pylist()))
+        # a word seen once says little by itself and goes by its n-grams
+        self.words, self.word_logs = self._logs(words, 2)
+        size = pc.utf8_length(grams["key"])
+        by_size = [self._logs(grams.filter(pc.equal(size, k)), 1) for k in range(LONGEST + 1)]
+        self.grams, self.gram_logs = [b[0] for b in by_size], [b[1] for b in by_size]
+
+    def _logs(self, rows: pa.Table, least: int) -> tuple[dict[str, int], np.ndarray]:
+        """Keys counted ``least`` times or more, with their places in the table of logs."""
+        keys = rows["key"].combine_chunks().dictionary_encode()
+        lang = pc.index_in(rows["lang"], pa.array(self.langs, pa.string())).to_numpy()
+        table = np.zeros((len(keys.dictionary), len(self.langs)))
+        np.add.at(table, (keys.indices.to_numpy(), lang), rows["n"].to_numpy())
+        kept = np.flatnonzero(table.sum(1) >= least)
+        table = table[kept] + SMOOTHING
+        logs = np.log(table / table.sum(0).clip(1)).astype(np.float32)
+        return {key: at for at, key in enumerate(keys.dictionary.take(pa.array(kept)).to_pylist())}, logs
 
     def score(self, word: str) -> np.ndarray:
         if (own := self.words.get(word)) is not None:
-            return own
-        padded = f" {word} "
-        for size in range(min(LONGEST, len(padded)), 0, -1):
-            known = [v for at in range(len(padded) - size + 1) if (v := self.grams[size].get(padded[at : at + size])) is not None]
+            return self.word_logs[own]
+        for size in range(min(LONGEST, len(word) + 2), 0, -1):
+            known = [at for g in grams_of(word, size) if (at := self.grams[size].get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.gram_logs[size][known].mean(0)
         return np.zeros(len(self.langs))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """From text and lang of a bounded sample of the labelled rows that aren't held out."""
-    rows = bounded(docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), sample_rows)
+_COUNTED = "lang string, key string, n long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _counted(seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["lang", "key", "n"])
+
+
+def _count(make):
+    """Counts of the (lang, key) that ``make(row)`` gives with numbers, by task, in runs of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                seen.update((lang, w) for w in _LETTERS.findall(text.lower()))
-            if len(seen) > 500_000:
-                yield _counted(seen)
-                seen.clear()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for lang, key, n in make(row):
+                    seen[lang, key] += n
+                if len(seen) > 500_000:
+                    yield _counted(seen)
+                    seen.clear()
         if seen:
             yield _counted(seen)
 
-    total = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    most = total.orderBy(F.desc("n"), "lang", "word").limit(2 * MAX_WORDS)
-    return Model({(r[0], r[1]): r[2] for r in most.collect()})
+    return run
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """From text and lang of a bounded sample of the labelled rows that aren't held out."""
+    rows = bounded(docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), sample_rows)
+    words = rows.select("lang", "text").mapInArrow(_count(lambda r: ((r[0], w, 1) for w in _LETTERS.findall(r[1].lower()))), _COUNTED)
+    words = C.written(words.groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+    grams = words.mapInArrow(_count(lambda r: ((r[0], g, r[2]) for size in range(1, LONGEST + 1) for g in grams_of(r[1], size) if g != " ")), _COUNTED)
+    grams = grams.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return Model(words.toArrow(), grams.toArrow())
 
 
 class Predictor:
