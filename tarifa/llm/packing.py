@@ -10,9 +10,10 @@ are ranked within their length from per-partition counts, and rank decides the w
 Only histogram rows and the plan (a few entries per length) are small data; documents
 are tokenised once, and no group is collected.
 
-Defined cases: null text is an empty document (its end id alone); repeated rows and
-rows that share a doc_id are packed separately; an empty table gives no piece. Special
-tokens spelled out in a text are read as the tokenizer reads them by default.
+Defined cases: null text is an empty document (its end id alone); texts of any length are
+taken whole; repeated rows and rows that share a doc_id, or have none, are packed
+separately; other columns don't matter; an empty table gives no piece. Special tokens
+spelled out in a text are read as the tokenizer reads them by default.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
-from .bpe import WordBpe
 
 WINDOW = 4096
 END_ID = 2
@@ -49,9 +50,20 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+class Places(dict):
+    """A number for each word, given when it's first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        return k
+
+
 class WordEncoder:
     """Token ids of texts, word by word. The tokenizer drops white space and never joins
-    across it, so ids of white-space separated words are computed once and shared."""
+    across it, so ids of white-space separated words are computed once and shared. Fresh
+    words go to it by many in one text, with a mark that is a token of its own between them."""
+
+    MARK = "\x01"
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         import os
@@ -59,38 +71,44 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's
         from tokenizers import Tokenizer
 
-        self.bpe = WordBpe(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.limit = limit
+        mark, probe = self._ids([self.MARK, f"a {self.MARK} b {self.MARK} "])
+        self.mark = int(mark[0]) if len(mark) == 1 and probe.tolist() == [*self._ids(["a"])[0], mark[0], *self._ids(["b"])[0], mark[0]] else None
         self._reset()
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _reset(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.size = np.zeros(1024, np.int64)
         self.first = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _learn(self, fresh: list[str]) -> None:
-        plain = [w for w in fresh if self.bpe.usable and self.bpe.plain(w)]
-        if plain:
-            self._keep(plain, *self.bpe.encode(plain, 16384))
-        if len(plain) < len(fresh):
-            rest = [w for w in fresh if not (self.bpe.usable and self.bpe.plain(w))]
-            for at in range(0, len(rest), 4096):
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)]
-                self._keep(rest[at : at + 4096], np.array([x for own in ids for x in own], np.uint32), np.cumsum([0, *map(len, ids)]))
-
-    def _keep(self, words: list[str], ids: np.ndarray, off: np.ndarray) -> None:
-        k = len(self.place)
-        self.place.update(zip(words, range(k, k + len(words))))
-        while len(self.size) < k + len(words):
+    def _learn(self, at: int, words: list[str]) -> None:
+        """Ids of ``words``, whose numbers begin with ``at``."""
+        for k in range(0, len(words), 8192):
+            some = words[k : k + 8192]
+            plain = [self.mark is not None and self.MARK not in w for w in some]
+            run = [w for w, p in zip(some, plain) if p]
+            ids = np.concatenate(self._ids([f" {self.MARK} ".join([*run[a : a + 128], ""]) for a in range(0, len(run), 128)]) or [np.zeros(0, np.uint32)])
+            marks = np.flatnonzero(ids == self.mark) if run else np.zeros(0, np.int64)
+            if len(marks) == len(run) == len(some):
+                self._keep(at + k, len(some), ids[ids != self.mark], np.concatenate([[0], marks - np.arange(len(marks))]))
+            else:  # a word that has the mark, or makes one
+                each = self._ids(some)
+                self._keep(at + k, len(some), np.concatenate(each), np.cumsum([0, *map(len, each)]))
+
+    def _keep(self, k: int, n: int, ids: np.ndarray, off: np.ndarray) -> None:
+        while len(self.size) < k + n:
             self.size, self.first = np.resize(self.size, 2 * len(self.size)), np.resize(self.first, 2 * len(self.first))
         while len(self.flat) < self.used + len(ids):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.size[k : k + len(words)], self.first[k : k + len(words)] = np.diff(off), self.used + off[:-1]
+        self.size[k : k + n], self.first[k : k + n] = np.diff(off), self.used + off[:-1]
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
@@ -99,26 +117,26 @@ class WordEncoder:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.place) > self.limit:
             self._reset()
-        fresh = dict.fromkeys(w for s in split for w in s if w not in self.place)
-        if fresh:
-            self._learn(list(fresh))
-        get = self.place.__getitem__
-        where = np.fromiter((get(w) for s in split for w in s), np.int64, sum(map(len, split)))
+        known = len(self.place)
+        where = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        if len(self.place) > known:
+            self._learn(known, list(islice(self.place, known, None)))
         size = self.size[where]
         base = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(base[-1]) + np.repeat(self.first[where] - base[:-1], size)]
         return ids, base[np.concatenate([[0], np.cumsum([len(s) for s in split])])]
 
 
-PIECES = "part long, seq long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "part long, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Every document's full windows and rest, in a shared table; ``keep_ids`` adds the ids."""
+    """Every document's full windows and rest, in a shared table; ``nth`` counts the pieces of a
+    length within their part; ``keep_ids`` adds the ids."""
     schema = PIECES + (", ids array<long>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_encoder, place, n = encoder(path), TaskContext.get().partitionId(), 0
+        own_encoder, place, ranks = encoder(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in C.chunks(batches, "t", ENCODE_BYTES):
             ids, off = own_encoder.encode([t or "" for t in batch.column("t").to_pylist()])
             out = []
@@ -126,10 +144,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 own = np.append(ids[off[k] : off[k + 1]], np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(own), window):
                     piece = own[at : at + window]
-                    out.append((place, n, doc, at, len(piece), zlib.crc32(piece.tobytes()), len(own)) + ((piece.tolist(),) if keep_ids else ()))
-                    n += 1
+                    out.append((place, int(ranks[len(piece)]), doc, at, len(piece), zlib.crc32(piece.tobytes()), len(own)) + ((piece.tolist(),) if keep_ids else ()))
+                    ranks[len(piece)] += 1
             kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * keep_ids
-            names = ["part", "seq", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(kinds)]
+            names = ["part", "nth", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(kinds)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(cut, schema)
@@ -195,7 +213,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
     """One row per piece with the sequence it lies in and its offset there."""
     spark = docs.sparkSession
     cut = pieces(docs, path or tokenizer_path(), id_col, text_col, end_id, window, keep_ids)
-    by_part = C.written(cut.groupBy("part", "length").count(), "piece-counts")
+    by_part = C.written(cut.groupBy("part", "length").agg(F.count("*").alias("count")), "piece-counts")
     total = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("count")).collect()}
     full = total.pop(window, 0)
     rows = [(window, 0, full, 1, 0, 0)] if full else []
@@ -204,8 +222,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
     sent = spark.sparkContext.broadcast((table[:, 0] << 40 | table[:, 1], table))
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     before = by_part.select("part", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("part", "length").orderBy("seq")) - 1
-    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("before") + own)
+    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
