@@ -1,9 +1,9 @@
 """Operator 7: media columns stored as content-defined chunks.
 
-A payload (the text's bytes, zero-padded to a positive multiple of 64) is kept as the
-samples of an 8-bit mono WAV. A gear hash over the last 32 bytes cuts it into chunks
-wherever its masked bits are zero, so equal passages give equal chunks wherever they
-stand. Documents are read in containers, one row each: distinct chunks (compressed
+A payload (the text's bytes, zero-padded to a positive multiple of 64) becomes the samples of
+an 8-bit mono WAV, and the WAV's bytes are stored. A gear hash over the last 32 bytes cuts
+them into chunks wherever its masked bits are zero, so equal passages give equal chunks
+wherever they stand. Documents are read in containers, one row each: distinct chunks (compressed
 together), their digests, and for each distinct medium the ordered list of its chunks.
 
 Digests of all containers are joined to find chunks that several of them hold; the first
@@ -91,25 +91,25 @@ def chunk_ends(data: bytes) -> list[int]:
     return cuts(len(data), (np.flatnonzero((h >> np.uint32(16)) & np.uint32(MASK) == 0) + 1).tolist())
 
 
-def describe(media: bytes) -> tuple[bytes, int, int, int, bytes, str]:
-    """What a stored medium gives when read: payload digest and size, tail crc, stored size, its digest, feature."""
+def describe(media: bytes) -> tuple[bytes, bytes, int, int, int, str]:
+    """What a stored medium gives when read: its digest, payload digest and size, tail crc, stored size, feature."""
     samples = from_media(media)
     x = np.frombuffer(samples, np.uint8)
     loud = int(np.count_nonzero(np.diff((x >= 128).view(np.int8))))
     feature = f"samples={len(x)};min={x.min()};max={x.max()};sum={int(x.sum(dtype=np.int64))};energy={int((x.astype(np.int64) ** 2).sum())};crossings={loud}"
-    return hashlib.sha256(samples).digest(), len(samples), zlib.crc32(samples[-ALIGN:]), len(media), hashlib.sha256(media).digest(), feature
+    return hashlib.sha256(media).digest(), hashlib.sha256(samples).digest(), len(samples), zlib.crc32(samples[-ALIGN:]), len(media), feature
 
 
 #: Digests travel as bytes and become hex at the end.
-_RESULT = "media_id binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
-_RESULT_KINDS = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+_RESULT = "media_id binary, payload_sha256 binary, payload_bytes long, tail_crc32 long, media_bytes long, feature string"
+_RESULT_KINDS = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 _RESULT_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
 
 def _rebuilt(parts: list[bytes], media_id: bytes | None = None) -> tuple:
-    found = describe(to_media(b"".join(parts)))
+    found = describe(b"".join(parts))
     if media_id is not None and found[0] != media_id:
-        raise RuntimeError("a rebuilt payload differs from the one stored")
+        raise RuntimeError("a rebuilt medium differs from the one stored")
     return found
 
 
@@ -133,8 +133,9 @@ class Store:
 
         schema = f"cont long, blob binary, sizes array<int>, digests binary, media array<struct<id: binary, chunks: array<int>>>, docs array<struct<doc_id: {kind}, n_bytes: bigint, m: int>>"
         self.name = f"media_{uuid.uuid4().hex}"
+        self.path = f"{C.scratch_dir(self.spark)}/{self.name}"
         rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(fill, schema)
-        rows.write.format("parquet").bucketBy(C.shuffle_partitions(self.spark), "cont").saveAsTable(self.name)
+        rows.write.format("parquet").option("path", self.path).bucketBy(C.shuffle_partitions(self.spark), "cont").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
         # each medium's home is the least container that has it
         media = self.table.select("cont", "digests", F.posexplode("media").alias("m", "x"))
@@ -192,8 +193,16 @@ class Store:
         return at_home.unionByName(parts.mapInArrow(gather, _RESULT))
 
     def documents(self) -> DataFrame:
-        rows = self.table.select("media.id", F.explode("docs").alias("d"))
-        return rows.select("d.doc_id", "d.n_bytes", F.element_at("id", F.col("d.m") + 1).alias("media_id"))
+        """doc_id, n_bytes and the values of the document's medium."""
+        own = self.table.select("cont", F.posexplode("media.id").alias("m", "media_id"))
+        values = own.join(self.read(), "media_id", "left")
+        rows = self.table.select("cont", F.explode("docs").alias("d")).select("cont", "d.m", "d.doc_id", "d.n_bytes")
+        return rows.join(values, ["cont", "m"]).drop("cont", "m")
+
+    def close(self) -> None:
+        """Drops the table of containers; what was made of it must have been written."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        C.remove(self.spark, self.path)
 
 
 def _container(key: int, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -205,7 +214,7 @@ def _container(key: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     media: list[dict] = []
     docs: list[dict] = []
     for k, doc in enumerate(batch.column("i").to_pylist()):
-        own = payload(data[off[k] : off[k + 1]])
+        own = to_media(payload(data[off[k] : off[k + 1]]))
         media_id = hashlib.sha256(own).digest()
         m = media_of.get(media_id)
         if m is None:
@@ -237,8 +246,9 @@ def _chunks_of(blob: bytes, sizes: list[int]) -> list[bytes]:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     store = Store(docs, id_col, text_col)
-    # a document whose digest no rebuilt payload has fails the query
-    out = store.documents().join(store.read(), "media_id", "left")
-    size = F.coalesce("payload_bytes", F.raise_error(F.lit("a rebuilt payload differs from the one stored")).cast("long")).alias("payload_bytes")
-    hexed = [F.lower(F.hex(c)).alias(to) for c, to in (("media_id", "payload_sha256"), ("media_sha256", "media_sha256"))]
-    return out.select(F.col("doc_id").alias(id_col), "n_bytes", size, hexed[0], "tail_crc32", "media_bytes", hexed[1], "feature")
+    # a document whose digest no rebuilt medium has fails the query
+    size = F.coalesce("payload_bytes", F.raise_error(F.lit("a rebuilt medium differs from the one stored")).cast("long")).alias("payload_bytes")
+    found = C.written(store.documents().withColumn("payload_bytes", size), "media-values")
+    store.close()
+    hexed = lambda c, to: F.lower(F.hex(c)).alias(to)
+    return found.select(F.col("doc_id").alias(id_col), "n_bytes", "payload_bytes", hexed("payload_sha256", "payload_sha256"), "tail_crc32", "media_bytes", hexed("media_id", "media_sha256"), "feature")
