@@ -1,24 +1,28 @@
-"""Operator 9: main text of web pages, by markup and by differencing with the nearest URL.
-
-Each page is cut into blocks of text. Markup that is never main text (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out while
-scanning. Then pages of equal lines on a host become one, represented by the first in
-order of path; representatives are ordered by host and path, each is paired with the
-neighbour whose path has the longest common beginning, their lines are aligned by longest
-common subsequence, and lines shared with the neighbour are deleted: what a site repeats
-on nearby pages isn't the article. Copies lose what their representative loses.
-
-Markup protects lines from wrong deletion: if half or more of the text inside a page's
-article and main elements is shared, the neighbour has a near copy of the article, and
-the lines inside stay; else the shared ones are the site's and go like others.
+"""Operator 9: main text of web pages by differencing with the nearest URLs.
+
+Each page is cut into blocks of text. Scanning leaves out elements that never hold main text
+(menus, headers, footers, asides, forms, scripts, styles), hidden ones, and those whose whole
+name says so (``class="ad"``, ``id="comments"``; a name among others or within another one says
+nothing). Then pages of equal lines on a host become one, represented by the first in order
+of path; representatives are ordered by host and path, and each is paired with the
+neighbours in that order whose paths have the longest common beginning. Its lines are
+aligned with the nearest one's by longest common subsequence, and shared lines are deleted:
+what a site repeats on nearby pages isn't the article. Copies lose what their
+representative loses.
+
+Markup protects the lines inside article and main elements from wrong deletion, as two
+articles may well have a sentence in common: such a line goes only if the second nearest
+page has it too (where there is one), and none goes if the nearest page has half or more of
+that text (``NEAR_COPY``), being a near copy of the article.
 
 Neighbours are found by position in a global sort and an equi-join on the position, so a
 host with a third of all pages is dealt over all tasks. Only 64-bit hashes of lines are
 paired; texts travel once, packed in chunks, to the chunks that have lines to delete.
 
-Defined cases: null or empty html gives an empty text; a null or odd URL belongs to the
-host '' with the whole URL as its path; pages of equal URL are ordered by page_id;
-repeated rows and other columns don't matter; an empty table gives an empty result.
+Defined cases: null or empty html gives an empty text; html of any length is taken whole,
+lines being aligned in bounded memory; a null or odd URL belongs to the host '' with the
+whole URL as its path; pages of equal URL are ordered by page_id; repeated rows each get a
+row, null page_ids too; other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,41 +40,47 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_INSIDE = r"(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"  # quotes count only where a value begins
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{_INSIDE}>.*?(?:</\1\s*>|\Z)|<(noscript|template|svg|textarea|title|iframe)\b{_INSIDE}>.*?</\2\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})>|<[!?/][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none")
 _SPACE = re.compile(r"\s+")
 
-# fixed values: elements that begin and end a block, elements never part of the main text, and names of such parts
+# fixed values: elements that begin and end a block, elements never part of the main text, elements that may end without a tag, elements without content, and whole names of parts that aren't main text
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav header footer aside form menu button select dialog head".split())
+IMPLIED_END = frozenset("p li dt dd tr td th option".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-PART_NAMES = frozenset("ad ads adv advert adverts advertisement banner banners sponsor sponsored promo cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget widgets toolbar search".split())
+PART_NAMES = frozenset("ad ads adv advert adverts advertisement banner banners sponsor sponsored promo cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget widgets toolbar search contentinfo complementary".split())
 
 NEAR_COPY = 0.5
+ALIGN_BITS = 1 << 26
 
 
-def _is_part(attributes: str, article: bool) -> bool:
-    """Whether an element is hidden or named as a part that isn't main text; in an article,
-    where names such as post-header are common, by its whole name only."""
+def _is_part(attributes: str) -> bool:
+    """Whether an element is hidden or named, by all of its class, id or role, as a part that isn't main text."""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NOT_SHOWN.search(value)):
             return True
-        if key in ("class", "id", "role"):
-            for name in value.split():
-                if name in PART_NAMES or name in ("contentinfo", "complementary") or (not article and set(re.split(r"[-_]+", name)) & PART_NAMES):
-                    return True
+        if key in ("class", "id", "role") and (names := set(value.split())) and names <= PART_NAMES:
+            return True
     return False
 
 
+def _closes_later(html: str, name: str, at: int) -> bool:
+    """Whether the next tag of this name from ``at`` on is a closing one."""
+    m = re.compile(rf"<(/?){name}\b", re.I).search(html, at)
+    return m is not None and m[1] == "/"
+
+
 def page_blocks(html: str) -> tuple[list[str], list[bool]]:
     """The text blocks of a page in order, and whether each lies in an article or main element."""
     blocks: list[str] = []
     inside: list[bool] = []
     piece: list[str] = []
     drop: list[str] = []  # open elements from the outermost left-out one inwards
-    article, at = 0, 0
+    article, at, title = 0, 0, False
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(piece))).strip()
@@ -80,47 +90,83 @@ def page_blocks(html: str) -> tuple[list[str], list[bool]]:
         piece.clear()
 
     for m in _TAG.finditer(html):
-        if not drop and m.start() > at:
+        if not drop and not title and m.start() > at:
             piece.append(html[at : m.start()])
         at = m.end()
-        name = m[3].lower() if m[3] else None
+        name = m[4].lower() if m[4] else None
         if name is None:
             continue
-        closing = m[2] == "/"
+        closing = m[3] == "/"
+        title = name == "title" and not closing  # one that is never closed ends with the next tag
         if drop:
-            if closing and name in drop:
-                while drop.pop() != name:
-                    pass
-            elif not closing and name in ("article", "main") and drop[0] not in ("article", "main"):
+            if len(drop) == 1 and drop[0] in IMPLIED_END and (name == drop[0] or (name in BLOCKS and name not in IMPLIED_END and (closing or drop[0] == "p"))):
+                drop.clear()  # ended without its tag
+                if closing and name in IMPLIED_END:
+                    continue
+            elif closing and name in ("article", "main") and article and name not in drop:
                 drop.clear()  # the left-out part wasn't closed
-                article += 1
-            elif not closing and name not in VOID and (name == drop[0] or name in ("div", "section", "ul", "ol", "nav", "form", "table")) and not m[4].endswith("/"):
-                drop.append(name)
-            continue
+            elif not closing and name in ("article", "main") and drop[0] not in ("article", "main") and not _closes_later(html, drop[0], at):
+                drop.clear()
+            else:
+                if closing and name in drop:
+                    while drop.pop() != name:
+                        pass
+                elif not closing and name not in VOID and (name == drop[0] or name in ("div", "section", "ul", "ol", "nav", "form", "table", "article", "main")) and not m[5].endswith("/"):
+                    drop.append(name)
+                continue
         if name in BLOCKS:
             flush()
         elif name == "br":
             piece.append("\n")
-        if name in ("article", "main"):
-            article = max(0, article - 1) if closing else article + 1
-            if not closing and _is_part(m[4], True):
-                article -= 1
+        if closing:
+            if name in ("article", "main"):
+                article = max(0, article - 1)
+        elif name in ("article", "main"):
+            if _is_part(m[5]):
                 drop.append(name)
-        elif not closing and name not in VOID and not m[4].endswith("/") and ((name in DROPPED and not (name == "header" and article)) or (name not in ("html", "body") and _is_part(m[4], article > 0))):
+            else:
+                article += 1
+        elif name not in VOID and not m[5].endswith("/") and ((name in DROPPED and not (name == "header" and article)) or (name not in ("html", "body") and _is_part(m[5]))):
             drop.append(name)
-    if not drop:
+    if not drop and not title:
         piece.append(html[at:])
     flush()
     return blocks, inside
 
 
-def shared_lines(a: list[str], b: list[str]) -> np.ndarray:
-    """Which lines of ``a`` lie in a longest common subsequence with ``b`` (bit-parallel)."""
-    mark = np.zeros(len(a), bool)
-    place: dict[str, int] = {}
+def _places(b: list) -> dict:
+    place: dict = {}
     for j, line in enumerate(b):
         place[line] = place.get(line, 0) | 1 << j
-    full = (1 << len(b)) - 1
+    return place
+
+
+def _common_lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with each beginning of ``b``."""
+    place, full = _places(b), (1 << len(b)) - 1
+    s = full
+    for line in a:
+        u = s & place.get(line, 0)
+        s = ((s + u) | (s - u)) & full
+    bits = np.unpackbits(np.frombuffer(s.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def shared_lines(a: list, b: list) -> np.ndarray:
+    """Which lines of ``a`` lie in a longest common subsequence with ``b`` (bit-parallel; long
+    pages are halved where the lengths of both halves add up to the whole's)."""
+    if not a or not b:
+        return np.zeros(len(a), bool)
+    if len(a) == 1 or len(a) * len(b) <= ALIGN_BITS:
+        return _shared_lines(a, b)
+    half = len(a) // 2
+    j = int((_common_lengths(a[:half], b) + _common_lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    return np.concatenate([shared_lines(a[:half], b[:j]), shared_lines(a[half:], b[j:])])
+
+
+def _shared_lines(a: list, b: list) -> np.ndarray:
+    mark = np.zeros(len(a), bool)
+    place, full = _places(b), (1 << len(b)) - 1
     rows, s = [full], full
     for line in a:
         u = s & place.get(line, 0)
@@ -144,12 +190,14 @@ def shared_lines(a: list[str], b: list[str]) -> np.ndarray:
     return mark
 
 
-def site_lines(lines: list[int], inside: list[bool], sizes: list[int], near: list[int]) -> list[int]:
-    """Positions of the lines (given by hashes) of a page that go because a neighbour has them."""
-    shared = shared_lines(lines, near)
+def site_lines(lines: list[int], inside: list[bool], sizes: list[int], near: list[list[int]]) -> list[int]:
+    """Positions of the lines (given by hashes) of a page that go because its neighbours, nearest first, have them."""
+    shared = shared_lines(lines, near[0])
     own, size = np.array(inside, bool), np.array(sizes)
     if size[own & shared].sum() >= NEAR_COPY * size[own].sum():
         shared &= ~own
+    elif len(near) > 1 and (own & shared).any():
+        shared &= ~own | shared_lines(lines, near[1])
     return np.flatnonzero(shared).tolist()
 
 
@@ -190,7 +238,9 @@ def _cut_pages(pages: DataFrame) -> DataFrame:
 
 
 def nearest(keys: DataFrame) -> DataFrame:
-    """(row_id, near_id) for the rows of ``keys`` (row_id, host, path, page_id, url): the neighbour on the host, in order of path, whose path has the longest common beginning."""
+    """(row_id, nth, near_id) for the rows of ``keys`` (row_id, host, path, page_id, url): of the two
+    before and the two after on the host, in order of path, the two whose paths have the
+    longest common beginning."""
     spark = keys.sparkSession
     order = ["host", "path", "page_id", "url", "row_id"]
 
@@ -207,33 +257,39 @@ def nearest(keys: DataFrame) -> DataFrame:
     for part, n in sorted(rows.groupBy("part").count().collect()):  # one row per partition
         base.append((part, total))
         total += n
-    rows = rows.join(spark.createDataFrame(base or [(0, 0)], "part long, base long"), "part").withColumn("place", F.col("base") + F.col("at")).drop("part", "at", "base")
-    side = lambda step, tag: rows.select((F.col("place") + step).alias("place"), *[F.col(c).alias(c + tag) for c in ("row_id", "host", "path")])
-    both = rows.join(side(1, "_b"), "place", "left").join(side(-1, "_a"), "place", "left")
+    rows = rows.join(F.broadcast(spark.createDataFrame(base or [(0, 0)], "part long, base long")), "part")
+    rows = rows.select((F.col("base") + F.col("at")).alias("place"), "row_id", "host", "path")
+    steps = F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("step")
+    others = rows.select((F.col("place")).alias("near_place"), F.col("row_id").alias("near_id"), F.col("host").alias("near_host"), F.col("path").alias("near_path"), steps)
+    others = others.select((F.col("near_place") + F.col("step")).alias("place"), "near_host", F.struct("near_id", "near_path", F.abs("step").alias("far"), (F.col("step") < 0).alias("after")).alias("near"))
+    both = rows.join(others, "place").filter("host = near_host").groupBy("row_id").agg(F.first("path").alias("path"), F.collect_list("near").alias("near"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for r in batch.to_pylist():
-                near = [(common_beginning(r["path"], r["path_" + k]), r["row_id_" + k]) for k in "ba" if r["row_id_" + k] is not None and r["host_" + k] == r["host"]]
-                if near:
-                    found.append((r["row_id"], max(near, key=lambda x: x[0])[1]))
+            for row, path, near in zip(*(batch.column(c).to_pylist() for c in ("row_id", "path", "near"))):
+                best = sorted(near, key=lambda n: (-common_beginning(path, n["near_path"]), n["far"], n["after"]))
+                found += [(row, k, n["near_id"]) for k, n in enumerate(best[:2])]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["row_id", "near_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["row_id", "nth", "near_id"])
 
-    return both.mapInArrow(choose, "row_id long, near_id long")
+    return both.mapInArrow(choose, "row_id long, nth long, near_id long")
+
+
+def representatives(keys: DataFrame) -> DataFrame:
+    """The first in order of path of the pages with the same lines on a host."""
+    first = keys.groupBy("host", "same").agg(F.min(F.struct("path", "page_id", "url", "row_id")).alias("f"))
+    return first.select(F.col("f.row_id").alias("row_id"), "host", "f.path", "f.page_id", "f.url", "same")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every page."""
     cuts = _cut_pages(pages)
     keys = cuts.select("chunk", F.explode("keys").alias("k")).select("chunk", "k.*").filter(F.size("lines") > 0)
-    first = keys.groupBy("host", "same").agg(F.min(F.struct("path", "page_id", "url", "row_id")).alias("f"))
     # as tables, so that their sizes are known before they are joined
-    first = C.written(first.select(F.col("f.row_id").alias("row_id"), "host", "f.path", "f.page_id", "f.url", "same"), "representatives")
-    near = C.written(nearest(first), "nearest")
-    theirs = near.join(keys.select(F.col("row_id").alias("near_id"), F.col("lines").alias("near")), "near_id").select("row_id", "near")
-    pairs = keys.select("row_id", "host", "same", "lines", "inside", "sizes").join(theirs, "row_id")
+    near = C.written(nearest(C.written(representatives(keys), "representatives")), "nearest")
+    theirs = near.join(keys.select(F.col("row_id").alias("near_id"), "lines"), "near_id").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("nth", "lines"))).alias("near"))
+    pairs = keys.select("row_id", "host", "same", "lines", "inside", "sizes").join(theirs.select("row_id", F.transform("near", lambda x: x["lines"]).alias("near")), "row_id")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,3 +314,25 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def digest(pages: DataFrame) -> DataFrame:
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def brute_force(pages: list[tuple[int, str | None, str | None]]) -> dict[int, str]:
+    """page_id: text, from (page_id, url, html) in plain Python; for tests."""
+    split = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)")
+    found = []
+    for page, url, html in pages:
+        m = split.match(url or "")
+        blocks, inside = page_blocks(html or "")
+        found.append((m[1].lower() if m else "", (url or "")[m.end() if m else 0 :], page, blocks, inside))
+    first: dict[tuple, tuple] = {}
+    for host, path, page, blocks, inside in sorted(found, key=lambda f: f[:3]):
+        if blocks:
+            first.setdefault((host, tuple(blocks)), (host, path, blocks, inside))
+    row = list(first.values())
+    left = {}
+    for k, (host, path, blocks, inside) in enumerate(row):
+        near = [(-common_beginning(path, row[j][1]), abs(j - k), j < k, row[j][2]) for j in range(k - 2, k + 3) if j != k and 0 <= j < len(row) and row[j][0] == host]
+        near.sort(key=lambda n: (n[0], n[1], not n[2]))
+        gone = site_lines(blocks, inside, [len(b) for b in blocks], [n[3] for n in near[:2]]) if near else []
+        left[host, tuple(blocks)] = "\n\n".join(b for j, b in enumerate(blocks) if j not in gone)
+    return {page: left.get((host, tuple(blocks)), "") for host, _, page, blocks, _ in found}
