@@ -10,9 +10,13 @@ The template marks turns as [INST] .. [/INST] (user), [ANS] .. </s> (assistant),
 names a backslash goes before every backslash, "[", "]" and "<", so no text can form a
 mark, and removing it gives the text back. The loss mask covers assistant texts.
 
-Defined cases: null text and null role are empty; a parent that doesn't exist makes its
-child a root; nodes on or above a cycle give no path; equal turns are ordered by role and
-text and all kept; an empty table gives an empty result.
+Defined cases: null text and null role are empty; texts of any length are taken whole; a
+parent that doesn't exist makes its child a root; nodes on or above a cycle give no path.
+Rows without a tree are one tree, that of null; a row without a node is one of its own,
+below its parent. Rows that are equal in all these columns are one node; of different rows
+of one node the first by role and text has its children, the others are leaves beside it.
+Of ``threads``, equal turns are ordered by role and text and all kept. Other columns don't
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,12 +101,18 @@ def conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, branch, formatted, loss_spans): the best ``keep`` paths of each tree, formatted.
 
     ``nodes``: tree, node, parent, role, text and optionally score (0 where missing)."""
+    kind = nodes.schema["tree"].dataType
     if "score" not in nodes.columns:
         nodes = nodes.withColumn("score", F.lit(0.0))
-    nodes = nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    named = lambda c: F.concat(F.lit("="), F.col(c).cast("string"))
+    nodes = nodes.select(F.coalesce(named("tree"), F.lit("")).alias("tree"), named("node").alias("node"), named("parent").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    nodes = nodes.filter("node is not null").distinct().unionByName(nodes.filter("node is null"))
+    again = F.row_number().over(W.partitionBy("tree", "node").orderBy("role", "text", "parent", "score"))
+    own = F.when(F.col("node").isNull(), F.concat(F.lit("?"), F.monotonically_increasing_id())).when(F.col("again") == 1, F.col("node")).otherwise(F.concat_ws("?", "node", "again"))
+    nodes = C.written(nodes.withColumn("again", again).withColumn("node", own).drop("again"), "nodes")
     way = C.written(paths(nodes), "paths")
     scored = way.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("turns"))
-    order = W.partitionBy("tree").orderBy(F.desc("mean"), F.desc("turns"), "leaf")
+    order = W.partitionBy("tree").orderBy(F.desc("mean"), F.desc("turns"), F.length("leaf"), "leaf")
     best = scored.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= keep).select("tree", "leaf", "branch")
     turn = way.join(best, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     whole = turn.groupBy("tree", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
@@ -112,12 +122,13 @@ def conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
             done = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("branch"), pa.array([d[0] for d in done], pa.string()), pa.array([[list(x) for x in d[1]] for d in done], pa.list_(pa.list_(pa.int64())))], names=["tree", "branch", "formatted", "loss_spans"])
 
-    return whole.mapInArrow(run, f"tree {nodes.schema['tree'].dataType.simpleString()}, branch int, formatted string, loss_spans array<array<bigint>>")
+    made = whole.mapInArrow(run, "tree string, branch int, formatted string, loss_spans array<array<bigint>>")
+    return made.withColumn("tree", F.when(F.col("tree") != "", F.expr("substring(tree, 2)").cast(kind)))
 
 
 def threads(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as trees of one branch: each turn replies to the one before."""
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+    tree = F.col("conv_id")
     node = F.row_number().over(W.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     rows = rows.select(tree.alias("tree"), "turn", "role", "text").withColumn("node", node)
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
@@ -129,7 +140,7 @@ def digest(rows: DataFrame) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    made = conversations(C.written(threads(rows), "threads"))
+    made = conversations(threads(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +149,7 @@ def digest(rows: DataFrame) -> DataFrame:
                 turns = parse(text)
                 loss = "".join(unescape(text[a:b]) for a, b in spans)
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append((None if tree == "none" else int(tree), len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+                out.append((tree, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

@@ -6,12 +6,16 @@ the prefix it shares with the word before and computes only the rest. The forwar
 of a prefix is the best sum of piece scores over its segmentations; each word's end
 stores its count of pieces and score, and a document sums those of its words.
 
-Piece scores follow the rank in a public vocabulary file (log of 1 / (rank + 1),
-normalised); a character that no piece covers costs one byte piece for each of its bytes.
-Ties go to fewer pieces. Everything is local to a run of texts: nothing is shuffled.
-
-Defined cases: null and empty texts count 0 tokens with score 0; repeated rows each get a
-row; a word of any length is taken whole.
+The vocabulary is that of a public sentencepiece file. The files at hand are byte-pair
+vocabularies, ordered by frequency and without unigram probabilities, and tokenizers aren't
+trained here; so piece scores are log probabilities by Zipf's law over the file's order,
+log(1 / (rank + 1)), normalised. A file of a unigram model can be given instead: its own scores
+are taken. A character that no piece covers costs one byte piece for each of its bytes. Ties
+go to fewer pieces. Everything is local to a run of texts: nothing is shuffled.
+
+Defined cases: null and empty texts count 0 tokens with score 0; texts and words of any length
+are taken whole; repeated rows each get a row, null doc_ids too; other columns don't matter;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,12 +42,16 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def rank_scores(path: str) -> tuple[dict[str, float], float]:
-    """Scores of the pieces of a sentencepiece file by rank, and the score of a byte piece."""
+def piece_scores(path: str) -> tuple[dict[str, float], float]:
+    """Scores of the pieces of a sentencepiece file, and the score of a byte piece: the file's own
+    if they are logs of probabilities, else by rank."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
+    ids = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
+    pieces, own = [model.id_to_piece(k) for k in ids], [model.get_score(k) for k in ids]
+    if math.isclose(sum(math.exp(x) for x in own), 1.0, rel_tol=0.05):
+        return dict(zip(pieces, own)), min(own)
     total = math.log(sum(1 / (k + 1) for k in range(len(pieces) + 1)))
     return {p: -math.log(k + 1) - total for k, p in enumerate(pieces)}, -math.log(len(pieces) + 1) - total
 
@@ -109,7 +117,7 @@ class Counter:
 @functools.lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
     """One for each worker process, so that later tasks find the words of earlier ones."""
-    return Counter(*rank_scores(path))
+    return Counter(*piece_scores(path))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
