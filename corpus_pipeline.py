@@ -2,6 +2,11 @@
 
 Toxic documents go; of linked near copies the smallest doc_id stays; passages that an
 earlier document has are cut; documents with benchmark windows go; the rest is packed.
+
+Defined cases: a stage judges every row by itself, so null and repeated doc_ids are fine; null
+and empty texts are never toxic, near copies or contaminated, and give one piece each; without
+labels nothing is toxic; other columns, whatever their names, pass through to the last stage;
+empty tables give an empty result. Scratch tables of a stage go when its result is written.
 """
 
 from __future__ import annotations
@@ -55,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = f"{common.scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{where}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with common.released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
