@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarifa.llm import bpe, chat, common, decontam, htmltext, jaccard, langid, media, packing, substring, tokencount, toxicity
+from tarifa.llm import chat, common, decontam, htmltext, jaccard, langid, media, packing, substring, tokencount, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hashes string, row_id string"
 
@@ -198,17 +198,19 @@ def test_closest_fill_against_all_subsets():
         assert all(n <= counts[k] for k, n in fill.items())
 
 
-def test_word_merges_equal_the_library():
+def test_ids_of_shared_words_are_those_of_whole_texts():
     from tokenizers import Tokenizer
 
-    path = packing.tokenizer_path()
-    own, library = bpe.WordBpe(path), Tokenizer.from_file(path)
-    assert own.usable
+    library, own = Tokenizer.from_file(packing.tokenizer_path()), packing.WordEncoder(packing.tokenizer_path(), limit=50)
     r = random.Random(2)
-    words = ["".join(r.choice("abcdeéüßÀaa0123!!..,-$%&+/:@[]^_~ABCxyz") for _ in range(r.randint(1, 14))) for _ in range(3000)]
-    ids, off = own.encode(words, 500)
-    for k, (w, e) in enumerate(zip(words, library.encode_batch(words, add_special_tokens=False))):
-        assert ids[off[k] : off[k + 1]].tolist() == e.ids, w
+    chars = "abcdeéüßÀaa0123!!..,-$%&+/:@[]^_~ABCxyz\x01ÀΣα千½'<|>"
+    texts = [" ".join("".join(r.choice(chars) for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    texts += ["", " \n\t", "it's <|endoftext|> a<|endoftext|>b \x01 \x01", "e\u0301 \u0301 x\u00a0y", "x" * 5000]
+    assert own.mark is not None
+    for at in range(0, len(texts), 40):
+        ids, off = own.encode(texts[at : at + 40])
+        for k, t in enumerate(texts[at : at + 40]):
+            assert ids[off[k] : off[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_language_id(spark, empty):
@@ -224,12 +226,75 @@ def test_language_id(spark, empty):
     assert {x.lang_pred for x in langid.digest(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def langid_model(counts):
+    """The model of (lang, word): n, with n-grams counted one by one."""
+    grams: dict = {}
+    for (lang, word), n in counts.items():
+        for size in range(1, langid.LONGEST + 1):
+            for g in langid.grams_of(word, size):
+                if g != " ":
+                    grams[lang, g] = grams.get((lang, g), 0) + n
+    table = lambda found: pa.table({"lang": [k[0] for k in found], "key": [k[1] for k in found], "n": list(found.values())})
+    return langid.Model(table(counts), table(grams))
+
+
 def test_word_backoff():
-    m = langid.Model({("en", "thing"): 5, ("en", "nothing"): 5, ("de", "schön"): 5, ("de", "once"): 1})
+    m = langid_model({("en", "thing"): 5, ("en", "nothing"): 5, ("de", "schön"): 5, ("de", "once"): 1})
     assert m.score("thing").argmax() == m.langs.index("en") and m.score("schöne").argmax() == m.langs.index("de")
     assert "once" not in m.words and m.score("千").tolist() == [0, 0]
 
 
+def brute_force_language(train, texts):
+    """The contract of the docstring in plain Python: (lang, score) of each text."""
+    import unicodedata
+
+    def words(t):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+
+    langs = sorted({lang for lang, t in train if words(t)})
+    known = [{} for _ in range(7)]  # by n; place 6 has whole words
+    for lang, t in train:
+        for w in words(t):
+            for n, key in [(6, w), *((n, f" {w} "[a : a + n]) for n in range(1, 6) for a in range(len(w) + 3 - n))]:
+                if key != " ":
+                    known[n].setdefault(key, [0] * len(langs))[langs.index(lang)] += 1
+    known[6] = {w: n for w, n in known[6].items() if sum(n) > 1}
+    total = [[sum(v[k] + 0.5 for v in level.values()) or 1 for k in range(len(langs))] for level in known]
+    logs = lambda n, v: np.array([np.log((x + 0.5) / total[n][k]) for k, x in enumerate(v)])
+
+    def score(w):
+        if w in known[6]:
+            return logs(6, known[6][w])
+        for n in range(5, 0, -1):
+            found = [logs(n, known[n][g]) for a in range(len(w) + 3 - n) if (g := f" {w} "[a : a + n]) in known[n]]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for t in texts:
+        own = words(t)
+        if not own or not langs:
+            out.append(("und", 0.0))
+            continue
+        sums = sum(score(w) for w in own)
+        out.append((langs[int(sums.argmax())], float(1 / np.exp((sums - sums.max()) / np.sqrt(len(own))).sum())))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    r = random.Random(7)
+    kinds = {"en": "the and of thing with from nothing ½x", "de": "der und nicht sich über schön straße", "ja": "これは ペン です 千"}
+    rows = [(k, " ".join(r.choice(kinds[lang].split()) + r.choice(["", "", "s", "lich", "2", "_"]) for _ in range(r.randint(1, 9))), lang) for k, lang in enumerate(list(kinds) * 30)]
+    rows += [(500, "½ ² ① Ⅷ", "en"), (501, "Ⅷa", None), (502, "über " * 30_000, "de"), (503, "e\u0301te", "de"), (504, "千", None), (505, "\U00010330", None), (None, "nothing", None), (0, rows[0][1], "en"), (0, rows[0][1], "en")]
+    df = spark.createDataFrame([(i, t, lang, "s", 0, "", "") for i, t, lang in rows], DOCS).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("x")).repartition(3)
+    learnt = [(lang, t) for i, t, lang in rows if lang and (i is None or zlib.crc32(str(i).encode()) % 5)]
+    want = sorted((-1 if i is None else i, lang, pytest.approx(s, abs=1e-4)) for (i, t, _), (lang, s) in zip(rows, brute_force_language(learnt, [t for _, t, _ in rows])))
+    got = langid.digest(df).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.lang_pred, x.score) for x in got) == want
+    assert {x.lang_pred for x in got if x.doc_id in (500,)} == {"und"} and all(x.held_out is not None for x in got)
+
+
 def test_toxicity(spark, empty):
     r = random.Random(1)
     words = [f"w{k}" for k in range(300)]
@@ -262,7 +327,7 @@ def test_nonnegative_risk_learns_from_positives_and_a_mixture():
 
 
 def test_token_counts(spark, docs, rows, empty):
-    scores, byte = tokencount.rank_scores(tokencount.vocabulary_path())
+    scores, byte = tokencount.piece_scores(tokencount.vocabulary_path())
     got = sorted((x.doc_id, x.n_words, x.n_tokens, x.score) for x in tokencount.token_counts(docs).collect())
     want = []
     for i, t in rows:
@@ -288,7 +353,8 @@ def test_media(spark, rows, empty):
     store = media.Store(docs)
     n = store.chunk_counts().first()
     assert n.listed > n.distinct and store.refs.count() > 0
-    assert media.digest(empty).count() == 0
+    assert media.digest(empty).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("media_") and t.name != store.name]
+    store.close()
 
 
 def test_cuts_follow_the_content():
@@ -317,12 +383,56 @@ def test_only_hidden_elements_and_named_parts_are_dropped():
     text = lambda attributes, outer="article": " ".join(htmltext.page_blocks(f"<{outer}><div {attributes}>in</div><p>out</p></{outer}>")[0])
     for kept in ('style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="a hidden valley"', "data-x='display:none'", 'class="post-header"', 'id="related-work"'):
         assert text(kept) == "in out", kept
-    for gone in ("hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display : none"', "class='ad wide'", "role=navigation", 'style=x hidden'):
+    for gone in ("hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display : none"', "class='ad'", "class='ad banner'", "role=navigation", 'style=x hidden'):
         assert text(gone) == "out", gone
-    assert text('class="post-header"', "section") == "out"
+    for kept in ("class='nav-free'", "class='blog share'", 'class="post-header"', "class='entry-header'", "title=it's"):
+        assert text(kept, "section") == "in out", kept
     assert htmltext.page_blocks('<article class="related-work"><p>a</p></article>') == (["a"], [True])
 
 
+def test_odd_markup():
+    blocks = lambda html: htmltext.page_blocks(html)[0]
+    assert blocks('<div class="entry-header"><h1>T</h1></div>') == ["T"] and blocks("<p title=it's>x</p>") == ["x"]
+    assert blocks("<title>never closed<p>a") == ["a"] and blocks("<title>t</title>a") == ["a"] and blocks("a<script>b") == ["a"]
+    assert blocks('<p data-x="a > b">c</p> d < e') == ["c", "d < e"] and blocks('<a title="open>x</a>y') == ["xy"]
+    assert blocks("<p class=ad>x<p>y") == ["y"] and blocks("<ul><li class=ad>x<li>y</ul>z") == ["y", "z"] and blocks("<ul><li class=ad>x</ul>z") == ["z"]
+    assert blocks("<aside><article>r</article></aside><article>a</article>") == ["a"] and blocks("<nav>n<article>a</article>") == ["a"]
+    assert blocks("<article>a<div class=ad>x</article><p>b") == ["a", "b"] and blocks("<nav/>a") == ["a"]
+    assert blocks("<a " + '=""' * 50_000) == ["<a " + '=""' * 50_000]
+
+
+def test_every_page_with_a_neighbour_is_differenced(spark):
+    r = random.Random(3)
+    menu = "".join(f"<div>Menu {j}</div>" for j in range(4))
+    pages = []
+    for k in range(120):
+        body = "".join(f"<p>{r.choice(['once', 'often', 'own'])} {r.choice([k, k // 2, 1])}</p>" for _ in range(r.randint(0, 5)))
+        wrap = r.choice(["{}", "<article>{}</article>", "<main><p>Notice</p>{}</main>"]).format(body)
+        pages.append((k, f"https://h{r.choice([1, 1, 1, 2, 3])}.example/{r.choice('abc')}/{r.randrange(30)}{r.choice(['', '?q=1'])}", r.choice([menu, menu, ""]) + wrap))
+    pages += [(500, None, menu), (501, "odd", None), (502, "http://alone.example/", menu), (503, pages[0][1], pages[0][2])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("host", F.lit("x")).repartition(3)
+    got = {x.page_id: x.text for x in htmltext.digest(df).collect()}
+    assert got == htmltext.brute_force(pages) and got[502].startswith("Menu 0")
+    cuts = htmltext._cut_pages(df)
+    first = htmltext.representatives(cuts.select(F.explode("keys").alias("k")).select("k.*").filter(F.size("lines") > 0)).collect()
+    with_rival = {x.row_id for x in first if sum(y.host == x.host for y in first) > 1}
+    near = htmltext.nearest(spark.createDataFrame(first)).collect()
+    assert {x.row_id for x in near if x.nth == 0} == with_rival and len(with_rival) > 60
+
+
+def test_long_pages_are_aligned_in_halves(monkeypatch):
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = ([r.choice("abcdef") for _ in range(r.randint(0, 30))] for _ in range(2))
+        whole = htmltext.shared_lines(a, b).sum()
+        monkeypatch.setattr(htmltext, "ALIGN_BITS", 16)
+        halves = htmltext.shared_lines(a, b)
+        monkeypatch.undo()
+        assert halves.sum() == whole
+        rest = iter(b)
+        assert all(x in rest for x, k in zip(a, halves) if k)
+
+
 def html_texts(spark, pages):
     rows = [(k, f"http://h.example/{path}", page) for k, (path, page) in enumerate(pages)]
     got = {r.page_id: r.text for r in htmltext.digest(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
@@ -377,6 +487,14 @@ def test_reply_trees(spark):
     assert got == {("a", 1): ["q", "y", "z"], ("a", 2): ["q", "x"], ("b", 1): ["o"], ("d", 1): [str(k) for k in range(70)]}
 
 
+def test_odd_reply_trees(spark):
+    nodes = [("a", 1, None, "q"), ("a", 1, None, "q"), ("a", 1, None, "r"), ("a", 2, 1, "x"), ("a", None, 1, "y"), ("a", None, 1, "y"), (None, 1, None, "n"), (None, 2, 1, "m")]
+    df = spark.createDataFrame([(t, n, p, "user", x, 7) for t, n, p, x in nodes], "tree string, node int, parent int, role string, text string, leaf int")
+    got = sorted((r.tree or "", [t for _, t in chat.parse(r.formatted)]) for r in chat.conversations(df, 9).collect())
+    assert got == [("", ["n", "m"]), ("a", ["q", "x"]), ("a", ["q", "y"]), ("a", ["q", "y"]), ("a", ["r"])]
+    assert chat.conversations(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(10, 40)] + [(50, 3), (3, 40), (7, 8)], "u long, v long")
     got = {r.id: r.component for r in jaccard.components(edges).collect()}
