@@ -114,17 +114,17 @@ def serve(config: dict, args) -> int:
 
 
 def trigger(config: dict, args) -> int:
-    from .sources.robots import BASE_URL, RobotClient, RobotError
+    from .sources import robots
 
     c = (config.get("ingest") or {}).get("yingdao") or {}
-    robot = args.robot or c.get("robot_uuid", "")
-    if not robot:
+    job = robots.Job(args.robot or c.get("robot_uuid", ""), c.get("schedule_uuid", ""))
+    if not job.robot:
         print("no robot: give --robot or configure robot_uuid", file=sys.stderr)
         return 1
     try:
-        client = RobotClient(c.get("access_key_id", ""), c.get("access_key_secret", ""), c.get("base_url", BASE_URL))
-        print(client.run(robot, c.get("schedule_uuid", ""), interval=c.get("poll_interval_sec", 10), timeout=c.get("poll_timeout_sec", 1800)))
-    except RobotError as e:
+        service = robots.Robots((c.get("access_key_id", ""), c.get("access_key_secret", "")), c.get("base_url", robots.BASE_URL))
+        print(robots.run(service, job, interval=c.get("poll_interval_sec", 10), timeout=c.get("poll_timeout_sec", 1800)))
+    except robots.RobotError as e:
         print(e, file=sys.stderr)
         return 1
     return 0

@@ -149,6 +149,7 @@ def test_receiver(tmp_path):
     assert call("/health") == (200, {"ok": True}) and call("/x")[0] == 404 and call("/x", b"[]")[0] == 404
     ok = "/api/ingest?platform=p1"
     assert call(ok, b"[]", "no")[0] == 401 and call("/api/ingest?platform=../x", b"[]")[0] == 400
+    assert call(f"/api/ingest?platform={'a' * 33}", b"[]")[0] == 400 and call(f"/api/ingest?platform={'a' * 32}", b"[]")[0] == 200
     assert [call(ok, b)[0] for b in (b"", b"{", b"{}", b"3")] == [400] * 4
     status, reply = call(ok, '{"items": [{"sku_id": "1"}]}'.encode())
     assert status == 200 and reply["received"] == 1 and json.loads((tmp_path / reply["file"]).read_text()) == [{"sku_id": "1"}]
@@ -156,31 +157,27 @@ def test_receiver(tmp_path):
     server.server_close()
 
 
-class Posts:
-    def __init__(self, *bodies):
-        self.bodies, self.sent = list(bodies), []
-
-    def post(self, url, **more):
-        self.sent.append((url, more))
-        reply = Reply(self.bodies.pop(0))
-        reply.raise_for_status = lambda: None
-        return reply
-
-
 def test_robot_tasks(monkeypatch):
     monkeypatch.delenv("YINGDAO_ACCESS_KEY_ID", raising=False)
     with pytest.raises(robots.RobotError):
-        robots.RobotClient()
+        robots.Robots()
     token, start = {"code": 0, "data": {"accessToken": "t"}}, {"data": {"taskUuid": "k"}}
     ask = lambda state: {"code": "0", "data": {"status": state}}
-    client = lambda *b: robots.RobotClient("a", "b", session=Posts(*b), sleep=lambda s: None)
-    assert client(token, start, ask("running"), ask("Success")).run("r") == {"status": "Success"}
-    for bodies in ((token, start, ask(3)), (token, {"data": {}}), ({"code": 5, "msg": "x"},), ({"data": {}},)):
+    calm = {"sleep": lambda s: None}
+
+    def service(*bodies):
+        return robots.Robots(("a", "b"), session=Session(*[b if isinstance(b, Reply) else Reply(b) for b in bodies]))
+
+    done = service(token, start, ask("running"), ask("Success"))
+    assert robots.run(done, robots.Job("r", params={"x": 1}), **calm) == {"status": "Success"}
+    sent = done.session.sent
+    assert sent[1][2]["json"] == {"robotUuid": "r", "params": {"x": 1}} and sent[1][2]["headers"]["Authorization"] == "Bearer t" and len(sent) == 4
+    for bodies in ((token, start, ask(3)), (token, {"data": {}}), ({"code": 5, "msg": "x"},), ({"data": {}},), (Reply("no", 500),), (Reply({}, 403),)):
         with pytest.raises(robots.RobotError):
-            client(*bodies).run("r")
+            robots.run(service(*bodies), robots.Job("r"), **calm)
     now = iter(range(0, 10**6, 1000))
     with pytest.raises(robots.RobotError, match="isn't done"):
-        robots.RobotClient("a", "b", session=Posts(token, ask("x"), ask("x")), clock=lambda: next(now), sleep=lambda s: None).wait("k")
+        service(token, ask("x"), ask("x"), ask("x")).outcome("k", clock=lambda: next(now), **calm)
 
 
 def test_stream(spark, tmp_path):
