@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .operators import compare as P
+from .operators import judge as J
 from .operators import matching as M
 from .operators import products as R
 from .operators import report as O
@@ -42,7 +43,8 @@ def match_config(config: dict) -> M.MatchConfig:
     rules, fuzzy, judge = m.get("rules") or {}, m.get("fuzzy") or {}, m.get("llm") or {}
     return M.MatchConfig(
         barcode=rules.get("enable_barcode", True), brand_spec=rules.get("enable_brand_spec", True), top_k=fuzzy.get("top_k", 5), auto_accept=fuzzy.get("auto_accept", 88), reject_below=fuzzy.get("reject_below", 55),
-        spec_penalty=fuzzy.get("spec_mismatch_penalty", 12), judge="unavailable" if judge.get("enabled", True) else "disabled", accept_confidence=judge.get("accept_confidence", 0.7),
+        spec_penalty=fuzzy.get("spec_mismatch_penalty", 12), judge=("verdicts" if J.load(judge.get("judge")) else "unavailable") if judge.get("enabled", True) else "disabled", accept_confidence=judge.get("accept_confidence", 0.7),
+        batch_size=judge.get("batch_size", 20), concurrency=judge.get("max_concurrency", 4),
     )
 
 
@@ -73,7 +75,8 @@ def compare(config: dict, args) -> int:
     if rivals.isEmpty():
         print("no rival products", file=sys.stderr)
         return 1
-    pairs = cut(M.match_all(own, rivals, match_config(config)), "pairs")
+    judge = J.load(((config.get("matching") or {}).get("llm") or {}).get("judge"))
+    pairs = cut(M.match_all(own, rivals, match_config(config), judge=judge), "pairs")
     rows = cut(P.compare_rows(own, pairs, rivals, compare_config(config)), "rows")
     report = config.get("report") or {}
     out = report.get("output_dir", "data/output")

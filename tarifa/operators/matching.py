@@ -7,10 +7,8 @@ that has data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +17,7 @@ from .. import schemas as C
 from ..functions import similarity as M
 from ..functions import spec as S
 from ..functions import text as X
+from .judge import Judge, adjudicate
 from .tables import cut
 
 TITLE_FLOOR = 60.0
@@ -34,6 +33,8 @@ class MatchConfig:
     spec_penalty: float = 12.0
     judge: str = "disabled"  # disabled, unavailable or verdicts
     accept_confidence: float = 0.7
+    batch_size: int = 20
+    concurrency: int = 4
     salts: int = 8
 
     @property
@@ -84,20 +85,21 @@ def match_brand_spec(pending: DataFrame, rivals: DataFrame) -> DataFrame:
 
 def title_pairs(pending: DataFrame, rivals: DataFrame, salts: int = 8) -> DataFrame:
     """Distinct (platform, category and title of one's own, category and title of the rival) in the
-    same pool: compatible categories, or all of the platform where none is compatible.
+    same pool, with the ``first`` order of the rival title: compatible categories, or all of the
+    platform where none is compatible.
 
     A union of equi-joins. Few categories can hold most rows, so own titles are dealt over
     ``salts`` and the (deduplicated) rival titles repeated for each.
     """
     mine = pending.select("platform", F.col("category").alias("s_cat"), F.col("norm_title").alias("s_title")).distinct()
-    theirs = rivals.select("platform", F.col("category").alias("r_cat"), F.col("norm_title").alias("r_title")).distinct()
-    pools = theirs.select("platform", F.col("r_cat").alias("s_cat")).distinct()
+    theirs = rivals.groupBy("platform", F.col("category").alias("r_cat"), F.col("norm_title").alias("r_title")).agg(F.min("ord").alias("first"))
+    pools = rivals.select("platform", F.col("category").alias("s_cat")).distinct()
     blank = pools.filter("s_cat = ''").select("platform", F.lit(True).alias("has_blank"))
     mine = mine.join(pools.withColumn("has_same", F.lit(True)), ["platform", "s_cat"], "left").join(blank, "platform", "left")
     mine = mine.withColumn("any", (F.col("s_cat") == "") | ~(F.coalesce("has_same", F.lit(False)) | F.coalesce("has_blank", F.lit(False))))
     mine = mine.select("platform", "s_cat", "s_title", "any", F.pmod(F.xxhash64("s_title"), F.lit(salts)).cast("int").alias("salt"))
     theirs = theirs.filter("r_title <> ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = ["platform", "s_cat", "s_title", "r_cat", "r_title"]
+    out = ["platform", "s_cat", "s_title", "r_cat", "r_title", "first"]
     some, every = mine.filter(~F.col("any")), mine.filter("any")
     same = some.join(theirs.withColumn("s_cat", F.col("r_cat")), ["platform", "salt", "s_cat"]).select(out)
     free = some.join(theirs.filter("r_cat = ''"), ["platform", "salt"]).select(out)
@@ -107,27 +109,32 @@ def title_pairs(pending: DataFrame, rivals: DataFrame, salts: int = 8) -> DataFr
 
 def recall(pending: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """The ``top_k`` rivals of each pending product: self_uid, platform, platform_ord, rank, rival_uid,
-    score, reason. Distinct titles are scored once; only rivals that can enter the coarse cut are kept."""
+    score, reason. Distinct titles are scored once, the finer text score only for those in the
+    coarse cut; ranks come from numbers, and reasons are worded for the ranks that stay."""
     n = config.coarse
     nth = F.row_number().over(W.partitionBy("platform", "r_cat", "r_title").orderBy("ord"))
-    entry = rivals.filter("norm_title <> ''").select("platform", F.col("category").alias("r_cat"), F.col("norm_title").alias("r_title"), "ord", "uid").withColumn("nth", nth).filter(F.col("nth") <= n)
-    first = entry.filter("nth = 1").select("platform", "r_cat", "r_title", F.col("ord").alias("first"))
-    scored = title_pairs(pending, rivals, config.salts).withColumn("coarse", M.token_set_ratio_arrow(F.col("s_title"), F.col("r_title")))
+    entry = rivals.filter("norm_title <> ''").select("platform", F.col("category").alias("r_cat"), F.col("norm_title").alias("r_title"), "ord", "uid").withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth")
     own = W.partitionBy("platform", "s_cat", "s_title")
-    best = scored.join(first, ["platform", "r_cat", "r_title"]).withColumn("_n", F.row_number().over(own.orderBy(F.desc("coarse"), "first"))).filter(F.col("_n") <= n).drop("_n", "first")
-    rough = best.join(entry.drop("nth"), ["platform", "r_cat", "r_title"]).withColumn("place", F.row_number().over(own.orderBy(F.desc("coarse"), "ord"))).filter(F.col("place") <= n)
-    rough = rough.select("platform", F.col("s_cat").alias("category"), F.col("s_title").alias("norm_title"), "coarse", "place", F.col("uid").alias("rival_uid"))
-    detail = rivals.select("platform", F.col("uid").alias("rival_uid"), F.struct("norm_title", "spec", "variants", "line").alias("r"))
-    both = pending.join(rough, ["platform", "category", "norm_title"]).join(detail, ["platform", "rival_uid"]).filter(~X.variant_conflict(F.col("variants"), F.col("r.variants")))
-    base = M.text_score(F.col("coarse"), F.col("norm_title"), F.col("r.norm_title"))
-    both = both.withColumns({"base": base, "by_spec": M.spec_penalty(F.col("spec"), F.col("r.spec"), config.spec_penalty), "note": M.spec_note(F.col("spec"), F.col("r.spec")), "by_line": X.line_mismatch(F.col("line"), F.col("r.line"))})
-    penalty = F.when(F.col("by_line") != "", F.col("by_spec") + M.LINE_PENALTY).otherwise(F.col("by_spec"))
-    noted = F.when(F.col("note") != "", F.concat(F.lit("，"), "note", F.lit(" 扣 "), F.format_string("%.1f", "by_spec"))).otherwise("")
-    lined = F.when(F.col("by_line") != "", F.concat(F.lit("，"), "by_line", F.lit(" 扣 20"))).otherwise("")
-    reason = F.concat(F.lit("文本相似 "), F.format_string("%.1f", "base"), noted, lined)
-    both = both.withColumns({"score": F.greatest(F.lit(0.0), F.col("base") - penalty), "reason": reason})
+    scored = title_pairs(pending, rivals, config.salts).withColumn("coarse", M.token_set_ratio_arrow(F.col("s_title"), F.col("r_title")))
+    best = scored.withColumn("_n", F.row_number().over(own.orderBy(F.desc("coarse"), "first"))).filter(F.col("_n") <= n).drop("_n", "first")
+    best = best.withColumn("base", M.text_score(F.col("coarse"), F.col("s_title"), F.col("r_title")))
+    rough = best.join(entry, ["platform", "r_cat", "r_title"]).withColumn("place", F.row_number().over(own.orderBy(F.desc("coarse"), "ord"))).filter(F.col("place") <= n)
+    # a table, so that its size decides how it's joined to all pending products
+    rough = cut(rough.select("platform", F.col("s_cat").alias("category"), F.col("s_title").alias("norm_title"), "base", "place", F.col("uid").alias("rival_uid")), "coarse")
+    detail = rivals.select("platform", F.col("uid").alias("rival_uid"), F.struct("spec", "variants", "line").alias("r"))
+    near = rough.join(detail, ["platform", "rival_uid"])
+    mine = pending.select("self_uid", "platform", "platform_ord", "category", "norm_title", "spec", "variants", "line")
+    both = mine.join(near, ["platform", "category", "norm_title"]).filter(~X.variant_conflict(F.col("variants"), F.col("r.variants")))
+    both = both.withColumn("by_spec", M.spec_penalty(F.col("spec"), F.col("r.spec"), config.spec_penalty))
+    penalty = F.when(F.col("line") != F.col("r.line"), F.col("by_spec") + M.LINE_PENALTY).otherwise(F.col("by_spec"))
+    both = both.withColumn("score", F.greatest(F.lit(0.0), F.col("base") - penalty))
     rank = F.row_number().over(W.partitionBy("self_uid", "platform").orderBy(F.desc("score"), "place"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= config.top_k).select("self_uid", "platform", "platform_ord", "rank", "rival_uid", "score", "reason")
+    top = both.withColumn("rank", rank).filter(F.col("rank") <= config.top_k)
+    note, by_line = M.spec_note(F.col("spec"), F.col("r.spec")), X.line_mismatch(F.col("line"), F.col("r.line"))
+    noted = X.let(note, lambda t: F.when(t != "", F.concat(F.lit("，"), t, F.lit(" 扣 "), F.format_string("%.1f", "by_spec"))).otherwise(""))
+    lined = F.when(by_line != "", F.concat(F.lit("，"), by_line, F.lit(" 扣 20"))).otherwise("")
+    reason = F.concat(F.lit("文本相似 "), F.format_string("%.1f", "base"), noted, lined)
+    return top.select("self_uid", "platform", "platform_ord", "rank", "rival_uid", "score", reason.alias("reason"))
 
 
 def route(score: Column, config: MatchConfig = MatchConfig()) -> Column:
@@ -176,38 +183,10 @@ def judge_gray(gray: DataFrame, verdicts: DataFrame | None, config: MatchConfig)
     )
 
 
-def describe(title: Column, brand: Column, spec: Column, spec_text: Column, price: Column) -> Column:
-    """One product in the words of a judge's prompt; what is unknown is left out."""
-    size = F.when(S.is_parsed(spec), S.spec_display(spec)).when(spec_text != "", spec_text)
-    parts = [("标题：", title), ("品牌：", F.nullif(brand, F.lit(""))), ("规格：", size), ("售价：", F.concat(F.format_string("%.2f", price), F.lit("元")))]
-    return F.concat_ws(" | ", *[F.when(value.isNotNull(), F.concat(F.lit(name), value)) for name, value in parts[:3]], F.when(price.isNotNull(), F.concat(F.lit("售价："), parts[3][1])))
-
-
-def run_judge(gray: DataFrame, own: DataFrame, rivals: DataFrame, judge: Callable[[list[tuple[str, str]]], dict[int, dict]], batch_size: int = 20, concurrency: int = 4) -> DataFrame:
-    """Verdicts of ``judge`` (a batch of described pairs to {index: {is_match, confidence, reason}}).
-
-    Batches run on ``concurrency`` tasks; a batch that raises ConnectionError, TimeoutError or
-    ValueError gives no verdicts, so its pairs go to review."""
-    text = describe(*(F.col(c) for c in ("title", "brand", "spec", "spec_text", "price")))
-    rows = gray.select("self_uid", "platform", "rival_uid").join(own.select(F.col("uid").alias("self_uid"), text.alias("a")), "self_uid").join(rivals.select(F.col("uid").alias("rival_uid"), text.alias("b")), "rival_uid")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                try:
-                    found = judge(list(zip(part["a"], part["b"])))
-                except (ConnectionError, TimeoutError, ValueError):
-                    found = {}
-                got = [(s, p, bool(v.get("is_match")), float(v.get("confidence", 0.0)), str(v.get("reason", ""))) for k, (s, p) in enumerate(zip(part["self_uid"], part["platform"])) if (v := found.get(k)) is not None]
-                yield pd.DataFrame(got, columns=[f.name for f in C.VERDICT.fields])
-
-    return rows.repartition(concurrency).mapInPandas(run, C.VERDICT)
-
-
-def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConfig(), verdicts: DataFrame | None = None) -> DataFrame:
+def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConfig(), verdicts: DataFrame | None = None, judge: Judge | None = None) -> DataFrame:
     """One pair per own product and platform with data, by the first stage that settles it.
 
+    The grey zone is settled by ``verdicts`` or, where there are none, by asking ``judge``.
     ``own`` and ``rivals`` are read by every stage: give tables, not plans that parse titles."""
     pending = cut(with_platforms(own, rivals), "pending")
     done: DataFrame | None = None
@@ -218,6 +197,9 @@ def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConf
             done = found if done is None else done.unionByName(found)
     best = cut(recall(pending, rivals, config).filter("rank = 1"), "recalled")
     settled, gray = route_best(pending, best, config)
+    if verdicts is None and judge is not None and config.judge == "verdicts":
+        # asked once: a table, not a plan that asks again when it's read again
+        verdicts = cut(adjudicate(gray, own, rivals, judge, config.batch_size, config.concurrency), "verdicts")
     out = settled.unionByName(judge_gray(gray, verdicts, config))
     return out if done is None else done.unionByName(out)
 

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once under ``spark.checkpoint.dir`` (a local folder where it's unset) and read back."""
+    """The same rows, written once under ``spark.checkpoint.dir`` and read back. Only a session on
+    one machine may leave that unset."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tarifa-tables-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

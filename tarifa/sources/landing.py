@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.products import missing_required, project_aliases, to_products
+from ..operators.tables import cut
 
 log = logging.getLogger(__name__)
 SUFFIXES = (".csv", ".xlsx", ".xls", ".json")
@@ -87,7 +88,6 @@ def collect(spark: SparkSession, folder: str, platforms: list[tuple[str, str]],
         return None
     products = to_products(out, lexicon)
     if archive_to:
-        products = products.persist()
-        products.count()
+        products = cut(products, "collected")  # the files go, so their rows must be safe from a lost executor
         archive(used, archive_to)
     return products

@@ -1,10 +1,13 @@
 """The match cascade, its outcome table, and comparison rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tarifa import schemas as C
 from tarifa.operators import compare as P
+from tarifa.operators import judge as J
 from tarifa.operators import matching as M
 from tarifa.operators import products as R
 from tarifa.operators import report as O
@@ -89,13 +92,44 @@ def test_judge_batches_and_failures(spark):
     pending = M.with_platforms(own, rivals)
     _, gray = M.route_best(pending, M.recall(pending, rivals).filter("rank = 1"), M.MatchConfig())
 
-    def judge(pairs):
-        if any("1000ml" in a for a, _ in pairs):
+    def judge(instructions, prompt, schema):
+        assert instructions and schema["required"] == ["results"]
+        if "1000ml" in prompt:
             raise TimeoutError
-        return {0: {"is_match": True, "confidence": 0.8, "reason": pairs[0][0]}}
-
-    rows = M.run_judge(gray, own, rivals, judge, batch_size=1).collect()
-    assert [(r.self_uid, r.is_match, r.reason) for r in rows] == [("self:S1", True, "标题：蒙牛 纯牛奶 250ml*16盒 | 品牌：蒙牛 | 规格：250ml×16 (合计4000ml) | 售价：10.00元")]
+        return json.dumps({"results": [{"index": 0, "is_match": True, "confidence": 0.8, "reason": prompt}, {"index": 7, "is_match": True, "confidence": 1, "reason": ""}]})
+
+    rows = J.adjudicate(gray, own, rivals, judge, batch_size=1).collect()
+    assert [(r.self_uid, r.is_match, r.confidence) for r in rows] == [("self:S1", True, 0.8)]
+    assert "[0]\n  我方商品：标题：蒙牛 纯牛奶 250ml*16盒 | 品牌：蒙牛 | 规格：250ml×16 (合计4000ml) | 售价：10.00元\n  竞品商品：标题：蒙牛 特仑苏" in rows[0].reason
+    pairs = M.match_all(own, rivals, M.MatchConfig(judge="verdicts", batch_size=1), judge=judge).collect()
+    got = {r.self_uid: (r.level, r.need_review) for r in pairs}
+    assert got["self:S1"] == (C.JUDGED, False) and got["self:S2"][0] in (C.FUZZY, C.NONE)
+
+
+def test_answers_of_a_judge():
+    r = {"index": "1", "is_match": 1, "reason": None}
+    assert J.verdicts_of({"results": [r, {"index": 2, "is_match": True}]}, 2) == {1: {"is_match": True, "confidence": 0.0, "reason": ""}}
+    assert J.verdicts_of("{}", 3) == {} and J.load(None) is None and J.load("no.such.module:f") is None and J.load("json:loads") is json.loads
+    for bad in ("no json", '{"results": [{"index": 0}]}', "[1]"):
+        with pytest.raises(J.SOFT):
+            J.verdicts_of(bad, 1)
+
+
+def test_compare_command_asks_the_judge(spark, tmp_path, monkeypatch, capsys):
+    from tarifa import cli
+
+    (tmp_path / "fixture_judge.py").write_text("def answer(instructions, prompt, schema):\n    return {'results': [{'index': 0, 'is_match': '特仑苏' not in prompt, 'confidence': 0.9, 'reason': '产品线不同'}]}\n", encoding="utf-8")
+    spark.sparkContext.addPyFile(str(tmp_path / "fixture_judge.py"))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "self_1.csv").write_text("sku_id,title,price\nS1,蒙牛 纯牛奶 250ml*16盒,60\nS2,农夫山泉 水 550ml,2\n", encoding="utf-8")
+    (inbox / "r_1.csv").write_text("sku_id,title,price\nR1,蒙牛 特仑苏 纯牛奶 250ml*16盒,50\nR2,农夫山泉 水 550ml,1\n", encoding="utf-8")
+    (tmp_path / "c.json").write_text(json.dumps({"competitors": [{"key": "r", "name": "R"}], "ingest": {"inbox_dir": str(inbox), "archive_dir": str(tmp_path / "old")}, "matching": {"llm": {"judge": "fixture_judge:answer"}}, "report": {"output_dir": str(tmp_path / "out"), "html_name": "p.html"}}), encoding="utf-8")
+    assert cli.main(["-c", str(tmp_path / "c.json"), "compare"]) == 0
+    page = (tmp_path / "out/p.html").read_text(encoding="utf-8")
+    assert "AI 判定不匹配：产品线不同" in page and "比价完成：2 个商品，1 个产出有效价差" in capsys.readouterr().out
+    assert not list(inbox.iterdir()) and len(list((tmp_path / "old").iterdir())) == 2
 
 
 def _brute_recall(own, rivals, n, k):
