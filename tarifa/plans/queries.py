@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as C
 from ..functions import similarity as M
+from ..functions.records import at_path
 from ..functions import spec as S
 from ..functions import text as X
 from ..operators import compare as P
@@ -53,6 +54,7 @@ OWN = """own as (
 #: Offers of the rival platforms.
 RIVALS = """rivals as (
   select 'p' || k as platform, k + 1 as platform_ord, p_partkey as ord, 'p' || k || ':' || p_partkey as uid,
+    split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || '【自营】' || (p_size * 10 * case when k = 3 then 2 else 1 end) || '克*' || (p_partkey % 6 + 1) || '袋' as title,
     floor(p_retailprice * (85 + 5 * ((p_partkey + 3 * k) % 8))) / 100 as price, case when k = 2 then '' else p_brand end as brand,
     case when p_partkey % 11 = 0 then '' else p_type end as category,
     case when p_partkey % 14 = 0 then '69' || lpad(p_partkey::varchar, 8, '0') else '' end as barcode,
@@ -85,7 +87,7 @@ ratios as (select a, b, 100.0 - 100.0 * (length(sa) + length(sb) - 2 * n_sort) /
       case when s = '' then 0 else 100.0 - 100.0 * (gap + length(r)) / (2 * length(s) + gap + length(r)) end) end as set_ratio,
     list_distinct(list_transform(range(1, length(replace(a, ' ', ''))), lambda z: substring(replace(a, ' ', ''), z::int, 2))) as ga,
     list_distinct(list_transform(range(1, length(replace(b, ' ', ''))), lambda z: substring(replace(b, ' ', ''), z::int, 2))) as gb from measured),
-scores as (select a, b, sort_ratio, set_ratio, 100.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) as bigrams from ratios)"""
+scores as (select a, b, sort_ratio, set_ratio, len(list_intersect(ga, gb))::double / (len(ga) + len(gb) - len(list_intersect(ga, gb))) * 100 as bigrams from ratios)"""
 PLATFORMS = "platforms as (select platform, min(platform_ord) as platform_ord from rivals group by platform)"
 BY_BARCODE = "by_barcode as (select o.uid as self_uid, r.platform, r.platform_ord, r.uid as rival_uid from own o join rivals r on o.barcode = r.barcode and o.barcode <> '')"
 BY_BRAND = """by_brand as (select o.uid as self_uid, u.platform, u.platform_ord, u.uid as rival_uid, o.norm, u.norm as other
@@ -104,7 +106,7 @@ coarse as (select q.platform, q.category, q.norm, r.uid as rival_uid, r.total as
 cand as (select p.uid as self_uid, p.platform, p.platform_ord, c.rival_uid, c.place, 0.6 * set_ratio + 0.4 * bigrams as base, greatest(p.total, r_total) / least(p.total, r_total) as ratio
   from pending p join coarse c on c.platform = p.platform and c.category = p.category and c.norm = p.norm where place <= 20),
 fine as (select *, greatest(0.0, base - case when ratio <= 1.05 then 0.0 else least(12.0, (ratio - 1.0) / 3.0 * 12.0) end) as score from cand),
-ranked as (select *, row_number() over (partition by self_uid, platform order by round(score, 9) desc, place) as rank from fine)"""
+ranked as (select *, row_number() over (partition by self_uid, platform order by score desc, place) as rank from fine)"""
 PAIRS = """best as (select p.uid as self_uid, p.platform, p.platform_ord, p.ord, r.rival_uid, r.score from pending p left join ranked r on r.self_uid = p.uid and r.platform = p.platform and r.rank = 1),
 routed as (select *, case when rival_uid is null then 'none' when score >= 88 then 'accept' when score < 55 then 'reject' else 'gray' end as way,
     ord % 3 < 2 as has_verdict, ord % 3 = 0 as yes, case when ord % 2 = 0 then 0.9 else 0.6 end as sure from best),
@@ -224,11 +226,11 @@ def clean_title(spark, sf_dir):
 _BRANDS = ["农夫山泉", "三只松鼠", "金典", "President", "某牌", "可口可乐"]
 
 
-@query("""select p_partkey as k, case when p_partkey % 4 = 0 then p_brand else case p_partkey % 6 when 0 then '农夫山泉' when 1 then '三只松鼠' when 2 then '金典' when 3 then 'President' when 4 then '' else '可口可乐' end end as brand from part""")
+@query("""select p_partkey as k, case when p_partkey % 4 = 0 then p_brand else case p_partkey % 6 when 0 then '农夫山泉' when 1 then '三只松鼠' when 2 then '金典' when 3 then 'President' when 4 then '百事可乐' else '可口可乐' end end as brand from part""")
 def extract_brand(spark, sf_dir):
     word = F.element_at(F.array(*[F.lit(b) for b in _BRANDS]), (F.col("k") % 6 + 1).cast("int"))
     declared = F.when(F.col("k") % 4 == 0, text(" ", F.col("p_brand"), " ")).otherwise(" ")
-    return part(spark, sf_dir).select("k", X.extract_brand(X.normalize_text(text(F.col("p_size"), word, "食品 百事可乐")), declared).alias("brand")).withColumn("brand", F.when((F.col("k") % 6 == 4) & (F.col("brand") == "百事可乐"), "").otherwise(F.col("brand")))
+    return part(spark, sf_dir).select("k", X.extract_brand(X.normalize_text(text(F.col("p_size"), word, "食品 百事可乐")), declared).alias("brand"))
 
 
 @query("""select p_partkey as k, case p_partkey % 5 when 0 then '面条' when 1 then '肉类' when 2 then '牛奶' when 3 then p_type else '' end as category from part""")
@@ -257,26 +259,31 @@ def product_line_mismatch(spark, sf_dir):
 
 
 def _titles(spark, sf_dir) -> DataFrame:
+    """The distinct titles that meet in a pool of candidates."""
     own, rivals = K.sides(spark, sf_dir)
-    return own.select(F.col("norm_title").alias("a")).distinct().join(F.broadcast(rivals.select(F.col("norm_title").alias("b")).distinct()))
+    return J.title_pairs(J.with_platforms(own, rivals), rivals).select(F.col("s_title").alias("a"), F.col("r_title").alias("b")).distinct()
 
 
-@query(over(OWN, RIVALS, RATIOS) + "select a, b, round(bigrams, 6) as s from scores")
+#: Those titles in SQL.
+MET = "met as (select distinct a, b from (select distinct norm as a, category from own) o join (select distinct norm as b, category from rivals) r on r.category = '' or r.category = o.category)"
+
+
+@query(over(OWN, RIVALS, RATIOS, MET) + "select a, b, round(bigrams, 6) as s from scores join met using (a, b)")
 def bigram_jaccard(spark, sf_dir):
     return _titles(spark, sf_dir).select("a", "b", F.round(M.bigram_similarity(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@query(over(OWN, RIVALS, RATIOS) + "select a, b, round(sort_ratio, 6) as s from scores")
+@query(over(OWN, RIVALS, RATIOS, MET) + "select a, b, round(sort_ratio, 6) as s from scores join met using (a, b)")
 def token_sort_ratio(spark, sf_dir):
     return _titles(spark, sf_dir).select("a", "b", F.round(M.token_sort_ratio(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@query(over(OWN, RIVALS, RATIOS) + "select a, b, round(set_ratio, 6) as s from scores")
+@query(over(OWN, RIVALS, RATIOS, MET) + "select a, b, round(set_ratio, 6) as s from scores join met using (a, b)")
 def token_set_ratio(spark, sf_dir):
     return _titles(spark, sf_dir).select("a", "b", F.round(M.token_set_ratio(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@query(over(OWN, RIVALS, RATIOS) + "select a, b, round(set_ratio, 6) as s from scores")
+@query(over(OWN, RIVALS, RATIOS, MET) + "select a, b, round(set_ratio, 6) as s from scores join met using (a, b)")
 def token_set_ratio_arrow(spark, sf_dir):
     return _titles(spark, sf_dir).select("a", "b", F.round(M.token_set_ratio_arrow(F.col("a"), F.col("b")), 6).alias("s"))
 
@@ -319,7 +326,7 @@ def derive_sku(spark, sf_dir):
 
 @query("""select event_id, cast(json_extract_string(props, '$.k') as bigint) as v from events""")
 def json_path(spark, sf_dir):
-    return K.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("v"))
+    return K.table(spark, sf_dir, "events").select("event_id", at_path(F.col("props"), "k").cast("long").alias("v"))
 
 
 @query(over(OWN, RIVALS) + "select 'self' as platform, count(*) as products from own union all select platform, count(*) from rivals group by platform")
@@ -447,10 +454,10 @@ def top_n(spark, sf_dir):
     return O.top_gaps(K.rows(spark, sf_dir).withColumn("diff_rate", F.round("diff_rate", 9)), 20).select("uid", six("diff_rate"))
 
 
-@query(ROWS + """select o.ord::varchar as sku, p.platform, case when p.rival_uid is null then '（判定为不匹配）' else 'x' end as rival, p.level from pairs p join own o on o.uid = p.self_uid where p.need_review""")
+@query(ROWS + """select o.ord::varchar as sku, o.title, p.platform, case when p.rival_uid is null then '（判定为不匹配）' else r.title end as rival, p.level, round(p.score, 1) as score, round(p.confidence, 2) as sure from pairs p join own o on o.uid = p.self_uid left join rivals r on r.uid = p.rival_uid where p.need_review""")
 def review_export(spark, sf_dir):
     r = O.review_rows(K.rows(spark, sf_dir))
-    return r.select(F.col("我方SKU").alias("sku"), F.col("竞品平台").alias("platform"), F.when(F.col("竞品商品") == "（判定为不匹配）", F.col("竞品商品")).otherwise("x").alias("rival"), F.col("匹配层级").alias("level"))
+    return r.select(*[F.col(c).alias(n) for c, n in {"我方SKU": "sku", "我方商品": "title", "竞品平台": "platform", "竞品商品": "rival", "匹配层级": "level", "相似度": "score", "置信度": "sure"}.items()])
 
 
 @query(ROWS + """select o.ord::varchar as sku_id, k.key as platform, coalesce(p.rival_uid is not null, false) as matched, round(r.price, 6) as price, p.level as level
