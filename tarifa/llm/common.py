@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 CHUNK_BYTES = 4 << 20
 #: What one range of the hash space, held in memory by one task, receives at most on average.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 32 << 20
 
 _made: list[str] = []
 
