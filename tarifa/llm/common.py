@@ -8,6 +8,7 @@ may leave it unset. ``released`` deletes the scratch tables of work whose result
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import functools
 import math
 import tempfile
@@ -25,7 +26,7 @@ CHUNK_BYTES = 4 << 20
 #: What one range of the hash space, held in memory by one task, receives at most on average.
 RANGE_BYTES = 32 << 20
 
-_made: list[str] = []
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,7 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,13 +55,20 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at the end, the scratch tables made inside; nothing may read them later."""
-    first = len(_made)
-    yield
-    for path in _made[first:]:
-        remove(spark, path)
-    del _made[first:]
+def released(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes, at the end, the scratch tables written inside, but for those of the names in
+    ``keep``: nothing that's used later may read the others."""
+    outer, made = _made.get(), []
+    before = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for path in made:
+            if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
+                remove(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -282,7 +282,8 @@ def digest(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """documents without those that hold a benchmark window."""
     rows, row = C.with_row_ids(docs)
-    bad = matches(rows, items, id_col=row).filter("n_hit > 0").select(F.col("doc_id").alias(row)).distinct()
+    with C.released(docs.sparkSession, "gone"):
+        bad = C.written(matches(rows, items, id_col=row).filter("n_hit > 0").select(F.col("doc_id").alias(row)), "gone")
     return rows.join(bad, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -282,10 +282,8 @@ def representatives(keys: DataFrame) -> DataFrame:
     return first.select(F.col("f.row_id").alias("row_id"), "host", "f.path", "f.page_id", "f.url", "same")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and the main text of every page."""
-    cuts = _cut_pages(pages)
-    keys = cuts.select("chunk", F.explode("keys").alias("k")).select("chunk", "k.*").filter(F.size("lines") > 0)
+def _shared(keys: DataFrame) -> DataFrame:
+    """(host, same, gone): of each representative, the positions of the lines that go."""
     # as tables, so that their sizes are known before they are joined
     near = C.written(nearest(C.written(representatives(keys), "representatives")), "nearest")
     theirs = near.join(keys.select(F.col("row_id").alias("near_id"), "lines"), "near_id").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("nth", "lines"))).alias("near"))
@@ -296,7 +294,15 @@ def extract(pages: DataFrame) -> DataFrame:
             gone = [site_lines(r["lines"], r["inside"], r["sizes"], r["near"]) for r in batch.select(["lines", "inside", "sizes", "near"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("same"), pa.array(gone, pa.list_(pa.int32()))], names=["host", "same", "gone"])
 
-    gone = C.written(pairs.mapInArrow(differ, "host string, same binary, gone array<int>").filter(F.size("gone") > 0), "site-lines")
+    return pairs.mapInArrow(differ, "host string, same binary, gone array<int>").filter(F.size("gone") > 0)
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url and the main text of every page."""
+    cuts = _cut_pages(pages)
+    keys = cuts.select("chunk", F.explode("keys").alias("k")).select("chunk", "k.*").filter(F.size("lines") > 0)
+    with C.released(pages.sparkSession, "site-lines"):
+        gone = C.written(_shared(keys), "site-lines")
     cut = keys.select("chunk", "row_id", "host", "same").join(gone, ["host", "same"])
     cut = cut.groupBy("chunk").agg(F.collect_list(F.struct("row_id", "gone")).alias("gone"))  # a chunk has 1 MB of pages or one page
 

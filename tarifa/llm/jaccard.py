@@ -267,6 +267,11 @@ def links_between(reps: DataFrame, percent: int = PERCENT, block: int = BLOCK, s
     """(u, v): links among class representatives that connect all that are connected.
 
     ``sent`` gets the number of sets that each round sends to tasks."""
+    with C.released(reps.sparkSession, "links"):
+        return _links_between(reps, percent, block, sent)
+
+
+def _links_between(reps: DataFrame, percent: int, block: int, sent: list[int] | None) -> DataFrame:
     sets = reps.select("rep", "n", "tokens")
     member = _groups(reps)
     blocks = member.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -322,6 +327,11 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     most half of the roots. It ends when no edge is left; ``most`` rounds can't be reached by
     64-bit ids, and reaching them raises.
     """
+    with C.released(edges.sparkSession, "components"):
+        return C.written(_components(edges, most), "components")
+
+
+def _components(edges: DataFrame, most: int) -> DataFrame:
     both = C.written(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), "edges")
     label = both.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
     live = both.filter("u <> v")
@@ -364,8 +374,9 @@ def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id per row."""
-    sets = shingles(docs, width, percent, id_col, text_col)
-    found = linked(sets, percent).filter("class_id <> doc_id or component_id <> doc_id")
+    with C.released(docs.sparkSession, "shingles", "linked"):
+        sets = shingles(docs, width, percent, id_col, text_col)
+        found = C.written(linked(sets, percent).filter("class_id <> doc_id or component_id <> doc_id"), "linked")
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     own = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
     return out.select(own("doc_id").alias("doc_id"), "n_shingles", *[F.coalesce(own(c), own("doc_id")).alias(c) for c in ("class_id", "component_id")])
@@ -378,10 +389,11 @@ def digest(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame, width: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """documents with one of each group of linked ones, that of the smallest doc_id."""
     rows, row = C.with_row_ids(docs)
-    group = linked(shingles(rows, width, percent, row), percent).select(F.col("doc_id").alias(row), "component_id")
-    group = C.written(group.join(rows.select(row, F.col("doc_id").cast("long").alias("own")), row), "linked")
-    kept = group.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
-    gone = group.select(row).join(kept, row, "left_anti")
+    with C.released(docs.sparkSession, "gone"):
+        group = linked(shingles(rows, width, percent, row), percent).select(F.col("doc_id").alias(row), "component_id")
+        group = C.written(group.join(rows.select(row, F.col("doc_id").cast("long").alias("own")), row), "linked")
+        kept = group.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+        gone = C.written(group.select(row).join(kept, row, "left_anti"), "gone")
     return rows.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

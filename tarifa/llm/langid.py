@@ -128,10 +128,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """From text and lang of a bounded sample of the labelled rows that aren't held out."""
     rows = bounded(docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), sample_rows)
     words = rows.select("lang", "text").mapInArrow(_count(lambda r: ((r[0], w, 1) for w in _LETTERS.findall(r[1].lower()))), _COUNTED)
-    words = C.written(words.groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+    with C.released(docs.sparkSession):
+        words = C.written(words.groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+        return Model(words.toArrow(), _grams(words).toArrow())
+
+
+def _grams(words: DataFrame) -> DataFrame:
     grams = words.mapInArrow(_count(lambda r: ((r[0], g, r[2]) for size in range(1, LONGEST + 1) for g in grams_of(r[1], size) if g != " ")), _COUNTED)
-    grams = grams.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return Model(words.toArrow(), grams.toArrow())
+    return grams.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 class Predictor:

@@ -245,10 +245,11 @@ def _chunks_of(blob: bytes, sizes: list[int]) -> list[bytes]:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    store = Store(docs, id_col, text_col)
-    # a document whose digest no rebuilt medium has fails the query
-    size = F.coalesce("payload_bytes", F.raise_error(F.lit("a rebuilt medium differs from the one stored")).cast("long")).alias("payload_bytes")
-    found = C.written(store.documents().withColumn("payload_bytes", size), "media-values")
-    store.close()
+    with C.released(docs.sparkSession, "media-values"):
+        store = Store(docs, id_col, text_col)
+        # a document whose digest no rebuilt medium has fails the query
+        size = F.coalesce("payload_bytes", F.raise_error(F.lit("a rebuilt medium differs from the one stored")).cast("long")).alias("payload_bytes")
+        found = C.written(store.documents().withColumn("payload_bytes", size), "media-values")
+        store.close()
     hexed = lambda c, to: F.lower(F.hex(c)).alias(to)
     return found.select(F.col("doc_id").alias(id_col), "n_bytes", "payload_bytes", hexed("payload_sha256", "payload_sha256"), "tail_crc32", "media_bytes", hexed("media_id", "media_sha256"), "feature")

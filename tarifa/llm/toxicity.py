@@ -144,6 +144,11 @@ def train(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rate: f
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    with C.released(docs.sparkSession):
+        return _fit(docs, labels, prior, positives, unlabelled)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, prior: float | None, positives: int, unlabelled: int) -> Model:
     rows = docs.filter(~held_out()).select("doc_id", "text")
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic = bounded(known.filter("toxic = 1"), positives)
