@@ -67,6 +67,16 @@ def _ranges(chars: str) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
+@functools.cache
+def _unchanged() -> str:
+    """A character class of all but the runs, of characters that stay as they are, around some
+    frequent ones: most text has none of it, and a class of few ranges is cheap."""
+    one, _, several = _compatibility()
+    moved = sorted({*map(ord, one), *map(ord, several)})
+    runs = {(a + 1, b - 1) for a, b in zip([-1, *moved], [*moved, 0x10000]) for char in "a×é【中ア" if a < ord(char) < b}
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(runs)) + "]"
+
+
 def nfkc(c: Column) -> Column:
     """Compatibility normalisation, character by character (marks that follow a letter aren't joined to it)."""
     one, to, several = _compatibility()
@@ -76,7 +86,7 @@ def nfkc(c: Column) -> Column:
         return F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
     some = F.when(c.rlike(_ranges("".join(several))), wide(c)).otherwise(c)
-    return F.when(c.rlike(_ranges(one + "".join(several))), F.translate(some, one, to)).otherwise(c)
+    return F.when(c.rlike(_unchanged()), F.translate(some, one, to)).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:

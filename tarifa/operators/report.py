@@ -126,19 +126,33 @@ def write_review_csv(rows: DataFrame, path: str) -> int:
     return n
 
 
-_PAGE = Template("""<!doctype html><html lang="zh"><head><meta charset="utf-8"><title>$title</title>
-<style>body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px 8px;text-align:left}
-.kpi span{display:inline-block;margin-right:2em}.critical{color:#b00}.serious{color:#c60}.good{color:#070}.muted{color:#888}</style></head><body>
-<h1>$title</h1><p>$generated</p><p class="kpi">$kpi</p>
-<h2>价差分布</h2><table>$histogram</table><h2>平台</h2><table>$platforms</table><h2>价差 TOP</h2><table>$top</table>
-<h2>明细</h2><p><input id="q" placeholder="搜索"> <select id="a"><option value="">全部动作</option>$actions</select>
-<select id="c"><option value="">全部品类</option>$categories</select> <label><input type="checkbox" id="r">待复核</label></p><table id="rows"></table>
+_PAGE = Template("""<!doctype html><html lang="zh"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width"><title>$title</title>
+<style>:root{--critical:#b3261e;--serious:#b5620a;--neutral:#3d4a5c;--good:#1f7a3a;--muted:#8a8f98}
+body{font:14px/1.5 system-ui,sans-serif;max-width:1100px;margin:2em auto;padding:0 1em;color:#222}table{border-collapse:collapse;width:100%}td,th{border-bottom:1px solid #ddd;padding:4px 8px;text-align:left}
+.cards{display:flex;flex-wrap:wrap;gap:12px}.cards div{border:1px solid #ddd;border-radius:8px;padding:8px 16px}.cards b{display:block;font-size:20px}
+.bar{display:grid;grid-template-columns:9em 1fr 4em;gap:8px;align-items:center}.bar i{display:block;height:14px;background:#5b7aa8;border-radius:3px}.bar.up i{background:var(--critical)}.bar.down i{background:var(--good)}
+.critical{color:var(--critical);font-weight:600}.serious{color:var(--serious)}.neutral{color:var(--neutral)}.good{color:var(--good)}.muted{color:var(--muted)}
+tr.row{cursor:pointer}td.panel{background:#f7f8fa}.flag{background:#fff3cd;border-radius:3px;padding:0 4px}form{display:flex;gap:8px;margin:8px 0}</style></head><body>
+<h1>$title</h1><p class="muted">$generated</p><div class="cards">$kpi</div>
+<h2>价差分布</h2>$histogram<h2>建议动作</h2><div class="cards">$counts</div><h2>平台</h2><table><tr><th>平台</th><th>参与</th><th>匹配</th><th>匹配率</th><th>平均价差</th></tr>$platforms</table>
+<h2>价差 TOP</h2><table>$top</table>
+<h2>明细</h2><form onsubmit="return false"><input id="q" placeholder="搜索商品或品牌"><select id="a"><option value="">全部动作</option>$actions</select>
+<select id="c"><option value="">全部品类</option>$categories</select><label><input type="checkbox" id="r">待复核</label><span id="n" class="muted"></span></form>
+<table><thead><tr><th>SKU</th><th>商品</th><th>规格</th><th>售价</th><th>单价</th><th>对标</th><th>对标价</th><th>价差</th><th>动作</th><th>说明</th></tr></thead><tbody id="rows"></tbody></table>
 <script type="application/json" id="data">$data</script>
 <script>
 const rows=JSON.parse(document.getElementById('data').textContent),box=id=>document.getElementById(id);
-function show(){const q=box('q').value.toLowerCase(),a=box('a').value,c=box('c').value,r=box('r').checked,t=box('rows');t.replaceChildren();
-for(const x of rows){if(q&&!(x.title+' '+x.brand).toLowerCase().includes(q)||a&&x.action!==a||c&&x.category!==c||r&&!x.rivals.some(y=>y.matched&&y.need_review))continue;
-const tr=t.insertRow();for(const v of [x.sku_id,x.title,x.spec,x.price,x.benchmark_platform,x.benchmark_price,x.diff_rate===null?'':(100*x.diff_rate).toFixed(1)+'%',x.action,x.notes.join('；')])tr.insertCell().textContent=v===null?'':v;tr.className=x.action_kind}}
+const money=v=>v===null?'—':'¥'+v.toFixed(2),each=(v,l)=>v===null?'—':v.toFixed(2)+' '+l,rate=v=>v===null?'—':(v>0?'+':'')+(100*v).toFixed(1)+'%';
+const cell=(tr,text,kind)=>{const td=tr.insertCell();td.textContent=text;if(kind)td.className=kind;return td};
+const review=x=>x.rivals.some(y=>y.matched&&y.need_review);
+function panel(x){const t=document.createElement('table');for(const y of x.rivals){const tr=t.insertRow();cell(tr,y.name);if(!y.matched){cell(tr,y.reason,'muted').colSpan=6;continue}
+const name=cell(tr,'');if(/^https?:/.test(y.url||'')){const a=document.createElement('a');a.href=y.url;a.rel='noopener';a.target='_blank';a.textContent=y.title;name.append(a)}else name.textContent=y.title;
+cell(tr,y.spec);cell(tr,money(y.price));cell(tr,each(y.unit_price,x.unit_label));cell(tr,y.level+' · '+y.score+' · '+y.confidence);const why=cell(tr,y.reason);if(y.need_review){const f=document.createElement('span');f.className='flag';f.textContent='待复核';why.prepend(f,' ')}}return t}
+function show(){const q=box('q').value.toLowerCase(),a=box('a').value,c=box('c').value,r=box('r').checked,body=box('rows');let n=0;body.replaceChildren();
+for(const x of rows){if(q&&!(x.title+' '+x.brand).toLowerCase().includes(q)||a&&x.action!==a||c&&x.category!==c||r&&!review(x))continue;n++;
+const tr=body.insertRow();tr.className='row';cell(tr,x.sku_id);cell(tr,x.title);cell(tr,x.spec);cell(tr,money(x.price));cell(tr,each(x.unit_price,x.unit_label));cell(tr,x.benchmark_platform||'—');cell(tr,money(x.benchmark_price));cell(tr,rate(x.diff_rate),x.action_kind);cell(tr,x.action,x.action_kind);cell(tr,x.notes.join('；'),'muted');
+tr.onclick=()=>{const next=tr.nextSibling;if(next&&next.className==='open'){next.remove();return}const p=document.createElement('tr');p.className='open';const td=p.insertCell();td.colSpan=10;td.className='panel';td.append(panel(x));tr.after(p)}}
+box('n').textContent=n+' / '+rows.length}
 for(const id of ['q','a','c','r'])box(id).addEventListener('input',show);show();
 </script></body></html>""")
 
@@ -155,11 +169,18 @@ def render_html(rows: DataFrame, competitors: list[tuple[str, str]], path: str,
     names = spark.createDataFrame(competitors or [("", "")], "key string, name string").filter("key <> ''")
     per = [[r["name"], r["total"], r["matched"], f"{100 * r['match_rate']:.0f}%", "" if r["avg_diff_rate"] is None else f"{100 * r['avg_diff_rate']:+.1f}%"] for r in platform_summary(rows, names).collect()]
     payload = [json.loads(r[0]) for r in row_payload(rows, competitors).orderBy("ord").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
+    bins = diff_histogram(rows).orderBy("bin").collect()
+    most = max((r["n"] for r in bins), default=0) or 1
+    side = lambda k: "up" if k > len(EDGES) // 2 else "down" if k < len(EDGES) // 2 else ""
+    bars = "".join(f'<div class="bar {side(r["bin"])}"><span>{r["label"]}</span><i style="width:{100 * r["n"] // most}%"></i><span>{r["n"]}</span></div>' for r in bins)
+    kinds = {r["action"]: (r["n"], r["kind"]) for r in action_counts(rows).withColumn("kind", action_kind(F.col("action"))).collect()}
+    card = lambda name, value, kind="": f'<div>{html.escape(name)}<b class="{kind}">{html.escape(str(value))}</b></div>'
+    shown = {"商品": kpi["total"], "已匹配": f"{kpi['matched']} ({100 * kpi['match_rate']:.0f}%)", "有效价差": kpi["priced"], "我方偏高": kpi["higher"], "我方偏低": kpi["lower"], "平均价差": "—" if kpi["avg_diff_rate"] is None else f"{100 * kpi['avg_diff_rate']:+.1f}%", "待复核": kpi["need_review"]}
     top = [[r["title"], f"{100 * r['diff_rate']:+.1f}%", r["action"]] for r in top_gaps(rows, top_n).select("title", "diff_rate", "action").collect()]
     options = lambda values: "".join(f"<option>{html.escape(v)}</option>" for v in values)
     page = _PAGE.substitute(
-        title=html.escape(title), generated=datetime.now().strftime("%Y-%m-%d %H:%M"), kpi="".join(f"<span>{k}: {v}</span>" for k, v in kpi.items()),
-        histogram=_cells([[r["label"], r["n"]] for r in diff_histogram(rows).orderBy("bin").collect()]), platforms=_cells(per), top=_cells(top),
+        title=html.escape(title), generated=datetime.now().strftime("%Y-%m-%d %H:%M"), kpi="".join(card(k, v) for k, v in shown.items()),
+        histogram=bars, counts="".join(card(k, n, kind) for k, (n, kind) in kinds.items()), platforms=_cells(per), top=_cells(top),
         actions=options(sorted({r["action"] for r in payload})), categories=options(sorted({r["category"] for r in payload})), data=json.dumps(payload, ensure_ascii=False).replace("</", "<\\/"),
     )
     Path(path).parent.mkdir(parents=True, exist_ok=True)
