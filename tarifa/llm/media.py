@@ -7,12 +7,16 @@ wherever they stand. Documents are read in containers, one row each: distinct ch
 together), their digests, and for each distinct medium the ordered list of its chunks.
 
 Digests of all containers are joined to find chunks that several of them hold; the first
-container keeps such a chunk and the others' lists point to it. Containers lie in a table
-bucketed by their key, so joining small lists to them moves no payload. Media whose
-chunks are all at home are rebuilt there; the chunks that others need are exported once
-each, joined to the lists that name them, and ordered by place. Every rebuilt payload is
-checked against the digest taken before storing. Equal payloads are one medium, rebuilt
-once, and its values are joined to all documents.
+container keeps such a chunk and the others take it from there: it's exported once, joined to
+the containers whose lists name it, and travels to them. Containers lie in a table bucketed by
+their key, so joining lists and chunks to them moves no container. There each medium is put
+together from its ordered list; every rebuilt WAV is checked against the digest taken before
+storing, and all values come from its bytes. Equal payloads are one medium, rebuilt once; its
+values are joined to the containers that have it, then there to its documents, so a medium of
+very many documents is no hot key.
+
+The containers' files lie in the shared folder; their table leaves the catalogue once its plan
+is made.
 
 Defined cases: null and empty texts are 64 zero bytes; repeated rows each get a row; an
 empty table gives an empty result.
@@ -106,9 +110,9 @@ _RESULT_KINDS = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), p
 _RESULT_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
 
-def _rebuilt(parts: list[bytes], media_id: bytes | None = None) -> tuple:
+def _rebuilt(parts: list[bytes], media_id: bytes) -> tuple:
     found = describe(b"".join(parts))
-    if media_id is not None and found[0] != media_id:
+    if found[0] != media_id:
         raise RuntimeError("a rebuilt medium differs from the one stored")
     return found
 
@@ -137,34 +141,31 @@ class Store:
         rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(fill, schema)
         rows.write.format("parquet").option("path", self.path).bucketBy(C.shuffle_partitions(self.spark), "cont").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
+        self.spark.sql(f"DROP TABLE {self.name}")  # the plan knows the files and their buckets
         # each medium's home is the least container that has it
         media = self.table.select("cont", "digests", F.posexplode("media").alias("m", "x"))
         digests = F.transform("x.chunks", lambda c: F.substring("digests", c * DIGEST + 1, F.lit(DIGEST)))
         media = media.select(F.col("x.id").alias("media_id"), (F.shiftleft("cont", 20) + F.col("m")).alias("home"), digests.alias("digests"))
         home = media.groupBy("media_id").agg(F.min("home").alias("home"), F.first("digests").alias("digests"))
         self.home = C.written(home.select("home", "digests"), "media")
-        cont = F.shiftright("home", 20).alias("cont")
-        refs = self.home.select("home", F.posexplode("digests").alias("pos", "digest"))
+        used = self.home.select(F.shiftright("home", 20).alias("cont"), F.explode("digests").alias("digest")).distinct()
         # chunks that several containers hold belong to the least
-        held = refs.select("digest", cont).groupBy("digest").agg(F.min("cont").alias("at"), F.max("cont").alias("other")).filter("at <> other").select("digest", "at")
-        moved = C.written(refs.join(held, "digest").filter(cont != F.col("at")).select("home", "pos", "at"), "shared-chunks")
-        self.incomplete = moved.select("home").distinct()
-        lists = self.home.join(self.incomplete, "home").select("home", F.posexplode("digests").alias("pos", "digest"))
-        self.refs = C.written(lists.join(moved, ["home", "pos"], "left").select("home", "pos", "digest", F.coalesce("at", cont).alias("cont")), "chunk-lists")
+        held = used.groupBy("digest").agg(F.min("cont").alias("at"), F.max("cont").alias("other")).filter("at <> other").select("digest", "at")
+        self.shared = C.written(used.join(held, "digest").filter(F.col("cont") != F.col("at")), "shared-chunks")
 
     def chunk_counts(self) -> DataFrame:
         """(listed, distinct): chunks of all distinct media, and of those the ones stored once."""
         return self.home.select(F.explode("digests").alias("d")).agg(F.count("*").alias("listed"), F.countDistinct("d").alias("distinct"))
 
     def exported(self) -> DataFrame:
-        """(digest, bytes) of every chunk that a list of another container names, once."""
-        wanted = self.refs.groupBy("cont").agg(F.collect_set("digest").alias("wanted"))
+        """(digest, bytes) of every chunk that another container takes, once."""
+        wanted = self.shared.groupBy(F.col("at").alias("cont")).agg(F.collect_set("digest").alias("wanted"))
 
         def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in _rows(batch):
                     chunks = _chunks_of(r["blob"], r["sizes"])
-                    place = {r["digests"][DIGEST * k : DIGEST * (k + 1)]: k for k in range(len(chunks))}
+                    place = {d: k for k, d in enumerate(_digests_of(r["digests"]))}
                     yield from _batch([(bytes(d), chunks[place[bytes(d)]]) for d in r["wanted"]], (pa.binary(), pa.binary()), ["digest", "bytes"])
 
         return self.table.join(wanted, "cont").select("blob", "sizes", "digests", "wanted").mapInArrow(give, "digest binary, bytes binary")
@@ -172,25 +173,20 @@ class Store:
     def read(self) -> DataFrame:
         """Every distinct medium rebuilt from its ordered chunks, verified and described."""
         place = F.col("home").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-        local = self.home.select("home").join(self.incomplete, "home", "left_anti").groupBy(F.shiftright("home", 20).alias("cont")).agg(F.collect_set(place).alias("local"))
+        local = self.home.groupBy(F.shiftright("home", 20).alias("cont")).agg(F.collect_set(place).alias("local"))
+        taken = self.shared.select("cont", "digest").join(self.exported(), "digest").groupBy("cont").agg(F.collect_list(F.struct("digest", "bytes")).alias("taken"))
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    chunks = _chunks_of(r["blob"], r["sizes"])
+                for r in _rows(batch):
+                    chunks, theirs = _chunks_of(r["blob"], r["sizes"]), {bytes(t["digest"]): t["bytes"] for t in r["taken"] or []}
+                    for k, d in enumerate(_digests_of(r["digests"])):
+                        chunks[k] = theirs.get(d, chunks[k])
                     media = [r["media"][m] for m in r["local"]]
                     yield from _batch([_rebuilt([chunks[c] for c in m["chunks"]], m["id"]) for m in media], _RESULT_KINDS, _RESULT_NAMES)
 
-        at_home = self.table.join(local, "cont").select("blob", "sizes", "media", "local").mapInArrow(rebuild, _RESULT)
-
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    rows = batch.slice(at, 256).to_pylist()
-                    yield from _batch([_rebuilt([p["bytes"] for p in r["parts"]]) for r in rows], _RESULT_KINDS, _RESULT_NAMES)
-
-        parts = self.refs.join(self.exported(), "digest").groupBy("home").agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
-        return at_home.unionByName(parts.mapInArrow(gather, _RESULT))
+        rows = self.table.join(local, "cont").join(taken, "cont", "left")
+        return rows.select("blob", "sizes", "digests", "media", "local", "taken").mapInArrow(rebuild, _RESULT)
 
     def documents(self) -> DataFrame:
         """doc_id, n_bytes and the values of the document's medium."""
@@ -199,11 +195,6 @@ class Store:
         rows = self.table.select("cont", F.explode("docs").alias("d")).select("cont", "d.m", "d.doc_id", "d.n_bytes")
         return rows.join(values, ["cont", "m"]).drop("cont", "m")
 
-    def close(self) -> None:
-        """Drops the table of containers; what was made of it must have been written."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        C.remove(self.spark, self.path)
-
 
 def _container(key: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     raw, off = C.text_bytes(batch.column("t"))
@@ -244,12 +235,19 @@ def _chunks_of(blob: bytes, sizes: list[int]) -> list[bytes]:
     return [data[e - n : e] for e, n in zip(ends, sizes)]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time, as each holds megabytes."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _digests_of(joined: bytes) -> list[bytes]:
+    return [joined[k : k + DIGEST] for k in range(0, len(joined), DIGEST)]
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    with C.released(docs.sparkSession, "media-values"):
-        store = Store(docs, id_col, text_col)
-        # a document whose digest no rebuilt medium has fails the query
-        size = F.coalesce("payload_bytes", F.raise_error(F.lit("a rebuilt medium differs from the one stored")).cast("long")).alias("payload_bytes")
-        found = C.written(store.documents().withColumn("payload_bytes", size), "media-values")
-        store.close()
+    found = Store(docs, id_col, text_col).documents()
+    # a document whose digest no rebuilt medium has fails the query
+    size = F.coalesce("payload_bytes", F.raise_error(F.lit("a rebuilt medium differs from the one stored")).cast("long")).alias("payload_bytes")
     hexed = lambda c, to: F.lower(F.hex(c)).alias(to)
-    return found.select(F.col("doc_id").alias(id_col), "n_bytes", "payload_bytes", hexed("payload_sha256", "payload_sha256"), "tail_crc32", "media_bytes", hexed("media_id", "media_sha256"), "feature")
+    return found.select(F.col("doc_id").alias(id_col), "n_bytes", size, hexed("payload_sha256", "payload_sha256"), "tail_crc32", "media_bytes", hexed("media_id", "media_sha256"), "feature")

@@ -352,9 +352,8 @@ def test_media(spark, rows, empty):
     assert {tuple(x)[:7] for x in got} == want and len(got) == len(rows) + 2
     store = media.Store(docs)
     n = store.chunk_counts().first()
-    assert n.listed > n.distinct and store.refs.count() > 0
-    assert media.digest(empty).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("media_") and t.name != store.name]
-    store.close()
+    assert n.listed > n.distinct and store.shared.count() > 0 and store.exported().count() > 0
+    assert media.digest(empty).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("media_")]
 
 
 def test_cuts_follow_the_content():
