@@ -132,10 +132,22 @@ def token_set(a: str, b: str) -> float:
     return best
 
 
+MEMO = 100_000
+
+
 def _pairwise(score):
+    """Scores of two columns; a task remembers up to MEMO pairs, as titles meet on many platforms."""
+
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[tuple[str, str], float] = {}
         for a, b in batches:
-            yield pd.Series([score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+            pairs = list(zip(a.fillna(""), b.fillna("")))
+            if len(known) > MEMO:
+                known.clear()
+            for pair in set(pairs):
+                if pair not in known:
+                    known[pair] = score(*pair)
+            yield pd.Series([known[pair] for pair in pairs], dtype="float64")
 
     return run
 

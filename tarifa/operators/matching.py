@@ -18,7 +18,7 @@ from ..functions import similarity as M
 from ..functions import spec as S
 from ..functions import text as X
 from .judge import Judge, adjudicate
-from .tables import cut
+from .tables import cut, spread
 
 TITLE_FLOOR = 60.0
 
@@ -76,7 +76,7 @@ def match_brand_spec(pending: DataFrame, rivals: DataFrame) -> DataFrame:
     variants or product lines and with titles alike enough."""
     keys = ["platform", "k_brand", "category", "k_unit", "k_total"]
     one = _keyed(rivals).groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct("uid", "norm_title", "variants", "line")).alias("r")).filter("n = 1")
-    both = _keyed(pending).join(one, keys)
+    both = spread(_keyed(pending), *keys).join(one, keys)
     fit = ~X.variant_conflict(F.col("variants"), F.col("r.variants")) & (F.col("line") == F.col("r.line"))
     alike = M.token_sort_ratio_arrow(F.col("norm_title"), F.col("r.norm_title")) >= TITLE_FLOOR
     reason = F.concat(F.lit("品牌/品类/规格一致（"), "brand", F.lit(" · "), "category", F.lit(" · "), S.spec_display(F.col("spec")), F.lit("）"))
@@ -115,7 +115,8 @@ def recall(pending: DataFrame, rivals: DataFrame, config: MatchConfig = MatchCon
     nth = F.row_number().over(W.partitionBy("platform", "r_cat", "r_title").orderBy("ord"))
     entry = rivals.filter("norm_title <> ''").select("platform", F.col("category").alias("r_cat"), F.col("norm_title").alias("r_title"), "ord", "uid").withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth")
     own = W.partitionBy("platform", "s_cat", "s_title")
-    scored = title_pairs(pending, rivals, config.salts).withColumn("coarse", M.token_set_ratio_arrow(F.col("s_title"), F.col("r_title")))
+    met = spread(title_pairs(pending, rivals, config.salts), "platform", "s_cat", "s_title")  # as the windows over them
+    scored = met.withColumn("coarse", M.token_set_ratio_arrow(F.col("s_title"), F.col("r_title")))
     best = scored.withColumn("_n", F.row_number().over(own.orderBy(F.desc("coarse"), "first"))).filter(F.col("_n") <= n).drop("_n", "first")
     best = best.withColumn("base", M.text_score(F.col("coarse"), F.col("s_title"), F.col("r_title")))
     rough = best.join(entry, ["platform", "r_cat", "r_title"]).withColumn("place", F.row_number().over(own.orderBy(F.desc("coarse"), "ord"))).filter(F.col("place") <= n)
@@ -124,7 +125,7 @@ def recall(pending: DataFrame, rivals: DataFrame, config: MatchConfig = MatchCon
     detail = rivals.select("platform", F.col("uid").alias("rival_uid"), F.struct("spec", "variants", "line").alias("r"))
     near = rough.join(detail, ["platform", "rival_uid"])
     mine = pending.select("self_uid", "platform", "platform_ord", "category", "norm_title", "spec", "variants", "line")
-    both = mine.join(near, ["platform", "category", "norm_title"]).filter(~X.variant_conflict(F.col("variants"), F.col("r.variants")))
+    both = spread(mine, "self_uid", "platform").join(near, ["platform", "category", "norm_title"]).filter(~X.variant_conflict(F.col("variants"), F.col("r.variants")))
     both = both.withColumn("by_spec", M.spec_penalty(F.col("spec"), F.col("r.spec"), config.spec_penalty))
     penalty = F.when(F.col("line") != F.col("r.line"), F.col("by_spec") + M.LINE_PENALTY).otherwise(F.col("by_spec"))
     both = both.withColumn("score", F.greatest(F.lit(0.0), F.col("base") - penalty))

@@ -10,6 +10,7 @@ from ..functions import spec as S
 from ..functions import text as X
 from ..lexicon import DEFAULT, REQUIRED, Lexicon
 from ..schemas import RAW_FIELDS
+from .tables import spread
 
 _PLACE = ("platform", "platform_name", "platform_ord", "ord")
 
@@ -54,7 +55,8 @@ def to_products(raw: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     extra = F.col("extra") if "extra" in have else F.create_map().cast("map<string,string>")
     rows = raw.select("platform", name.alias("platform_name"), F.col("platform_ord").cast("int").alias("platform_ord"), F.col("ord").cast("long").alias("ord"), *[c.alias(f) for f, c in (cols | prices).items()], extra.alias("extra"))
     rows = rows.filter((F.col("sku_id") != "") & (F.col("title") != ""))
-    return enrich(first_by_order(rows, ["platform", "sku_id"], ["ord"]), lexicon)
+    keys = ["platform", "sku_id"]  # rows are dealt once, for the dedup and for parsing
+    return enrich(first_by_order(spread(rows, *keys), keys, ["ord"]), lexicon)
 
 
 def enrich(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:

@@ -28,3 +28,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` over as many partitions as the session shuffles into. For work that
+    costs much time a byte: adaptive coalescing goes by bytes and would leave it to a few cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
