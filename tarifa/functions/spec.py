@@ -117,15 +117,12 @@ def general(x: Column) -> Column:
 
 
 def _general(x: Column) -> Column:
-    size = F.abs(x)
-    fixed = None
-    for places in range(9, -1, -1):
-        text = F.format_string(f"%.{places}f", x)
-        text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "") if places else text
-        here = F.round(size, places) < 10.0 ** (6 - places)
-        fixed = F.when(here, text) if fixed is None else fixed.when(here, text)
-    science = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
-    return F.when(x == 0, "0").when((size < 1e-4) | (F.round(size, 0) >= 1e6), science).otherwise(fixed)
+    science = F.format_string("%.5e", x)
+    power = F.substring_index(science, "e", -1).cast("int")  # of ten, after rounding
+    places = 5 - power
+    fixed = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(places, F.lit(0)).cast("string"), F.lit("f")), x)
+    fixed = F.when(places > 0, F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    return F.when(x == 0, "0").when((power < -4) | (places < 0), F.regexp_replace(science, r"\.?0*e", "e")).otherwise(fixed)
 
 
 def spec_display(spec: Column) -> Column:
