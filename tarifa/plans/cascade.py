@@ -63,11 +63,15 @@ def recall_reasons(spark, sf_dir):
     return found.select("self_uid", F.col("rank").cast("long").alias("rank"), "rival_uid", six("score"), "reason")
 
 
-@query("select 'self:' || p_partkey as self_uid, 0::bigint as n from part where false")
+@query("select 'self:' || p_partkey as self_uid, p_partkey % 8 in (6, 7) as same_keys, 0::bigint as pairs from part")
 def brand_spec_conflicts(spark, sf_dir):
     """Equal brand, category and total with another variant or product line: no pair."""
     own, rivals = sides(spark, sf_dir)
-    return J.match_brand_spec(J.with_platforms(own, rivals), rivals).groupBy("self_uid").agg(F.count("*").alias("n"))
+    found = J.match_brand_spec(J.with_platforms(own, rivals), rivals).groupBy("self_uid").agg(F.count("*").alias("n"))
+    key = lambda df: df.filter("brand <> ''").select("category", F.lower("brand").alias("b"), F.col("spec.unit").alias("u"), F.col("spec.total_base").alias("t"))
+    alike = key(own).intersect(key(rivals)).select("category", F.lit(True).alias("same"))
+    rows = own.select(F.col("uid").alias("self_uid"), "category").join(alike, "category", "left").join(found, "self_uid", "left")
+    return rows.select("self_uid", F.coalesce("same", F.lit(False)).alias("same_keys"), F.coalesce("n", F.lit(0)).alias("pairs"))
 
 
 def _outcome(spark, sf_dir, judge: str, verdicts=None, function=None) -> DataFrame:
