@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import chat, decontam, htmltext, jaccard, langid, media, oracles, packing, substring, tokencount, toxicity
+from . import align, chat, decontam, fim, htmltext, jaccard, langid, media, oracles, packing, pieces, substring, tokencount, toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(C.table(spark, sf_dir, "conversations"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(C.table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(C.table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(C.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_html_extraction": op9_html_extraction,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
@@ -70,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": oracles.DECONTAMINATION,
         "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op10_chat_formatting": oracles.CHAT,
+        "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
     }
