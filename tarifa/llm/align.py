@@ -39,10 +39,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import pieces as P
 
-RUN_BYTES = 16 << 20
+#: Of the texts whose links are counted together, and of those that are tokenized and aligned at once.
+RUN_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 RELATIONS = ("end", "overlap", "group")
-#: Word pieces of A and words of B that a worker keeps, so that each is split once in a while only.
-KNOWN_WORDS = 500_000
+#: Marked words of B whose ids a worker keeps from one run to the next.
+KNOWN_WORDS = 150_000
 
 
 def path_a(name: str = "byte_bpe_50k.json") -> str:
@@ -79,8 +80,8 @@ class ByteTokens:
             self.bytes[k] = token
         self.size = np.array([len(b) for b in self.bytes], np.int64)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [self.encoding.encode_ordinary(" " + t) for t in texts]
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.encoding.encode_ordinary(" " + t), np.int32) for t in texts]
 
 
 class PieceTokens:
@@ -92,16 +93,16 @@ class PieceTokens:
         names = [sp.id_to_piece(k) for k in range(sp.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(k) else p.replace(P.MARK, " ").encode() for k, p in enumerate(names)]
         self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.model.chunks(t) for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
         fresh = list({w for s in split for w in s if w not in self.known})
-        self.known.update(zip(fresh, self.model.encode(fresh)))
+        self.known.update((w, np.array(ids, self.model.kind).tobytes()) for w, ids in zip(fresh, self.model.encode(fresh)))
         get = self.known.__getitem__
-        return [[i for w in map(get, s) for i in w] for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), self.model.kind).astype(np.int32) for s in split]
 
 
 @functools.lru_cache(maxsize=2)
@@ -165,26 +166,24 @@ def _names(n: int) -> list[bytes]:
     return [b"%d%c" % (k, c) for k in range(n) for c in b",|;"]
 
 
-def aligned_run(texts: list[str | None], a: ByteTokens, b: PieceTokens, relation: str) -> tuple[dict[str, np.ndarray | list], np.ndarray, np.ndarray]:
-    """Of the texts of a run: columns of each text, and each link's id pair (A id in the upper 32 bits) and text."""
+def aligned_slice(texts: list[str | None], a: ByteTokens, b: PieceTokens, relation: str) -> tuple[dict[str, np.ndarray | list], np.ndarray, np.ndarray]:
+    """Of some texts: columns of each text, and each link's id pair (A id in the upper 32 bits) and text."""
     n = len(texts)
     have = [k for k, t in enumerate(texts) if t]
     whole, toks_a, toks_b = [], [], []
     for k, x, y in zip(have, a.ids([texts[k] for k in have]), b.ids([texts[k] for k in have])):
         source = b" " + texts[k].encode()
-        if b"".join(map(a.bytes.__getitem__, x)) == source == b"".join(map(b.bytes.__getitem__, y)):
+        if b"".join(map(a.bytes.__getitem__, x.tolist())) == source == b"".join(map(b.bytes.__getitem__, y.tolist())):
             whole.append(k)
             toks_a.append(x)
             toks_b.append(y)
-    rows = np.array(whole, np.int64)
-    columns: dict[str, np.ndarray | list] = {name: np.zeros(n, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_products")}
-    hashes = [""] * n
-    none = np.zeros(0, np.int64)
+    columns: dict[str, np.ndarray | list] = {name: np.zeros(n, np.int64) for name in NUMBERS}
+    hashes = columns["groups_sha256"] = [""] * n
     if not whole:
-        return columns | {"groups_sha256": hashes}, none, none
+        return columns, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = np.array(whole, np.int64)
     first_a, first_b = (np.append(0, np.cumsum([len(x) for x in toks])) for toks in (toks_a, toks_b))
-    ids_a, ids_b = (np.fromiter((i for x in toks for i in x), np.int64, int(first[-1])) for toks, first in ((toks_a, first_a), (toks_b, first_b)))
-    del toks_a, toks_b
+    ids_a, ids_b = (np.concatenate(toks).astype(np.int64) for toks in (toks_a, toks_b))
     al = align(np.cumsum(a.size[ids_a]), np.cumsum(b.size[ids_b]))
     text_of = np.repeat(np.arange(len(rows)), np.diff(first_a))  # of each A token
     link_a, link_b = al.links(relation)
@@ -192,11 +191,21 @@ def aligned_run(texts: list[str | None], a: ByteTokens, b: PieceTokens, relation
     for name, owner in (("n_groups", al.owner_a[al.closes]), ("n_links", link_a), ("n_overlaps", al.owner_a)):
         columns[name][rows] = np.bincount(text_of[owner], minlength=len(rows))
     products = np.bincount(al.group_a) * np.bincount(al.group_b)
-    text_of_group = text_of[al.owner_a[al.closes]]
-    np.add.at(columns["n_products"], rows[text_of_group], products)
+    np.add.at(columns["n_products"], rows[text_of[al.owner_a[al.closes]]], products)
     for k, h in zip(whole, _written_groups(al, ids_a, ids_b, first_a, first_b, _names(max(len(a.bytes), len(b.bytes))))):
         hashes[k] = h
-    return columns | {"groups_sha256": hashes}, ids_a[link_a] << 32 | ids_b[link_b], rows[text_of[link_a]]
+    return columns, ids_a[link_a] << 32 | ids_b[link_b], rows[text_of[link_a]]
+
+
+def aligned_run(batch: pa.RecordBatch, a: ByteTokens, b: PieceTokens, relation: str) -> tuple[dict[str, np.ndarray | list], np.ndarray, np.ndarray]:
+    """The same of a run of rows, taken in slices so that only ids of few texts are held at once."""
+    made, at = [], 0
+    for part in C.chunks(iter([batch]), "t", SLICE_BYTES):
+        columns, pairs, text = aligned_slice(part.column("t").to_pylist(), a, b, relation)
+        made.append((columns, pairs, (text + at).astype(np.int32)))
+        at += part.num_rows
+    columns = {name: np.concatenate([m[0][name] for m in made]) for name in NUMBERS}
+    return columns | {"groups_sha256": [h for m in made for h in m[0]["groups_sha256"]]}, np.concatenate([m[1] for m in made]), np.concatenate([m[2] for m in made])
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_products")
@@ -209,8 +218,10 @@ def _first_pass(df: DataFrame, path_a: str, path_b: str, relation: str) -> DataF
         a, b = tokenizers(path_a, path_b)
         place = TaskContext.get().partitionId()
         for k, batch in enumerate(C.chunks(batches, "t", RUN_BYTES)):
-            columns, pairs, text = aligned_run(batch.column("t").to_pylist(), a, b, relation)
+            columns, pairs, text = aligned_run(batch, a, b, relation)
             distinct, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+            del pairs
+            which = which.astype(np.int32)
             which = which[np.lexsort((which, text))]  # in a text the order of links doesn't matter
             rows = pa.RecordBatch.from_arrays([batch.column("i"), *[pa.array(columns[c]) for c in NUMBERS], pa.array(columns["groups_sha256"])], names=["i", *NUMBERS, "groups_sha256"])
             step = np.diff(which, prepend=0).astype(np.int32)  # rises within a text, so it is small
