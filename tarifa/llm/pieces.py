@@ -7,8 +7,8 @@ its own, wherever it stands.
 
 Texts are read in runs. A run numbers its distinct marked words and sends each once, by the word, to
 the table, where equal words of all runs meet in order and the library segments each distinct word
-once. The ids go back by (run, number), and there, joined by position, replace the numbers that the run's
-second pass has written for its words. A word that every row has is one row for each run; no group
+once. The ids go back by (run, number), many of a run packed in a row, and there, joined by position,
+replace the numbers that the run's second pass has written for its words. A word that every row has is one row for each run; no group
 grows with the number of its occurrences, and nothing is collected on the driver.
 
 Decoding is the library's, of each row's ids.
@@ -24,12 +24,13 @@ same rows in the same order each time, as a scan of files does, else an error is
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ from pyspark.sql import types as T
 from . import common as C
 
 MARK = "▁"
-RUN_BYTES = 16 << 20
-BATCH_BYTES = 1 << 20
+RUN_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+#: Words of a run that are placed at once.
+PLACED = 500_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -87,13 +89,15 @@ class Numbers(dict):
         return k
 
 
-def numbered(m: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct marked words, the number of each word in turn, and the n+1 offsets of each text's."""
-    place, at, ends = Numbers(), [], [0]
-    for text in texts:
-        at += map(place.__getitem__, m.chunks(text))
-        ends.append(len(at))
-    return list(place), np.array(at, np.int64), np.array(ends, np.int64)
+def numbered(m: Model, texts: pa.Array) -> tuple[Numbers, np.ndarray, np.ndarray]:
+    """Numbers of the distinct marked words, the number of each word in turn, and how many each text has."""
+    place, at, sizes = Numbers(), [], []
+    for part in C.chunks(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", SLICE_BYTES):
+        for text in part.column("t").to_pylist():
+            found = m.chunks(text)
+            sizes.append(len(found))
+            at.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
+    return place, np.concatenate(at) if at else np.zeros(0, np.int32), np.array(sizes, np.int64)
 
 
 def runs(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -103,59 +107,88 @@ def runs(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[str
         yield C.chunk_key(place, k, np.zeros(0), batch.column(text_col)), batch
 
 
-def _segmented(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their words: each distinct word is segmented when it first comes."""
-    last, known = None, b""
-    for batch in batches:
-        runs_of = pc.run_end_encode(batch.column("word"))
-        words, ends = runs_of.values.to_pylist(), np.asarray(runs_of.run_ends)
-        fresh = words[1:] if words and words[0] == last else words
-        ids = [np.array(x, m.kind).tobytes() for x in m.encode(fresh)]
-        if len(fresh) < len(words):
-            ids = [known, *ids]
-        if words:
-            last, known = words[-1], ids[-1]
-        which = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
-        yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("k"), pa.array(ids, pa.binary()).take(pa.array(which))], names=["run", "k", "ids"])
+def _sent(run: str, words: list[str], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that has words of a run: their numbers in order, and the words."""
+    raw = [w.encode() for w in words]
+    bucket = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
+    by = np.argsort(bucket, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(bucket[by])) + 1, len(by))
+    rows = []
+    for ks in np.split(by, ends[:-1]):
+        some = [raw[k] for k in ks.tolist()]
+        rows.append((int(bucket[ks[0]]), run, len(ks), C.squeeze_small(np.diff(ks, prepend=0)), C.squeeze_small(np.array([len(w) for w in some])), zlib.compress(b"".join(some), 6)))
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "run", "n", "ks", "sizes", "words"])
+
+
+def _answered(m: Model, sent: pa.Table) -> pa.Table:
+    """The ids of a bucket's words, row by row: each distinct word is segmented once."""
+    place, numbers = Numbers(), []
+    for n, sizes, words in zip(*(sent[c].to_pylist() for c in ("n", "sizes", "words"))):
+        raw, off = zlib.decompress(words), np.append(0, np.cumsum(C.unsqueeze_small(sizes, n), dtype=np.int64)).tolist()
+        numbers.append(np.fromiter((place[raw[a:b]] for a, b in zip(off[:-1], off[1:])), np.int64, n))
+    ids = m.encode([w.decode() for w in place])
+    size = np.array([len(x) for x in ids], np.int64)
+    flat, off = np.array([i for x in ids for i in x], m.kind), np.append(0, np.cumsum(size))
+    rows = []
+    for own in numbers:
+        n = size[own]
+        mine = flat[np.arange(n.sum()) + np.repeat(off[own] - (np.cumsum(n) - n), n)]
+        rows.append((C.squeeze_small(n), C.squeeze_small(mine)))
+    return pa.table([sent["run"], sent["n"], sent["ks"], *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["run", "n", "ks", "sizes", "ids"])
 
 
 def segmented(texts: DataFrame, path: str) -> DataFrame:
-    """(run, k, ids) of every run's distinct words; ``texts`` has one column, t."""
+    """(run, n, ks, sizes, ids): numbers of every run's distinct words and their ids; ``texts`` has one column, t."""
+    buckets = C.ranges(texts, "t", 1.0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for key, batch in runs(batches, "t"):
-            words = numbered(m, batch.column("t").to_pylist())[0]
-            for at in range(0, len(words), 10_000):
-                some = words[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.string())], names=["run", "k", "word"])
+            if words := list(numbered(m, batch.column("t"))[0]):
+                yield _sent(key, words, buckets)
 
-    sent = texts.mapInArrow(send, "run string, k int, word string")
-    met = sent.repartition(C.shuffle_partitions(texts.sparkSession), "word").sortWithinPartitions("word")
-    return met.mapInArrow(lambda batches: _segmented(batches, model(path)), "run string, k int, ids binary")
+    sent = texts.mapInArrow(send, "bucket int, run string, n int, ks binary, sizes binary, words binary")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda sent: _answered(model(path), sent), "run string, n int, ks binary, sizes binary, ids binary")
+
+
+def _replies(replies: pa.Table, n_distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words of a run one after another, and the offsets of each word's, by number."""
+    rows = replies.to_pylist()
+    ks = [np.cumsum(C.unsqueeze_small(r["ks"], r["n"]), dtype=np.int64) for r in rows]
+    k = np.concatenate(ks) if ks else np.zeros(0, np.int64)
+    if len(k) != n_distinct or (np.bincount(k, minlength=n_distinct) != 1).any():
+        raise RuntimeError("the input gave other rows in the second pass; write it to a table first")
+    sizes = [C.unsqueeze_small(r["sizes"], r["n"]).astype(np.int64) for r in rows]
+    size = np.zeros(n_distinct, np.int64)
+    for own, n in zip(ks, sizes):
+        size[own] = n
+    off = np.append(0, np.cumsum(size))
+    flat = np.empty(off[-1], np.int32)
+    for own, n, r in zip(ks, sizes, rows):
+        base = np.cumsum(n) - n
+        flat[np.arange(n.sum()) + np.repeat(off[own] - base, n)] = C.unsqueeze_small(r["ids"], int(n.sum()))
+    return flat, off
 
 
 def _joined(m: Model, run: dict, replies: pa.Table) -> pa.RecordBatch:
     """The rows of a run with the ids of their words in place, between begin and end."""
     rows = C.unpack_rows(run["body"]).combine_chunks()
     n = rows["n"].to_numpy()
-    at = C.unsqueeze_small(run["at"], int(n.sum())).astype(np.int64)
-    k = replies["k"].to_numpy()
-    if len(k) != run["n_distinct"] or not np.array_equal(np.sort(k), np.arange(len(k))):
-        raise RuntimeError("the input gave other rows in the second pass; write it to a table first")
-    sent = replies["ids"].combine_chunks()
-    sent = sent.take(pa.array(np.argsort(k, kind="stable"))) if len(k) else pa.array([], pa.binary())
-    off = np.frombuffer(sent.buffers()[1], np.int32)[sent.offset : sent.offset + len(sent) + 1].astype(np.int64) // m.kind.itemsize
-    flat = np.frombuffer(sent.buffers()[2], m.kind) if len(sent) else np.zeros(0, m.kind)
-    size = np.diff(off)[at]
-    base = np.append(0, np.cumsum(size))
+    at = C.unsqueeze_small(run["at"], int(n.sum())).astype(np.int32)
+    flat, off = _replies(replies, run["n_distinct"])
+    size = np.diff(off)
+    before = np.append(0, np.cumsum(size[at], dtype=np.int64))  # ids before each word
     word_ends = np.append(0, np.cumsum(n))
-    tokens = base[word_ends[1:]] - base[word_ends[:-1]]
-    # begin, ids and end of each row; the place of a word's ids follows from those before it
-    row_off = np.append(0, np.cumsum(tokens + 2))
+    row_off = np.append(0, np.cumsum(before[word_ends[1:]] - before[word_ends[:-1]] + 2))
     out = np.empty(row_off[-1], np.int32)
-    row_of_word = np.repeat(np.arange(len(n)), n)
-    out[np.arange(base[-1]) + np.repeat(2 * row_of_word + 1, size)] = flat[np.arange(base[-1]) + np.repeat(off[:-1][at] - base[:-1], size)]
+    for a in range(0, len(at), PLACED):
+        words = at[a : a + PLACED]
+        each = size[words]
+        row = np.searchsorted(word_ends, np.arange(a, a + len(words)), side="right") - 1
+        first = before[a : a + len(words)]
+        number = np.arange(first[0], first[-1] + each[-1])
+        out[number + np.repeat(2 * row + 1, each)] = flat[number + np.repeat(off[words] - first, each)]
     out[row_off[:-1]], out[row_off[1:] - 1] = m.ends[0][0], m.ends[1][0]
     ids = pa.ListArray.from_arrays(pa.array(row_off.astype(np.int32)), pa.array(out))
     return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns[:-1]), ids], names=[*rows.schema.names[:-1], "ids"])
@@ -173,8 +206,8 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep:
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for key, batch in runs(batches, "t"):
-            words, at, ends = numbered(m, batch.column("t").to_pylist())
-            rows = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(ends))], names=[*(f"c{k}" for k in range(n_keep)), "n"])
+            words, at, sizes = numbered(m, batch.column("t"))
+            rows = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes)], names=[*(f"c{k}" for k in range(n_keep)), "n"])
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key, pa.string()), (C.pack_rows(rows), pa.binary()), (C.squeeze_small(at), pa.binary()), (len(words), pa.int64()))], names=["run", "body", "at", "n_distinct"])
 
     bodies = df.select(F.col(text_col).alias("t"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]).mapInArrow(wrap, "run string, body binary, at binary, n_distinct long")
@@ -206,18 +239,17 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids") -> Data
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """n_tokens, and hashes of the ids (little-endian, 32 bits each) and of the text decoded from them."""
-    import hashlib
-
     path = path or model_path()
     encoded = encode(df.select(id_col, text_col), path, text_col, keep=(id_col,))
     kind = df.schema[id_col].dataType.simpleString()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = model(path).sp
         for batch in batches:
-            ids = batch.column("ids")
-            off, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
-            hashed = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(off).astype(np.int64)), pa.array(hashed), batch.column("decoded")], names=[id_col, "n_tokens", "ids_sha256", "decoded"])
+            column = batch.column("ids")
+            off, flat = np.asarray(column.offsets), np.asarray(column.values).astype("<u4")
+            each = [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            hashes = [[hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), sp.decode(ids.tolist()).encode())] for ids in each]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(off).astype(np.int64)), *(pa.array(c, pa.string()) for c in (zip(*hashes) if hashes else ([], [])))], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = decode(encoded, path).mapInArrow(sums, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded string")
-    return out.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.mapInArrow(sums, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
