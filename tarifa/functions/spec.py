@@ -5,110 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lexicon import DEFAULT, SPEC_NOISE, Lexicon, longest_first
-from ..schemas import SPEC
-from .text import any_of, let
-
-MAX_LOOSE_COUNT = 200
-MAX_PIECES = 500
-
-
-def patterns(lexicon: Lexicon = DEFAULT) -> dict[str, str]:
-    measure, count = any_of(longest_first(list(lexicon.measures))), any_of(longest_first(lexicon.count_words))
-    number = r"\d+(?:\.\d+)?"
-    return {
-        "measure_by_count": rf"(?U)({number})\s*({measure})\s*\*\s*(\d+)\s*(?:{count})?",
-        "count_by_measure": rf"(?U)(\d+)\s*(?:{count})?\s*\*\s*({number})\s*({measure})",
-        "measure": rf"(?U)({number})\s*({measure})(?![a-zA-Z一-鿿])",
-        "count": rf"(?U)(\d+)\s*({count})",
-    }
-
-
-def without_noise(s: Column) -> Column:
-    """Normalised text without promotions whose numbers look like specifications."""
-    return F.regexp_replace(s, f"(?U)(?:{SPEC_NOISE})", " ")
-
-
-def _spec(raw, qty, unit_text, unit, qty_base, count, total) -> Column:
-    values = (raw, qty, unit_text, unit, qty_base, count, total)
-    return F.struct(*[v.cast(f.dataType).alias(f.name) for v, f in zip(values, SPEC.fields)])
-
-
-def _measured(raw: Column, qty: Column, unit_text: Column, count: Column, lexicon: Lexicon) -> Column:
-    units = lexicon.measures
-    kind = F.create_map(*[F.lit(x) for u in units for x in (u, units[u][0])])
-    factor = F.create_map(*[F.lit(x) for u in units for x in (u, units[u][1])])
-    amount = qty.try_cast("double")
-    base = amount * F.element_at(factor, unit_text)
-    times = F.greatest(count.try_cast("int"), F.lit(1))
-    return _spec(F.trim(raw), amount, unit_text, F.element_at(kind, unit_text), base, times, base * times)
-
-
-def unparsed(raw: Column) -> Column:
-    none = F.lit(None)
-    return _spec(raw, none, F.lit(""), F.lit("unknown"), none, F.lit(1), none)
-
-
-def measure_by_count(s: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """'500ml*24', or null."""
-    p = patterns(lexicon)["measure_by_count"]
-    g = [F.regexp_extract(s, p, k) for k in range(4)]
-    return F.when(g[0] != "", _measured(g[0], g[1], g[2], g[3], lexicon))
-
-
-def count_by_measure(s: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """'24*500ml', or null."""
-    p = patterns(lexicon)["count_by_measure"]
-    g = [F.regexp_extract(s, p, k) for k in range(4)]
-    return F.when(g[0] != "", _measured(g[0], g[2], g[3], g[1], lexicon))
-
-
-def measure_and_count(s: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """'250ml 12盒装': a measure and, in the rest of the text, a count of 2 to 200; or null."""
-    p = patterns(lexicon)
-    g = [F.regexp_extract(s, p["measure"], k) for k in range(3)]
-    rest = F.array_join(F.split(s, p["measure"], 2), " ")
-    c = [F.regexp_extract(rest, p["count"], k) for k in range(2)]
-    n = c[1].try_cast("int")
-    several = F.coalesce((n > 1) & (n <= MAX_LOOSE_COUNT), F.lit(False))
-    raw = F.when(several, F.concat(F.trim(g[0]), F.lit("*"), F.trim(c[0]))).otherwise(F.trim(g[0]))
-    return F.when(g[0] != "", _measured(raw, g[1], g[2], F.when(several, c[1]).otherwise("1"), lexicon))
-
-
-def count_only(s: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """'5个装': 1 to 500 pieces, or null."""
-    p = patterns(lexicon)["count"]
-    g = [F.regexp_extract(s, p, k) for k in range(3)]
-    n = g[1].try_cast("int")
-    one = F.lit(1.0)
-    return F.when((g[0] != "") & (n > 0) & (n <= MAX_PIECES), _spec(F.trim(g[0]), one, g[2], F.lit("count"), one, n, n))
+from ..lexicon import DEFAULT, Lexicon
+from . import titles
+from .text import let
 
 
 def is_parsed(spec: Column) -> Column:
     return F.coalesce(spec["total_base"] > 0, F.lit(False))
 
 
-def parse_one(s: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """What the first rule that fits finds in text without noise; null where none does."""
-    return F.coalesce(measure_by_count(s, lexicon), count_by_measure(s, lexicon), measure_and_count(s, lexicon), count_only(s, lexicon))
-
-
-def choose_spec(given: Column | None, own: Column, given_text: Column | None, own_text: Column) -> Column:
-    """That of the specification field if it gives a positive total, else that of the title."""
-    if given is None:
-        return F.when(is_parsed(own), own).otherwise(unparsed(own_text))
-    text = F.when(given_text != "", given_text).otherwise(own_text)
-    return F.when(is_parsed(given), given).when(is_parsed(own), own).otherwise(unparsed(text))
-
-
 def parse_spec(title: Column, spec_text: Column | None = None, lexicon: Lexicon = DEFAULT) -> Column:
-    """The specification of normalised texts, as one expression; plans do it in steps."""
-    parse = lambda s: let(without_noise(s), lambda x: parse_one(x, lexicon))
-    own = let(parse(title), lambda own: choose_spec(None, own, None, title))
-    if spec_text is None:
-        return own
-    given = F.coalesce(spec_text, F.lit(""))
-    return let(parse(given), lambda g: let(parse(title), lambda own: choose_spec(g, own, given, title)))
+    """The specification of normalised texts: the field's if it gives a positive total, else the title's."""
+    return titles.spec_column(title, F.lit("") if spec_text is None else spec_text, lexicon)
 
 
 def general(x: Column) -> Column:

@@ -1,18 +1,17 @@
-"""Cleaning and normalising text: native column expressions only."""
+"""Cleaning values, normalising text and what titles name, as columns."""
 
 from __future__ import annotations
 
 import functools
-import json
-import re
 import unicodedata
-
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lexicon import DANGLING_WORDS, DEFAULT, NULL_PRICES, NULL_WORDS, TITLE_COUNT_WORDS, TITLE_MEASURES, TITLE_PROMO, Lexicon, longest_first
+from ..lexicon import DEFAULT, NULL_PRICES, NULL_WORDS, Lexicon
+from . import titles
 
 _TRIM = r"(?U)^\s+|\s+$"
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -23,10 +22,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def any_of(words: list[str]) -> str:
-    return "|".join(re.escape(w) for w in words)
-
-
 def clean_str(c: Column) -> Column:
     """Trimmed text; null and words that mean null become ''."""
     s = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _TRIM, "")
@@ -42,51 +37,26 @@ def parse_price(c: Column) -> Column:
 
 
 @functools.cache
-def _compatibility() -> tuple[str, str, dict[str, str]]:
-    """NFKC of single characters, by rule from the Unicode tables: those that become one
-    character (from, to) and those that become several."""
-    one, several = {}, {}
-    for code in range(0xA0, 0x10000):
-        if 0xD800 <= code < 0xE000:
-            continue
-        char = chr(code)
-        to = unicodedata.normalize("NFKC", char)
-        if to != char:
-            (one if len(to) == 1 else several)[char] = to
-    return "".join(one), "".join(one.values()), several
-
-
-def _ranges(chars: str) -> str:
-    """A character class of code point ranges."""
-    codes, out = sorted(map(ord, chars)), []
-    for code in codes:
-        if out and out[-1][1] == code - 1:
-            out[-1][1] = code
-        else:
-            out.append([code, code])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+def _unchanged() -> str:
+    """A character class of all but the runs, of characters that normalisation leaves as they are wherever they
+    stand, around some frequent ones: most text has none of it, and a class of few ranges is cheap."""
 
+    def moves(code: int) -> bool:
+        char = chr(code)
+        return unicodedata.combining(char) > 0 or unicodedata.normalize("NFKC", char) != char or char in second
 
-@functools.cache
-def _unchanged() -> str:
-    """A character class of all but the runs, of characters that stay as they are, around some
-    frequent ones: most text has none of it, and a class of few ranges is cheap."""
-    one, _, several = _compatibility()
-    moved = sorted({*map(ord, one), *map(ord, several)})
+    pairs = (unicodedata.decomposition(chr(code)).split() for code in range(0xA0, 0x110000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}  # joins the one before
+    second |= set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))  # vowels and finals of Hangul
+    moved = [code for code in range(0x10000) if moves(code)]
     runs = {(a + 1, b - 1) for a, b in zip([-1, *moved], [*moved, 0x10000]) for char in "a×é【中ア" if a < ord(char) < b}
     return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(runs)) + "]"
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility normalisation, character by character (marks that follow a letter aren't joined to it)."""
-    one, to, several = _compatibility()
-    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-
-    def wide(s: Column) -> Column:
-        return F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-
-    some = F.when(c.rlike(_ranges("".join(several))), wide(c)).otherwise(c)
-    return F.when(c.rlike(_unchanged()), F.translate(some, one, to)).otherwise(c)
+    """Compatibility normalisation (NFKC); only texts that may change leave the JVM."""
+    changed = titles.arrow_column(lambda t: unicodedata.normalize("NFKC", t), pa.string(), "string", F.when(c.rlike(_unchanged()), c))
+    return F.when(c.rlike(_unchanged()), changed).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
@@ -99,22 +69,10 @@ def normalize_text(c: Column) -> Column:
 
 def clean_title(s: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """A normalised title without brackets, promotions, specifications and marks, in lower case."""
-    cjk = r"一-鿿"
-    steps = [
-        r"[\[\(【〔《][^\]\)】〕》]*[\]\)】〕》]",
-        f"(?U)(?:{TITLE_PROMO})",
-        any_of(lexicon.stopwords),
-        rf"(?iuU)\d+(?:\.\d+)?\s*(?:{any_of(TITLE_MEASURES)})(?:\s*\*\s*\d+)?",
-        rf"(?U)\d+\s*(?:{any_of(TITLE_COUNT_WORDS)})",
-        rf"(?U)[^\w{cjk}]+",
-        rf"(?U)(?<![\w{cjk}])(?:{any_of(DANGLING_WORDS)})(?![\w{cjk}])",
-    ]
-    for pattern in steps:
-        s = F.regexp_replace(s, pattern, " ")
-    return F.lower(F.trim(F.regexp_replace(s, r"(?U)\s+", " ")))
-
-
-def _declared_or(declared: Column | None, found: Column) -> Column:
+    return titles.clean_column(s, lexicon)
+
+
+def declared_or(declared: Column | None, found: Column) -> Column:
     if declared is None:
         return found
     given = F.regexp_replace(F.coalesce(declared, F.lit("")), _TRIM, "")
@@ -123,28 +81,17 @@ def _declared_or(declared: Column | None, found: Column) -> Column:
 
 def extract_brand(title: Column, declared: Column | None = None, lexicon: Lexicon = DEFAULT) -> Column:
     """The declared brand, else the leftmost (of those the longest) known brand in the title."""
-    return _declared_or(declared, F.regexp_extract(title, f"(?iu)({any_of(longest_first(lexicon.brands))})", 1))
+    return declared_or(declared, titles.words_column(title, lexicon)["brand"])
 
 
 def extract_category(title: Column, declared: Column | None = None, lexicon: Lexicon = DEFAULT) -> Column:
     """The declared category, else that of the longest hint in the title."""
-    s = F.lower(title)
-    category = {hint: name for name, hints in lexicon.category_hints.items() for hint in hints}
-    found = None
-    for hint in longest_first([h for hints in lexicon.category_hints.values() for h in hints]):
-        found = F.when(s.contains(hint), category[hint]) if found is None else found.when(s.contains(hint), category[hint])
-    return _declared_or(declared, found.otherwise("") if found is not None else F.lit(""))
+    return declared_or(declared, titles.words_column(title, lexicon)["category"])
 
 
 def extract_variants(title: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """For each group in order, the longest word of it that the normalised title has, or null."""
-    groups = []
-    for group in lexicon.variants.values():
-        found = None
-        for word in longest_first(group):
-            found = F.when(title.contains(word), word) if found is None else found.when(title.contains(word), word)
-        groups.append(found)
-    return F.array(*groups)
+    return titles.words_column(title, lexicon)["variants"]
 
 
 def variant_conflict(a: Column, b: Column, lexicon: Lexicon = DEFAULT) -> Column:
@@ -157,7 +104,8 @@ def variant_conflict(a: Column, b: Column, lexicon: Lexicon = DEFAULT) -> Column
 
 
 def extract_product_line(title: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    return F.regexp_extract(title, f"(?iu)({any_of(longest_first(lexicon.product_lines))})", 1)
+    """The leftmost (of those the longest) product line in the title."""
+    return titles.words_column(title, lexicon)["line"]
 
 
 def line_mismatch(a: Column, b: Column) -> Column:

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as C
+from ..functions import lanes
 from ..functions import similarity as M
 from ..functions import spec as S
 from ..functions import text as X
@@ -35,7 +38,8 @@ class MatchConfig:
     accept_confidence: float = 0.7
     batch_size: int = 20
     concurrency: int = 4
-    salts: int = 8
+    part: int = 4096  # own titles, and rival titles, that meet in one task
+    block: int = 65536
 
     @property
     def coarse(self) -> int:
@@ -83,41 +87,75 @@ def match_brand_spec(pending: DataFrame, rivals: DataFrame) -> DataFrame:
     return both.filter(fit).filter(alike).select(*_pair(F.col("r.uid"), 96.0, C.BRAND_SPEC, 0.95, reason))
 
 
-def title_pairs(pending: DataFrame, rivals: DataFrame, salts: int = 8) -> DataFrame:
-    """Distinct (platform, category and title of one's own, category and title of the rival) in the
-    same pool, with the ``first`` order of the rival title: compatible categories, or all of the
-    platform where none is compatible.
+def title_pools(pending: DataFrame, rivals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (platform, category, title) of both sides by the ``pool`` in which they meet, rivals with
+    the ``first`` order of each title.
 
-    A union of equi-joins. Few categories can hold most rows, so own titles are dealt over
-    ``salts`` and the (deduplicated) rival titles repeated for each.
-    """
+    Pools of a platform are its categories (the blank one is compatible with all) and, for own titles
+    to which no rival's category is compatible, the whole platform."""
     mine = pending.select("platform", F.col("category").alias("s_cat"), F.col("norm_title").alias("s_title")).distinct()
     theirs = rivals.groupBy("platform", F.col("category").alias("r_cat"), F.col("norm_title").alias("r_title")).agg(F.min("ord").alias("first"))
-    pools = rivals.select("platform", F.col("category").alias("s_cat")).distinct()
-    blank = pools.filter("s_cat = ''").select("platform", F.lit(True).alias("has_blank"))
-    mine = mine.join(pools.withColumn("has_same", F.lit(True)), ["platform", "s_cat"], "left").join(blank, "platform", "left")
-    mine = mine.withColumn("any", (F.col("s_cat") == "") | ~(F.coalesce("has_same", F.lit(False)) | F.coalesce("has_blank", F.lit(False))))
-    mine = mine.select("platform", "s_cat", "s_title", "any", F.pmod(F.xxhash64("s_title"), F.lit(salts)).cast("int").alias("salt"))
-    theirs = theirs.filter("r_title <> ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = ["platform", "s_cat", "s_title", "r_cat", "r_title", "first"]
-    some, every = mine.filter(~F.col("any")), mine.filter("any")
-    same = some.join(theirs.withColumn("s_cat", F.col("r_cat")), ["platform", "salt", "s_cat"]).select(out)
-    free = some.join(theirs.filter("r_cat = ''"), ["platform", "salt"]).select(out)
-    rest = every.join(theirs, ["platform", "salt"]).select(out)
-    return same.unionByName(free).unionByName(rest)
+    there = rivals.select("platform", F.col("category").alias("s_cat")).distinct()
+    blank = there.filter("s_cat = ''").select("platform", F.lit(True).alias("has_blank"))
+    mine = mine.join(there.withColumn("has_same", F.lit(True)), ["platform", "s_cat"], "left").join(blank, "platform", "left")
+    every = (F.col("s_cat") == "") | ~(F.coalesce("has_same", F.lit(False)) | F.coalesce("has_blank", F.lit(False)))
+    own_pools = F.when(every, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), "s_cat"), F.lit("=")))
+    mine = mine.select("platform", F.explode(own_pools).alias("pool"), "s_cat", "s_title")
+    theirs = theirs.filter("r_title <> ''").withColumn("pool", F.explode(F.array(F.concat(F.lit("="), "r_cat"), F.lit("*"))))
+    asked = mine.select("platform", "pool").distinct()
+    return mine, theirs.join(asked, ["platform", "pool"], "left_semi")
+
+
+def title_pairs(pending: DataFrame, rivals: DataFrame) -> DataFrame:
+    """All pairs of titles that meet in a pool: what the similarity join answers without scoring each."""
+    mine, theirs = title_pools(pending, rivals)
+    return mine.join(theirs, ["platform", "pool"]).select("platform", "s_cat", "s_title", "r_cat", "r_title", "first")
+
+
+def nearest_titles(pending: DataFrame, rivals: DataFrame, n: int, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """For each own title the ``n`` rival titles of its pools with the best token set ratio (``coarse``;
+    ties by ``first``), and at the first of each block ``scored``, the number of titles that were scored.
+
+    A pool's rival titles are dealt into blocks, own titles into parts, so that a hot category is many
+    tasks of bounded size. A task indexes its block and scores only titles whose bound reaches
+    the n-th best so far; blocks of one title then meet with ``n`` rows each."""
+    mine, theirs = title_pools(pending, rivals)
+    counts = lambda df, name, size: df.groupBy("platform", "pool").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = counts(mine, "parts", config.part).join(counts(theirs, "blocks", config.block), ["platform", "pool"])
+    dealt = lambda count, *cols: F.pmod(F.xxhash64(*cols), F.col(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    keys = ["platform", "pool", "part", "block"]
+    mine = mine.join(sizes, ["platform", "pool"]).withColumn("part", dealt("parts", "s_title")).withColumn("block", all_of("blocks"))
+    theirs = theirs.join(sizes, ["platform", "pool"]).withColumn("block", dealt("blocks", "r_cat", "r_title")).withColumn("part", all_of("parts"))
+
+    def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table({name: pa.array([], kind) for name, kind in out.items()})
+        index = lanes.TitleIndex(theirs["r_title"].to_pylist(), theirs["first"].to_numpy())
+        found, scored = index.nearest(mine["s_title"].to_pylist(), n)
+        own = pa.array(np.repeat(np.arange(mine.num_rows), [len(x) for x, _ in found]))
+        rival = pa.array(np.concatenate([x for x, _ in found]))
+        lead = np.diff(np.asarray(own), prepend=-1) > 0
+        columns = [*(mine[c].take(own) for c in ("platform", "s_cat", "s_title")), *(theirs[c].take(rival) for c in ("r_cat", "r_title", "first"))]
+        return pa.table([*columns, pa.array(np.concatenate([x for _, x in found])), pa.array(np.where(lead, scored[np.asarray(own)], 0))], names=list(out))
+
+    out = {**dict.fromkeys(("platform", "s_cat", "s_title", "r_cat", "r_title"), pa.string()), "first": pa.int64(), "coarse": pa.float64(), "scored": pa.int64()}
+    left = spread(mine.select(*keys, "s_cat", "s_title"), *keys).groupBy(*keys)
+    right = spread(theirs.select(*keys, "r_cat", "r_title", "first"), *keys).groupBy(*keys)
+    met = left.cogroup(right).applyInArrow(best, "platform string, s_cat string, s_title string, r_cat string, r_title string, first long, coarse double, scored long")
+    rank = F.row_number().over(W.partitionBy("platform", "s_cat", "s_title").orderBy(F.desc("coarse"), "first"))
+    return met.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n")
 
 
 def recall(pending: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """The ``top_k`` rivals of each pending product: self_uid, platform, platform_ord, rank, rival_uid,
-    score, reason. Distinct titles are scored once, the finer text score only for those in the
+    score, reason. Distinct titles are searched in an index, the finer text score is only for those in the
     coarse cut; ranks come from numbers, and reasons are worded for the ranks that stay."""
     n = config.coarse
     nth = F.row_number().over(W.partitionBy("platform", "r_cat", "r_title").orderBy("ord"))
     entry = rivals.filter("norm_title <> ''").select("platform", F.col("category").alias("r_cat"), F.col("norm_title").alias("r_title"), "ord", "uid").withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth")
     own = W.partitionBy("platform", "s_cat", "s_title")
-    met = spread(title_pairs(pending, rivals, config.salts), "platform", "s_cat", "s_title")  # as the windows over them
-    scored = met.withColumn("coarse", M.token_set_ratio_arrow(F.col("s_title"), F.col("r_title")))
-    best = scored.withColumn("_n", F.row_number().over(own.orderBy(F.desc("coarse"), "first"))).filter(F.col("_n") <= n).drop("_n", "first")
+    best = nearest_titles(pending, rivals, n, config).drop("first", "scored")
     best = best.withColumn("base", M.text_score(F.col("coarse"), F.col("s_title"), F.col("r_title")))
     rough = best.join(entry, ["platform", "r_cat", "r_title"]).withColumn("place", F.row_number().over(own.orderBy(F.desc("coarse"), "ord"))).filter(F.col("place") <= n)
     # a table, so that its size decides how it's joined to all pending products

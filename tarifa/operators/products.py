@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spec as S
 from ..functions import text as X
+from ..functions.titles import read_column
 from ..lexicon import DEFAULT, REQUIRED, Lexicon
 from ..schemas import RAW_FIELDS
 from .tables import spread
@@ -61,23 +62,20 @@ def to_products(raw: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
 
 def enrich(products: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Specification, normalised title, brand, category, unit price, variants and product line."""
-    # each text is normalised once, each rule applied once: later steps refer to columns
-    out = products.withColumns({"_t": X.normalize_text(F.col("title")), "_s": X.normalize_text(F.col("spec_text"))})
-    out = out.withColumns({"_tn": S.without_noise(F.col("_t")), "_sn": S.without_noise(F.col("_s"))})
-    out = out.withColumns({"_own": S.parse_one(F.col("_tn"), lexicon), "_given": S.parse_one(F.col("_sn"), lexicon)})
-    title = F.col("_t")
+    out = products.withColumn("_r", read_column(F.col("title"), F.col("spec_text"), lexicon))
+    of = lambda name: F.col(f"_r.{name}")
     out = out.withColumns(
         {
-            "spec": S.choose_spec(F.col("_given"), F.col("_own"), F.col("_s"), title),
-            "norm_title": X.clean_title(title, lexicon),
-            "brand": X.extract_brand(title, F.col("brand"), lexicon),
-            "category": X.extract_category(title, F.col("category"), lexicon),
-            "variants": X.extract_variants(title, lexicon),
-            "line": X.extract_product_line(title, lexicon),
+            "spec": of("spec"),
+            "norm_title": of("norm_title"),
+            "brand": X.declared_or(F.col("brand"), of("brand")),
+            "category": X.declared_or(F.col("category"), of("category")),
+            "variants": of("variants"),
+            "line": of("line"),
         }
     )
     out = out.withColumns({"unit_price": S.unit_price(F.col("price"), F.col("spec")), "uid": F.concat_ws(":", "platform", "sku_id")})
-    return out.drop("_t", "_s", "_tn", "_sn", "_own", "_given")
+    return out.drop("_r")
 
 
 def parse_rate(products: DataFrame) -> DataFrame:

@@ -81,13 +81,23 @@ def test_clean_values(spark):
     assert [r.p for r in column(spark, prices, X.parse_price(F.col("a")).alias("p"))] == want
 
 
-def test_nfkc_by_character(spark):
+def test_nfkc_of_every_character_and_of_sequences(spark):
+    every = ["a" + chr(c) + "b" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     rng = random.Random(7)
-    chars = [chr(c) for c in range(0xA0, 0xFFFE) if not 0xD800 <= c < 0xE000 and not unicodedata.combining(chr(c)) and unicodedata.is_normalized("NFC", chr(c))]
-    texts = ["".join(rng.choice(chars) for _ in range(6)) for _ in range(300)] + ["ＡＢＣ１２３　ｘ", "㎏½№", "可乐 500ml"]
-    texts = [t for t in texts if unicodedata.normalize("NFKC", t) == "".join(unicodedata.normalize("NFKC", c) for c in t)]
-    got = [r.n for r in column(spark, texts, X.nfkc(F.col("a")).alias("n"))]
-    assert got == [unicodedata.normalize("NFKC", t) for t in texts]
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    pairs = [p for p in (unicodedata.decomposition(chr(c)) for c in range(0x110000)) if p and p[0] != "<"]
+    second = sorted({chr(int(x, 16)) for p in pairs for x in p.split()[1:]})
+    letters = list("aeoAO牛か가ｶ1") + [chr(c) for c in (0x1100, 0x1161, 0x11A8, 0x1D7D8, 0x1F600, 0xFB01, 0x2F800)]
+    mixed = ["".join(rng.choice(rng.choice((letters, marks, second))) for _ in range(rng.randint(1, 6))) for _ in range(10_000)]
+    texts = [*every, *mixed, "ＡＢＣ１２３　ｘ", "㎏½№", "可乐 500ml", "𝟓𝟎𝟎ml*𝟐", "가", "é", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, a string").repartition(8)
+    want = spark.createDataFrame([(k, unicodedata.normalize("NFKC", t)) for k, t in enumerate(texts)], "k int, n string")
+    assert df.select("k", X.nfkc(F.col("a")).alias("n")).exceptAll(want).count() == 0
+
+
+def test_text_beyond_the_first_plane_has_a_specification(spark):
+    rows = column(spark, ["𝟓𝟎𝟎ml*𝟐", "Cafe\u0301 250g"], S.parse_spec(N("a"))["total_base"].alias("t"), X.clean_title(N("a")).alias("c"))
+    assert [tuple(r) for r in rows] == [(1000.0, ""), (250.0, "café")]
 
 
 def test_titles(spark):
@@ -129,3 +139,133 @@ def test_both_forms_of_the_ratios_agree(spark):
         assert r.s1 == pytest.approx(r.s2, abs=1e-9) and r.t1 == pytest.approx(r.t2, abs=1e-9), (r.a, r.b)
         a, b = ({s[i : i + 2] for i in range(len(s) - 1)} if len(s) > 1 else ({s} if s else set()) for s in (r.a.replace(" ", ""), r.b.replace(" ", "")))
         assert r.g == pytest.approx(100 * len(a & b) / len(a | b) if a and b else 0.0)
+
+
+@pytest.mark.parametrize(("letters", "most"), [("ab牛奶 ", 12), ("abcdef  牛😀", 90), ("ab cdefgh", 220)])
+def test_lanes_measure_as_one_pair_does(letters, most):
+    """Titles of one, two and several words of bits, with shared, repeated and no tokens."""
+    import numpy as np
+
+    from tarifa.functions import lanes
+
+    rng = random.Random(most)
+    titles = ["", " ", "ab", *("".join(rng.choice(letters) for _ in range(rng.randint(0, most))) for _ in range(120))]
+    ia, ib = (np.array([rng.randrange(len(titles)) for _ in range(900)]) for _ in range(2))
+    for distinct, plain in ((True, M.token_set), (False, M.token_sort)):
+        numbers = lanes.Numbers()
+        pairs = lanes.Pairs(lanes.Titles(titles, numbers, distinct), lanes.Titles(titles[::-1], numbers, distinct))
+        got = (pairs.token_set if distinct else pairs.token_sort)(ia, ib)
+        assert got.tolist() == [plain(titles[i], titles[::-1][j]) for i, j in zip(ia, ib)]
+
+
+def test_index_finds_the_best_titles():
+    import numpy as np
+
+    from tarifa.functions import lanes
+
+    rng = random.Random(8)
+    titles = ["".join(rng.choice("abc牛奶 ") for _ in range(rng.randint(0, 14))) for _ in range(700)]
+    place = np.array(rng.sample(range(5000), 700))
+    own = ["", "zz", *titles[:40]]
+    for n in (1, 20, 900):
+        found, scored = lanes.TitleIndex(titles, place).nearest(own, n)
+        for text, (best, score), asked in zip(own, found, scored):
+            every = np.array([M.token_set(text, t) for t in titles])
+            want = np.lexsort((place, -every))[:n]
+            assert best.tolist() == want.tolist() and score.tolist() == every[want].tolist() and asked <= 700
+
+
+def _by_patterns(s, lexicon):
+    """The four specification rules as one expression each: (raw, number, unit, count) of the first that fits."""
+    import re
+
+    from tarifa.lexicon import SPEC_NOISE, longest_first
+
+    s = re.sub(SPEC_NOISE, " ", s)
+    unit, count = ("|".join(map(re.escape, longest_first(list(w)))) for w in (lexicon.measures, lexicon.count_words))
+    number = r"\d+(?:\.\d+)?"
+    if m := re.search(rf"({number})\s*({unit})\s*\*\s*(\d+)\s*(?:{count})?", s):
+        return m[0].strip(), m[1], m[2], m[3]
+    if m := re.search(rf"(\d+)\s*(?:{count})?\s*\*\s*({number})\s*({unit})", s):
+        return m[0].strip(), m[2], m[3], m[1]
+    if m := re.search(rf"({number})\s*({unit})(?![a-zA-Z一-鿿])", s):
+        c = re.search(rf"(\d+)\s*({count})", s[: m.start()] + " " + s[m.end() :])
+        if c and 1 < int(c[1]) <= 200:
+            return m[0].strip() + "*" + c[0].strip(), m[1], m[2], c[1]
+        return m[0].strip(), m[1], m[2], "1"
+    if (m := re.search(rf"(\d+)\s*({count})", s)) and 0 < int(m[1]) <= 500:
+        return m[0].strip(), "1", m[2], m[1]
+    return None
+
+
+def test_token_rules_find_what_patterns_find():
+    from tarifa.functions.titles import Reader, normal
+    from tarifa.lexicon import DEFAULT
+
+    rng, read = random.Random(4), Reader()
+    parts = ["1", "2", "10", "300", "2.5", "1.5.500", ".", "*", " ", " ", "ml", "l", "lb", "kg", "g", "克", "斤", "瓶", "包装", "包", "个", "x", "的", "b", "第二件5折", "买2送1"]
+    hits = 0
+    for _ in range(30_000):
+        s = normal("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))))
+        got, want = read.rule(s), _by_patterns(s, DEFAULT)
+        assert (got is None) == (want is None), s
+        if got:
+            hits += 1
+            times = max(1, int(want[3]))
+            assert (got.raw, got.qty, got.unit_text) == (want[0], float(want[1]), want[2]) and got.count == times, (s, got, want)
+    assert hits > 7_000
+
+
+def _by_scan(title, lexicon):
+    """Word lists one word at a time."""
+    from tarifa.lexicon import longest_first
+
+    def first(words):
+        found = [(low.find(w.lower()), -len(w)) for w in words if w.lower() in low]
+        return (lambda p: title[p[0] : p[0] - p[1]])(min(found)) if found else ""
+
+    low = title.lower()
+    hints = longest_first([h for hints in lexicon.category_hints.values() for h in hints])
+    hint = next((h for h in hints if h in low), None)
+    category = next((name for name, hints in lexicon.category_hints.items() if hint in hints), "") if hint else ""
+    return first(lexicon.brands), category, [next((w for w in longest_first(g) if w in title), None) for g in lexicon.variants.values()], first(lexicon.product_lines)
+
+
+def test_automaton_finds_what_a_scan_finds():
+    from tarifa.functions.titles import Reader
+    from tarifa.lexicon import DEFAULT
+
+    rng, read = random.Random(6), Reader()
+    words = [*DEFAULT.brands, *DEFAULT.product_lines, *(w for g in (*DEFAULT.variants.values(), *DEFAULT.category_hints.values()) for w in g)]
+    for _ in range(3000):
+        title = "".join(rng.choice([rng.choice(words), rng.choice(words)[: rng.randint(1, 3)], " ", "PRESIDENT", "qq星", "大"]) for _ in range(rng.randint(0, 6)))
+        assert tuple(read.words(title)) == _by_scan(title, DEFAULT), title
+
+
+def test_lexicon_of_many_brands(spark):
+    """100,000 brands of master data; a title costs no more than with the short list."""
+    import dataclasses
+    import time
+
+    from tarifa.functions.titles import Reader
+    from tarifa.lexicon import DEFAULT
+
+    rng = random.Random(9)
+    letters = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥abcdefghij"
+    brands = list({"".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(101_000)})[:100_000]
+    large = dataclasses.replace(DEFAULT, brands=[*brands, *DEFAULT.brands])
+    names = rng.sample(brands, 400)
+    rows = column(spark, [f"大号 {n} 牛奶 500g" for n in names], X.extract_brand(N("a"), lexicon=large).alias("b"))
+    scan = lambda t: min((t.find(b), -len(b)) for b in large.brands if b in t)
+    for (got,), name in zip(rows[:25], names):
+        title = f"大号 {name} 牛奶 500g"
+        at, size = scan(title)
+        assert got == title[at : at - size]
+    titles = [f"{a} {b} 牛奶 500g*2" for a, b in zip(rng.choices(names, k=4000), rng.choices(names, k=4000))]
+    took = []
+    for lexicon in (DEFAULT, large):
+        read, began = Reader(lexicon), time.thread_time()
+        for t in titles:
+            read.words(t)
+        took.append(time.thread_time() - began)
+    assert took[1] < 6 * took[0] + 0.05

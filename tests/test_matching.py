@@ -150,14 +150,52 @@ def test_coarse_cut_against_brute_force(spark):
     own, rivals = make(spark, *rows)
     titles = F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("uid"), F.lit(len(words))) + 1).cast("int"))
     own, rivals = own.withColumn("norm_title", titles), rivals.withColumn("norm_title", titles)
-    config = M.MatchConfig(top_k=20, salts=3)
-    got = M.recall(M.with_platforms(own, rivals), rivals, M.MatchConfig(top_k=5, salts=3)).groupBy("self_uid").agg(F.collect_set("rival_uid").alias("r")).collect()
+    config = M.MatchConfig(top_k=20, part=3, block=7)
+    got = M.recall(M.with_platforms(own, rivals), rivals, M.MatchConfig(top_k=5, part=3, block=7)).groupBy("self_uid").agg(F.collect_set("rival_uid").alias("r")).collect()
     everything = [r.asDict() for r in rivals.collect()]
     for r in got:
         mine = own.filter(F.col("uid") == r.self_uid).first().asDict()
         assert set(r.r) <= set(_brute_recall(mine, everything, 20, 5)) and len(r.r) == 5 and config.coarse == 80
 
 
+def random_titles(rng, n):
+    """Distinct titles of a few words of a common vocabulary."""
+    chars = "牛奶水油米面茶咖啡纸洗衣液可乐果汁薯片饼干巧克力糖红绿蓝大小新鲜原味香辣甜酸特级优选经典abcdefgh"
+    words = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 4))) for _ in range(800)]
+    out = set()
+    while len(out) < n:
+        out.add(" ".join(rng.sample(words, rng.randint(2, 5))))
+    return sorted(out)
+
+
+def test_similarity_join_scores_few_pairs(spark):
+    """20,000 distinct titles in one category: the exact top 20, with under 5 % of the pairs scored."""
+    import random
+
+    import numpy as np
+
+    from tarifa.functions import lanes
+
+    titles = random_titles(random.Random(11), 20_600)
+    random.Random(12).shuffle(titles)
+    mine, theirs = titles[:600], titles[600:]
+    schema = "platform string, category string, norm_title string, ord long"
+    pending = spark.createDataFrame([("r", "甲", t, 0) for t in mine], schema)
+    rivals = spark.createDataFrame([("r", "甲", t, (7919 * k) % 20_000) for k, t in enumerate(theirs)], schema)
+    got = cut(M.nearest_titles(pending, rivals, 20, M.MatchConfig(block=12_000, part=100)), "nearest")
+    assert got.agg(F.sum("scored")).first()[0] < 0.05 * len(mine) * len(theirs) and got.count() == 20 * len(mine)
+    numbers = lanes.Numbers()
+    pairs = lanes.Pairs(lanes.Titles(mine, numbers), lanes.Titles(theirs, numbers))
+    place = (7919 * np.arange(20_000)) % 20_000
+    found = {}
+    for r in got.orderBy("s_title", F.desc("coarse"), "first").collect():
+        found.setdefault(r.s_title, []).append((r.r_title, r.coarse))
+    for k in range(0, 600, 15):  # every score of each fifteenth title
+        score = pairs.token_set(np.full(20_000, k), np.arange(20_000))
+        best = np.lexsort((place, -score))[:20]
+        assert found[mine[k]] == [(theirs[j], score[j]) for j in best]
+
+
 SPEC = "500g"
 
 
