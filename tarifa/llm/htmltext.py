@@ -4,16 +4,16 @@ Each page is cut into blocks of text. Scanning leaves out elements that never ho
 (menus, headers, footers, asides, forms, scripts, styles), hidden ones, and those whose whole
 name says so (``class="ad"``, ``id="comments"``; a name among others or within another one says
 nothing). Then pages of equal lines on a host become one, represented by the first in order
-of path; representatives are ordered by host and path, and each is paired with the
-neighbours in that order whose paths have the longest common beginning. Its lines are
-aligned with the nearest one's by longest common subsequence, and shared lines are deleted:
+of path; representatives are ordered by host and path, and each is paired with the ``NEAR``
+of its neighbours in that order whose paths have the longest common beginning. Its lines are
+aligned with each one's by longest common subsequence, and lines that most of them share are deleted:
 what a site repeats on nearby pages isn't the article. Copies lose what their
 representative loses.
 
-Markup protects the lines inside article and main elements from wrong deletion, as two
-articles may well have a sentence in common: such a line goes only if the second nearest
-page has it too (where there is one), and none goes if the nearest page has half or more of
-that text (``NEAR_COPY``), being a near copy of the article.
+Markup protects the lines inside article and main elements from wrong deletion, as a few
+articles may well have a sentence in common: neighbours that have half or more of the article's text are
+near copies of it and have no say about its lines, and of the others ``LEAST`` at least, and most, must
+share a line that goes. With fewer such neighbours an article keeps all its lines.
 
 Neighbours are found by position in a global sort and an equi-join on the position, so a
 host with a third of all pages is dealt over all tasks. Only 64-bit hashes of lines are
@@ -31,6 +31,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,9 @@ IMPLIED_END = frozenset("p li dt dd tr td th option".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PART_NAMES = frozenset("ad ads adv advert adverts advertisement banner banners sponsor sponsored promo cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget widgets toolbar search contentinfo complementary".split())
 
+#: Neighbours that a page is compared with, of those so many places before and behind; how many must share a line of an article.
+NEAR, SIDE, LEAST = 4, 3, 3
+#: Neighbours with this share of an article's text are near copies of it.
 NEAR_COPY = 0.5
 ALIGN_BITS = 1 << 26
 
@@ -191,14 +195,13 @@ def _shared_lines(a: list, b: list) -> np.ndarray:
 
 
 def site_lines(lines: list[int], inside: list[bool], sizes: list[int], near: list[list[int]]) -> list[int]:
-    """Positions of the lines (given by hashes) of a page that go because its neighbours, nearest first, have them."""
-    shared = shared_lines(lines, near[0])
+    """Positions of the lines (given by hashes) of a page that go because most of its neighbours have them."""
+    shared = np.array([shared_lines(lines, other) for other in near]).reshape(len(near), len(lines))
     own, size = np.array(inside, bool), np.array(sizes)
-    if size[own & shared].sum() >= NEAR_COPY * size[own].sum():
-        shared &= ~own
-    elif len(near) > 1 and (own & shared).any():
-        shared &= ~own | shared_lines(lines, near[1])
-    return np.flatnonzero(shared).tolist()
+    most = shared.sum(0) * 2 > len(near)
+    others = shared[[size[own & s].sum() < NEAR_COPY * size[own].sum() for s in shared]]
+    votes = others.sum(0)
+    return np.flatnonzero(np.where(own, (votes >= LEAST) & (votes * 2 > len(others)), most)).tolist()
 
 
 def common_beginning(a: str, b: str) -> int:
@@ -238,8 +241,8 @@ def _cut_pages(pages: DataFrame) -> DataFrame:
 
 
 def nearest(keys: DataFrame) -> DataFrame:
-    """(row_id, nth, near_id) for the rows of ``keys`` (row_id, host, path, page_id, url): of the two
-    before and the two after on the host, in order of path, the two whose paths have the
+    """(row_id, nth, near_id) for the rows of ``keys`` (row_id, host, path, page_id, url): of the SIDE
+    before and the SIDE after on the host, in order of path, the NEAR whose paths have the
     longest common beginning."""
     spark = keys.sparkSession
     order = ["host", "path", "page_id", "url", "row_id"]
@@ -259,7 +262,7 @@ def nearest(keys: DataFrame) -> DataFrame:
         total += n
     rows = rows.join(F.broadcast(spark.createDataFrame(base or [(0, 0)], "part long, base long")), "part")
     rows = rows.select((F.col("base") + F.col("at")).alias("place"), "row_id", "host", "path")
-    steps = F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("step")
+    steps = F.explode(F.array(*[F.lit(k) for k in range(-SIDE, SIDE + 1) if k])).alias("step")
     others = rows.select((F.col("place")).alias("near_place"), F.col("row_id").alias("near_id"), F.col("host").alias("near_host"), F.col("path").alias("near_path"), steps)
     others = others.select((F.col("near_place") + F.col("step")).alias("place"), "near_host", F.struct("near_id", "near_path", F.abs("step").alias("far"), (F.col("step") < 0).alias("after")).alias("near"))
     both = rows.join(others, "place").filter("host = near_host").groupBy("row_id").agg(F.first("path").alias("path"), F.collect_list("near").alias("near"))
@@ -269,7 +272,7 @@ def nearest(keys: DataFrame) -> DataFrame:
             found = []
             for row, path, near in zip(*(batch.column(c).to_pylist() for c in ("row_id", "path", "near"))):
                 best = sorted(near, key=lambda n: (-common_beginning(path, n["near_path"]), n["far"], n["after"]))
-                found += [(row, k, n["near_id"]) for k, n in enumerate(best[:2])]
+                found += [(row, k, n["near_id"]) for k, n in enumerate(best[:NEAR])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["row_id", "nth", "near_id"])
 
@@ -322,23 +325,85 @@ def digest(pages: DataFrame) -> DataFrame:
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+class _Plain(HTMLParser):
+    """Blocks of a page without odd markup, by the library's parser: (text, whether inside an article)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, bool]] = []
+        self.piece, self.left_out, self.depth, self.article = "", "", 0, 0
+
+    def flush(self) -> None:
+        if text := " ".join(self.piece.split()):
+            self.found.append((text, self.article > 0))
+        self.piece = ""
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if self.left_out:
+            self.depth += tag == self.left_out
+        elif tag in ("nav", "footer", "aside", "form", "header", "head", "script", "style") or any((a.get(k) or "-") in PART_NAMES for k in ("class", "id", "role")):
+            self.flush()
+            self.left_out, self.depth = tag, 1
+        elif tag in BLOCKS:
+            self.flush()
+            self.article += tag in ("article", "main")
+        elif tag == "br":
+            self.piece += " "
+
+    def handle_endtag(self, tag):
+        if self.left_out:
+            self.depth -= tag == self.left_out
+            self.left_out = self.left_out if self.depth else ""
+        elif tag in BLOCKS:
+            self.flush()
+            self.article -= tag in ("article", "main")
+
+    def handle_data(self, data):
+        if not self.left_out:
+            self.piece += data
+
+
+def _by_table(a: list, b: list) -> set[int]:
+    """Places of ``a`` in a longest common subsequence with ``b``, from the whole table; of several the last places."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    out, j = set(), len(b)
+    for i in range(len(a), 0, -1):
+        if n[i][j] > n[i - 1][j]:
+            out.add(i - 1)
+            j = max(k for k in range(j) if b[k] == a[i - 1] and n[i - 1][k] == n[i][j] - 1)
+    return out
+
+
 def brute_force(pages: list[tuple[int, str | None, str | None]]) -> dict[int, str]:
-    """page_id: text, from (page_id, url, html) in plain Python; for tests."""
+    """page_id: text, from (page_id, url, html) without odd markup, by another parser, plain tables and sorted lists; for tests."""
     split = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)")
     found = []
     for page, url, html in pages:
-        m = split.match(url or "")
-        blocks, inside = page_blocks(html or "")
-        found.append((m[1].lower() if m else "", (url or "")[m.end() if m else 0 :], page, blocks, inside))
-    first: dict[tuple, tuple] = {}
-    for host, path, page, blocks, inside in sorted(found, key=lambda f: f[:3]):
-        if blocks:
-            first.setdefault((host, tuple(blocks)), (host, path, blocks, inside))
-    row = list(first.values())
+        m, parser = split.match(url or ""), _Plain()
+        parser.feed(html or "")
+        parser.close()
+        parser.flush()
+        found.append((m[1].lower() if m else "", (url or "")[m.end() if m else 0 :], page, [t for t, _ in parser.found], [i for _, i in parser.found]))
+    hosts: dict[str, dict[tuple, tuple]] = {}
+    for host, path, _, lines, inside in sorted(found, key=lambda f: f[:3]):
+        if lines:
+            hosts.setdefault(host, {}).setdefault(tuple(lines), (path, lines, inside))
     left = {}
-    for k, (host, path, blocks, inside) in enumerate(row):
-        near = [(-common_beginning(path, row[j][1]), abs(j - k), j < k, row[j][2]) for j in range(k - 2, k + 3) if j != k and 0 <= j < len(row) and row[j][0] == host]
-        near.sort(key=lambda n: (n[0], n[1], not n[2]))
-        gone = site_lines(blocks, inside, [len(b) for b in blocks], [n[3] for n in near[:2]]) if near else []
-        left[host, tuple(blocks)] = "\n\n".join(b for j, b in enumerate(blocks) if j not in gone)
-    return {page: left.get((host, tuple(blocks)), "") for host, _, page, blocks, _ in found}
+    for host, pages_of in hosts.items():
+        row = list(pages_of.values())
+        for k, (path, lines, inside) in enumerate(row):
+            others = sorted((j for j in range(len(row)) if 0 < abs(j - k) <= SIDE), key=lambda j: (-common_beginning(path, row[j][0]), abs(j - k), j < k))[:NEAR]
+            marks = [_by_table(lines, row[j][1]) for j in others]
+            of_article = sum(len(x) for x, i in zip(lines, inside) if i)
+            apart = [m for m in marks if sum(len(lines[j]) for j in m if inside[j]) < NEAR_COPY * of_article]
+            keep = []
+            for j, line in enumerate(lines):
+                votes, of = (sum(j in m for m in apart), len(apart)) if inside[j] else (sum(j in m for m in marks), len(marks))
+                if 2 * votes <= of or (inside[j] and votes < LEAST):
+                    keep.append(line)
+            left[host, tuple(lines)] = "\n\n".join(keep)
+    return {page: left.get((host, tuple(lines)), "") for host, _, page, lines, _ in found}
