@@ -20,7 +20,6 @@ from ..operators import matching as J
 from ..operators import products as R
 from ..operators import report as O
 from ..operators.tables import cut, scratch_dir
-from ..sources import config as G
 from ..sources import landing, paged, receiver
 from . import cascade
 from . import catalogue as K
@@ -64,13 +63,13 @@ _OWN = "select s_suppkey as k, s_suppkey % 3 as m, s_name, s_acctbal from suppli
 
 @query(f"select k::varchar as sku_id, s_name || ', \"A\" 1kg' || chr(10) as title, '¥' || printf('%g', 0) as price, 'n/a' as extra from ({_OWN}) where m < 2".replace("'¥' || printf('%g', 0)", "round(s_acctbal, 6)"))
 def csv_scan(spark, sf_dir):
-    raw = R.project_aliases(landing.read_file(spark, f"{_inbox(spark, sf_dir)}/self_1.csv"))
+    raw = landing.rows_of(landing.scan(spark, str(_inbox(spark, sf_dir)), [("self", "S")], pattern="self_1.csv"))
     return raw.select("sku_id", "title", F.round(F.substring("price", 2, 30).cast("double"), 6).alias("price"), F.element_at("extra", "备注").alias("extra"))
 
 
 @query(f"select k::varchar as sku_id, s_name as title, round(s_acctbal, 6) as price, k as n from ({_OWN}) union all select null, 'no id', 0.0, -1")
 def json_scan(spark, sf_dir):
-    raw = R.project_aliases(landing.read_file(spark, f"{_inbox(spark, sf_dir)}/r_1.json"))
+    raw = landing.rows_of(landing.scan(spark, str(_inbox(spark, sf_dir)), [("r", "R")], pattern="r_1.json"))
     return raw.select("sku_id", "title", F.round(F.col("price").cast("double"), 6).alias("price"), at_path(F.element_at("extra", "tags"), "n").cast("long").alias("n"))
 
 
@@ -93,10 +92,10 @@ def archive_files(spark, sf_dir):
 @query("select 'n_a' as lacking, 0::bigint as records, 0::bigint as usable where false union all select 'sku_id,title', (select count(*) from supplier), (select count(*) from supplier where s_suppkey % 3 < 2)")
 def usable_rows(spark, sf_dir):
     """Required columns that a file lacks, and rows with all required values."""
-    inbox = _inbox(spark, sf_dir)
-    lacking = R.missing_required(landing.read_file(spark, f"{inbox}/self_3.csv").columns)
+    bad = landing.files_of(landing.scan(spark, str(_inbox(spark, sf_dir)), [("self", "S")])).filter("problem is not null")
+    lacking = bad.select(F.replace(F.regexp_extract("problem", "lacks (.*)", 1), F.lit(" "), F.lit("")).alias("lacking"))
     rows = K.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sku_id"), F.when(F.col("s_suppkey") % 3 < 2, F.col("s_name")).otherwise(" - ").alias("title"))
-    return R.usable_count(rows).select(F.lit(",".join(lacking)).alias("lacking"), "records", "usable")
+    return lacking.crossJoin(R.usable_count(rows)).select("lacking", "records", "usable")  # one row each
 
 
 # ---------------------------------------------------------------- APIs
@@ -171,33 +170,10 @@ def push_items(spark, sf_dir):
     told = [status(*x) for x in (("/api/ingest?platform=r", "t"), ("/api/ingest?platform=" + "x" * 33, "t"), ("/api/ingest?platform=r", "no"), ("/x", "t"))]
     server.shutdown()
     server.server_close()
-    raw, _ = landing.read_platform(spark, str(inbox), "r")
+    raw = landing.rows_of(landing.scan(spark, str(inbox), [("r", "R")]))
     return raw.select("sku_id", "title").union(spark.createDataFrame([("status", s) for s in told], "sku_id string, title string"))
 
 
-@query("select * from (values ('given', 'A-x'), ('hidden', '[n] *** refused'), ('path', 'v'), ('index', '2'), ('none', ''), ('merged', '{\"a\": {\"b\": 1, \"c\": 3}, \"d\": [4]}'), ('missing', 'TARIFA_NOT_SET'), ('unknown preset', 'refused'), ('bad name', 'refused'), ('bad mode', 'refused')) v(what, value)")
-def settings_rules(spark, sf_dir):
-    """Variables, redaction, paths, merging and refusals of settings."""
-    import os
-
-    os.environ["TARIFA_SECRET"] = "hush-hush"
-    v = G.Variables({"A": "x", "B": " "}, "n")
-    rows = [("given", v.expand({"k": ["A-${A}"]})["k"][0]), ("hidden", v.redact("[n] " + v.expand("${TARIFA_SECRET}") + " refused"))]
-    data = {"a": [{"b": "v"}, {"c": 2}]}
-    rows += [("path", G.at_path(data, "a.0.b")), ("index", str(G.at_path(data, "a.1.c"))), ("none", str(G.at_path(data, "a.5.c") or ""))]
-    rows.append(("merged", json.dumps(G.merged({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}, "d": [4]}))))
-    try:
-        v.expand("${TARIFA_NOT_SET}")
-    except G.ConfigError as e:
-        rows.append(("missing", re.search(r"TARIFA_\w+", str(e))[0]))
-    for what, bad in (("unknown preset", {"preset": "x"}), ("bad name", {"name": "a/b"}), ("bad mode", {"mode": "x"})):
-        try:
-            paged.PagedSource({"name": "n", "platform": "p", "url": "http://x/"} | bad)
-        except paged.SourceError:
-            rows.append((what, "refused"))
-    return spark.createDataFrame(rows, "what string, value string")
-
-
 # ---------------------------------------------------------------- sinks
 
 

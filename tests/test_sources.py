@@ -9,6 +9,8 @@ import pytest
 import requests
 from pyspark.sql import functions as F
 
+from tarifa.operators.products import to_products
+from tarifa.operators.tables import cut
 from tarifa.sources import config as G
 from tarifa.sources import landing, paged, receiver, robots
 from tarifa.streaming import landing as stream
@@ -29,6 +31,43 @@ def test_landing_files(spark, tmp_path):
     assert [p.name for p in inbox.iterdir()] == ["self_3.csv"] and len(list((tmp_path / "old").iterdir())) == 3
 
 
+def test_bad_files_are_rows_and_rows_keep_their_order(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a_2.csv").write_text("sku,title\n1,later\n\n3,short\n", encoding="utf-8")
+    (inbox / "a_1.csv").write_bytes("sku,title,价格,品名\n1,x,5,first\n2,\"two\nlines\",6\n".encode())
+    (inbox / "a_b_1.json").write_text('{"items": [{"sku": 9, "title": "t", "price": 1.50, "more": [1, {"k": 2.0}], "ok": true, "none": null}, {"title": "no id"}]}', encoding="utf-8")
+    for name, content in {"a_wide.csv": b"sku,title\n1,2,3\n", "a_bytes.csv": b"sku,title\n\xff,2\n", "a_open.csv": b'sku,title\n1,"x', "a_bad.json": b"{", "a_empty.csv": b"\n", "a_other.json": b'{"rows": []}', "a_list.json": b"[1]", "a_x.xlsx": b"no sheet", "a_1.txt": b"x", "c_1.csv": b"sku,title\n1,2\n"}.items():
+        (inbox / name).write_bytes(content)
+    landed = landing.scan(spark, str(inbox), [("a", "A"), ("a_b", "")]).cache()
+    problems = {(r.path.rsplit("/", 1)[1], r.platform): r.problem for r in landing.files_of(landed).collect()}
+    good = {("a_1.csv", "a"), ("a_2.csv", "a"), ("a_b_1.json", "a"), ("a_b_1.json", "a_b")}
+    assert {k for k, v in problems.items() if v is None} == good
+    assert {k[0] for k in set(problems) - good} == {"a_wide.csv", "a_bytes.csv", "a_open.csv", "a_bad.json", "a_empty.csv", "a_other.json", "a_list.json", "a_x.xlsx"}
+    assert "row 2 has 3 values" in problems["a_wide.csv", "a"] and problems["a_other.json", "a"].endswith("lacks sku_id, title")
+    rows = landing.rows_of(landed).orderBy("platform_ord", "ord").collect()
+    assert [(r.sku_id, r.title, r.price) for r in rows if r.platform == "a"] == [("1", "first", "5"), ("2", None, "6"), ("1", "later", None), ("3", "short", None), ("9", "t", "1.50"), (None, "no id", None)]
+    extra = rows[-2].extra
+    assert (rows[-2].platform, rows[-2].platform_name, rows[-2].platform_ord) == ("a_b", "a_b", 1) and extra == {"more": '["1",{"k":"2.0"}]', "ok": "true", "none": None}
+    landed.unpersist()
+    assert landing.collect(spark, str(tmp_path / "nowhere"), [("a", "A")]) is None and landing.collect(spark, str(inbox), [("z", "Z")]) is None
+
+
+def test_many_files_are_one_job(spark, tmp_path):
+    for k in range(2000):
+        (tmp_path / f"{'rs'[k % 2]}_{k:04}.csv").write_text(f"sku,title\n{k % 1500},t{k}\n{k},again\n", encoding="utf-8")
+    context = spark.sparkContext
+    context.setJobGroup("landing", "files")
+    landed = cut(landing.scan(spark, str(tmp_path), [("r", "R"), ("s", "S")]), "landed")
+    context.setJobGroup("rest", "rest")
+    # the scan, and the names of the files
+    assert len(context.statusTracker().getJobIdsForGroup("landing")) <= 4
+    assert landing.rows_of(landed).count() == 4000 and landing.files_of(landed).filter("problem is null").count() == 2000
+    first = to_products(landing.rows_of(landed)).filter("sku_id = '0'").first()
+    assert (first.platform, first.title) == ("r", "t0")
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 class Reply:
     def __init__(self, body, status=200, headers=None):
         self.body, self.status_code, self.headers, self.text = body, status, headers or {}, str(body)
@@ -124,7 +163,7 @@ def test_mapping(tmp_path):
     assert source(Session(Reply([])))[0].fetch_to(str(tmp_path)) == (None, 0)
 
 
-def test_settings():
+def test_settings(monkeypatch):
     for bad in ({"name": "a/b"}, {"platform": ""}, {"mode": "x"}, {"url": ""}, {"preset": "x"}):
         with pytest.raises(paged.SourceError):
             source(Session(), **bad)
@@ -132,6 +171,9 @@ def test_settings():
     assert G.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     with pytest.raises(G.ConfigError, match="NOT_THERE"):
         G.Variables({}, "x").expand({"k": ["${NOT_THERE}"]})
+    monkeypatch.setenv("TARIFA_SECRET", "hush-hush")
+    v = G.Variables({"A": "x", "B": " "}, "n")
+    assert v.expand({"k": ["A-${A}"]}) == {"k": ["A-x"]} and v.redact("[n] " + v.expand("${TARIFA_SECRET}") + " refused") == "[n] *** refused"
 
 
 def test_receiver(tmp_path):
