@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import csv
 import html
 import json
 from datetime import datetime
 from functools import reduce
-from pathlib import Path
 from string import Template
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import spec as S
+from ..sources import files
 from .compare import action_kind
 
+#: Rows of a shard of the report.
+SHARD_ROWS = 2000
 REVIEW_NOTE = "存在待复核的匹配关系"
 # fixed values: histogram edges and labels, review columns
 EDGES = [-0.30, -0.15, -0.05, 0.05, 0.15, 0.30]
@@ -110,20 +112,40 @@ def row_payload(rows: DataFrame, competitors: list[tuple[str, str]]) -> DataFram
 
 
 def write_review_csv(rows: DataFrame, path: str) -> int:
-    """The review file (UTF-8 with a byte order mark); nothing is written without rows."""
-    n = 0
-    out = None
-    for r in review_rows(rows).toLocalIterator():
-        if out is None:
-            Path(path).parent.mkdir(parents=True, exist_ok=True)
-            f = open(path, "w", encoding="utf-8-sig", newline="")
-            out = csv.writer(f)
-            out.writerow(REVIEW_COLUMNS)
-        out.writerow(r)
-        n += 1
-    if out is not None:
-        f.close()
-    return n
+    """The review list as CSV (UTF-8 with a byte order mark), written by the executors: one file, or a folder
+    of files in order where the list is long; nothing without rows. It appears when all tasks have succeeded. Gives the number of rows."""
+    spark, listed = rows.sparkSession, review_rows(rows)
+    if listed.isEmpty():
+        return 0
+    told = Observation()
+    parts = f"{path}.parts"
+    marked = listed.observe(told, F.count(F.lit(1)).alias("n")).withColumnRenamed(REVIEW_COLUMNS[0], "\ufeff" + REVIEW_COLUMNS[0])
+    marked.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(parts)
+    found = [n for n in files.names(spark, parts) if n.startswith("part-")]
+    files.remove(spark, path)
+    files.move(spark, f"{parts}/{found[0]}" if len(found) == 1 else parts, path)
+    files.remove(spark, parts)
+    return told.get["n"]
+
+
+def write_shards(rows: DataFrame, competitors: list[tuple[str, str]], folder: str, size: int = SHARD_ROWS) -> list[tuple[str, int]]:
+    """The row payload as scripts of ``size`` rows at most, in product order, written by the executors; (name,
+    rows) of each. A page on any disk can load them: each line hands over a row."""
+    spark = rows.sparkSession
+    line = F.concat(F.lit("add("), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), F.lit(")")).alias("value")
+    row_payload(rows, competitors).orderBy("ord").select(line).write.mode("overwrite").option("maxRecordsPerFile", size).text(folder)
+    first = F.min(F.regexp_extract("value", r'^add\(\{"ord":(-?\d+)', 1).cast("long"))
+    index = spark.read.text(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(first.alias("first"), F.count("*").alias("n"))
+    out = []
+    for k, r in enumerate(index.orderBy("first").collect()):  # as many as there are files
+        files.move(spark, f"{folder}/{r['name']}", f"{folder}/{k:06}.js")
+        out.append((f"{k:06}.js", r["n"]))
+    return out
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """(row,) of every row of the shards, as JSON."""
+    return spark.read.option("pathGlobFilter", "*.js").text(folder).select(F.regexp_extract("value", r"^add\((.*)\)$", 1).alias("row"))
 
 
 _PAGE = Template("""<!doctype html><html lang="zh"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width"><title>$title</title>
@@ -139,9 +161,11 @@ tr.row{cursor:pointer}td.panel{background:#f7f8fa}.flag{background:#fff3cd;borde
 <h2>明细</h2><form onsubmit="return false"><input id="q" placeholder="搜索商品或品牌"><select id="a"><option value="">全部动作</option>$actions</select>
 <select id="c"><option value="">全部品类</option>$categories</select><label><input type="checkbox" id="r">待复核</label><span id="n" class="muted"></span></form>
 <table><thead><tr><th>SKU</th><th>商品</th><th>规格</th><th>售价</th><th>单价</th><th>对标</th><th>对标价</th><th>价差</th><th>动作</th><th>说明</th></tr></thead><tbody id="rows"></tbody></table>
-<script type="application/json" id="data">$data</script>
+<p><button id="more">更多</button></p><script type="application/json" id="data">$data</script>
 <script>
-const rows=JSON.parse(document.getElementById('data').textContent),box=id=>document.getElementById(id);
+const shards=JSON.parse(document.getElementById('data').textContent),rows=[],box=id=>document.getElementById(id),PAGE=200;let next=0,limit=PAGE;
+const add=x=>rows.push(x),total=shards.files.reduce((n,f)=>n+f[1],0);
+function load(then){if(next>=shards.files.length)return then();const s=document.createElement('script');s.src=shards.folder+'/'+shards.files[next++][0];s.onload=s.onerror=()=>{s.remove();then()};document.head.append(s)}
 const money=v=>v===null?'—':'¥'+v.toFixed(2),each=(v,l)=>v===null?'—':v.toFixed(2)+' '+l,rate=v=>v===null?'—':(v>0?'+':'')+(100*v).toFixed(1)+'%';
 const cell=(tr,text,kind)=>{const td=tr.insertCell();td.textContent=text;if(kind)td.className=kind;return td};
 const review=x=>x.rivals.some(y=>y.matched&&y.need_review);
@@ -149,11 +173,11 @@ function panel(x){const t=document.createElement('table');for(const y of x.rival
 const name=cell(tr,'');if(/^https?:/.test(y.url||'')){const a=document.createElement('a');a.href=y.url;a.rel='noopener';a.target='_blank';a.textContent=y.title;name.append(a)}else name.textContent=y.title;
 cell(tr,y.spec);cell(tr,money(y.price));cell(tr,each(y.unit_price,x.unit_label));cell(tr,y.level+' · '+y.score+' · '+y.confidence);const why=cell(tr,y.reason);if(y.need_review){const f=document.createElement('span');f.className='flag';f.textContent='待复核';why.prepend(f,' ')}}return t}
 function show(){const q=box('q').value.toLowerCase(),a=box('a').value,c=box('c').value,r=box('r').checked,body=box('rows');let n=0;body.replaceChildren();
-for(const x of rows){if(q&&!(x.title+' '+x.brand).toLowerCase().includes(q)||a&&x.action!==a||c&&x.category!==c||r&&!review(x))continue;n++;
+for(const x of rows){if(n>=limit)break;if(q&&!(x.title+' '+x.brand).toLowerCase().includes(q)||a&&x.action!==a||c&&x.category!==c||r&&!review(x))continue;n++;
 const tr=body.insertRow();tr.className='row';cell(tr,x.sku_id);cell(tr,x.title);cell(tr,x.spec);cell(tr,money(x.price));cell(tr,each(x.unit_price,x.unit_label));cell(tr,x.benchmark_platform||'—');cell(tr,money(x.benchmark_price));cell(tr,rate(x.diff_rate),x.action_kind);cell(tr,x.action,x.action_kind);cell(tr,x.notes.join('；'),'muted');
 tr.onclick=()=>{const next=tr.nextSibling;if(next&&next.className==='open'){next.remove();return}const p=document.createElement('tr');p.className='open';const td=p.insertCell();td.colSpan=10;td.className='panel';td.append(panel(x));tr.after(p)}}
-box('n').textContent=n+' / '+rows.length}
-for(const id of ['q','a','c','r'])box(id).addEventListener('input',show);show();
+box('n').textContent=n+' / '+rows.length+' / '+total;if(n<limit&&next<shards.files.length)load(show)}
+for(const id of ['q','a','c','r'])box(id).addEventListener('input',()=>{limit=PAGE;show()});box('more').onclick=()=>{limit+=PAGE;show()};show();
 </script></body></html>""")
 
 
@@ -162,13 +186,14 @@ def _cells(rows: list[list]) -> str:
 
 
 def render_html(rows: DataFrame, competitors: list[tuple[str, str]], path: str, title: str = "比价报告", top_n: int = 20) -> str:
-    """One self-contained page. It embeds every row, as a report for a browser does: use it for
-    catalogues that a page can hold, and ``row_payload`` with a table sink beyond."""
+    """A page of aggregates. Its rows lie beside it in shards (``<name>_rows``) that executors have written
+    and that the page loads as they are needed, so the size of the catalogue doesn't matter."""
     spark = rows.sparkSession
     kpi = kpi_summary(rows).first().asDict()
     names = spark.createDataFrame(competitors or [("", "")], "key string, name string").filter("key <> ''")
     per = [[r["name"], r["total"], r["matched"], f"{100 * r['match_rate']:.0f}%", "" if r["avg_diff_rate"] is None else f"{100 * r['avg_diff_rate']:+.1f}%"] for r in platform_summary(rows, names).collect()]
-    payload = [json.loads(r[0]) for r in row_payload(rows, competitors).orderBy("ord").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
+    folder = f"{path.removesuffix('.html')}_rows"
+    shards = {"folder": quote(folder.rsplit("/", 1)[-1]), "files": write_shards(rows, competitors, folder)}
     bins = diff_histogram(rows).orderBy("bin").collect()
     most = max((r["n"] for r in bins), default=0) or 1
     side = lambda k: "up" if k > len(EDGES) // 2 else "down" if k < len(EDGES) // 2 else ""
@@ -181,10 +206,9 @@ def render_html(rows: DataFrame, competitors: list[tuple[str, str]], path: str,
     page = _PAGE.substitute(
         title=html.escape(title), generated=datetime.now().strftime("%Y-%m-%d %H:%M"), kpi="".join(card(k, v) for k, v in shown.items()),
         histogram=bars, counts="".join(card(k, n, kind) for k, (n, kind) in kinds.items()), platforms=_cells(per), top=_cells(top),
-        actions=options(sorted({r["action"] for r in payload})), categories=options(sorted({r["category"] for r in payload})), data=json.dumps(payload, ensure_ascii=False).replace("</", "<\\/"),
+        actions=options(sorted(kinds)), categories=options([r["category"] for r in categories(rows).collect()]), data=json.dumps(shards).replace("</", "<\\/"),
     )
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(page, encoding="utf-8")
+    files.write_text(spark, path, page)
     return path
 
 

@@ -20,7 +20,7 @@ from ..operators import matching as J
 from ..operators import products as R
 from ..operators import report as O
 from ..operators.tables import cut, scratch_dir
-from ..sources import landing, paged, receiver
+from ..sources import files, landing, paged, receiver
 from . import cascade
 from . import catalogue as K
 from . import local_api
@@ -193,11 +193,13 @@ def review_file(spark, sf_dir):
 
 @query(cascade._BEST + "select k::varchar as sku_id, m < 7 as matched, case when m = 7 then '无候选商品' else reason end as reason, 'c' || k as category from best")
 def html_report(spark, sf_dir):
-    """The rows that the report page embeds."""
+    """The rows in the shards that the report page names."""
     path = O.render_html(_rows(spark, sf_dir), [("p0", "P<0>")], f"{folder(spark)}/page.html")
-    page = Path(path).read_text(encoding="utf-8")
-    data = json.loads(re.search(r'<script type="application/json" id="data">(.*?)</script>', page, re.S)[1].replace("<\\/", "</"))
-    return spark.createDataFrame([(r["sku_id"], r["rivals"][0]["matched"], r["rivals"][0]["reason"], r["category"]) for r in data], "sku_id string, matched boolean, reason string, category string")
+    page = files.read_text(spark, path)
+    named = json.loads(re.search(r'<script type="application/json" id="data">(.*?)</script>', page, re.S)[1])
+    rows = O.read_shards(spark, f"{path.rsplit('/', 1)[0]}/{named['folder']}")
+    kind = "sku_id string, category string, rivals array<struct<matched: boolean, reason: string>>"
+    return rows.select(F.from_json("row", kind).alias("r")).select("r.sku_id", F.col("r.rivals")[0]["matched"].alias("matched"), F.col("r.rivals")[0]["reason"].alias("reason"), "r.category")
 
 
 @query("""select '比价完成：' || n || ' 个商品，' || priced || ' 个产出有效价差；我方偏高 ' || higher || ' 个，平均价差率 ' || printf('%+.1f', round(100.0 * total / priced, 1)) || '%' as line from (

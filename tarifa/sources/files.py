@@ -40,3 +40,17 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     """Names of the files of a folder, in order; none if there is no folder."""
     fs, at = _at(spark, folder)
     return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isFile()) if fs.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole."""
+    fs, at = _at(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -127,7 +127,7 @@ def test_compare_command_asks_the_judge(spark, tmp_path, monkeypatch, capsys):
     (inbox / "r_1.csv").write_text("sku_id,title,price\nR1,蒙牛 特仑苏 纯牛奶 250ml*16盒,50\nR2,农夫山泉 水 550ml,1\n", encoding="utf-8")
     (tmp_path / "c.json").write_text(json.dumps({"competitors": [{"key": "r", "name": "R"}], "ingest": {"inbox_dir": str(inbox), "archive_dir": str(tmp_path / "old")}, "matching": {"llm": {"judge": "fixture_judge:answer"}}, "report": {"output_dir": str(tmp_path / "out"), "html_name": "p.html"}}), encoding="utf-8")
     assert cli.main(["-c", str(tmp_path / "c.json"), "compare"]) == 0
-    page = (tmp_path / "out/p.html").read_text(encoding="utf-8")
+    page = "".join(f.read_text(encoding="utf-8") for f in (tmp_path / "out/p_rows").glob("*.js"))
     assert "AI 判定不匹配：产品线不同" in page and "比价完成：2 个商品，1 个产出有效价差" in capsys.readouterr().out
     assert not list(inbox.iterdir()) and len(list((tmp_path / "old").iterdir())) == 2
 
@@ -241,9 +241,20 @@ def test_report(spark, tmp_path):
     assert [r.sku_id for r in O.top_gaps(rows, 1).collect()] == ["S2"]
     assert O.filter_rows(rows, review_only=True).count() == 1 and O.filter_rows(rows, query="A 5").count() == 1
     assert O.write_review_csv(rows, str(tmp_path / "out/review.csv")) == 1
-    assert (tmp_path / "out/review.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+    assert (tmp_path / "out/review.csv").read_bytes().startswith("\ufeff我方SKU,我方商品".encode()) and not (tmp_path / "out/review.csv.parts").exists()
+    assert O.write_review_csv(rows, str(tmp_path / "out/review.csv")) == 1 and O.write_review_csv(rows.filter("sku_id = 'S2'"), str(tmp_path / "none.csv")) == 0 and not (tmp_path / "none.csv").exists()
+    fails = rows.withColumn("title", F.when(F.col("sku_id") == "S1", F.raise_error(F.lit("a lost task"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="a lost task"):
+        O.write_review_csv(fails, str(tmp_path / "failed.csv"))
+    assert not (tmp_path / "failed.csv").exists() and not [f for f in (tmp_path / "failed.csv.parts").rglob("*part-*")]
     page = open(O.render_html(rows, [("r", "甲</script>"), ("x", "乙")], str(tmp_path / "page.html")), encoding="utf-8").read()
-    assert "甲<\\/script>" in page and "未参与匹配" in page and "$" not in page.split("<script>")[0].replace("${", "")
+    assert "甲&lt;/script&gt;" in page and "$" not in page.split("<script>")[0].replace("${", "")
+    assert '{"folder": "page_rows", "files": [["000000.js", 3]]}' in page
+    shards = O.write_shards(rows, [("r", "甲</script>"), ("x", "乙")], str(tmp_path / "rows"), size=1)
+    assert [n for _, n in shards] == [1, 1, 1] and [f.name for f in sorted((tmp_path / "rows").glob("*.js"))] == [name for name, _ in shards]
+    read = [json.loads(r.row) for r in O.read_shards(spark, str(tmp_path / "rows")).collect()]
+    assert {r["sku_id"]: [x["reason"] for x in r["rivals"]][1] for r in read} == dict.fromkeys(("S1", "S2", "S3"), "未参与匹配") and read[0]["rivals"][0]["name"] == "甲</script>"
+    assert [json.loads((tmp_path / "rows" / name).read_text(encoding="utf-8").strip()[4:-1])["sku_id"] for name, _ in shards] == ["S1", "S2", "S3"]
     s = M.match_stats(pairs).first()
     assert (s.total, s.barcode, s.fuzzy, s.unmatched, s.need_review) == (3, 1, 1, 1, 1)
 
