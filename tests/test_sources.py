@@ -161,6 +161,11 @@ def test_mapping(tmp_path):
     with pytest.raises(paged.SourceError, match="goodsNo"):
         source(Session(Reply([{"goodsNo": 1}])))[0].fetch()
     assert source(Session(Reply([])))[0].fetch_to(str(tmp_path)) == (None, 0)
+    with pytest.raises(paged.SourceError, match="columns: goodsNo"):
+        source(Session(Reply([{"goodsNo": 1}])))[0].fetch_to(str(tmp_path))
+    with pytest.raises(paged.SourceError):  # the second page fails: no half a file is left
+        source(Session(Reply(ITEMS[:1]), Reply("", 404)), pagination={"type": "offset", "page_size": 1})[0].fetch_to(str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == [path.rsplit("/", 1)[1]]
 
 
 def test_settings(monkeypatch):
