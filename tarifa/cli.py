@@ -75,8 +75,8 @@ def compare(config: dict, args) -> int:
     if rivals.isEmpty():
         print("no rival products", file=sys.stderr)
         return 1
-    judge = J.load(((config.get("matching") or {}).get("llm") or {}).get("judge"))
-    pairs = cut(M.match_all(own, rivals, match_config(config), judge=judge), "pairs")
+    llm = (config.get("matching") or {}).get("llm") or {}
+    pairs = cut(M.match_all(own, rivals, match_config(config), judge=J.load(llm.get("judge")), store=llm.get("verdicts")), "pairs")
     rows = cut(P.compare_rows(own, pairs, rivals, compare_config(config)), "rows")
     report = config.get("report") or {}
     out = report.get("output_dir", "data/output")

@@ -10,7 +10,9 @@ from __future__ import annotations
 import importlib
 import json
 import logging
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as C
 from ..functions import spec as S
+from ..sources import files
+from .tables import cut, scratch_dir
 
 log = logging.getLogger(__name__)
 Judge = Callable[[str, str, dict], "str | dict"]
@@ -70,23 +74,60 @@ def load(path: str | None) -> Judge | None:
         return None
 
 
-def adjudicate(gray: DataFrame, own: DataFrame, rivals: DataFrame, judge: Judge, batch_size: int = 20, concurrency: int = 4) -> DataFrame:
-    """Verdicts on grey pairs, ``batch_size`` pairs a call, on ``concurrency`` tasks. A batch whose
-    call fails softly has none."""
+#: Calls of one task before its answers are kept, and calls that a task makes at once at most.
+CALLS, THREADS = 16, 4
+_KEPT = "pair string, is_match boolean, confidence double, reason string"
+
+
+def _asking(judge: Judge, batch_size: int, threads: int):
+    def call(part: pd.DataFrame) -> pd.DataFrame | None:
+        try:
+            found = verdicts_of(judge(INSTRUCTIONS, prompt(list(zip(part["a"], part["b"]))), ANSWER), len(part))
+        except SOFT as e:
+            log.warning("a batch of %d pairs goes to review: %s", len(part), e)
+            return None
+        some = part.iloc[sorted(found)][["pair"]].reset_index(drop=True)
+        return pd.concat([some, pd.DataFrame([found[k] for k in sorted(found)], columns=["is_match", "confidence", "reason"])], axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in batches:
+                for found in pool.map(call, [frame.iloc[at : at + batch_size] for at in range(0, len(frame), batch_size)]):
+                    if found is not None:
+                        yield found
+
+    return run
+
+
+def ask(new: DataFrame, judge: Judge, store: str, batch_size: int = 20, concurrency: int = 4) -> None:
+    """Asks for (pair, a, b) and appends the answers to ``store``. At most ``concurrency`` calls are under way, in
+    waves of a few calls a task; the answers of a task are kept as soon as it's done, whatever becomes of the others."""
+    new = cut(new, "asked")
+    threads = min(THREADS, concurrency)
+    tasks = -(-concurrency // threads)
+    waves = -(-new.count() // (batch_size * CALLS * tasks))
+    for wave in range(waves):
+        some = new.filter(F.pmod(F.xxhash64("pair"), F.lit(waves)) == wave).repartition(tasks, F.xxhash64("pair", F.lit("task")))
+        kept = some.mapInPandas(_asking(judge, batch_size, threads), _KEPT)
+        kept.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+
+
+def adjudicate(gray: DataFrame, own: DataFrame, rivals: DataFrame, judge: Judge, batch_size: int = 20, concurrency: int = 4, store: str | None = None) -> DataFrame:
+    """Verdicts on grey pairs, ``batch_size`` pairs a call. A batch whose call fails softly has none.
+
+    ``store`` is a folder of verdicts by a hash of what the judge is told; a pair that it has isn't asked
+    again, by another run or after a failure, nor is one that another product is told in the same words. Without it
+    a folder of this run is used."""
     text = describe(*(F.col(c) for c in ("title", "brand", "spec", "spec_text", "price")))
     side = lambda df, uid, name: df.select(F.col("uid").alias(uid), text.alias(name))
     rows = gray.select("self_uid", "platform", "rival_uid").join(side(own, "self_uid", "a"), "self_uid").join(side(rivals, "rival_uid", "b"), "rival_uid")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                try:
-                    found = verdicts_of(judge(INSTRUCTIONS, prompt(list(zip(part["a"], part["b"]))), ANSWER), len(part))
-                except SOFT as e:
-                    log.warning("a batch of %d pairs goes to review: %s", len(part), e)
-                    continue
-                some = part.iloc[sorted(found)][["self_uid", "platform"]].reset_index(drop=True)
-                yield pd.concat([some, pd.DataFrame([found[k] for k in sorted(found)], columns=["is_match", "confidence", "reason"])], axis=1)
-
-    return rows.repartition(concurrency).mapInPandas(run, C.VERDICT)
+    told = cut(rows.select("self_uid", "platform", "a", "b", F.sha2(F.concat_ws("\x1f", F.lit(INSTRUCTIONS), "a", "b"), 256).alias("pair")), "described")
+    spark, store = gray.sparkSession, store or f"{scratch_dir(gray.sparkSession)}/verdicts-{uuid.uuid4().hex}"
+    known = lambda: spark.read.schema(_KEPT).parquet(store).dropDuplicates(["pair"])
+    new = told.groupBy("pair").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    if files.exists(spark, store):
+        new = new.join(known().select("pair"), "pair", "left_anti")
+    ask(new, judge, store, batch_size, concurrency)
+    if not files.exists(spark, store):  # there was nothing to ask
+        return spark.createDataFrame([], C.VERDICT)
+    return told.join(known(), "pair").select("self_uid", "platform", "is_match", "confidence", "reason")

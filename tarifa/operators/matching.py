@@ -222,10 +222,10 @@ def judge_gray(gray: DataFrame, verdicts: DataFrame | None, config: MatchConfig)
     )
 
 
-def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConfig(), verdicts: DataFrame | None = None, judge: Judge | None = None) -> DataFrame:
+def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConfig(), verdicts: DataFrame | None = None, judge: Judge | None = None, store: str | None = None) -> DataFrame:
     """One pair per own product and platform with data, by the first stage that settles it.
 
-    The grey zone is settled by ``verdicts`` or, where there are none, by asking ``judge``.
+    The grey zone is settled by ``verdicts`` or, where there are none, by asking ``judge``, whose answers ``store`` keeps.
     ``own`` and ``rivals`` are read by every stage: give tables, not plans that parse titles."""
     pending = cut(with_platforms(own, rivals), "pending")
     done: DataFrame | None = None
@@ -238,7 +238,7 @@ def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConf
     settled, gray = route_best(pending, best, config)
     if verdicts is None and judge is not None and config.judge == "verdicts":
         # asked once: a table, not a plan that asks again when it's read again
-        verdicts = cut(adjudicate(gray, own, rivals, judge, config.batch_size, config.concurrency), "verdicts")
+        verdicts = cut(adjudicate(gray, own, rivals, judge, config.batch_size, config.concurrency, store), "verdicts")
     out = settled.unionByName(judge_gray(gray, verdicts, config))
     return out if done is None else done.unionByName(out)
 

@@ -106,6 +106,37 @@ def test_judge_batches_and_failures(spark):
     assert got["self:S1"] == (C.JUDGED, False) and got["self:S2"][0] in (C.FUZZY, C.NONE)
 
 
+def test_verdicts_are_kept_and_asked_once(spark, tmp_path):
+    """Two runs, a run that failed half way, and products that are told in the same words."""
+    words = "水 奶 油 面 茶 糖 盐 醋".split()
+    rows = [("self", f"S{k}", f"蒙牛 {w} 250ml", "5") for k, w in enumerate(words)] + [("self", "T0", "蒙牛 水 250ml", "5"), ("r", "R", "蒙牛 特仑苏 酸", "5")]
+    own, rivals = make(spark, *rows)
+    gray = own.select(F.col("uid").alias("self_uid"), F.lit("r").alias("platform"), F.lit("r:R").alias("rival_uid"))
+    calls, store, broken = tmp_path / "calls", str(tmp_path / "store"), tmp_path / "broken"
+    broken.touch()
+
+    def judge(instructions, prompt, schema):
+        if broken.exists() and "蒙牛 糖" in prompt:
+            raise RuntimeError("the service is gone")  # no soft failure: the task fails
+        with calls.open("a", encoding="utf-8") as f:
+            f.write(prompt.split("标题：")[1].split(" | ")[0] + "\n")
+        return {"results": [{"index": 0, "is_match": "水" in prompt, "confidence": 0.8, "reason": "r"}]}
+
+    run = lambda: {r.self_uid: r.is_match for r in J.adjudicate(gray, own, rivals, judge, batch_size=1, concurrency=8, store=store).collect()}
+    asked = lambda: calls.read_text(encoding="utf-8").split("\n")[:-1]
+    with pytest.raises(Exception, match="the service is gone"):
+        run()
+    kept = spark.read.parquet(store).count() if list((tmp_path / "store").glob("*.parquet")) else 0
+    before = len(asked())
+    broken.unlink()
+    found = run()
+    assert len(found) == 9 and found["self:S0"] and found["self:T0"] and not found["self:S3"]
+    assert len(asked()) - before == 8 - kept  # all that weren't kept, each once
+    assert run() == found and len(asked()) - before == 8 - kept
+    spark.createDataFrame([], gray.schema).createOrReplaceTempView("none")
+    assert J.adjudicate(spark.table("none"), own, rivals, judge).count() == 0
+
+
 def test_answers_of_a_judge():
     r = {"index": "1", "is_match": 1, "reason": None}
     assert J.verdicts_of({"results": [r, {"index": 2, "is_match": True}]}, 2) == {1: {"is_match": True, "confidence": 0.0, "reason": ""}}

@@ -236,3 +236,33 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         stream.start(spark, str(inbox), str(tmp_path / "c"), lambda df, n: seen.extend(df.select("uid", "price", F.col("spec.total_base").alias("t")).collect()), once=True).awaitTermination()
     assert sorted(tuple(r) for r in seen) == [("q:2", None, 1000.0), ("r:1", 2.0, 500.0)]
+
+
+def test_stream_keeps_the_first_of_a_product_over_batches(spark, tmp_path):
+    """A product id again in a later batch, in a later run and after a batch that failed."""
+    inbox, seen = tmp_path / "in", []
+    inbox.mkdir()
+
+    def push(n, *items, platform="r"):
+        (inbox / f"{platform}_20260101_000000_{n:06}.json").write_text(json.dumps([{"sku_id": k, "title": t} for k, t in items]), encoding="utf-8")
+
+    def run(fails=False):
+        def sink(df, number):
+            rows = [tuple(r) for r in df.select("uid", "title").collect()]
+            if fails:
+                raise RuntimeError("the sink is away")
+            seen.extend(rows)
+
+        stream.start(spark, str(inbox), str(tmp_path / "c"), sink, once=True).awaitTermination()
+
+    push(1, ("1", " - "), ("1", "first"), ("1", "second"), ("2", "two"))
+    run()
+    assert sorted(seen) == [("r:1", "first"), ("r:2", "two")]
+    push(2, ("2", "later"), ("3", "three"))
+    push(3, ("2", "other platform"), platform="q")
+    with pytest.raises(Exception, match="the sink is away"):
+        run(fails=True)
+    run()  # from the checkpoint: the batch comes again
+    push(4, (" 3 ", "again"), ("1", "again"), ("4", "four"))
+    run()
+    assert sorted(seen) == [("q:2", "other platform"), ("r:1", "first"), ("r:2", "two"), ("r:3", "three"), ("r:4", "four")]
