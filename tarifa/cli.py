@@ -15,7 +15,7 @@ from .operators import judge as J
 from .operators import matching as M
 from .operators import products as R
 from .operators import report as O
-from .operators.tables import cut
+from .operators.tables import cut, released
 from .schemas import SELF
 from .sources import landing
 from .sources.config import ConfigError, load_config
@@ -54,8 +54,10 @@ def compare_config(config: dict) -> P.CompareConfig:
 
 
 def collect(config: dict, args) -> int:
-    products = _collect(config, session())
-    counts = {} if products is None else {r.platform: r.products for r in R.platform_counts(products).collect()}
+    spark = session()
+    with released(spark):
+        products = _collect(config, spark)
+        counts = {} if products is None else {r.platform: r.products for r in R.platform_counts(products).collect()}
     for key, name in _platforms(config):
         print(f"{name} ({key}): {counts.get(key, 0)}")
     return 0
@@ -65,6 +67,11 @@ def compare(config: dict, args) -> int:
     if getattr(args, "fetch", False) and fetch(config, args):
         log.warning("some sources failed; going on with what the inbox has")
     spark = session()
+    with released(spark):
+        return _compare(config, spark)
+
+
+def _compare(config: dict, spark: SparkSession) -> int:
     products = _collect(config, spark)
     products = None if products is None else cut(products, "products")
     own = None if products is None else products.filter(f"platform = '{SELF}'")

@@ -6,11 +6,18 @@ tree would grow with every stage. A table cuts both, and a lost executor only re
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import files
+
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names. Only a session on one machine may leave it unset."""
@@ -27,9 +34,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that were cut inside: for work whose results are written elsewhere by then."""
+    before = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get() or []
+        _made.reset(before)
+        for path in made:
+            files.remove(spark, path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt by ``keys`` over as many partitions as the session shuffles into. For work that
     costs much time a byte: adaptive coalescing goes by bytes and would leave it to a few cores."""

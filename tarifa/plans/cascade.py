@@ -63,10 +63,15 @@ def recall_reasons(spark, sf_dir):
     return found.select("self_uid", F.col("rank").cast("long").alias("rank"), "rival_uid", six("score"), "reason")
 
 
-@query("select 'self:' || p_partkey as self_uid, p_partkey % 8 in (6, 7) as same_keys, 0::bigint as pairs from part")
+@query("""select 'self:' || p_partkey as self_uid, p_partkey % 8 in (6, 7) as same_keys, 0::bigint as pairs from part
+  union all select 'self:t' || p_partkey, true, 1 from part""")
 def brand_spec_conflicts(spark, sf_dir):
-    """Equal brand, category and total with another variant or product line: no pair."""
+    """Equal brand, category and total: no pair with another variant or product line, one for plain tea."""
     own, rivals = sides(spark, sf_dir)
+    tea = part(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(p).alias("platform"), F.lit(n).alias("platform_ord")) for n, p in enumerate((K.SELF, "p0"))])).alias("p"), "k")
+    tea = tea.select("p.platform", "p.platform_ord", F.col("k").alias("ord"), text("t", F.col("k")).alias("sku_id"), F.lit("绿茶 500g").alias("title"), text("d", F.col("k")).alias("category"), F.lit("b").alias("brand"))
+    tea = cut(to_products(tea), "tea")
+    own, rivals = own.unionByName(tea.filter(F.col("platform") == K.SELF)), rivals.unionByName(tea.filter(F.col("platform") != K.SELF))
     found = J.match_brand_spec(J.with_platforms(own, rivals), rivals).groupBy("self_uid").agg(F.count("*").alias("n"))
     key = lambda df: df.filter("brand <> ''").select("category", F.lower("brand").alias("b"), F.col("spec.unit").alias("u"), F.col("spec.total_base").alias("t"))
     alike = key(own).intersect(key(rivals)).select("category", F.lit(True).alias("same"))
@@ -74,6 +79,17 @@ def brand_spec_conflicts(spark, sf_dir):
     return rows.select("self_uid", F.coalesce("same", F.lit(False)).alias("same_keys"), F.coalesce("n", F.lit(0)).alias("pairs"))
 
 
+@query("select 'self:' || s_suppkey as self_uid, 'p0:' || s_suppkey as rival_uid, 100.0::double as score from supplier")
+def fallback_pool(spark, sf_dir):
+    """No rival's category is compatible: all of the platform are candidates, and the equal title is found."""
+    word = F.concat(F.lit("q"), F.translate(F.col("s_suppkey").cast("string"), "0123456789", "abcdefghij"))
+    s = K.table(spark, sf_dir, "supplier")
+    rows = lambda platform, n, category: s.select(F.lit(platform).alias("platform"), F.lit(n).alias("platform_ord"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("sku_id"), word.alias("title"), category.alias("category"))
+    made = cut(to_products(rows(K.SELF, 0, F.lit("甲类")).unionByName(rows("p0", 1, text("乙类", F.col("s_suppkey") % 3)))), "fallback")
+    own, rivals = made.filter(F.col("platform") == K.SELF), made.filter(F.col("platform") != K.SELF)
+    return J.recall(J.with_platforms(own, rivals), rivals).filter("rank = 1").select("self_uid", "rival_uid", six("score"))
+
+
 def _outcome(spark, sf_dir, judge: str, verdicts=None, function=None) -> DataFrame:
     own, rivals = sides(spark, sf_dir)
     pairs = J.match_all(own, rivals, J.MatchConfig(judge=judge), verdicts, function)

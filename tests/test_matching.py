@@ -1,6 +1,7 @@
 """The match cascade, its outcome table, and comparison rows."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,11 @@ def test_compare_command_asks_the_judge(spark, tmp_path, monkeypatch, capsys):
     page = "".join(f.read_text(encoding="utf-8") for f in (tmp_path / "out/p_rows").glob("*.js"))
     assert "AI 判定不匹配：产品线不同" in page and "比价完成：2 个商品，1 个产出有效价差" in capsys.readouterr().out
     assert not list(inbox.iterdir()) and len(list((tmp_path / "old").iterdir())) == 2
+    # commands leave no tables behind
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    (inbox / "self_2.csv").write_text("sku_id,title,price\nS1,水 550ml,2\nS1,again,2\n", encoding="utf-8")
+    assert cli.main(["-c", str(tmp_path / "c.json"), "collect"]) == 0 and "(self): 1" in capsys.readouterr().out and set(shared.iterdir()) == before
 
 
 def _brute_recall(own, rivals, n, k):
