@@ -351,11 +351,33 @@ def test_media(spark, rows, empty):
     got = media.digest(docs).collect()
     assert {tuple(x)[:7] for x in got} == want and len(got) == len(rows) + 2
     store = media.Store(docs)
-    n = store.chunk_counts().first()
-    assert n.listed > n.distinct and store.shared.count() > 0 and store.exported().count() > 0
+    n = {x.what: x.n for x in store.chunk_counts().collect()}
+    assert n["listed"] > n["stored"] and store.shared.count() > 0 and store.exported().count() > 0
     assert media.digest(empty).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("media_")]
 
 
+def test_the_store_holds_every_chunk_once(spark, monkeypatch):
+    """Near-equal long texts in containers of their own: bodies are stored once, and containers need each other's."""
+    r = random.Random(8)
+    base = [f"{r.randrange(10**9)}" for _ in range(30_000)]
+    texts = [" ".join(base[: 500 * k] + [f"own {k}"] + base[500 * k :]) for k in range(8)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(90, texts[3])]
+    monkeypatch.setattr(common, "CHUNK_BYTES", 1 << 16)
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("cont", F.lit("mine")).withColumn("m", F.lit(1)), "fixture")
+    store = media.Store(docs)
+    chunks = {}
+    for t in texts:
+        m = media.to_media(media.payload(t.encode()))
+        ends = media.chunk_ends(m)
+        chunks |= {hashlib.sha256(m[a:b]).digest(): b - a for a, b in zip([0, *ends], ends)}
+    n = {x.what: x.n for x in store.chunk_counts().collect()}
+    assert store.table.count() > 5 and n["stored"] == len(chunks) and n["bytes"] == sum(chunks.values()) < 0.3 * n["listed"] * n["bytes"] / n["stored"]
+    assert sorted(x.doc_id for x in store.documents().collect()) == [*range(8), 90]
+    monkeypatch.setattr(media.Store, "exported", lambda self: spark.createDataFrame([], "digest binary, bytes binary"))
+    with pytest.raises(Exception, match="chunks of stored media are missing"):
+        store.read().collect()
+
+
 def test_cuts_follow_the_content():
     r = random.Random(3)
     a = bytes(r.randrange(256) for _ in range(40000))
