@@ -27,7 +27,7 @@ import functools
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +89,12 @@ class Numbers(dict):
         return k
 
 
-def numbered(m: Model, texts: pa.Array) -> tuple[Numbers, np.ndarray, np.ndarray]:
-    """Numbers of the distinct marked words, the number of each word in turn, and how many each text has."""
+def numbered(split: Callable[[str | None], list[str]], texts: pa.Array) -> tuple[Numbers, np.ndarray, np.ndarray]:
+    """Numbers of the distinct words, the number of each word in turn, and how many each text has."""
     place, at, sizes = Numbers(), [], []
     for part in C.chunks(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", SLICE_BYTES):
         for text in part.column("t").to_pylist():
-            found = m.chunks(text)
+            found = split(text)
             sizes.append(len(found))
             at.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
     return place, np.concatenate(at) if at else np.zeros(0, np.int32), np.array(sizes, np.int64)
@@ -107,10 +107,15 @@ def runs(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[str
         yield C.chunk_key(place, k, np.zeros(0), batch.column(text_col)), batch
 
 
-def _sent(run: str, words: list[str], buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that has words of a run: their numbers in order, and the words."""
+SENT = "bucket int, run string, n int, ks binary, sizes binary, words binary"
+
+
+def sent_words(run: str, words: list[str], buckets: int, beginning: int | None = None) -> pa.RecordBatch:
+    """A row for each bucket that has words of a run: their numbers in order, and the words. The bucket is
+    that of the whole word or, for words that should meet those that begin alike, of so many characters."""
     raw = [w.encode() for w in words]
-    bucket = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
+    keys = raw if beginning is None else [w[:beginning].encode() for w in words]
+    bucket = np.fromiter(map(zlib.crc32, keys), np.int64, len(raw)) % buckets
     by = np.argsort(bucket, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(bucket[by])) + 1, len(by))
     rows = []
@@ -121,13 +126,19 @@ def _sent(run: str, words: list[str], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "run", "n", "ks", "sizes", "words"])
 
 
-def _answered(m: Model, sent: pa.Table) -> pa.Table:
-    """The ids of a bucket's words, row by row: each distinct word is segmented once."""
+def met_words(sent: pa.Table) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of a bucket, and for each of its rows the places of the row's words among them."""
     place, numbers = Numbers(), []
     for n, sizes, words in zip(*(sent[c].to_pylist() for c in ("n", "sizes", "words"))):
         raw, off = zlib.decompress(words), np.append(0, np.cumsum(C.unsqueeze_small(sizes, n), dtype=np.int64)).tolist()
         numbers.append(np.fromiter((place[raw[a:b]] for a, b in zip(off[:-1], off[1:])), np.int64, n))
-    ids = m.encode([w.decode() for w in place])
+    return [w.decode() for w in place], numbers
+
+
+def _answered(m: Model, sent: pa.Table) -> pa.Table:
+    """The ids of a bucket's words, row by row: each distinct word is segmented once."""
+    words, numbers = met_words(sent)
+    ids = m.encode(words)
     size = np.array([len(x) for x in ids], np.int64)
     flat, off = np.array([i for x in ids for i in x], m.kind), np.append(0, np.cumsum(size))
     rows = []
@@ -145,20 +156,26 @@ def segmented(texts: DataFrame, path: str) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for key, batch in runs(batches, "t"):
-            if words := list(numbered(m, batch.column("t"))[0]):
-                yield _sent(key, words, buckets)
+            if words := list(numbered(m.chunks, batch.column("t"))[0]):
+                yield sent_words(key, words, buckets)
 
-    sent = texts.mapInArrow(send, "bucket int, run string, n int, ks binary, sizes binary, words binary")
+    sent = texts.mapInArrow(send, SENT)
     return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda sent: _answered(model(path), sent), "run string, n int, ks binary, sizes binary, ids binary")
 
 
-def _replies(replies: pa.Table, n_distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words of a run one after another, and the offsets of each word's, by number."""
-    rows = replies.to_pylist()
+def reply_numbers(rows: list[dict], n_distinct: int) -> list[np.ndarray]:
+    """The numbers of a run's words that each reply is for; there must be one for every word."""
     ks = [np.cumsum(C.unsqueeze_small(r["ks"], r["n"]), dtype=np.int64) for r in rows]
     k = np.concatenate(ks) if ks else np.zeros(0, np.int64)
     if len(k) != n_distinct or (np.bincount(k, minlength=n_distinct) != 1).any():
         raise RuntimeError("the input gave other rows in the second pass; write it to a table first")
+    return ks
+
+
+def _replies(replies: pa.Table, n_distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words of a run one after another, and the offsets of each word's, by number."""
+    rows = replies.to_pylist()
+    ks = reply_numbers(rows, n_distinct)
     sizes = [C.unsqueeze_small(r["sizes"], r["n"]).astype(np.int64) for r in rows]
     size = np.zeros(n_distinct, np.int64)
     for own, n in zip(ks, sizes):
@@ -206,7 +223,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep:
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for key, batch in runs(batches, "t"):
-            words, at, sizes = numbered(m, batch.column("t"))
+            words, at, sizes = numbered(m.chunks, batch.column("t"))
             rows = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes)], names=[*(f"c{k}" for k in range(n_keep)), "n"])
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key, pa.string()), (C.pack_rows(rows), pa.binary()), (C.squeeze_small(at), pa.binary()), (len(words), pa.int64()))], names=["run", "body", "at", "n_distinct"])
 

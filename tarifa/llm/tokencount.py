@@ -1,21 +1,22 @@
 """Operator 6: token counts by trie-shared dynamic programming.
 
-The distinct pre-tokens (white-space words with a leading word mark) of a run of texts
-are put in order, which walks their trie depth first: a word keeps the forward scores of
-the prefix it shares with the word before and computes only the rest. The forward score
-of a prefix is the best sum of piece scores over its segmentations; each word's end
-stores its count of pieces and score, and a document sums those of its words.
-
-The vocabulary is that of a public sentencepiece file. The files at hand are byte-pair
+Pre-tokens are white-space words with a leading word mark. Texts are read in runs; a run sends each of its distinct
+words once to the bucket of the word's beginning, where equal words of all runs meet. A bucket puts its distinct
+words in order, which walks their trie depth first: a word keeps the forward scores of the prefix it
+shares with the word before and computes only the rest. The forward score of a prefix is the best sum of
+piece scores over its segmentations; each word's end stores its count of pieces and score. They go back by (run, number)
+of the word, and a document sums those of its words. So every distinct word of all texts is computed once.
+
+Scores are a parameter: those of a unigram file, or of any table given as ``scores``. The files at hand are byte-pair
 vocabularies, ordered by frequency and without unigram probabilities, and tokenizers aren't
-trained here; so piece scores are log probabilities by Zipf's law over the file's order,
-log(1 / (rank + 1)), normalised. A file of a unigram model can be given instead: its own scores
-are taken. A character that no piece covers costs one byte piece for each of its bytes. Ties
-go to fewer pieces. Everything is local to a run of texts: nothing is shuffled.
+trained here; for them piece scores are log probabilities by Zipf's law over the file's order,
+log(1 / (rank + 1)), normalised. A character that no piece covers costs one byte piece for each of its bytes. Ties
+go to fewer pieces.
 
 Defined cases: null and empty texts count 0 tokens with score 0; texts and words of any length
 are taken whole; repeated rows each get a row, null doc_ids too; other columns don't matter;
-an empty table gives an empty result.
+an empty table gives an empty result. The input is read twice: it must give the same rows in the same
+order each time, as a scan of files does, else an error is raised.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import pieces as P
 
 MARK = "▁"
-CACHE_WORDS = 300_000
-RUN_BYTES = 1 << 20
+#: Words that begin with the same so many characters meet in one bucket.
+BEGINNING = 4
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -57,7 +59,7 @@ def piece_scores(path: str) -> tuple[dict[str, float], float]:
 
 
 class Counter:
-    """Counts and scores of words, kept across runs up to a bound."""
+    """Counts of pieces and forward scores of words."""
 
     def __init__(self, scores: dict[str, float], byte_score: float):
         self.scores, self.byte_score = scores, byte_score
@@ -65,12 +67,11 @@ class Counter:
         for piece in scores:
             sizes.setdefault(piece[-1], set()).add(len(piece))
         self.sizes = {c: sorted(s) for c, s in sizes.items()}
-        self.known: dict[str, tuple[int, float]] = {}
 
-    def learn(self, words: list[str]) -> int:
-        """Stores the terminal counts of distinct words; returns the number of trie nodes computed."""
+    def __call__(self, words: list[str]) -> tuple[dict[str, tuple[int, float]], int]:
+        """Terminal counts of distinct words, and the number of trie nodes that were computed."""
         best, count, before, nodes = [0.0], [0], "", 0
-        get, sizes_of = self.scores.get, self.sizes
+        get, sizes_of, ends = self.scores.get, self.sizes, {}
         for word in sorted(words):
             text = MARK + word
             same, most = 0, min(len(text), len(before))
@@ -93,45 +94,71 @@ class Counter:
                 count.append(n)
             nodes += len(text) - same
             before = text
-            self.known[word] = (count[-1], best[-1])
-        return nodes
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words, tokens and score of each text."""
-        split = [t.split() if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        fresh = {w for s in split for w in s if w not in self.known}
-        if fresh:
-            self.learn(list(fresh))
-        get = self.known.__getitem__
-        words = np.array([len(s) for s in split], np.int64)
-        found = np.array([get(w) for s in split for w in s], np.float64).reshape(-1, 2)
-        ends = np.concatenate([[0], np.cumsum(words)])
-        totals = np.concatenate([np.zeros((1, 2)), np.cumsum(found, 0)])
-        tokens = np.rint(totals[ends[1:], 0] - totals[ends[:-1], 0]).astype(np.int64)
-        score = np.array([math.fsum(found[a:b, 1]) for a, b in zip(ends[:-1], ends[1:])])
-        return words, tokens, score
+            ends[word] = (count[-1], best[-1])
+        return ends, nodes
 
 
 @functools.lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
-    """One for each worker process, so that later tasks find the words of earlier ones."""
+    """One for each worker process."""
     return Counter(*piece_scores(path))
 
 
-def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_tokens and the forward score of every row."""
-    path = path or vocabulary_path()
+def _split(text: str | None) -> list[str]:
+    return text.split() if text else []
+
+
+def _answered(count: Counter, sent: pa.Table) -> pa.Table:
+    words, numbers = P.met_words(sent)
+    ends, _ = count(words)
+    table = np.array([ends[w] for w in words], np.float64).reshape(-1, 2)
+    rows = [(C.squeeze_small(table[own, 0].astype(np.int64)), pa.compress(table[own, 1].tobytes(), codec="zstd", asbytes=True)) for own in numbers]
+    return pa.table([sent["run"], sent["n"], sent["ks"], *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["run", "n", "ks", "counts", "scores"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
-        for batch in C.chunks(batches, "t", RUN_BYTES):
-            words, tokens, score = count(batch.column("t").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(words), pa.array(tokens), pa.array(np.round(score, 6))], names=[id_col, "n_words", "n_tokens", "score"])
 
+def _summed(run: dict, replies: pa.Table, names: list[str]) -> pa.RecordBatch:
+    rows, found = C.unpack_rows(run["body"]).combine_chunks(), replies.to_pylist()
+    tokens, score = np.zeros(run["n_distinct"], np.int64), np.zeros(run["n_distinct"])
+    for k, r in zip(P.reply_numbers(found, run["n_distinct"]), found):
+        tokens[k] = C.unsqueeze_small(r["counts"], r["n"])
+        score[k] = np.frombuffer(pa.decompress(r["scores"], decompressed_size=8 * r["n"], codec="zstd", asbytes=True))
+    n = rows["n"].to_numpy()
+    at = C.unsqueeze_small(run["at"], int(n.sum())).astype(np.int32)
+    ends = np.append(0, np.cumsum(n))
+    total = np.append(0, np.cumsum(tokens[at], dtype=np.int64))[ends]
+    sums = [round(math.fsum(score[at[a:b]].tolist()), 6) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return pa.RecordBatch.from_arrays([rows["i"].combine_chunks(), pa.array(n), pa.array(np.diff(total)), pa.array(sums, pa.float64())], names=names)
+
+
+def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", scores: tuple[dict[str, float], float] | None = None) -> DataFrame:
+    """doc_id, n_words, n_tokens and the forward score of every row. ``scores`` are those of the pieces and of a
+    byte piece; without them the file's at ``path``."""
+    path = path or vocabulary_path()
+    counts = (lambda: counter(path)) if scores is None else (lambda: Counter(*scores))
+    texts = docs.select(F.col(text_col).alias("t"))
+    buckets = C.ranges(texts, "t", 1.0)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, batch in P.runs(batches, "t"):
+            if words := list(P.numbered(_split, batch.column("t"))[0]):
+                yield P.sent_words(key, words, buckets, BEGINNING)
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, batch in P.runs(batches, "t"):
+            words, at, sizes = P.numbered(_split, batch.column("t"))
+            rows = pa.RecordBatch.from_arrays([batch.column("i"), pa.array(sizes)], names=["i", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key, pa.string()), (C.pack_rows(rows), pa.binary()), (C.squeeze_small(at), pa.binary()), (len(words), pa.int64()))], names=["run", "body", "at", "n_distinct"])
+
+    def place(bodies: pa.Table, replies: pa.Table) -> pa.Table:
+        if not bodies.num_rows:
+            raise RuntimeError("the input gave other rows in the second pass; write it to a table first")
+        return pa.Table.from_batches([_summed(bodies.to_pylist()[0], replies, [id_col, "n_words", "n_tokens", "score"])])
+
+    sent = texts.mapInArrow(send, P.SENT).repartition(buckets, "bucket")
+    replies = sent.groupBy("bucket").applyInArrow(lambda sent: _answered(counts(), sent), "run string, n int, ks binary, counts binary, scores binary")
+    bodies = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("i")).mapInArrow(wrap, "run string, body binary, at binary, n_distinct long")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_tokens long, score double")
+    return bodies.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(place, f"`{id_col}` {kind}, n_words long, n_tokens long, score double")
 
 
 def brute_force(word: str, scores: dict[str, float], byte_score: float) -> tuple[int, float]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarifa.llm import chat, common, decontam, htmltext, jaccard, langid, media, packing, substring, tokencount, toxicity
+from tarifa.llm import chat, common, decontam, htmltext, jaccard, langid, media, packing, pieces, substring, tokencount, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hashes string, row_id string"
 
@@ -335,8 +335,25 @@ def test_token_counts(spark, docs, rows, empty):
         want.append((i, len(each), sum(n for n, _ in each), pytest.approx(sum(s for _, s in each), abs=1e-5)))
     assert got == sorted(want, key=lambda x: x[:3])
     count = tokencount.Counter(scores, byte)
-    assert count.learn(["token", "tokens", "tokenise", "😀"]) == len("▁token") + 1 + 3 + 1
+    assert count(["token", "tokens", "tokenise", "😀"])[1] == len("▁token") + 1 + 3 + 1
     assert tokencount.token_counts(empty).count() == 0
+    own = {x.doc_id: (x.n_words, x.n_tokens, x.score) for x in tokencount.token_counts(docs, scores=({"▁": -1.0, "one": -2.0}, -5.0)).collect()}
+    assert own[101] == (2, 6, -1.0 - 2.0 - 1.0 - 15.0)  # ▁ one ▁ t w o
+
+
+def test_every_distinct_word_is_computed_once():
+    """Words of several runs meet those that begin alike in one bucket, each once."""
+    words = [[f"word{k % (400 + r)}" for k in range(500)] + ["the"] for r in range(4)]
+    own = [list(dict.fromkeys(w)) for w in words]
+    sent = pa.Table.from_batches([pieces.sent_words(f"r{r}", w, 9, tokencount.BEGINNING) for r, w in enumerate(own)])
+    buckets = set(sent["bucket"].to_pylist())
+    assert len(buckets) <= 2  # "word" and "the"
+    seen = []
+    count = tokencount.Counter({"▁": -1.0, "word": -2.0}, -3.0)
+    spy = lambda w: seen.extend(w) or count(w)
+    for b in buckets:
+        tokencount._answered(spy, sent.take(np.flatnonzero(np.asarray(sent["bucket"]) == b)))
+    assert len(seen) == len(set(seen)) == len({w for x in own for w in x})
 
 
 def test_media(spark, rows, empty):

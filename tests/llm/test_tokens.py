@@ -120,7 +120,7 @@ def test_each_distinct_word_is_segmented_once(monkeypatch):
     monkeypatch.setattr(m, "encode", lambda words: seen.extend(words) or encode(words))
     words = [[f"▁w{k % (500 + r)}é" for k in range(700)] for r in range(4)]
     own = [list(dict.fromkeys([*w, "▁the", "▁▁"])) for w in words]
-    sent = pa.Table.from_batches([pieces._sent(f"r{r}", w, 7) for r, w in enumerate(own)])
+    sent = pa.Table.from_batches([pieces.sent_words(f"r{r}", w, 7) for r, w in enumerate(own)])
     assert sent.num_rows == 28
     back = [pieces._answered(m, sent.take(np.flatnonzero(np.asarray(sent["bucket"]) == b))) for b in range(7)]
     assert len(seen) == len(set(seen)) == len({w for x in own for w in x})
