@@ -131,14 +131,16 @@ class Pairs:
         both_a, both_b = common_tokens(tokens_a, tokens_b) if shared else (np.zeros(tokens_a.shape, bool), np.zeros(tokens_b.shape, bool))
         n_shared = both_a.sum(1)
         chars = (padded(a.token_off, a.token_size, ia, 0) * both_a).sum(1)
-        gone_a = self._dropped(a, ia, both_a, padded(a.off, a.code, ia, 0) == SPACE)
-        masked = np.zeros((n, words), np.uint64)
-        for k in range(gone_a.shape[1]):
-            masked[:, k // 64] |= gone_a[:, k].astype(np.uint64) << np.uint64(k % 64)
+        free = np.full((n, words), ~np.uint64(0))
+        free[:, 0] -= np.uint64(1)  # the space before the first token, where no token is shared
+        if n_shared.any():
+            gone_a = self._dropped(padded(a.off, a.of_token, own, both_a.shape[1])[row], a.count[ia], both_a, (symbols == self.space)[row])
+            bits = np.zeros((n, 64 * words), np.uint8)
+            bits[:, : gone_a.shape[1]] = gone_a
+            free = ~np.packbits(bits, axis=1, bitorder="little").view("<u8")
         symbols_b = padded(b.off, self.b_symbol, ib, self.none)
-        steps = np.where(self._dropped(b, ib, both_b, symbols_b == self.space), self.none, symbols_b)
+        steps = np.where(self._dropped(padded(b.off, b.of_token, ib, both_b.shape[1]), b.count[ib], both_b, symbols_b == self.space), self.none, symbols_b)
         flat, base = table.reshape(-1, words), row * (self.trash + 1)
-        free = ~masked
         state = np.full((n, words), ~np.uint64(0))
         for j in range(steps.shape[1]):
             hit = flat[base + steps[:, j]] & free & state
@@ -157,11 +159,9 @@ class Pairs:
         return np.bitwise_count(~state).sum(1).astype(np.int64), n_shared, chars
 
     @staticmethod
-    def _dropped(t: Titles, rows: np.ndarray, both: np.ndarray, is_space: np.ndarray) -> np.ndarray:
+    def _dropped(of_token: np.ndarray, count: np.ndarray, both: np.ndarray, is_space: np.ndarray) -> np.ndarray:
         """Which characters take no part: those of shared tokens, and the space before the first other token."""
-        of_token = padded(t.off, t.of_token, rows, both.shape[1])
-        gone = np.take_along_axis(np.column_stack([both, np.ones(len(rows), bool)]), of_token, 1)
-        count = t.count[rows]
+        gone = np.take_along_axis(np.column_stack([both, np.ones(len(both), bool)]), of_token, 1)
         open_ = ~both & (np.arange(both.shape[1]) < count[:, None])
         first = np.where(open_.any(1), open_.argmax(1), -1)
         return gone | (is_space & (of_token == first[:, None]))
