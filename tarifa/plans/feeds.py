@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+import os
 import re
 import threading
 import urllib.request
@@ -11,6 +12,7 @@ import uuid
 from pathlib import Path
 from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ..operators import matching as J
 from ..operators import products as R
 from ..operators import report as O
 from ..operators.tables import cut, scratch_dir
-from ..sources import files, landing, paged, receiver
+from ..sources import config, files, landing, paged, receiver
 from . import cascade
 from . import catalogue as K
 from . import local_api
@@ -175,6 +177,37 @@ def push_items(spark, sf_dir):
     return raw.select("sku_id", "title").union(spark.createDataFrame([("status", s) for s in told], "sku_id string, title string"))
 
 
+@query("""select s_suppkey as k, case s_suppkey % 5 when 0 then 'name' when 1 then 'preset' when 2 then 'mode' when 3 then 'url' else '' end as refused,
+  case when s_suppkey % 5 = 4 then 'https://api.apify.com/v2/datasets/' || s_name || '/items' end as url, case when s_suppkey % 5 = 4 then s_suppkey end as page_size,
+  case when s_suppkey % 5 = 4 then 'offset,limit' end as parameters, case when s_suppkey % 5 = 4 then 'Bearer *** of ' || s_name end as told, case when s_suppkey % 5 = 4 then 'TARIFA_NOT_SET' end as missing from supplier""")
+def source_settings(spark, sf_dir):
+    """A source for each supplier: refusals, presets under own settings, variables, secrets kept out of messages."""
+
+    def settle(frames):
+        for frame in frames:
+            yield pd.DataFrame([_settled(int(k), name) for k, name in zip(frame["s_suppkey"], frame["s_name"])], columns=["k", "refused", "url", "page_size", "parameters", "told", "missing"]).astype({"page_size": "Int64"})
+
+    found = K.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return found.mapInPandas(settle, "k long, refused string, url string, page_size long, parameters string, told string, missing string")
+
+
+def _settled(k: int, name: str) -> tuple:
+    wrong = [{"name": f"{name}/{k}"}, {"preset": name}, {"mode": name}, {"preset": None, "url": ""}, {}][k % 5]
+    settings = {"name": f"s{k}", "platform": "r", "preset": "apify", "vars": {"dataset_id": name}, "pagination": {"page_size": k}} | wrong
+    try:
+        source = paged.PagedSource(settings)
+    except paged.SourceError as e:
+        return k, next(w for w in ("preset", "mode", "url", "name") if re.search(rf"\b{w}\b", str(e))), None, None, None, None, None
+    os.environ["APIFY_TOKEN"] = f"token-of-{k:09}"
+    header = source.variables.expand(source.settings["headers"])["Authorization"]
+    try:
+        lacks = source.variables.expand({"x": ["${TARIFA_NOT_SET}"]})
+    except config.ConfigError as e:
+        lacks = re.search(r"TARIFA_\w+", str(e))[0]
+    turns = source.settings["pagination"]
+    return k, "", source.request({})["url"], turns["page_size"], f"{turns['offset_param']},{turns['limit_param']}", source.variables.redact(f"{header} of {name}"), lacks
+
+
 # ---------------------------------------------------------------- sinks
 
 
