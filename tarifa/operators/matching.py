@@ -24,6 +24,8 @@ from .judge import Judge, adjudicate
 from .tables import cut, spread
 
 TITLE_FLOOR = 60.0
+#: Pools of so many titles at most on either side are measured together, without an index.
+SMALL_POOL = 64
 
 
 @dataclass(frozen=True)
@@ -118,30 +120,40 @@ def nearest_titles(pending: DataFrame, rivals: DataFrame, n: int, config: MatchC
 
     A pool's rival titles are dealt into blocks, own titles into parts, so that a hot category is many
     tasks of bounded size. A task indexes its block and scores only titles whose bound reaches
-    the n-th best so far; blocks of one title then meet with ``n`` rows each."""
+    the n-th best so far; blocks of one title then meet with ``n`` rows each. Pools of few titles go together."""
     mine, theirs = title_pools(pending, rivals)
-    counts = lambda df, name, size: df.groupBy("platform", "pool").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    sizes = counts(mine, "parts", config.part).join(counts(theirs, "blocks", config.block), ["platform", "pool"])
+    counts = lambda df, name: df.groupBy("platform", "pool").agg(F.count("*").alias(name))
+    sizes = counts(mine, "own").join(counts(theirs, "rivals"), ["platform", "pool"])
+    whole = lambda count, size: F.ceil(F.col(count) / size).cast("int")
+    few = (F.col("own") <= min(SMALL_POOL, config.part)) & (F.col("rivals") <= min(SMALL_POOL, config.block))
+    bundles = 4 * int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = sizes.select("platform", "pool", whole("own", config.part).alias("parts"), whole("rivals", config.block).alias("blocks"), F.when(few, F.pmod(F.xxhash64("platform", "pool"), F.lit(bundles))).alias("bundle"))
     dealt = lambda count, *cols: F.pmod(F.xxhash64(*cols), F.col(count)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    keys = ["platform", "pool", "part", "block"]
+    task = F.when(F.col("bundle").isNotNull(), F.concat(F.lit("b"), "bundle")).otherwise(F.to_json(F.struct("platform", "pool", "part", "block"))).alias("task")
     mine = mine.join(sizes, ["platform", "pool"]).withColumn("part", dealt("parts", "s_title")).withColumn("block", all_of("blocks"))
     theirs = theirs.join(sizes, ["platform", "pool"]).withColumn("block", dealt("blocks", "r_cat", "r_title")).withColumn("part", all_of("parts"))
 
     def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if not mine.num_rows or not theirs.num_rows:
             return pa.table({name: pa.array([], kind) for name, kind in out.items()})
-        index = lanes.TitleIndex(theirs["r_title"].to_pylist(), theirs["first"].to_numpy())
-        found, scored = index.nearest(mine["s_title"].to_pylist(), n)
-        own = pa.array(np.repeat(np.arange(mine.num_rows), [len(x) for x, _ in found]))
-        rival = pa.array(np.concatenate([x for x, _ in found]))
-        lead = np.diff(np.asarray(own), prepend=-1) > 0
-        columns = [*(mine[c].take(own) for c in ("platform", "s_cat", "s_title")), *(theirs[c].take(rival) for c in ("r_cat", "r_title", "first"))]
-        return pa.table([*columns, pa.array(np.concatenate([x for _, x in found])), pa.array(np.where(lead, scored[np.asarray(own)], 0))], names=list(out))
+        titles, texts, place = mine["s_title"].to_pylist(), theirs["r_title"].to_pylist(), theirs["first"].to_numpy()
+        if mine["task"][0].as_py().startswith("b"):
+            pools = pa.concat_tables([t.select(["platform", "pool"]) for t in (mine, theirs)]).to_pylist()
+            numbers = lanes.Numbers()
+            of = np.array([numbers[p["platform"], p["pool"]] for p in pools], np.int64)
+            own, rival, score, scored = lanes.best_of_pools(titles, of[: len(titles)], texts, of[len(titles) :], place, n)
+        else:
+            found, scored = lanes.TitleIndex(texts, place).nearest(titles, n)
+            own = np.repeat(np.arange(len(titles)), [len(x) for x, _ in found])
+            rival, score = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        lead = np.diff(own, prepend=-1) > 0
+        columns = [*(mine[c].take(pa.array(own)) for c in ("platform", "s_cat", "s_title")), *(theirs[c].take(pa.array(rival)) for c in ("r_cat", "r_title", "first"))]
+        return pa.table([*columns, pa.array(score), pa.array(np.where(lead, scored[own], 0))], names=list(out))
 
     out = {**dict.fromkeys(("platform", "s_cat", "s_title", "r_cat", "r_title"), pa.string()), "first": pa.int64(), "coarse": pa.float64(), "scored": pa.int64()}
-    left = spread(mine.select(*keys, "s_cat", "s_title"), *keys).groupBy(*keys)
-    right = spread(theirs.select(*keys, "r_cat", "r_title", "first"), *keys).groupBy(*keys)
+    left = spread(mine.select(task, "platform", "pool", "s_cat", "s_title"), "task").groupBy("task")
+    right = spread(theirs.select(task, "platform", "pool", "r_cat", "r_title", "first"), "task").groupBy("task")
     met = left.cogroup(right).applyInArrow(best, "platform string, s_cat string, s_title string, r_cat string, r_title string, first long, coarse double, scored long")
     rank = F.row_number().over(W.partitionBy("platform", "s_cat", "s_title").orderBy(F.desc("coarse"), "first"))
     return met.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n")

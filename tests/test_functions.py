@@ -175,6 +175,24 @@ def test_index_finds_the_best_titles():
             assert best.tolist() == want.tolist() and score.tolist() == every[want].tolist() and asked <= 700
 
 
+def test_best_of_small_pools():
+    import numpy as np
+
+    from tarifa.functions import lanes
+
+    rng = random.Random(10)
+    title = lambda: "".join(rng.choice("abc牛奶 ") for _ in range(rng.randint(0, 9)))
+    own, texts = [title() for _ in range(40)], [title() for _ in range(90)]
+    own_pool, pool, place = np.array([rng.randrange(9) for _ in own]), np.array([rng.randrange(8) for _ in texts]), np.array(rng.sample(range(999), 90))
+    ia, ib, score, size = lanes.best_of_pools(own, own_pool, texts, pool, place, 5)
+    want = []
+    for i, t in enumerate(own):
+        found = sorted((j for j in range(90) if pool[j] == own_pool[i]), key=lambda j: (-M.token_set(t, texts[j]), place[j]))
+        assert size[i] == len(found)
+        want += [(i, j, M.token_set(t, texts[j])) for j in found[:5]]
+    assert list(zip(ia.tolist(), ib.tolist(), score.tolist())) == want
+
+
 def _by_patterns(s, lexicon):
     """The four specification rules as one expression each: (raw, number, unit, count) of the first that fits."""
     import re
