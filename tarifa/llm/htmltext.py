@@ -12,7 +12,7 @@ representative loses.
 
 Markup protects the lines inside article and main elements from wrong deletion, as a few
 articles may well have a sentence in common: neighbours that have half or more of the article's text are
-near copies of it and have no say about its lines, and of the others ``LEAST`` at least, and most, must
+near copies of it and have no say about its lines, and ``LEAST`` others, all that are taken, must
 share a line that goes. With fewer such neighbours an article keeps all its lines.
 
 Neighbours are found by position in a global sort and an equi-join on the position, so a
@@ -55,7 +55,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 PART_NAMES = frozenset("ad ads adv advert adverts advertisement banner banners sponsor sponsored promo cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget widgets toolbar search contentinfo complementary".split())
 
 #: Neighbours that a page is compared with, of those so many places before and behind; how many must share a line of an article.
-NEAR, SIDE, LEAST = 4, 3, 3
+NEAR, SIDE, LEAST = 4, 4, 4
 #: Neighbours with this share of an article's text are near copies of it.
 NEAR_COPY = 0.5
 ALIGN_BITS = 1 << 26
