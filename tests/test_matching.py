@@ -299,3 +299,22 @@ def test_report(spark, tmp_path):
 @pytest.mark.parametrize(("rate", "n"), [(-0.31, 0), (-0.30, 1), (-0.15, 2), (-0.05, 3), (0.0, 3), (0.05, 4), (0.15, 5), (0.30, 6)])
 def test_histogram_edges(spark, rate, n):
     assert spark.range(1).select(O.gap_bin(F.lit(rate)).alias("b")).first().b == n
+
+
+def test_candidates_are_found_once_for_equal_products(spark):
+    """Fifty own products of one title and two of another are two kinds, and every product gets its kind's rivals."""
+    own, rivals = make(spark, *[("self", f"S{k}", "蒙牛 纯牛奶 250ml*16盒") for k in range(50)], ("self", "T1", "伊利 酸奶 100g"), ("self", "T2", "伊利 酸奶 100g"), *[("r", f"R{k}", f"蒙牛 纯牛奶 250ml*{k + 10}盒") for k in range(9)], ("r", "Q", "伊利 酸奶 200g"))
+    pending = M.with_platforms(own, rivals)
+    assert M.candidates(pending, rivals, most=1).count() == 2
+    got = M.recall(pending, rivals).groupBy("self_uid").agg(F.sort_array(F.collect_list(F.struct("rank", "rival_uid"))).alias("r")).collect()
+    assert len(got) == 52 and len({str(r.r) for r in got if r.self_uid.startswith("self:S")}) == 1
+    first = next(r.r for r in got if r.self_uid == "self:S7")
+    assert [x["rank"] for x in first] == [1, 2, 3, 4, 5] and first[0]["rival_uid"] == "r:R6"
+
+
+def test_rivals_of_many_pairs_are_joined_apart(spark, monkeypatch):
+    own, rivals = make(spark, *[("self", f"S{k}", "甲 水 1L") for k in range(30)], ("r", "R0", "甲 水 1L"), ("r", "R1", "乙 油 2L*3瓶"))
+    pairs = own.select(F.col("uid").alias("self_uid"), F.when(F.col("ord") < 20, "r:R0").when(F.col("ord") < 25, "r:R1").when(F.col("ord") < 28, "r:gone").alias("rival_uid"))
+    monkeypatch.setattr(P, "HOT_RIVALS", 1)
+    got = P.met(pairs, rivals).groupBy("rival_uid", "rival.title", "rival.spec", "rival.parsed").count().collect()
+    assert {tuple(r) for r in got} == {("r:R0", "甲 水 1L", "1000ml", True, 20), ("r:R1", "乙 油 2L*3瓶", "2000ml×3 (合计6000ml)", True, 5), ("r:gone", None, None, None, 3), (None, None, None, None, 2)}
