@@ -30,7 +30,8 @@ def _general(x: Column) -> Column:
     places = 5 - power
     fixed = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(places, F.lit(0)).cast("string"), F.lit("f")), x)
     fixed = F.when(places > 0, F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-    return F.when(x == 0, "0").when((power < -4) | (places < 0), F.regexp_replace(science, r"\.?0*e", "e")).otherwise(fixed)
+    whole = x.cast("long")  # most totals are whole, and need neither format nor pattern
+    return F.when((whole == x) & (F.abs(x) < 1e6), whole.cast("string")).when((power < -4) | (places < 0), F.regexp_replace(science, r"\.?0*e", "e")).otherwise(fixed)
 
 
 def spec_display(spec: Column) -> Column:

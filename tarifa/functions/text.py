@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..lexicon import DEFAULT, NULL_PRICES, NULL_WORDS, Lexicon
 from . import titles
 
-_TRIM = r"(?U)^\s+|\s+$"
+#: All white space of Unicode, as (?U)\s.
+WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -22,16 +23,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space at both ends. By characters, as a regular expression costs many times more on every value."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def clean_str(c: Column) -> Column:
     """Trimmed text; null and words that mean null become ''."""
-    s = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _TRIM, "")
+    s = trimmed(F.coalesce(c.cast("string"), F.lit("")))
     return F.when(F.lower(s).isin(NULL_WORDS), "").otherwise(s)
 
 
 def parse_price(c: Column) -> Column:
     """A price as double; currency marks and thousands separators are dropped, other text gives null."""
-    s = F.regexp_replace(c.cast("string"), _TRIM, "")
-    bare = F.regexp_replace(F.regexp_replace(s, "[¥￥元,]", ""), _TRIM, "")
+    s = trimmed(c.cast("string"))
+    bare = trimmed(F.translate(s, "¥￥元,", ""))
     plain = ~F.lower(s).isin(NULL_PRICES) & bare.rlike(_NUMBER)
     return F.when(plain, bare.try_cast("double"))
 
@@ -75,7 +81,7 @@ def clean_title(s: Column, lexicon: Lexicon = DEFAULT) -> Column:
 def declared_or(declared: Column | None, found: Column) -> Column:
     if declared is None:
         return found
-    given = F.regexp_replace(F.coalesce(declared, F.lit("")), _TRIM, "")
+    given = trimmed(F.coalesce(declared, F.lit("")))
     return F.when(given != "", given).otherwise(found)
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as C
 from ..functions import spec as S
+from .tables import cut
+
+#: Rivals with the most pairs, which are joined without dealing; pairs of a task when they are listed by product.
+HOT_RIVALS, TASK_PAIRS = 1024, 200_000
 
 
 @dataclass(frozen=True)
@@ -27,10 +31,26 @@ def action_kind(action: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in C.ACTION_KINDS.items() for x in pair]), action)
 
 
+def met(pairs: DataFrame, rivals: DataFrame) -> DataFrame:
+    """Pairs with the ``rival`` of each. Products with equal titles share their best rival, so the rivals with the most
+    pairs are sent to all tasks; pairs without a rival aren't dealt by it either. Only rivals of pairs are worded."""
+    named = rivals.select(F.col("uid").alias("rival_uid"), F.struct("title", "price", "unit_price", "spec", "url").alias("rival"))
+    r = lambda name: F.col(f"rival.{name}")
+    told = F.struct(r("title"), r("price"), r("unit_price"), r("spec.unit").alias("unit"), S.is_parsed(r("spec")).alias("parsed"), S.spec_display(r("spec")).alias("spec"), r("url"))
+    worded = lambda df: df.withColumn("rival", F.when(F.col("rival").isNotNull(), told))
+    most = pairs.filter("rival_uid is not null").groupBy("rival_uid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rival_uid").limit(HOT_RIVALS).select("rival_uid")
+    hot = cut(worded(cut(named.join(F.broadcast(most), "rival_uid"), "hot")), "hot")
+    flagged = pairs.join(F.broadcast(hot), "rival_uid", "left")
+    rest = F.col("rival_uid").isNotNull() & F.col("rival").isNull()
+    return flagged.filter(~rest).unionByName(worded(flagged.filter(rest).drop("rival").join(named, "rival_uid", "left")))
+
+
 def with_rivals(own: DataFrame, pairs: DataFrame, rivals: DataFrame) -> DataFrame:
-    """Own products, each with the list of its pairs in platform order (one per platform)."""
-    r = rivals.select(F.col("uid").alias("rival_uid"), F.struct("title", "price", "unit_price", F.col("spec.unit").alias("unit"), S.is_parsed(F.col("spec")).alias("parsed"), S.spec_display(F.col("spec")).alias("spec"), "url").alias("rival"))
-    rows = pairs.join(r, "rival_uid", "left").groupBy("self_uid").agg(F.sort_array(F.collect_list(F.struct("platform_ord", "platform", "rival_uid", "score", "level", "confidence", "reason", "need_review", "rival"))).alias("pairs"))
+    """Own products, each with the list of its pairs in platform order (one per platform). ``pairs`` is a table; it
+    is dealt into so many partitions that a task holds about ``TASK_PAIRS``."""
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // TASK_PAIRS))
+    dealt = met(pairs, rivals).repartition(tasks, "self_uid")
+    rows = dealt.groupBy("self_uid").agg(F.sort_array(F.collect_list(F.struct("platform_ord", "platform", "rival_uid", "score", "level", "confidence", "reason", "need_review", "rival"))).alias("pairs"))
     empty = F.array().cast(rows.schema["pairs"].dataType)
     return own.join(rows, own["uid"] == rows["self_uid"], "left").drop("self_uid").withColumn("pairs", F.coalesce("pairs", empty))
 

@@ -287,3 +287,19 @@ def test_lexicon_of_many_brands(spark):
             read.words(t)
         took.append(time.thread_time() - began)
     assert took[1] < 6 * took[0] + 0.05
+
+
+def test_trimmed_drops_what_the_pattern_drops(spark):
+    df = spark.range(0x10000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c")).select(F.concat("c", F.lit("a b"), "c", "c").alias("t"))
+    assert df.filter(X.trimmed(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+def test_texts_read_before_are_rows_of_a_table():
+    from tarifa.functions import titles
+    from tarifa.lexicon import DEFAULT
+
+    reader, texts = titles.Reader(DEFAULT), ["蒙牛 纯牛奶 250ml*16盒", None, "", "蒙牛 纯牛奶 250ml*16盒", "水 5个装"]
+    for some in (texts, texts[::-1], []):
+        got = reader.rows(some, ["", None, "x", "", ""][: len(some)])
+        assert got.to_pylist() == titles.pa.array([reader.read(t, f) for t, f in zip(some, ["", None, "x", "", ""])], titles.READ_TYPE).to_pylist()
+    assert len(reader.table) == len(reader.places)
