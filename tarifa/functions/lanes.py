@@ -282,23 +282,31 @@ class Ranking:
         self.open = ~known
         self.wide = len(bound) <= 8 * FIRST
         self.near = np.arange(len(bound)) if self.wide else np.argpartition(-bound, 8 * FIRST)[: 8 * FIRST]
+        self.edge = self.bound[self.near].min() if len(bound) else 0.0  # no title beyond these has a higher bound
+        self.top = np.zeros(0)
+        self._heard(bound[known])
 
     def least(self) -> float:
         """The n-th best score so far; -1 where so many haven't been scored."""
-        score = self.score[self.near]
-        return float(np.partition(score, len(score) - self.n)[len(score) - self.n]) if len(score) >= self.n else -1.0
+        return float(self.top.min()) if len(self.top) == self.n else -1.0
+
+    def _heard(self, score: np.ndarray) -> None:
+        both = np.concatenate([self.top, score])
+        self.top = np.partition(both, len(both) - self.n)[len(both) - self.n :] if len(both) > self.n else both
 
     def ask(self, most: int) -> np.ndarray:
         least = self.least()
-        if not self.wide and self.bound[self.near].min() >= least:
+        self.near = self.near[self.bound[self.near] >= least]  # titles below the bar never come back
+        todo = self.near[self.open[self.near]]
+        if not len(todo) and not self.wide and self.edge >= least:
             self.wide, self.near = True, np.flatnonzero(self.bound >= least)
-            least = self.least()
-        todo = self.near[self.open[self.near] & (self.bound[self.near] >= least)]
+            todo = self.near[self.open[self.near]]
         return todo[np.argpartition(-self.bound[todo], most)[:most]] if len(todo) > most else todo
 
     def answer(self, titles: np.ndarray, score: np.ndarray) -> None:
         self.score[titles] = score
         self.open[titles] = False
+        self._heard(score)
 
     def best(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = self.near[self.score[self.near] >= max(0.0, self.least())]

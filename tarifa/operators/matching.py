@@ -29,6 +29,8 @@ TITLE_FLOOR = 60.0
 SMALL_POOL = 64
 #: Pools that one group of them holds on average at most.
 BUNDLE_POOLS = 4096
+#: Pairs of titles whose bounds one partition counts, on average at least where there are more partitions than the session's.
+TASK_BOUNDS = 1 << 25
 #: What the candidates of a pending product depend on.
 KIND = ("platform", "category", "norm_title", "spec", "variants", "line")
 
@@ -134,6 +136,8 @@ def nearest_titles(pending: DataFrame, rivals: DataFrame, n: int, config: MatchC
     few = (F.col("own") <= min(SMALL_POOL, config.part)) & (F.col("rivals") <= min(SMALL_POOL, config.block))
     sizes = cut(sizes, "pools")
     bundles = max(4 * int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes.count() // BUNDLE_POOLS))
+    work = F.sum(F.when(~few, F.least(2 * whole("own", config.part) * whole("rivals", config.block), F.ceil(F.col("own") * F.col("rivals") / TASK_BOUNDS))))
+    tasks = sizes.agg(work).first()[0] or 0
     sizes = sizes.select("platform", "pool", whole("own", config.part).alias("parts"), whole("rivals", config.block).alias("blocks"), F.when(few, F.pmod(F.xxhash64("platform", "pool"), F.lit(bundles))).alias("bundle"))
     dealt = lambda count, *cols: F.pmod(F.xxhash64(*cols), F.col(count)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -159,8 +163,8 @@ def nearest_titles(pending: DataFrame, rivals: DataFrame, n: int, config: MatchC
         return pa.table([*columns, pa.array(score), pa.array(np.where(lead, scored[own], 0))], names=list(out))
 
     out = {**dict.fromkeys(("platform", "s_cat", "s_title", "r_cat", "r_title"), pa.string()), "first": pa.int64(), "coarse": pa.float64(), "scored": pa.int64()}
-    left = spread(mine.select(task, "platform", "pool", "s_cat", "s_title"), "task").groupBy("task")
-    right = spread(theirs.select(task, "platform", "pool", "r_cat", "r_title", "first"), "task").groupBy("task")
+    left = spread(mine.select(task, "platform", "pool", "s_cat", "s_title"), "task", least=tasks).groupBy("task")
+    right = spread(theirs.select(task, "platform", "pool", "r_cat", "r_title", "first"), "task", least=tasks).groupBy("task")
     met = left.cogroup(right).applyInArrow(best, "platform string, s_cat string, s_title string, r_cat string, r_title string, first long, coarse double, scored long")
     rank = F.row_number().over(W.partitionBy("platform", "s_cat", "s_title").orderBy(F.desc("coarse"), "first"))
     return met.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n")

@@ -52,7 +52,7 @@ def released(spark: SparkSession) -> Iterator[None]:
             files.remove(spark, path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt by ``keys`` over as many partitions as the session shuffles into. For work that
+def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """The rows dealt by ``keys`` over as many partitions as the session shuffles into, or ``least``. For work that
     costs much time a byte: adaptive coalescing goes by bytes and would leave it to a few cores."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -303,3 +303,31 @@ def test_texts_read_before_are_rows_of_a_table():
         got = reader.rows(some, ["", None, "x", "", ""][: len(some)])
         assert got.to_pylist() == titles.pa.array([reader.read(t, f) for t, f in zip(some, ["", None, "x", "", ""])], titles.READ_TYPE).to_pylist()
     assert len(reader.table) == len(reader.places)
+
+
+def test_ranking_keeps_no_title_below_the_bar():
+    """Best titles equal those of scoring all, and titles that can't be among them don't stay to be looked at again."""
+    import numpy as np
+
+    from tarifa.functions import lanes
+
+    texts = ["q" + str(k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(5000)]
+    index, own = lanes.TitleIndex(texts, np.arange(5000)), ["qbcde", "qah", "x"]
+    titles = lanes.Titles(own, index.tokens)
+    keys, title = lanes._occurrences(titles)
+    pairs = lanes.Pairs(titles, index.titles)
+    for k, t in enumerate(own):
+        ranking = lanes.Ranking(*index.bounds(titles, k, keys[title == k]), 20)
+        while len(asked := ranking.ask(256)):
+            ranking.answer(asked, pairs.token_set(np.full(len(asked), k), asked))
+        all_of = pairs.token_set(np.full(5000, k), np.arange(5000))
+        want = np.lexsort((np.arange(5000), -all_of))[:20]
+        if t != "x":  # all scores of the last are zero
+            assert len(ranking.near) < 2500 and ranking.least() == all_of[want].min()
+        assert ranking.best(np.arange(5000))[0].tolist() == want.tolist()
+
+
+def test_spread_takes_more_partitions_for_more_work(spark):
+    from tarifa.operators.tables import spread
+
+    assert spread(spark.range(10), "id", least=9).rdd.getNumPartitions() == 9 and spread(spark.range(10), "id").rdd.getNumPartitions() == 4
