@@ -19,6 +19,7 @@ spelled out in a text are read as the tokenizer reads them by default.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -36,6 +37,11 @@ WINDOW = 4096
 END_ID = 2
 CACHE_WORDS = 300_000
 ENCODE_BYTES = 1 << 20
+#: Normaliser and splitting that lower-case ASCII words pass unchanged: white space is never in a token.
+SPLITS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -77,6 +83,9 @@ class WordEncoder:
         self.limit = limit
         mark, probe = self._ids([self.MARK, f"a {self.MARK} b {self.MARK} "])
         self.mark = int(mark[0]) if len(mark) == 1 and probe.tolist() == [*self._ids(["a"])[0], mark[0], *self._ids(["b"])[0], mark[0]] else None
+        given = json.loads(self.tokenizer.to_str())
+        self.lowers = (given["normalizer"], given["pre_tokenizer"]) == SPLITS
+        self.special = [t["content"] for t in given["added_tokens"]]
         self._reset()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -90,25 +99,35 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, at: int, words: list[str]) -> None:
-        """Ids of ``words``, whose numbers begin with ``at``."""
+        """Ids of ``words``, whose numbers begin with ``at``. Words of ASCII go in lower case and without the tokenizer's
+        normaliser, a quarter of its time: composition and white space change nothing in them."""
+        easy = np.fromiter((self.lowers and w.isascii() and not any(t in w.lower() for t in self.special) for w in words), bool, len(words))
+        self._ask(at + np.flatnonzero(~easy), [w for w, e in zip(words, easy.tolist()) if not e])
+        normalizer = self.tokenizer.normalizer
+        if easy.any():
+            self.tokenizer.normalizer = None
+            self._ask(at + np.flatnonzero(easy), [w.lower() for w, e in zip(words, easy.tolist()) if e])
+            self.tokenizer.normalizer = normalizer
+
+    def _ask(self, numbers: np.ndarray, words: list[str]) -> None:
         for k in range(0, len(words), 8192):
-            some = words[k : k + 8192]
+            some, here = words[k : k + 8192], numbers[k : k + 8192]
             plain = [self.mark is not None and self.MARK not in w for w in some]
             run = [w for w, p in zip(some, plain) if p]
             ids = np.concatenate(self._ids([f" {self.MARK} ".join([*run[a : a + 128], ""]) for a in range(0, len(run), 128)]) or [np.zeros(0, np.uint32)])
             marks = np.flatnonzero(ids == self.mark) if run else np.zeros(0, np.int64)
             if len(marks) == len(run) == len(some):
-                self._keep(at + k, len(some), ids[ids != self.mark], np.concatenate([[0], marks - np.arange(len(marks))]))
+                self._keep(here, ids[ids != self.mark], np.concatenate([[0], marks - np.arange(len(marks))]))
             else:  # a word that has the mark, or makes one
                 each = self._ids(some)
-                self._keep(at + k, len(some), np.concatenate(each), np.cumsum([0, *map(len, each)]))
+                self._keep(here, np.concatenate(each), np.cumsum([0, *map(len, each)]))
 
-    def _keep(self, k: int, n: int, ids: np.ndarray, off: np.ndarray) -> None:
-        while len(self.size) < k + n:
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, off: np.ndarray) -> None:
+        while len(self.size) <= numbers[-1]:
             self.size, self.first = np.resize(self.size, 2 * len(self.size)), np.resize(self.first, 2 * len(self.first))
         while len(self.flat) < self.used + len(ids):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.size[k : k + n], self.first[k : k + n] = np.diff(off), self.used + off[:-1]
+        self.size[numbers], self.first[numbers] = np.diff(off), self.used + off[:-1]
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 

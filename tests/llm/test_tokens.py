@@ -197,3 +197,15 @@ def test_alignment_is_the_contract(spark, docs, rows, empty):
 
 def test_queries_are_registered():
     assert {"op11_fill_in_middle", "op12_sentencepiece", "op13_tokenizer_alignment"} <= set(queries.queries())
+
+
+def test_words_of_ascii_need_no_normaliser():
+    """Ids joined word by word are those of whole texts, for marks, cases, white space and spelled-out special tokens."""
+    from tarifa.llm import packing
+
+    texts = ["Don't DON'T it''s 'tthe", "a\x0bB \x0c x\x1cY", "<|endoftext|>x a<|STARTOFTEXT|>b <|startoftext|>", "É é 中文12a_-_ \x01 b\x01", "", "Word, word. WORD"]
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    ids, off = encoder.encode(texts)
+    assert encoder.lowers and encoder.tokenizer.normalizer is not None
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids[off[k] : off[k + 1]].tolist() for k in range(len(texts))] == want
