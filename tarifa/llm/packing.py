@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -37,7 +39,10 @@ WINDOW = 4096
 END_ID = 2
 CACHE_WORDS = 300_000
 ENCODE_BYTES = 1 << 20
-#: Normaliser and splitting that lower-case ASCII words pass unchanged: white space is never in a token.
+#: Words of ASCII and Latin letters that have one small form and no composition, and the runs that ``SPLITS`` cuts them into in lower case.
+PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
+RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+| ")
+#: Normaliser and splitting under which runs stand for themselves: white space is never in a token.
 SPLITS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
@@ -64,10 +69,50 @@ class Places(dict):
         return k
 
 
+class Known:
+    """Token ids of the words that were met, as flat arrays by their number; ``gap`` is number 0 and has none."""
+
+    def __init__(self, gap: str = " "):
+        self.place = Places({gap: 0})
+        self.size = np.zeros(1024, np.int64)
+        self.first = np.zeros(1024, np.int64)
+        self.flat = np.zeros(4096, np.uint32)
+        self.used = 0
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Their numbers, and those that are met for the first time."""
+        known = len(self.place)
+        where = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return where, list(islice(self.place, known, None)) if len(self.place) > known else []
+
+    def keep(self, first: int, ids: np.ndarray, off: np.ndarray) -> None:
+        """Ids of the words whose numbers begin with ``first``."""
+        while len(self.size) < first + len(off) - 1:
+            self.size, self.first = np.resize(self.size, 2 * len(self.size)), np.resize(self.first, 2 * len(self.first))
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        here = slice(first, first + len(off) - 1)
+        self.size[here], self.first[here] = np.diff(off), self.used + off[:-1]
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Their ids one after another, and the n+1 offsets."""
+        return taken(self.flat, self.first[numbers], self.size[numbers])
+
+
+def taken(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of an array one after another, and their n+1 offsets."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(off[-1]) + np.repeat(first - off[:-1], size)], off
+
+
 class WordEncoder:
     """Token ids of texts, word by word. The tokenizer drops white space and never joins
-    across it, so ids of white-space separated words are computed once and shared. Fresh
-    words go to it by many in one text, with a mark that is a token of its own between them."""
+    across it, so ids of white-space separated words are computed once and shared. Plain words, of Latin letters,
+    are cut into the runs that the tokenizer cuts them into, and a run, in lower case, is encoded once for all words that
+    have it: runs go to it by many in one text, and the last token of each is one that ends a word. Other words go with a
+    mark that is a token of its own between them."""
 
     MARK = "\x01"
 
@@ -84,66 +129,87 @@ class WordEncoder:
         mark, probe = self._ids([self.MARK, f"a {self.MARK} b {self.MARK} "])
         self.mark = int(mark[0]) if len(mark) == 1 and probe.tolist() == [*self._ids(["a"])[0], mark[0], *self._ids(["b"])[0], mark[0]] else None
         given = json.loads(self.tokenizer.to_str())
-        self.lowers = (given["normalizer"], given["pre_tokenizer"]) == SPLITS
-        self.special = [t["content"] for t in given["added_tokens"]]
+        suffix = given["model"].get("end_of_word_suffix")
+        self.lowers = (given["normalizer"], given["pre_tokenizer"]) == SPLITS and bool(suffix)
+        self.special = [t["content"].lower() for t in given["added_tokens"]]
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[k for t, k in vocab.items() if suffix and t.endswith(suffix)]] = True
         self._reset()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _reset(self) -> None:
-        self.place = Places()
-        self.size = np.zeros(1024, np.int64)
-        self.first = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def _learn(self, at: int, words: list[str]) -> None:
-        """Ids of ``words``, whose numbers begin with ``at``. Words of ASCII go in lower case and without the tokenizer's
-        normaliser, a quarter of its time: composition and white space change nothing in them."""
-        easy = np.fromiter((self.lowers and w.isascii() and not any(t in w.lower() for t in self.special) for w in words), bool, len(words))
-        self._ask(at + np.flatnonzero(~easy), [w for w, e in zip(words, easy.tolist()) if not e])
+        self.runs, self.others = Known(), Known()
+
+    def _plain(self, words: list[str]) -> np.ndarray:
+        """Which words may be cut into runs."""
+        joined = " ".join(words)
+        if not self.lowers:
+            return np.zeros(len(words), bool)
+        if PLAIN.fullmatch(joined) and not any(t in joined.lower() for t in self.special):
+            return np.ones(len(words), bool)
+        return np.fromiter((PLAIN.fullmatch(w) is not None and not any(t in w.lower() for t in self.special) for w in words), bool, len(words))
+
+    def _by_runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and n+1 offsets of plain words; a space, which has no ids, parts them."""
+        where, fresh = self.runs.numbers(RUNS.findall(" ".join(words).lower()))
+        if fresh:
+            self._ask_runs(len(self.runs.place) - len(fresh), fresh)
+        ids, off = self.runs.ids(where)
+        return ids, off[np.concatenate([[0], np.flatnonzero(where == 0), [len(where)]])]
+
+    def _ask_runs(self, first: int, runs: list[str]) -> None:
+        """Without the normaliser: composition, white space and small letters change nothing in runs."""
         normalizer = self.tokenizer.normalizer
-        if easy.any():
-            self.tokenizer.normalizer = None
-            self._ask(at + np.flatnonzero(easy), [w.lower() for w, e in zip(words, easy.tolist()) if e])
-            self.tokenizer.normalizer = normalizer
-
-    def _ask(self, numbers: np.ndarray, words: list[str]) -> None:
-        for k in range(0, len(words), 8192):
-            some, here = words[k : k + 8192], numbers[k : k + 8192]
-            plain = [self.mark is not None and self.MARK not in w for w in some]
-            run = [w for w, p in zip(some, plain) if p]
+        self.tokenizer.normalizer = None
+        for k in range(0, len(runs), 8192):
+            some = runs[k : k + 8192]
+            ids = np.concatenate(self._ids([" ".join(some[a : a + 32]) for a in range(0, len(some), 32)]))
+            off = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])
+            if len(off) != len(some) + 1 or off[-1] != len(ids):
+                each = self._ids(some)
+                ids, off = np.concatenate(each), np.cumsum([0, *map(len, each)])
+            self.runs.keep(first + k, ids, off)
+        self.tokenizer.normalizer = normalizer
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and n+1 offsets of words of any kind."""
+        where, fresh = self.others.numbers(words)
+        first = len(self.others.place) - len(fresh)
+        for k in range(0, len(fresh), 8192):
+            some = fresh[k : k + 8192]
+            run = [w for w in some if self.mark is not None and self.MARK not in w]
             ids = np.concatenate(self._ids([f" {self.MARK} ".join([*run[a : a + 128], ""]) for a in range(0, len(run), 128)]) or [np.zeros(0, np.uint32)])
             marks = np.flatnonzero(ids == self.mark) if run else np.zeros(0, np.int64)
             if len(marks) == len(run) == len(some):
-                self._keep(here, ids[ids != self.mark], np.concatenate([[0], marks - np.arange(len(marks))]))
+                self.others.keep(first + k, ids[ids != self.mark], np.concatenate([[0], marks - np.arange(len(marks))]))
             else:  # a word that has the mark, or makes one
                 each = self._ids(some)
-                self._keep(here, np.concatenate(each), np.cumsum([0, *map(len, each)]))
+                self.others.keep(first + k, np.concatenate(each), np.cumsum([0, *map(len, each)]))
+        return self.others.ids(where)
 
-    def _keep(self, numbers: np.ndarray, ids: np.ndarray, off: np.ndarray) -> None:
-        while len(self.size) <= numbers[-1]:
-            self.size, self.first = np.resize(self.size, 2 * len(self.size)), np.resize(self.first, 2 * len(self.first))
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.size[numbers], self.first[numbers] = np.diff(off), self.used + off[:-1]
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n+1 offsets of the texts."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.place) > self.limit:
+        if len(self.runs.place) + len(self.others.place) > self.limit:
             self._reset()
-        known = len(self.place)
-        where = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        if len(self.place) > known:
-            self._learn(known, list(islice(self.place, known, None)))
-        size = self.size[where]
-        base = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(base[-1]) + np.repeat(self.first[where] - base[:-1], size)]
-        return ids, base[np.concatenate([[0], np.cumsum([len(s) for s in split])])]
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()  # equal words of these texts are one
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        plain, size, first = self._plain(words), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, used = [], 0
+        for rows, read in ((np.flatnonzero(plain), self._by_runs), (np.flatnonzero(~plain), self._whole)):
+            if len(rows):
+                ids, off = read(words if len(rows) == len(words) else [words[k] for k in rows.tolist()])
+                size[rows], first[rows] = np.diff(off), used + off[:-1]
+                flat.append(ids)
+                used += len(ids)
+        of = np.asarray(coded.indices)
+        ids, base = taken(np.concatenate(flat) if flat else np.zeros(0, np.uint32), first[of], size[of])
+        off = np.asarray(split.offsets)
+        return ids, base[off - off[0]]
 
 
 PIECES = "part long, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -157,7 +223,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, place, ranks = encoder(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in C.chunks(batches, "t", ENCODE_BYTES):
-            ids, off = own_encoder.encode([t or "" for t in batch.column("t").to_pylist()])
+            ids, off = own_encoder.encode(batch.column("t"))
             out = []
             for k, doc in enumerate(batch.column("i").to_pylist()):
                 own = np.append(ids[off[k] : off[k + 1]], np.uint32(end_id)).astype("<u4")

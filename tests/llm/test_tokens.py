@@ -209,3 +209,18 @@ def test_words_of_ascii_need_no_normaliser():
     assert encoder.lowers and encoder.tokenizer.normalizer is not None
     want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [ids[off[k] : off[k + 1]].tolist() for k in range(len(texts))] == want
+
+
+def test_a_run_is_encoded_once_for_all_words_that_have_it():
+    """Case and punctuation make other words of the same runs; ids are those of whole texts, and other scripts go whole."""
+    from tarifa.llm import packing
+
+    encoder, asked = packing.WordEncoder(packing.tokenizer_path()), []
+    ids_of = encoder._ids
+    encoder._ids = lambda texts: asked.extend(texts) or ids_of(texts)
+    texts = ["Straße, straße. STRAßE (Straße)", "(l'été) L'ÉTÉ, 12 1.2", "x\xa0y ſ İ 水,水"]
+    ids, off = encoder.encode(texts)
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids[off[k] : off[k + 1]].tolist() for k in range(len(texts))] == want
+    told = " ".join(asked).split(" ")
+    assert [told.count(w) for w in ("straße", "Straße", "été", ",", "1", "2")] == [1, 0, 1, 1, 1, 1]
