@@ -31,7 +31,7 @@ def missing_required(columns: list[str]) -> list[str]:
 
 def has_required() -> Column:
     """The filter for rows with a product id and a title."""
-    return (X.clean_str(F.col("sku_id")) != "") & (X.clean_str(F.col("title")) != "")
+    return ~X.is_blank(F.col("sku_id")) & ~X.is_blank(F.col("title"))
 
 
 def usable_count(df: DataFrame) -> DataFrame:
@@ -54,8 +54,7 @@ def to_products(raw: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     prices = {f: X.parse_price(F.col(f)) if f in have else F.lit(None).cast("double") for f in ("price", "origin_price")}
     name = F.col("platform_name") if "platform_name" in have else F.col("platform")
     extra = F.col("extra") if "extra" in have else F.create_map().cast("map<string,string>")
-    rows = raw.select("platform", name.alias("platform_name"), F.col("platform_ord").cast("int").alias("platform_ord"), F.col("ord").cast("long").alias("ord"), *[c.alias(f) for f, c in (cols | prices).items()], extra.alias("extra"))
-    rows = rows.filter((F.col("sku_id") != "") & (F.col("title") != ""))
+    rows = raw.filter(has_required() if have.issuperset(("sku_id", "title")) else F.lit(False)).select("platform", name.alias("platform_name"), F.col("platform_ord").cast("int").alias("platform_ord"), F.col("ord").cast("long").alias("ord"), *[c.alias(f) for f, c in (cols | prices).items()], extra.alias("extra"))
     keys = ["platform", "sku_id"]  # rows are dealt once, for the dedup and for parsing
     return enrich(first_by_order(spread(rows, *keys), keys, ["ord"]), lexicon)
 

@@ -331,3 +331,15 @@ def test_spread_takes_more_partitions_for_more_work(spark):
     from tarifa.operators.tables import spread
 
     assert spread(spark.range(10), "id", least=9).rdd.getNumPartitions() == 9 and spread(spark.range(10), "id").rdd.getNumPartitions() == 4
+
+
+def test_trimming_cuts_only_text_with_white_ends(spark):
+    """The same for every white character at either end; text with dark ends isn't walked through (its plan asks the ends first)."""
+    dark = ["a", "~", "!", "\x7f", "é", "、", "水", "😀", "\x1c", "​"]
+    rows = [w + a + "x y" + b + v for w in ["", *X.WHITE] for a in dark for b in dark for v in ["", *X.WHITE[:3], *X.WHITE[-2:]]] + ["", " ", "　", None, "NaN", " n/a　", "—", "nonE ", "İ"]
+    got = spark.createDataFrame(list(enumerate(rows)), "k int, s string").select("k", X.trimmed(F.col("s")).alias("t"), X.clean_str(F.col("s")).alias("c")).collect()
+    null = {"", "nan", "none", "null", "na", "n/a", "-", "—"}
+    for r in got:
+        want = rows[r.k] and rows[r.k].strip(X.WHITE)
+        assert r.t == want and r.c == ("" if (want or "").lower() in null else want), repr(rows[r.k])
+    assert "ascii" in str(X.trimmed(F.col("s"))).lower()
