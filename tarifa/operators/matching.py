@@ -73,7 +73,7 @@ def with_platforms(own: DataFrame, rivals: DataFrame) -> DataFrame:
 
 def match_barcode(pending: DataFrame, rivals: DataFrame) -> DataFrame:
     """Equal non-blank barcodes; of several rivals the first by ``ord``."""
-    code = lambda: F.regexp_replace(F.coalesce("barcode", F.lit("")), r"(?U)^\s+|\s+$", "")
+    code = lambda: X.trimmed(F.coalesce("barcode", F.lit("")))
     first = rivals.select("platform", code().alias("code"), "uid", "ord").filter("code <> ''").groupBy("platform", "code").agg(F.min_by("uid", "ord").alias("rival"))
     mine = pending.withColumn("code", code()).filter("code <> ''")
     return mine.join(first, ["platform", "code"]).select(*_pair(F.col("rival"), 100.0, C.BARCODE, 1.0, F.concat(F.lit("条码一致 "), F.col("code"))))
@@ -110,7 +110,7 @@ def title_pools(pending: DataFrame, rivals: DataFrame) -> tuple[DataFrame, DataF
     mine = mine.join(there.withColumn("has_same", F.lit(True)), ["platform", "s_cat"], "left").join(blank, "platform", "left")
     every = (F.col("s_cat") == "") | ~(F.coalesce("has_same", F.lit(False)) | F.coalesce("has_blank", F.lit(False)))
     own_pools = F.when(every, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), "s_cat"), F.lit("=")))
-    mine = mine.select("platform", F.explode(own_pools).alias("pool"), "s_cat", "s_title")
+    mine = cut(mine.select("platform", F.explode(own_pools).alias("pool"), "s_cat", "s_title"), "own-titles")
     theirs = theirs.filter("r_title <> ''").withColumn("pool", F.explode(F.array(F.concat(F.lit("="), "r_cat"), F.lit("*"))))
     asked = mine.select("platform", "pool").distinct()
     return mine, theirs.join(asked, ["platform", "pool"], "left_semi")
@@ -130,6 +130,7 @@ def nearest_titles(pending: DataFrame, rivals: DataFrame, n: int, config: MatchC
     tasks of bounded size. A task indexes its block and scores only titles whose bound reaches
     the n-th best so far; blocks of one title then meet with ``n`` rows each. Pools of few titles go together."""
     mine, theirs = title_pools(pending, rivals)
+    theirs = cut(theirs, "rival-titles")  # counted first, then dealt
     counts = lambda df, name: df.groupBy("platform", "pool").agg(F.count("*").alias(name))
     sizes = counts(mine, "own").join(counts(theirs, "rivals"), ["platform", "pool"])
     whole = lambda count, size: F.ceil(F.col(count) / size).cast("int")
@@ -281,7 +282,8 @@ def match_all(own: DataFrame, rivals: DataFrame, config: MatchConfig = MatchConf
     for on, rule in ((config.barcode, match_barcode), (config.brand_spec, match_brand_spec)):
         if on:
             found = cut(rule(pending, rivals), "matched")
-            pending = cut(pending.join(found.select("self_uid", "platform"), ["self_uid", "platform"], "left_anti"), "pending")
+            if not found.isEmpty():  # else all are pending still
+                pending = cut(pending.join(found.select("self_uid", "platform"), ["self_uid", "platform"], "left_anti"), "pending")
             done = found if done is None else done.unionByName(found)
     best = cut(candidates(pending, rivals, config, 1), "candidates")
     settled, gray = _routed(cut(of_kind(pending, best, "left").drop("rank"), "recalled"), config)

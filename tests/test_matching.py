@@ -318,3 +318,21 @@ def test_rivals_of_many_pairs_are_joined_apart(spark, monkeypatch):
     monkeypatch.setattr(P, "HOT_RIVALS", 1)
     got = P.met(pairs, rivals).groupBy("rival_uid", "rival.title", "rival.spec", "rival.parsed").count().collect()
     assert {tuple(r) for r in got} == {("r:R0", "甲 水 1L", "1000ml", True, 20), ("r:R1", "乙 油 2L*3瓶", "2000ml×3 (合计6000ml)", True, 5), ("r:gone", None, None, None, 3), (None, None, None, None, 2)}
+
+
+def test_tables_are_made_once(spark, monkeypatch):
+    """Titles of both sides are one table each, whether they are counted or dealt, and a rule that finds nothing leaves the pending ones."""
+    made = []
+    monkeypatch.setattr(M, "cut", lambda df, name: made.append(name) or cut(df, name))
+    own, rivals = make(spark, ("self", "S1", "甲 水 1L"), ("r", "R1", "甲 水 1L"), ("r", "R2", "乙 水 2L", "5", "6921168509256"))
+    got = M.match_all(own, rivals).collect()
+    assert [(r.self_uid, r.rival_uid, r.level) for r in got] == [("self:S1", "r:R1", C.FUZZY)]
+    assert [made.count(n) for n in ("pending", "own-titles", "rival-titles")] == [1, 1, 1]
+
+
+def test_products_of_a_query_are_made_once(spark, monkeypatch):
+    from tarifa.plans import cascade
+
+    made = []
+    monkeypatch.setattr(cascade, "cut", lambda df, name: made.append(name) or cut(df, name))
+    assert cascade.gray_with_verdicts(spark, "/root/testdata/sf0.001").count() > 0 and made == ["kinds"]
