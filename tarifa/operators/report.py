@@ -16,7 +16,7 @@ from ..functions import spec as S
 from ..sources import files
 from .compare import action_kind
 
-#: Rows of a shard of the report.
+#: Rows, or categories, of a shard of the report.
 SHARD_ROWS = 2000
 REVIEW_NOTE = "存在待复核的匹配关系"
 # fixed values: histogram edges and labels, review columns
@@ -128,21 +128,35 @@ def write_review_csv(rows: DataFrame, path: str) -> int:
     return told.get["n"]
 
 
-def write_shards(rows: DataFrame, competitors: list[tuple[str, str]], folder: str, size: int = SHARD_ROWS) -> list[tuple[str, int]]:
-    """The row payload as scripts of ``size`` rows at most, in product order, written by the executors; (name,
-    rows) of each. A page on any disk can load them: each line hands over a row."""
-    spark = rows.sparkSession
-    line = F.concat(F.lit("add("), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), F.lit(")")).alias("value")
-    row_payload(rows, competitors).orderBy("ord").select(line).write.mode("overwrite").option("maxRecordsPerFile", size).text(folder)
-    first = F.min(F.regexp_extract("value", r'^add\(\{"ord":(-?\d+)', 1).cast("long"))
-    index = spark.read.text(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(first.alias("first"), F.count("*").alias("n"))
+def _scripts(lines: DataFrame, folder: str, size: int, place: Column) -> list[tuple]:
+    """Ordered lines as scripts of ``size`` lines at most, written by the executors; (name, lines, first ``place``) of
+    each. Only these are read by the driver, one for ``size`` lines."""
+    spark = lines.sparkSession
+    lines.write.mode("overwrite").option("maxRecordsPerFile", size).text(folder)
+    index = spark.read.text(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.min(place).alias("first"), F.count("*").alias("n"))
     out = []
     for k, r in enumerate(index.orderBy("first").collect()):  # as many as there are files
         files.move(spark, f"{folder}/{r['name']}", f"{folder}/{k:06}.js")
-        out.append((f"{k:06}.js", r["n"]))
+        out.append((f"{k:06}.js", r["n"], r["first"]))
     return out
 
 
+def write_shards(rows: DataFrame, competitors: list[tuple[str, str]], folder: str, size: int = SHARD_ROWS) -> list[tuple[str, int]]:
+    """The row payload as scripts of ``size`` rows at most, in product order, written by the executors; (name,
+    rows) of each. A page on any disk can load them: each line hands over a row."""
+    line = F.concat(F.lit("add("), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), F.lit(")")).alias("value")
+    ordered = row_payload(rows, competitors).orderBy("ord").select(line)
+    return [found[:2] for found in _scripts(ordered, folder, size, F.regexp_extract("value", r'^add\(\{"ord":(-?\d+)', 1).cast("long"))]
+
+
+def write_categories(rows: DataFrame, folder: str, size: int = SHARD_ROWS) -> list[tuple[str, int, str]]:
+    """The categories, in order, as scripts of ``size`` at most, written by the executors; (name, categories, first
+    one) of each. Each line hands over a category: there may be as many as products, too many for a page."""
+    line = F.concat(F.lit("kind("), F.to_json(F.struct("category")), F.lit(")")).alias("value")
+    name = F.get_json_object(F.expr("substring(value, 6, length(value) - 6)"), "$.category")
+    return _scripts(categories(rows).select(line), folder, size, name)
+
+
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """(row,) of every row of the shards, as JSON."""
     return spark.read.option("pathGlobFilter", "*.js").text(folder).select(F.regexp_extract("value", r"^add\((.*)\)$", 1).alias("row"))
@@ -159,13 +173,20 @@ tr.row{cursor:pointer}td.panel{background:#f7f8fa}.flag{background:#fff3cd;borde
 <h2>价差分布</h2>$histogram<h2>建议动作</h2><div class="cards">$counts</div><h2>平台</h2><table><tr><th>平台</th><th>参与</th><th>匹配</th><th>匹配率</th><th>平均价差</th></tr>$platforms</table>
 <h2>价差 TOP</h2><table>$top</table>
 <h2>明细</h2><form onsubmit="return false"><input id="q" placeholder="搜索商品或品牌"><select id="a"><option value="">全部动作</option>$actions</select>
-<select id="c"><option value="">全部品类</option>$categories</select><label><input type="checkbox" id="r">待复核</label><span id="n" class="muted"></span></form>
+<input id="k" placeholder="查找品类" hidden><select id="c"><option value="">全部品类</option></select><button id="next" type="button" hidden>后续品类</button><label><input type="checkbox" id="r">待复核</label><span id="n" class="muted"></span></form>
 <table><thead><tr><th>SKU</th><th>商品</th><th>规格</th><th>售价</th><th>单价</th><th>对标</th><th>对标价</th><th>价差</th><th>动作</th><th>说明</th></tr></thead><tbody id="rows"></tbody></table>
-<p><button id="more">更多</button></p><script type="application/json" id="data">$data</script>
+<p><button id="more">更多</button></p><script type="application/json" id="data">$data</script><script type="application/json" id="kinds">$kinds</script>
 <script>
 const shards=JSON.parse(document.getElementById('data').textContent),rows=[],box=id=>document.getElementById(id),PAGE=200;let next=0,limit=PAGE;
 const add=x=>rows.push(x),total=shards.files.reduce((n,f)=>n+f[1],0);
-function load(then){if(next>=shards.files.length)return then();const s=document.createElement('script');s.src=shards.folder+'/'+shards.files[next++][0];s.onload=s.onerror=()=>{s.remove();then()};document.head.append(s)}
+function script(src,then){const s=document.createElement('script');s.src=src;s.onload=s.onerror=()=>{s.remove();then()};document.head.append(s)}
+function load(then){if(next>=shards.files.length)return then();script(shards.folder+'/'+shards.files[next++][0],then)}
+const kinds=JSON.parse(box('kinds').textContent),named=[],kind=x=>named.push(x.category);let asked=0,at=0;
+const before=(a,b)=>{a=[...a];b=[...b];const i=a.findIndex((x,i)=>x!==b[i]);return i<0?a.length<b.length:i<b.length&&a[i].codePointAt()<b[i].codePointAt()};
+function offer(n,text){const mine=++asked;script(kinds.folder+'/'+kinds.files[n][0],()=>{const found=named.splice(0).filter(x=>!before(x,text)),c=box('c'),was=c.value;if(mine!==asked)return;
+if(!found.length&&n+1<kinds.files.length)return offer(n+1,text);if(was&&!found.includes(was))found.unshift(was);at=n;
+c.replaceChildren(c.options[0],...found.map(x=>new Option(x,x,false,x===was)));box('next').hidden=n+1>=kinds.files.length})}
+function find(text){let low=0,high=kinds.files.length;while(high-low>1){const mid=low+high>>1;if(before(text,kinds.files[mid][2]))high=mid;else low=mid}offer(low,text)}
 const money=v=>v===null?'—':'¥'+v.toFixed(2),each=(v,l)=>v===null?'—':v.toFixed(2)+' '+l,rate=v=>v===null?'—':(v>0?'+':'')+(100*v).toFixed(1)+'%';
 const cell=(tr,text,kind)=>{const td=tr.insertCell();td.textContent=text;if(kind)td.className=kind;return td};
 const review=x=>x.rivals.some(y=>y.matched&&y.need_review);
@@ -177,7 +198,8 @@ for(const x of rows){if(n>=limit)break;if(q&&!(x.title+' '+x.brand).toLowerCase(
 const tr=body.insertRow();tr.className='row';cell(tr,x.sku_id);cell(tr,x.title);cell(tr,x.spec);cell(tr,money(x.price));cell(tr,each(x.unit_price,x.unit_label));cell(tr,x.benchmark_platform||'—');cell(tr,money(x.benchmark_price));cell(tr,rate(x.diff_rate),x.action_kind);cell(tr,x.action,x.action_kind);cell(tr,x.notes.join('；'),'muted');
 tr.onclick=()=>{const next=tr.nextSibling;if(next&&next.className==='open'){next.remove();return}const p=document.createElement('tr');p.className='open';const td=p.insertCell();td.colSpan=10;td.className='panel';td.append(panel(x));tr.after(p)}}
 box('n').textContent=n+' / '+rows.length+' / '+total;if(n<limit&&next<shards.files.length)load(show)}
-for(const id of ['q','a','c','r'])box(id).addEventListener('input',()=>{limit=PAGE;show()});box('more').onclick=()=>{limit+=PAGE;show()};show();
+for(const id of ['q','a','c','r'])box(id).addEventListener('input',()=>{limit=PAGE;show()});box('more').onclick=()=>{limit+=PAGE;show()};
+box('k').addEventListener('input',()=>find(box('k').value));box('next').onclick=()=>offer(at+1,'');if(kinds.files.length){box('k').hidden=kinds.files.length<2;offer(0,'')}show();
 </script></body></html>""")
 
 
@@ -186,14 +208,16 @@ def _cells(rows: list[list]) -> str:
 
 
 def render_html(rows: DataFrame, competitors: list[tuple[str, str]], path: str, title: str = "比价报告", top_n: int = 20) -> str:
-    """A page of aggregates. Its rows lie beside it in shards (``<name>_rows``) that executors have written
-    and that the page loads as they are needed, so the size of the catalogue doesn't matter."""
+    """A page of aggregates. Its rows and categories lie beside it in shards (``<name>_rows``, ``<name>_categories``) that
+    executors have written and that the page loads as they are needed, so the size of the catalogue doesn't matter."""
     spark = rows.sparkSession
     kpi = kpi_summary(rows).first().asDict()
     names = spark.createDataFrame(competitors or [("", "")], "key string, name string").filter("key <> ''")
     per = [[r["name"], r["total"], r["matched"], f"{100 * r['match_rate']:.0f}%", "" if r["avg_diff_rate"] is None else f"{100 * r['avg_diff_rate']:+.1f}%"] for r in platform_summary(rows, names).collect()]
-    folder = f"{path.removesuffix('.html')}_rows"
-    shards = {"folder": quote(folder.rsplit("/", 1)[-1]), "files": write_shards(rows, competitors, folder)}
+    beside = lambda what: f"{path.removesuffix('.html')}_{what}"
+    named = lambda folder, found: {"folder": quote(folder.rsplit("/", 1)[-1]), "files": found}
+    shards = named(beside("rows"), write_shards(rows, competitors, beside("rows")))
+    kept = named(beside("categories"), write_categories(rows, beside("categories")))
     bins = diff_histogram(rows).orderBy("bin").collect()
     most = max((r["n"] for r in bins), default=0) or 1
     side = lambda k: "up" if k > len(EDGES) // 2 else "down" if k < len(EDGES) // 2 else ""
@@ -206,7 +230,7 @@ def render_html(rows: DataFrame, competitors: list[tuple[str, str]], path: str,
     page = _PAGE.substitute(
         title=html.escape(title), generated=datetime.now().strftime("%Y-%m-%d %H:%M"), kpi="".join(card(k, v) for k, v in shown.items()),
         histogram=bars, counts="".join(card(k, n, kind) for k, (n, kind) in kinds.items()), platforms=_cells(per), top=_cells(top),
-        actions=options(sorted(kinds)), categories=options([r["category"] for r in categories(rows).collect()]), data=json.dumps(shards).replace("</", "<\\/"),
+        actions=options(sorted(kinds)), data=json.dumps(shards).replace("</", "<\\/"), kinds=json.dumps(kept, ensure_ascii=False).replace("<", "\\u003c"),
     )
     files.write_text(spark, path, page)
     return path

@@ -296,6 +296,22 @@ def test_report(spark, tmp_path):
     assert (s.total, s.barcode, s.fuzzy, s.unmatched, s.need_review) == (3, 1, 1, 1, 1)
 
 
+def test_report_of_many_categories(spark, tmp_path):
+    """The page names the first category of each shard only; the shards have all, in order."""
+    odd = ['a"b\\c', "</script><!--", "é\u2028x", "𠮷", "\uff5e", "c  c", "未分类"]
+    own, rivals = make(spark, ("self", "S1", "a 500g", "12", "1"), ("r", "R1", "b 500g", "10", "1"))
+    one = cut(P.compare_rows(own, cut(M.match_all(own, rivals), "pairs"), rivals), "rows")
+    many = spark.createDataFrame([(n, c) for n, c in enumerate([*odd[:-1], "", *(f"c{n}" for n in range(4500)), "c7"])], "n long, name string")
+    rows = cut(one.crossJoin(F.broadcast(many)).withColumn("category", F.col("name")).withColumn("ord", F.col("n")).drop("n", "name"), "many")
+    page = open(O.render_html(rows, [("r", "R")], str(tmp_path / "many.html")), encoding="utf-8").read()
+    index = json.loads(page.split('<script type="application/json" id="kinds">')[1].split("</script>")[0])
+    found = {name: [json.loads(line[5:-1])["category"] for line in (tmp_path / index["folder"] / name).read_text(encoding="utf-8").split("\n")[:-1]] for name, _, _ in index["files"]}
+    want = sorted([*odd, *(f"c{n}" for n in range(4500))])
+    assert [c for name, _, _ in index["files"] for c in found[name]] == want and index["folder"] == "many_categories"
+    assert [[name, len(found[name]), found[name][0]] for name in found] == index["files"] and max(n for _, n, _ in index["files"]) <= O.SHARD_ROWS
+    assert len(want) == 4507 and sum(f">{c}<" in page or f'"{c}"' in page for c in want) <= len(index["files"])
+
+
 @pytest.mark.parametrize(("rate", "n"), [(-0.31, 0), (-0.30, 1), (-0.15, 2), (-0.05, 3), (0.0, 3), (0.05, 4), (0.15, 5), (0.30, 6)])
 def test_histogram_edges(spark, rate, n):
     assert spark.range(1).select(O.gap_bin(F.lit(rate)).alias("b")).first().b == n
