@@ -312,6 +312,19 @@ def test_report_of_many_categories(spark, tmp_path):
     assert len(want) == 4507 and sum(f">{c}<" in page or f'"{c}"' in page for c in want) <= len(index["files"])
 
 
+def test_large_tables_are_not_sent_whole(spark):
+    """A table of small files and many rows is dealt by a join; a small one is sent, and the setting is as before."""
+    key = F.concat(F.lit("a long beginning of each key "), F.col("id")).alias("k")
+    many, few = (cut(spark.range(n).select(key, F.lit("x").alias("v")), "many") for n in (500_000, 100))
+    def plan(right):
+        assert cut(few.select("k").join(right, "k", "left"), "joined").filter("v = 'x'").count() == 100
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        told = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return next(p for p in (told.apply(n).physicalPlanDescription() for n in reversed(range(told.size()))) if "LeftOuter" in p)
+    assert "SortMergeJoin" in plan(many) and "BroadcastHashJoin" in plan(few)
+    assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) == 1
+
+
 @pytest.mark.parametrize(("rate", "n"), [(-0.31, 0), (-0.30, 1), (-0.15, 2), (-0.05, 3), (0.0, 3), (0.05, 4), (0.15, 5), (0.30, 6)])
 def test_histogram_edges(spark, rate, n):
     assert spark.range(1).select(O.gap_bin(F.lit(rate)).alias("b")).first().b == n
