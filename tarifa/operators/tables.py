@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import files
 
-#: Memory that rows of a table take for a byte of its files, in which equal values are kept once: 34 to 41 was measured.
+#: Memory that rows of a table take for a byte of its files, in which equal values are kept once: 39 and 41 were measured.
 PACKED = 40
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
